@@ -1,11 +1,14 @@
 """Dates as ``dd/MM/yyyy`` text.
 
-The shape of the text decides which one parser runs, so that no format is tried and failed
-row by row. All checks end in ``try_cast(... AS date)``, which returns null without an error.
+General date text goes through a chain of rewrites towards ``yyyy-m-d``, each of which leaves
+other shapes alone, and one final ``try_cast(... AS date)``. Nothing is parsed by trial and error,
+and every step uses the one before it once, so the generated code stays short.
 """
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,128 +17,94 @@ from steploom.functions.text import nan_to_null, strip
 
 OUTPUT_FORMAT = "dd/MM/yyyy"
 
-# Day zero of spreadsheet serials, and the dates and serials that can be held.
+# Day zero of spreadsheet serials, and the serials and years that can be held.
 SERIAL_ORIGIN = "1899-12-30"
-FIRST_DATE, LAST_DATE = "1677-09-22", "2262-04-11"
 FIRST_SERIAL, LAST_SERIAL = -81186.0, 106751.99
+YEAR = r"(?:167[7-9]|16[89]\d|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[0-2])"
 
-# Month names by their first three letters, position / 3 = month.
-MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
-_MONTH = (
-    r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|"
-    r"aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
-)
+# Month names, of which the first three letters count.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_NAME = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?"
 _WEEKDAY = r"(?:(?:mon|tue|tues|wed|thu|thur|thurs|fri|sat|sun)(?:day|nesday|sday|rsday|urday)?,? +)?"
-_TIME = r"(?:(?:[ t]+)(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)? *(?:am|pm)? *(?:z|utc|[+-]\d{2}:?\d{2})?)?"
-
-# Accepted shapes, matched on lower-case text.
-YEAR_FIRST = rf"^(\d{{4}})([-. ])(\d{{1,2}})\2(\d{{1,2}}){_TIME}$"
-YEAR_LAST = rf"^(\d{{1,2}})([-.])(\d{{1,2}})\2(\d{{4}}|\d{{2}}){_TIME}$"
-DAY_NAME_YEAR = rf"^{_WEEKDAY}(\d{{1,2}})(?:st|nd|rd|th)?[- ]*{_MONTH}[-, ]*(\d{{4}}|\d{{2}}){_TIME}$"
-NAME_DAY_YEAR = rf"^{_WEEKDAY}{_MONTH}[- ]*(\d{{1,2}})(?:st|nd|rd|th)?[-, ]+(\d{{4}}|\d{{2}}){_TIME}$"
-YEAR_NAME_DAY = rf"^(\d{{4}})[- ]{_MONTH}[- ](\d{{1,2}}){_TIME}$"
-YEAR_MONTH = r"^(\d{4})-(\d{1,2})$"
-MONTH_YEAR = r"^(\d{1,2})[-/](\d{4})$"
-NAME_YEAR = rf"^{_MONTH}[- ]+(\d{{4}})$"
-COMPACT = rf"^(\d{{4}})(\d{{2}})(\d{{2}}){_TIME}$"
-SERIAL = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
+_TIME = r"(?:[ t]+(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)? *(?:am|pm)? *(?:z|utc|[+-]\d{2}:?\d{2})?)?"
+
+# Accepted shapes of lower-case text, and the same date as year-month-day.
+# With two numbers before the year, the first is the month unless it is above 12.
+SHAPES = (
+    (rf"^(\d{{4}})([-. ])(\d{{1,2}})\2(\d{{1,2}}){_TIME}$", "$1-$3-$4"),
+    (rf"^(0?[1-9]|1[0-2])([-.])(\d{{1,2}})\2(\d{{4}}|\d{{2}}){_TIME}$", "$4-$1-$3"),
+    (rf"^(1[3-9]|[23]\d)([-.])(\d{{1,2}})\2(\d{{4}}|\d{{2}}){_TIME}$", "$4-$3-$1"),
+    (rf"^(\d{{4}})(\d{{2}})(\d{{2}}){_TIME}$", "$1-$2-$3"),
+    (r"^(\d{4})-(\d{1,2})$", "$1-$2-1"),
+    (r"^(\d{1,2})[-/](\d{4})$", "$2-$1-1"),
+    (rf"^{_WEEKDAY}(\d{{1,2}})(?:st|nd|rd|th)?[- ]*{_NAME}[-, ]*(\d{{4}}|\d{{2}}){_TIME}$", "$3-$2-$1"),
+    (rf"^{_WEEKDAY}{_NAME}[- ]*(\d{{1,2}})(?:st|nd|rd|th)?[-, ]+(\d{{4}}|\d{{2}}){_TIME}$", "$3-$1-$2"),
+    (rf"^(\d{{4}})[- ]{_NAME}[- ](\d{{1,2}}){_TIME}$", "$1-$2-$3"),
+    (rf"^{_NAME}[- ]+(\d{{4}})$", "$2-$1-1"),
+)
+ISO = rf"^{YEAR}-\d{{2}}-\d{{2}}$"
+NOT_A_DATE = rf"^(?!{YEAR}-\d{{1,2}}-\d{{1,2}}$).*$"
 SLASHES = r"^(\d{0,2})/(\d{0,2})/(\d{0,4})$"
+THREE_PARTS = r"^[^/]*/[^/]*/[^/]*$"
+# A number is a serial, except eight digits, which are a calendar date.
+SERIAL = r"^(?!\d{8}$)[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
-def _calendar(year: Column, month: Column, day: Column) -> Column:
-    return F.concat_ws("-", year, month, day).try_cast("date")
-
-
-def _bounded(date: Column) -> Column:
-    return F.when(date.between(F.lit(FIRST_DATE).cast("date"), F.lit(LAST_DATE).cast("date")), date)
-
+def _two_digit_years() -> tuple[tuple[str, str], ...]:
+    """Two-digit years as four digits: the century that is nearest to this year, within 50 years."""
+    limit = (datetime.date.today().year + 50) % 100
+    tens, units = divmod(limit, 10)
+    below = [] if tens == 0 else [rf"[0-{tens - 1}]\d"]
+    below += [] if units == 0 else [rf"{tens}[0-{units - 1}]"]
+    century = (datetime.date.today().year + 50) // 100
+    this = ((rf"^({'|'.join(below)})-", f"{century}$1-"),) if below else ()
+    return (*this, (r"^(\d\d)-", f"{century - 1}$1-"))
 
-def _full_year(year: Column) -> Column:
-    """A two-digit year is the one nearest to today's, within 50 years."""
-    this_year = F.year(F.current_date())
-    near = this_year - this_year % 100 + year.try_cast("int")
-    moved = near - F.when(near >= this_year + 50, 100).when(near < this_year - 50, -100).otherwise(0)
-    return F.when(F.length(year) == 2, moved.cast("string")).otherwise(year)
 
+def slash_day(text: Column) -> Column:
+    """Day/month/year with short parts padded to 2/2/4; null unless it is a calendar date."""
+    padded = F.regexp_replace(text, SLASHES, "000$3-0$2-0$1")
+    return F.regexp_replace(padded, r"^0*?(\d{4})-0?(\d{2})-0?(\d{2})$", "$1-$2-$3").try_cast("date")
 
-def _month_number(name: Column) -> Column:
-    return ((F.instr(F.lit(MONTHS), F.substring(name, 1, 3)) + 2) / 3).cast("int").cast("string")
-
-
-def date_slash(text: Column) -> Column:
-    """Day/month/year with parts padded to 2/2/4; null unless it is a calendar date."""
-
-    def part(n: int, width: int) -> Column:
-        piece = F.split_part(text, F.lit("/"), F.lit(n))
-        return F.when(F.length(piece) < width, F.lpad(piece, width, "0")).otherwise(piece)
-
-    day, month, year = part(1, 2), part(2, 2), part(3, 4)
-    return F.when(
-        text.rlike(SLASHES) & _calendar(year, month, day).isNotNull(),
-        F.concat_ws("/", day, month, year),
-    )
 
-
-def date_general(text: Column) -> Column:
-    """General date text to a date; month first when day and month are both possible."""
+def general_day(text: Column) -> Column:
+    """The date of general date text; null where no shape fits."""
     low = F.lower(strip(text))
-
-    def g(pattern: str, n: int) -> Column:
-        return F.regexp_extract(low, pattern, n)
-
-    year = _full_year(g(YEAR_LAST, 4))
-    parsed = (
-        F.when(low.rlike(YEAR_FIRST), _calendar(g(YEAR_FIRST, 1), g(YEAR_FIRST, 3), g(YEAR_FIRST, 4)))
-        .when(
-            low.rlike(YEAR_LAST),
-            F.coalesce(
-                _calendar(year, g(YEAR_LAST, 1), g(YEAR_LAST, 3)),
-                _calendar(year, g(YEAR_LAST, 3), g(YEAR_LAST, 1)),
-            ),
-        )
-        .when(low.rlike(COMPACT), _calendar(g(COMPACT, 1), g(COMPACT, 2), g(COMPACT, 3)))
-        .when(low.rlike(YEAR_MONTH), _calendar(g(YEAR_MONTH, 1), g(YEAR_MONTH, 2), F.lit("1")))
-        .when(low.rlike(MONTH_YEAR), _calendar(g(MONTH_YEAR, 2), g(MONTH_YEAR, 1), F.lit("1")))
-        .when(
-            low.rlike(DAY_NAME_YEAR),
-            _calendar(_full_year(g(DAY_NAME_YEAR, 3)), _month_number(g(DAY_NAME_YEAR, 2)), g(DAY_NAME_YEAR, 1)),
-        )
-        .when(
-            low.rlike(NAME_DAY_YEAR),
-            _calendar(_full_year(g(NAME_DAY_YEAR, 3)), _month_number(g(NAME_DAY_YEAR, 1)), g(NAME_DAY_YEAR, 2)),
-        )
-        .when(
-            low.rlike(YEAR_NAME_DAY),
-            _calendar(g(YEAR_NAME_DAY, 1), _month_number(g(YEAR_NAME_DAY, 2)), g(YEAR_NAME_DAY, 3)),
-        )
-        .when(low.rlike(NAME_YEAR), _calendar(g(NAME_YEAR, 2), _month_number(g(NAME_YEAR, 1)), F.lit("1")))
-    )
-    return _bounded(parsed)
+    for shape, rewrite in SHAPES + _two_digit_years():
+        low = F.regexp_replace(low, shape, rewrite)
+    for n, name in enumerate(MONTHS):
+        low = F.replace(low, F.lit(name), F.lit(str(n + 1)))
+    return F.regexp_replace(low, NOT_A_DATE, "").try_cast("date")
 
 
-def date_serial(days: Column) -> Column:
-    """Spreadsheet day number, fractions allowed, to a date; null out of range."""
+def serial_day(days: Column) -> Column:
+    """The date of a spreadsheet day number, fractions allowed; null out of range."""
     return F.when(
         days.between(FIRST_SERIAL, LAST_SERIAL),
         F.date_add(F.lit(SERIAL_ORIGIN).cast("date"), F.floor(days).cast("int")),
     )
 
 
-def date_text(value: Column, dtype: T.DataType) -> Column:
-    """Any accepted date value as ``dd/MM/yyyy``; null where it cannot be read."""
+def parse_day(value: Column, dtype: T.DataType) -> Column:
+    """The date meant by any accepted value; null where it cannot be read."""
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(value, OUTPUT_FORMAT)
+        return value.cast("date")
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
-        return F.date_format(date_serial(nan_to_null(value, dtype).cast("double")), OUTPUT_FORMAT)
+        return serial_day(nan_to_null(value, dtype).cast("double"))
     if not isinstance(dtype, T.StringType):
-        return F.lit(None).cast("string")
-    serial = strip(value)
-    # Only eight digits are a calendar date; any other number is a serial.
+        return F.lit(None).cast("date")
     return (
-        F.when(F.length(value) - F.length(F.replace(value, F.lit("/"), F.lit(""))) == 2, date_slash(value))
-        .when(
-            serial.rlike(SERIAL) & ~serial.rlike(r"^\d{8}$"),
-            F.date_format(date_serial(serial.try_cast("double")), OUTPUT_FORMAT),
-        )
-        .otherwise(F.date_format(date_general(value), OUTPUT_FORMAT))
+        F.when(value.rlike(ISO), value.try_cast("date"))
+        .when(value.rlike(THREE_PARTS), slash_day(value))
+        .when(strip(value).rlike(SERIAL), serial_day(strip(value).try_cast("double")))
+        .otherwise(general_day(value))
     )
+
+
+def day_text(day: Column) -> Column:
+    return F.date_format(day, OUTPUT_FORMAT)
+
+
+def date_text(value: Column, dtype: T.DataType) -> Column:
+    """Any accepted date value as ``dd/MM/yyyy``; null where it cannot be read."""
+    return day_text(parse_day(value, dtype))

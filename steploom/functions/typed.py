@@ -1,19 +1,21 @@
 """Typed conversions CODE, INTEGE, DECIMA and DATE as built-in Spark expressions.
 
-Every conversion returns a :class:`Conversion`: the converted value, and a problem text that is
-null when the value is acceptable. A null input gives a null value and no problem.
+A conversion is a few steps, each computed once as a column of its own, and a result on top of
+them: the converted value, and a problem text that is null when the value is acceptable. A null
+input gives a null value and no problem.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steploom.functions.dates import date_text
-from steploom.functions.text import CODE_PATTERN, display_text, nan_to_null, strip
+from steploom.functions.dates import date_text, day_text, parse_day
+from steploom.functions.text import CODE_PATTERN, display_text, float_text, nan_to_null, strip
 
 MAX_LENGTH = 12
 MAX_DIGITS = 12
@@ -35,8 +37,11 @@ class Conversion(NamedTuple):
     problem: Column
 
 
-def _no_problem() -> Column:
-    return F.lit(None).cast("string")
+class TypedValue(NamedTuple):
+    """``steps`` take the raw value, its type and the earlier steps; ``result`` takes value, type, steps."""
+
+    steps: Sequence[Callable[..., Column]]
+    result: Callable[..., Conversion]
 
 
 def parse_float(value: Column, dtype: T.DataType, pattern: str = FLOAT_PATTERN) -> Column:
@@ -49,90 +54,113 @@ def parse_float(value: Column, dtype: T.DataType, pattern: str = FLOAT_PATTERN)
     return F.lit(None).cast("double")
 
 
+def _numeric(value: Column, dtype: T.DataType) -> Column:
+    return parse_float(value, dtype, NUMERIC_PATTERN)
+
+
 def _present(value: Column, dtype: T.DataType) -> Column:
     return nan_to_null(value, dtype).isNotNull()
 
 
-def code_required(value: Column, dtype: T.DataType) -> Conversion:
-    text = strip(display_text(value, dtype))
-    problem = F.when(~text.rlike(CODE_PATTERN), "only upper-case letters, digits and spaces are allowed").when(
-        F.length(text) > MAX_LENGTH, f"longer than {MAX_LENGTH} characters"
-    )
-    return Conversion(F.when(problem.isNull(), text), problem)
+def _no_problem() -> Column:
+    return F.lit(None).cast("string")
 
 
-def code_optional(value: Column, dtype: T.DataType) -> Conversion:
-    return Conversion(display_text(value, dtype), _no_problem())
+def _stripped(value: Column, dtype: T.DataType) -> Column:
+    return strip(display_text(value, dtype))
 
 
-def intege_required(value: Column, dtype: T.DataType) -> Conversion:
-    number = parse_float(value, dtype)
-    problem = F.when(
-        _present(value, dtype),
-        F.when(number.isNull(), "not a number").when(
-            F.abs(number) >= 10.0**MAX_DIGITS, f"more than {MAX_DIGITS} digits"
-        ),
+def _code_problem(value: Column, dtype: T.DataType, text: Column) -> Column:
+    return F.when(~text.rlike(CODE_PATTERN), "only upper-case letters, digits and spaces are allowed").when(
+        F.length(text) > MAX_LENGTH, f"longer than {MAX_LENGTH} characters"
     )
-    return Conversion(F.when(F.abs(number) < 10.0**MAX_DIGITS, number.cast("bigint")), problem)
 
 
-def intege_optional(value: Column, dtype: T.DataType) -> Conversion:
-    if isinstance(dtype, (T.IntegralType, T.BooleanType)):
-        return Conversion(value.cast("bigint"), _no_problem())
-    number = parse_float(value, dtype, NUMERIC_PATTERN)
-    whole = (number == F.rint(number)) & (F.abs(number) < 2.0**63)
-    return Conversion(
-        F.when(whole, number.cast("bigint")),
-        F.when(number.isNotNull() & ~whole, "not a whole number"),
+def _code_result(value: Column, dtype: T.DataType, text: Column, problem: Column) -> Conversion:
+    return Conversion(F.when(problem.isNull(), text), problem)
+
+
+def _whole_result(value: Column, dtype: T.DataType, number: Column) -> Conversion:
+    fits = F.abs(number) < 10.0**MAX_DIGITS
+    problem = F.when(_present(value, dtype) & number.isNull(), "not a number").when(
+        ~fits, f"more than {MAX_DIGITS} digits"
     )
+    return Conversion(F.when(fits, number.cast("bigint")), problem)
 
 
-def decima_required(value: Column, dtype: T.DataType) -> Conversion:
-    number = parse_float(value, dtype)
-    # format_number rounds half-even on the exact binary value; bround works on the shortest decimal text.
-    # The one tie it gets wrong is 0.00005, which is stored above the tie.
-    rounded = F.when(F.abs(number) == 0.00005, (F.signum(number) * 0.0001).cast("decimal(38,4)")).when(
+def _rounded(value: Column, dtype: T.DataType, number: Column) -> Column:
+    """Four decimals, half-even on the exact binary value; null from 10^12 on.
+
+    ``format_number`` rounds that way, while ``bround`` goes by the shortest decimal text. The one
+    tie ``format_number`` gets wrong is 0.00005, which is stored above the tie.
+    """
+    return F.when(F.abs(number) == 0.00005, (F.signum(number) * 0.0001).cast("decimal(38,4)")).when(
         F.abs(number) < 10.0**MAX_DIGITS,
         F.call_function("format_number", number, F.lit("0.0000")).cast("decimal(38,4)"),
     )
-    # Digits left of the point, plus those right of it without trailing zeros; a whole number keeps one.
-    text = F.abs(rounded).cast("string")
-    digits = F.length(F.rtrim(text, F.lit("0"))) - 1
-    counted = F.when(F.endswith(text, F.lit(".0000")), digits + 1).otherwise(digits)
-    problem = F.when(
-        _present(value, dtype),
-        F.when(number.isNull(), "not a number").when(
-            rounded.isNull() | (counted > MAX_DIGITS), f"more than {MAX_DIGITS} digits"
-        ),
+
+
+def _digits(value: Column, dtype: T.DataType, number: Column, rounded: Column) -> Column:
+    """Digits left of the point, plus those right of it without trailing zeros, but at least one."""
+    return F.length(F.regexp_replace(F.abs(rounded).cast("string"), r"(\.\d+?)0+$", "$1")) - 1
+
+
+def _decimal_result(
+    value: Column, dtype: T.DataType, number: Column, rounded: Column, digits: Column
+) -> Conversion:
+    problem = F.when(_present(value, dtype) & number.isNull(), "not a number").when(
+        number.isNotNull() & (digits.isNull() | (digits > MAX_DIGITS)), f"more than {MAX_DIGITS} digits"
     )
-    return Conversion(F.when(counted <= MAX_DIGITS, rounded.cast("double")), problem)
+    return Conversion(F.when(digits <= MAX_DIGITS, rounded.cast("double")), problem)
+
 
+def _date_result(value: Column, dtype: T.DataType, day: Column) -> Conversion:
+    return Conversion(day_text(day), F.when(_present(value, dtype) & day.isNull(), "not a date"))
 
-def decima_optional(value: Column, dtype: T.DataType) -> Conversion:
-    return Conversion(parse_float(value, dtype, NUMERIC_PATTERN), _no_problem())
 
+def _optional_code_result(value: Column, dtype: T.DataType) -> Conversion:
+    return Conversion(display_text(value, dtype), _no_problem())
+
+
+def _optional_whole_result(value: Column, dtype: T.DataType, number: Column) -> Conversion:
+    if isinstance(dtype, (T.IntegralType, T.BooleanType)):
+        return Conversion(value.cast("bigint"), _no_problem())
+    whole = (number == F.rint(number)) & (F.abs(number) < 2.0**63)
+    return Conversion(F.when(whole, number.cast("bigint")), F.when(~whole, "not a whole number"))
 
-def date_any(value: Column, dtype: T.DataType) -> Conversion:
-    """Required and optional dates share one rule: an unreadable value is a problem."""
-    text = date_text(value, dtype)
-    return Conversion(text, F.when(_present(value, dtype) & text.isNull(), "not a date"))
 
+def _optional_decimal_result(value: Column, dtype: T.DataType, number: Column) -> Conversion:
+    return Conversion(number, _no_problem())
 
-REQUIRED = {"CODE": code_required, "INTEGE": intege_required, "DECIMA": decima_required, "DATE": date_any}
-OPTIONAL = {"CODE": code_optional, "INTEGE": intege_optional, "DECIMA": decima_optional, "DATE": date_any}
 
+# Required and optional dates share one rule: an unreadable value is a problem.
+_DATE = TypedValue([parse_day], _date_result)
 
-def typed(data_type: str, optional: bool, value: Column, dtype: T.DataType) -> Conversion:
-    return (OPTIONAL if optional else REQUIRED)[data_type](value, dtype)
+REQUIRED = {
+    "CODE": TypedValue([_stripped, _code_problem], _code_result),
+    "INTEGE": TypedValue([parse_float], _whole_result),
+    "DECIMA": TypedValue([parse_float, _rounded, _digits], _decimal_result),
+    "DATE": _DATE,
+}
+OPTIONAL = {
+    "CODE": TypedValue([], _optional_code_result),
+    "INTEGE": TypedValue([_numeric], _optional_whole_result),
+    "DECIMA": TypedValue([_numeric], _optional_decimal_result),
+    "DATE": _DATE,
+}
 
 
-def list_element(data_type: str, value: Column, dtype: T.DataType) -> Column:
-    """One list element as text, null where the value is missing or not of the type."""
-    if data_type == "DATE":
-        return date_text(value, dtype)
+def list_elements(data_type: str, sources: Sequence[tuple[Column, T.DataType]]) -> Column:
+    """Array of the values as text, without those that are missing or not of the type."""
     if data_type == "DECIMA":
-        return display_text(parse_float(value, dtype), T.DoubleType())
-    # CODE and INTEGE: truncate numbers, accept only whole-number text.
+        numbers = F.array_compact(F.array(*[parse_float(value, dtype) for value, dtype in sources]))
+        return F.transform(numbers, float_text)
+    element = date_text if data_type == "DATE" else _whole_text
+    return F.array_compact(F.array(*[element(value, dtype) for value, dtype in sources]))
+
+
+def _whole_text(value: Column, dtype: T.DataType) -> Column:
+    """Numbers truncated to whole ones; of text, only whole numbers."""
     if isinstance(dtype, T.StringType):
         text = strip(value)
         return F.when(
@@ -140,7 +168,7 @@ def list_element(data_type: str, value: Column, dtype: T.DataType) -> Column:
             F.replace(text, F.lit("_"), F.lit("")).try_cast("decimal(38,0)").cast("string"),
         )
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return value.try_cast("decimal(38,21)").try_cast("bigint").cast("string")
+        return value.try_cast("bigint").cast("string")
     if isinstance(dtype, _NUMBERS):
         return value.cast("bigint").cast("string")
     return F.lit(None).cast("string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from steploom.functions.text import col, display_text, nan_to_null, strip
-from steploom.functions.typed import typed
+from steploom.functions.typed import OPTIONAL, REQUIRED, Conversion
 from steploom.operators.columns import check_required, find_column
 from steploom.operators.lists import explode_lists, flags_to_list, flags_to_names, list_to_string
 from steploom.specs import ColumnRule, SpecError, Target, targets
@@ -79,15 +80,62 @@ def _list_column(df: DataFrame, headers: list[str], target: Target, list_style:
     return flags_to_names(sources) if list_style == NAMES else flags_to_list(sources, target.data_type)
 
 
-def _typed_sources(df: DataFrame, headers: list[str], rules: list[ColumnRule], mapped: Mapping[str, str]):
-    """(target, raw value, data type, conversion) for the single-source targets that are present."""
-    for target in targets(rules):
+class _Typed(NamedTuple):
+    rule: ColumnRule
+    target: str
+    value: Column
+    dtype: T.DataType
+    conversion: Conversion
+
+    @property
+    def text(self) -> Column:
+        return display_text(nan_to_null(self.value, self.dtype), self.dtype)
+
+
+def _with_typed(
+    df: DataFrame, rules: list[ColumnRule], value_maps: ValueMaps | None
+) -> tuple[DataFrame, list[_Typed]]:
+    """The table with the step columns of all single-source targets that are present, and their results.
+
+    Steps are columns, so that what a value and its problem share is computed once.
+    """
+    headers = df.columns
+    df, mapped = _with_value_maps(df, rules, value_maps)
+    pending = []
+    for n, target in enumerate(targets(rules)):
         rule = target.rules[0]
         found = find_column(rule.source, headers)
-        if target.is_list or found is None:
-            continue
-        value, dtype = _source(df, mapped.get(rule.source, found))
-        yield target, value, dtype, typed(rule.data_type, rule.optional, value, dtype)
+        if not target.is_list and found is not None:
+            kind = (OPTIONAL if rule.optional else REQUIRED)[rule.data_type]
+            pending.append((n, target, *_source(df, mapped.get(rule.source, found)), kind))
+
+    def done(n: int, count: int) -> list[Column]:
+        return [F.col(f"_step_{n}_{k}") for k in range(count)]
+
+    for k in range(max((len(kind.steps) for *_, kind in pending), default=0)):
+        df = df.withColumns(
+            {
+                f"_step_{n}_{k}": kind.steps[k](value, dtype, *done(n, k))
+                for n, _, value, dtype, kind in pending
+                if k < len(kind.steps)
+            }
+        )
+    return df, [
+        _Typed(target.rules[0], target.name, value, dtype, kind.result(value, dtype, *done(n, len(kind.steps))))
+        for n, target, value, dtype, kind in pending
+    ]
+
+
+def typed_column(
+    df: DataFrame, column: str, data_type: str, optional: bool = False, value: str = "value", problem: str = "problem"
+) -> DataFrame:
+    """The table with one column converted into ``value``, and what is wrong with it in ``problem``."""
+    with_steps, [found] = _with_typed(df, [ColumnRule(column, value, data_type, optional=optional)], None)
+    return with_steps.select(
+        *[col(name) for name in df.columns],
+        found.conversion.value.alias(value),
+        found.conversion.problem.alias(problem),
+    )
 
 
 def convert_columns(
@@ -110,25 +158,23 @@ def convert_columns(
     rules = list(rules)
     check_required(df, rules)
     headers = df.columns
-    df, mapped = _with_value_maps(df, rules, value_maps)
+    df, found = _with_typed(df, rules, value_maps)
     columns = {}
-    for target, value, dtype, conversion in _typed_sources(df, headers, rules, mapped):
-        result = conversion.value
+    for entry in found:
+        columns[entry.target] = entry.conversion.value
         if on_error == RAISE:
-            result = F.when(
-                conversion.problem.isNotNull(),
-                F.raise_error(_message(target, display_text(value, dtype), conversion.problem)),
-            ).otherwise(result)
-        columns[target.name] = result
+            columns[entry.target] = F.when(
+                entry.conversion.problem.isNotNull(), F.raise_error(_message(entry))
+            ).otherwise(entry.conversion.value)
     for target in targets(rules):
         if target.is_list:
             columns[target.name] = _list_column(df, headers, target, list_style)
     return df.select([columns[target.name].alias(target.name) for target in targets(rules) if target.name in columns])
 
 
-def _message(target: Target, text: Column, problem: Column) -> Column:
-    rule = target.rules[0]
-    return F.concat(F.lit(f"column '{rule.source}' as {rule.data_type}: '"), text, F.lit("': "), problem)
+def _message(entry: _Typed) -> Column:
+    start = f"column '{entry.rule.source}' as {entry.rule.data_type}: '"
+    return F.concat(F.lit(start), entry.text, F.lit("': "), entry.conversion.problem)
 
 
 def convert(
@@ -162,28 +208,22 @@ def conversion_errors(
     """
     rules = list(rules)
     check_required(df, rules)
-    headers = df.columns
-    id_column = find_column(targets(rules)[0].rules[0].source, headers)
-    df, mapped = _with_value_maps(df, rules, value_maps)
-    found = list(_typed_sources(df, headers, rules, mapped))
-    id_text = F.lit(None).cast("string")
-    if id_column is not None:
-        id_text = display_text(*_source(df, id_column))
-    problems = [conversion.problem for _, _, _, conversion in found]
-    if not problems:
+    id_column = find_column(targets(rules)[0].rules[0].source, df.columns)
+    id_text = F.lit(None).cast("string") if id_column is None else display_text(*_source(df, id_column))
+    df, found = _with_typed(df, rules, value_maps)
+    if not found:
         raise SpecError("no single-source columns to check")
     entries = [
         F.struct(
-            F.lit(target.rules[0].source).alias("column"),
-            F.lit(target.data_type).alias("type"),
-            display_text(nan_to_null(value, dtype), dtype).alias("value"),
-            conversion.problem.alias("reason"),
+            F.lit(entry.rule.source).alias("column"),
+            F.lit(entry.rule.data_type).alias("type"),
+            entry.text.alias("value"),
+            entry.conversion.problem.alias("reason"),
         )
-        for target, value, dtype, conversion in found
+        for entry in found
     ]
     return (
-        df.filter(F.coalesce(*problems).isNotNull())
-        .select(id_text.alias("id"), F.explode(F.array(*entries)).alias("_entry"))
+        df.select(id_text.alias("id"), F.explode(F.array(*entries)).alias("_entry"))
         .select("id", "_entry.*")
         .filter(F.col("reason").isNotNull())
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from steploom.functions.text import col
-from steploom.functions.typed import list_element, parse_float
+from steploom.functions.typed import list_elements, parse_float
 from steploom.specs import SpecError
 
 SEPARATOR = ";"
@@ -25,7 +25,7 @@ def flags_to_list(sources: Sequence[Source], data_type: str) -> Column:
     """Ordered list of the non-null values; a value that is not of the type is left out."""
     if not sources:
         return empty_list()
-    return F.array_compact(F.array(*[list_element(data_type, value, dtype) for _, value, dtype in sources]))
+    return list_elements(data_type, [(value, dtype) for _, value, dtype in sources])
 
 
 def flags_to_names(sources: Sequence[Source]) -> Column:

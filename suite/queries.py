@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from steploom import ColumnRule, Comparison, StageRule
-from steploom.functions import typed
-from steploom.functions.dates import date_text
+from steploom.functions import dates
 from steploom.functions.text import col
 from steploom.operators import bands, columns, convert, diffs, filters, lists, stages, summary
 from steploom.sources import readers, writers
@@ -140,9 +139,8 @@ def blank_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Typed conversion
 
 
-def _converted(df: DataFrame, keys: list[str], value: str, conversion: Callable) -> DataFrame:
-    result = conversion(F.col(value), df.schema[value].dataType)
-    return df.select(*keys, result.value.alias("value"), result.problem.alias("problem"))
+def _converted(df: DataFrame, keys: list[str], column: str, data_type: str, optional: bool = False) -> DataFrame:
+    return convert.typed_column(df, column, data_type, optional).select(*keys, "value", "problem")
 
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,11 +180,11 @@ _NUMBER_KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
 
 
 def code_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _converted(_codes(spark, sf_dir), ["c_custkey"], "code", typed.code_required)
+    return _converted(_codes(spark, sf_dir), ["c_custkey"], "code", "CODE")
 
 
 def intege_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _converted(_numbers(spark, sf_dir), _NUMBER_KEYS, "number", typed.intege_required)
+    return _converted(_numbers(spark, sf_dir), _NUMBER_KEYS, "number", "INTEGE")
 
 
 def decima_required(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,24 +195,24 @@ def decima_required(spark: SparkSession, sf_dir: str) -> DataFrame:
             * F.when(F.col("l_partkey") % 4 == 0, 10000.0).otherwise(1.0)
         ).alias("amount"),
     )
-    return _converted(amounts, _NUMBER_KEYS, "amount", typed.decima_required)
+    return _converted(amounts, _NUMBER_KEYS, "amount", "DECIMA")
 
 
 def code_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _converted(_codes(spark, sf_dir), ["c_custkey"], "code", typed.code_optional).drop("problem")
+    return _converted(_codes(spark, sf_dir), ["c_custkey"], "code", "CODE", optional=True).drop("problem")
 
 
 def intege_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _converted(_numbers(spark, sf_dir), _NUMBER_KEYS, "number", typed.intege_optional)
+    return _converted(_numbers(spark, sf_dir), _NUMBER_KEYS, "number", "INTEGE", optional=True)
 
 
 def decima_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _converted(_numbers(spark, sf_dir), _NUMBER_KEYS, "number", typed.decima_optional).drop("problem")
+    return _converted(_numbers(spark, sf_dir), _NUMBER_KEYS, "number", "DECIMA", optional=True).drop("problem")
 
 
 def _dates(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(
-        "l_orderkey", "l_linenumber", *[date_text(F.col(name), df.schema[name].dataType).alias(name) for name in names]
+        "l_orderkey", "l_linenumber", *[dates.date_text(F.col(name), df.schema[name].dataType).alias(name) for name in names]
     )
 
 
@@ -222,7 +220,7 @@ def date_slash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dates(fx.ship_dates(spark, sf_dir), ["slash_text"])
 
 
-def date_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+def date_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dates(fx.ship_dates(spark, sf_dir), ["iso_text", "us_text", "name_text"])
 
 
@@ -243,7 +241,7 @@ def date_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 4, F.concat(F.lit("on "), F.col("iso_text")))
         .alias("date"),
     )
-    return _converted(mixed, ["l_orderkey", "l_linenumber"], "date", typed.date_any)
+    return _converted(mixed, ["l_orderkey", "l_linenumber"], "date", "DATE", optional=True)
 
 
 def map_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,7 +440,7 @@ QUERIES: dict[str, Query] = {
     for query in (
         scan_csv, scan_stages, sink_converted, sink_impact, sink_filtered,
         resolve_columns, check_required, project_mapped, stage_columns, blank_to_null,
-        code_required, intege_required, decima_required, date_slash, date_general, date_serial,
+        code_required, intege_required, decima_required, date_slash, date_text, date_serial,
         code_optional, intege_optional, decima_optional, date_optional, map_values, conversion_errors,
         flags_to_list, flags_to_names, list_to_string, explode_list, explode_lists_aligned, list_absent,
         first_row_per_id, merge_stages, merge_renewal,
@@ -453,4 +451,3 @@ QUERIES: dict[str, Query] = {
         breakdown, breakdown_rollup, waterfall, progression_table,
     )
 }
-QUERIES["date_text"] = QUERIES.pop("date_general")
