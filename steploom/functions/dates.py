@@ -1,8 +1,7 @@
 """Dates as ``dd/MM/yyyy`` text.
 
-General date text goes through a chain of rewrites towards ``yyyy-m-d``, each of which leaves
-other shapes alone, and one final ``try_cast(... AS date)``. Nothing is parsed by trial and error,
-and every step uses the one before it once, so the generated code stays short.
+The shape of a date text decides on one rewrite to ``yyyy-m-d``, followed by one
+``try_cast(... AS date)``. Nothing is parsed by trial and error.
 """
 
 from __future__ import annotations
@@ -13,13 +12,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steploom.functions.text import nan_to_null, strip
+from steploom.functions.text import BLANKS, nan_to_null, strip
 
 OUTPUT_FORMAT = "dd/MM/yyyy"
 
 # Day zero of spreadsheet serials, and the serials and years that can be held.
 SERIAL_ORIGIN = "1899-12-30"
-FIRST_SERIAL, LAST_SERIAL = -81186.0, 106751.99
+FIRST_SERIAL, LAST_SERIAL = -81182.991, 106751.991
 YEAR = r"(?:167[7-9]|16[89]\d|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[0-2])"
 
 # Month names, of which the first three letters count.
@@ -28,37 +27,46 @@ _NAME = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(?:uary|ruary|ch|il|e
 _WEEKDAY = r"(?:(?:mon|tue|tues|wed|thu|thur|thurs|fri|sat|sun)(?:day|nesday|sday|rsday|urday)?,? +)?"
 _TIME = r"(?:[ t]+(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)? *(?:am|pm)? *(?:z|utc|[+-]\d{2}:?\d{2})?)?"
 
-# Accepted shapes of lower-case text, and the same date as year-month-day.
+
+def _shape(pattern: str) -> str:
+    return f"(?i)^{BLANKS}{pattern}{BLANKS}$"
+
+
+# Accepted shapes, in any case, and the same date as year-month-day.
 # With two numbers before the year, the first is the month unless it is above 12.
+_MONTH_DAY, _DAY_MONTH = r"(0?[1-9]|1[0-2])([-.])(\d{1,2})\2", r"(1[3-9]|[23]\d)([-.])(\d{1,2})\2"
+_DAY_NAME = rf"{_WEEKDAY}(\d{{1,2}})(?:st|nd|rd|th)?[- ]*{_NAME}[-, ]*"
+_NAME_DAY = rf"{_WEEKDAY}{_NAME}[- ]*(\d{{1,2}})(?:st|nd|rd|th)?[-, ]+"
 SHAPES = (
-    (rf"^(\d{{4}})([-. ])(\d{{1,2}})\2(\d{{1,2}}){_TIME}$", "$1-$3-$4"),
-    (rf"^(0?[1-9]|1[0-2])([-.])(\d{{1,2}})\2(\d{{4}}|\d{{2}}){_TIME}$", "$4-$1-$3"),
-    (rf"^(1[3-9]|[23]\d)([-.])(\d{{1,2}})\2(\d{{4}}|\d{{2}}){_TIME}$", "$4-$3-$1"),
-    (rf"^(\d{{4}})(\d{{2}})(\d{{2}}){_TIME}$", "$1-$2-$3"),
-    (r"^(\d{4})-(\d{1,2})$", "$1-$2-1"),
-    (r"^(\d{1,2})[-/](\d{4})$", "$2-$1-1"),
-    (rf"^{_WEEKDAY}(\d{{1,2}})(?:st|nd|rd|th)?[- ]*{_NAME}[-, ]*(\d{{4}}|\d{{2}}){_TIME}$", "$3-$2-$1"),
-    (rf"^{_WEEKDAY}{_NAME}[- ]*(\d{{1,2}})(?:st|nd|rd|th)?[-, ]+(\d{{4}}|\d{{2}}){_TIME}$", "$3-$1-$2"),
-    (rf"^(\d{{4}})[- ]{_NAME}[- ](\d{{1,2}}){_TIME}$", "$1-$2-$3"),
-    (rf"^{_NAME}[- ]+(\d{{4}})$", "$2-$1-1"),
+    (_shape(rf"({YEAR})([-. ])(\d{{1,2}})\2(\d{{1,2}}){_TIME}"), "$1-$3-$4"),
+    (_shape(rf"{_MONTH_DAY}({YEAR}){_TIME}"), "$4-$1-$3"),
+    (_shape(rf"{_DAY_MONTH}({YEAR}){_TIME}"), "$4-$3-$1"),
+    (_shape(rf"({YEAR})(\d{{2}})(\d{{2}}){_TIME}"), "$1-$2-$3"),
+    (_shape(rf"{_DAY_NAME}({YEAR}){_TIME}"), "$3-$2-$1"),
+    (_shape(rf"{_NAME_DAY}({YEAR}){_TIME}"), "$3-$1-$2"),
+    (_shape(rf"({YEAR})[- ]{_NAME}[- ](\d{{1,2}}){_TIME}"), "$1-$2-$3"),
+    (_shape(rf"{_NAME}[- ]+({YEAR})"), "$2-$1-1"),
+    (_shape(rf"({YEAR})-(\d{{1,2}})"), "$1-$2-1"),
+    (_shape(rf"(\d{{1,2}})[-/]({YEAR})"), "$2-$1-1"),
+)
+SHORT_YEAR_SHAPES = (
+    (_shape(rf"{_MONTH_DAY}(\d{{2}}){_TIME}"), "$4-$1-$3"),
+    (_shape(rf"{_DAY_MONTH}(\d{{2}}){_TIME}"), "$4-$3-$1"),
+    (_shape(rf"{_DAY_NAME}(\d{{2}}){_TIME}"), "$3-$2-$1"),
+    (_shape(rf"{_NAME_DAY}(\d{{2}}){_TIME}"), "$3-$1-$2"),
 )
 ISO = rf"^{YEAR}-\d{{2}}-\d{{2}}$"
-NOT_A_DATE = rf"^(?!{YEAR}-\d{{1,2}}-\d{{1,2}}$).*$"
-SLASHES = r"^(\d{0,2})/(\d{0,2})/(\d{0,4})$"
-THREE_PARTS = r"^[^/]*/[^/]*/[^/]*$"
+SLASHES = _shape(r"(\d{0,2})/(\d{0,2})/(\d{0,4})")
 # A number is a serial, except eight digits, which are a calendar date.
-SERIAL = r"^(?!\d{8}$)[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
+SERIAL = _shape(r"(?!\d{8}\b(?![.]))[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?")
 
 
-def _two_digit_years() -> tuple[tuple[str, str], ...]:
-    """Two-digit years as four digits: the century that is nearest to this year, within 50 years."""
-    limit = (datetime.date.today().year + 50) % 100
-    tens, units = divmod(limit, 10)
-    below = [] if tens == 0 else [rf"[0-{tens - 1}]\d"]
-    below += [] if units == 0 else [rf"{tens}[0-{units - 1}]"]
-    century = (datetime.date.today().year + 50) // 100
-    this = ((rf"^({'|'.join(below)})-", f"{century}$1-"),) if below else ()
-    return (*this, (r"^(\d\d)-", f"{century - 1}$1-"))
+def _with_century(year_month_day: Column) -> Column:
+    """A two-digit year becomes the one nearest to this year, within 50 years."""
+    last = datetime.date.today().year + 49
+    century, years = divmod(last, 100)
+    recent = F.substring(year_month_day, 1, 2) <= f"{years:02d}"
+    return F.concat(F.when(recent, str(century)).otherwise(str(century - 1)), year_month_day)
 
 
 def slash_day(text: Column) -> Column:
@@ -69,12 +77,16 @@ def slash_day(text: Column) -> Column:
 
 def general_day(text: Column) -> Column:
     """The date of general date text; null where no shape fits."""
-    low = F.lower(strip(text))
-    for shape, rewrite in SHAPES + _two_digit_years():
-        low = F.regexp_replace(low, shape, rewrite)
+    numbers = F.lit(None).cast("string")
+    for shapes, finish in ((SHORT_YEAR_SHAPES, _with_century), (SHAPES, lambda year_month_day: year_month_day)):
+        for shape, rewrite in reversed(shapes):
+            rewritten = F.regexp_replace(text, shape, rewrite)
+            if _NAME in shape:
+                rewritten = F.lower(rewritten)
+            numbers = F.when(text.rlike(shape), finish(rewritten)).otherwise(numbers)
     for n, name in enumerate(MONTHS):
-        low = F.replace(low, F.lit(name), F.lit(str(n + 1)))
-    return F.regexp_replace(low, NOT_A_DATE, "").try_cast("date")
+        numbers = F.replace(numbers, F.lit(name), F.lit(str(n + 1)))
+    return numbers.try_cast("date")
 
 
 def serial_day(days: Column) -> Column:
@@ -95,8 +107,8 @@ def parse_day(value: Column, dtype: T.DataType) -> Column:
         return F.lit(None).cast("date")
     return (
         F.when(value.rlike(ISO), value.try_cast("date"))
-        .when(value.rlike(THREE_PARTS), slash_day(value))
-        .when(strip(value).rlike(SERIAL), serial_day(strip(value).try_cast("double")))
+        .when(value.rlike(SLASHES), slash_day(value))
+        .when(value.rlike(SERIAL), serial_day(strip(value).try_cast("double")))
         .otherwise(general_day(value))
     )
 

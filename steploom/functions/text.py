@@ -12,13 +12,20 @@ WHITESPACE = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+# The same characters as a regex class.
+BLANKS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*"
+
 # Upper-case letters, decimal digits and whitespace, as Java regex classes.
 CODE_PATTERN = r"^[\p{IsUppercase}\p{Nd}\p{IsWhite_Space}\x1c-\x1f]*$"
 
 
+def quote(name: str) -> str:
+    """A literal column name, which may hold dots, spaces or backticks, for use in ``select``."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def col(name: str) -> Column:
-    """Column by its literal name, also when the name holds dots, spaces or backticks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quote(name))
 
 
 def strip(text: Column) -> Column:
@@ -26,7 +33,8 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return strip(text) == ""
+    """Trimming the left side is enough, and stops at the first other character."""
+    return F.ltrim(text, F.lit(WHITESPACE)) == ""
 
 
 def nan_to_null(value: Column, dtype: T.DataType) -> Column:

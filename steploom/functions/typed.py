@@ -15,18 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from steploom.functions.dates import date_text, day_text, parse_day
-from steploom.functions.text import CODE_PATTERN, display_text, float_text, nan_to_null, strip
+from steploom.functions.text import BLANKS, CODE_PATTERN, display_text, float_text, nan_to_null, strip
 
 MAX_LENGTH = 12
 MAX_DIGITS = 12
 
 # Text forms read as a number by the required types (digit groups may use "_") ...
 FLOAT_PATTERN = (
-    r"^[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)"
-    r"(?:[eE][+-]?\d+(?:_\d+)*)?$"
+    r"[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)"
+    r"(?:[eE][+-]?\d+(?:_\d+)*)?"
 )
 # ... and by the optional types (no "_", infinities allowed).
-NUMERIC_PATTERN = r"^(?i:[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|[+-]?inf(?:inity)?)$"
+NUMERIC_PATTERN = r"(?i:[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|[+-]?inf(?:inity)?)"
 INTEGER_PATTERN = r"^[+-]?\d+(?:_\d+)*$"
 
 _NUMBERS = (T.NumericType, T.BooleanType)
@@ -49,8 +49,11 @@ def parse_float(value: Column, dtype: T.DataType, pattern: str = FLOAT_PATTERN)
     if isinstance(dtype, _NUMBERS):
         return nan_to_null(value, dtype).cast("double")
     if isinstance(dtype, T.StringType):
-        text = strip(value)
-        return F.when(text.rlike(pattern), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+        # The cast drops the usual outer blanks itself; rarer ones are stripped first.
+        plain = F.replace(value, F.lit("_"), F.lit(""))
+        return F.when(value.rlike(rf"^\s*{pattern}\s*$"), plain.try_cast("double")).when(
+            value.rlike(rf"^{BLANKS}{pattern}{BLANKS}$"), strip(plain).try_cast("double")
+        )
     return F.lit(None).cast("double")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steploom.functions.text import col, is_blank, nan_to_null
+from steploom.functions.text import col, is_blank, nan_to_null, quote
 from steploom.specs import Comparison, SpecError
 
 OrderBy = Sequence[str | Column]
@@ -25,13 +25,13 @@ def _orderable(dtype: T.DataType) -> bool:
     return not isinstance(dtype, (T.MapType, T.VariantType))
 
 
-def _full_order(df: DataFrame, id_column: str, order_by: OrderBy) -> list[Column]:
+def _full_order(df: DataFrame, id_column: str, order_by: OrderBy) -> list[str | Column]:
     """The given order, then every other column, so that ties give one and the same row on any re-run."""
     if not order_by:
         raise SpecError("order_by is needed: a DataFrame has no row order of its own")
     given = {id_column, *(key for key in order_by if isinstance(key, str))}
     rest = [field.name for field in df.schema if field.name not in given and _orderable(field.dataType)]
-    return [col(key) if isinstance(key, str) else key for key in order_by] + [col(name) for name in rest]
+    return [quote(key) if isinstance(key, str) else key for key in order_by] + [quote(name) for name in rest]
 
 
 def first_row_per_id(df: DataFrame, id_column: str, order_by: OrderBy) -> DataFrame:
@@ -41,7 +41,7 @@ def first_row_per_id(df: DataFrame, id_column: str, order_by: OrderBy) -> DataFr
     most one row per ID however many copies it holds.
     """
     _require(df, [id_column], "table")
-    window = Window.partitionBy(col(id_column)).orderBy(*_full_order(df, id_column, order_by))
+    window = Window.partitionBy(quote(id_column)).orderBy(*_full_order(df, id_column, order_by))
     return df.withColumn("_row", F.row_number().over(window)).filter(F.col("_row") == 1).drop("_row")
 
 
@@ -70,10 +70,11 @@ def stage_columns(
         clash = sorted(set(others) & {name for _, _, name in comparison.stage_columns})
         if clash:
             raise SpecError(f"table {table!r} already has a column {', '.join(clash)}")
+    types = df.schema
     return df.select(
-        col(comparison.id_column),
-        *[col(name) for name in others],
-        *[_number(col(source), df.schema[source].dataType).alias(name) for source, name in wanted],
+        quote(comparison.id_column),
+        *[quote(name) for name in others],
+        *[_number(col(source), types[source].dataType).alias(name) for source, name in wanted],
     )
 
 
@@ -98,7 +99,7 @@ def _narrowed(
         if keep is None:
             return df
         needed |= set(keep)
-    return df.select([col(name) for name in df.columns if name in needed])
+    return df.select([quote(name) for name in df.columns if name in needed])
 
 
 def blank_to_null(df: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def blank_to_null(df: DataFrame) -> DataFrame:
         [
             F.when(~is_blank(col(field.name)), col(field.name)).alias(field.name)
             if isinstance(field.dataType, T.StringType)
-            else col(field.name)
+            else quote(field.name)
             for field in df.schema
         ]
     )
@@ -131,10 +132,9 @@ def merge_stages(
         raise SpecError(f"no table given for {', '.join(missing)}")
     id_column = comparison.id_column
 
-    def prepared(table: str, null_id: bool) -> DataFrame:
-        df = _narrowed(tables[table], comparison, table, _order_for(order_by, table), keep)
-        has_id = col(id_column).isNull() if null_id else col(id_column).isNotNull()
-        first = first_row_per_id(df.filter(has_id), id_column, _order_for(order_by, table))
+    def prepared(table: str) -> DataFrame:
+        order = _order_for(order_by, table)
+        first = first_row_per_id(_narrowed(tables[table], comparison, table, order, keep), id_column, order)
         return stage_columns(first, comparison, table, keep)
 
     def join_null_safe(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -142,12 +142,14 @@ def merge_stages(
         # One row by construction: the first row of a single ID.
         return left.join(F.broadcast(right), col(id_column).eqNullSafe(F.col("_id")), "inner").drop("_id")
 
+    # Both filters are on the window's partition key, so they reach the scans.
+    parts = [prepared(table) for table in comparison.tables]
     with_id = reduce(
         lambda left, right: left.join(right, id_column, "inner"),
-        [prepared(table, null_id=False) for table in comparison.tables],
+        [part.filter(col(id_column).isNotNull()) for part in parts],
     )
-    without_id = reduce(join_null_safe, [prepared(table, null_id=True) for table in comparison.tables])
+    without_id = reduce(join_null_safe, [part.filter(col(id_column).isNull()) for part in parts])
     merged = with_id.unionByName(without_id)
     ordered = [name for _, _, name in comparison.stage_columns]
     others = [name for name in merged.columns if name not in set(ordered)]
-    return blank_to_null(merged.select([col(name) for name in others + ordered]))
+    return blank_to_null(merged.select([quote(name) for name in others + ordered]))

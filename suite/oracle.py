@@ -182,6 +182,7 @@ arrays AS (
 
 _SHIP = "strftime(l_shipdate, '%d/%m/%Y')"
 _ID = "l_orderkey, l_linenumber"
+_LONG_ID = "l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber"
 
 _CONVERTED_CUSTOMER = """
   c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'AUTO' WHEN 'MACHINERY' THEN 'MACHINE' ELSE c_mktsegment END AS segment,
@@ -238,9 +239,9 @@ FROM parsed""",
 SELECT l_orderkey, l_linenumber, l_partkey,
        CASE WHEN digits <= 12 THEN CAST(CAST(printf('%.4f', amount) AS DECIMAL(38,4)) AS DOUBLE) END AS value,
        CASE WHEN digits > 12 THEN 'more than 12 digits' END AS problem FROM counted""",
-    "date_slash": f"SELECT {_ID}, {_SHIP} AS slash_text FROM lineitem",
-    "date_text": f"SELECT {_ID}, {_SHIP} AS iso_text, {_SHIP} AS us_text, {_SHIP} AS name_text FROM lineitem",
-    "date_serial": f"SELECT {_ID}, {_SHIP} AS serial, {_SHIP} AS serial_text FROM lineitem",
+    "date_slash": f"SELECT {_LONG_ID}, {_SHIP} AS slash_text FROM lineitem",
+    "date_text": f"SELECT {_LONG_ID}, {_SHIP} AS iso_text, {_SHIP} AS us_text, {_SHIP} AS name_text FROM lineitem",
+    "date_serial": f"SELECT {_LONG_ID}, {_SHIP} AS serial, {_SHIP} AS serial_text FROM lineitem",
     "code_optional": f"{_CODES} SELECT c_custkey, code AS value FROM codes",
     "intege_optional": f"""{_NUMBERS}
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN x = trunc(x) THEN CAST(x AS BIGINT) END AS value,

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from steploom import ColumnRule, Comparison, StageRule
-from steploom.functions import dates
 from steploom.functions.text import col
 from steploom.operators import bands, columns, convert, diffs, filters, lists, stages, summary
 from steploom.sources import readers, writers
@@ -211,9 +210,10 @@ def decima_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dates(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select(
-        "l_orderkey", "l_linenumber", *[dates.date_text(F.col(name), df.schema[name].dataType).alias(name) for name in names]
-    )
+    rules = [ColumnRule(name, name, "DATE") for name in names]
+    keys = [ColumnRule(name, name, "INTEGE", optional=True) for name in ("l_orderkey", "l_linenumber")]
+    dates = convert.convert_columns(df, keys + rules)
+    return dates.toDF("l_orderkey", "l_linenumber", *names)
 
 
 def date_slash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,218 @@
+"""Literal expectations for the typed conversions."""
+
+import math
+import random
+
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from steploom.functions.text import WHITESPACE, display_text, is_blank, strip
+from steploom.operators.convert import typed_column
+
+LETTERS, LONG_TEXT, NO_NUMBER = (
+    "only upper-case letters, digits and spaces are allowed",
+    "longer than 12 characters",
+    "not a number",
+)
+DIGITS, NOT_WHOLE, NO_DATE = "more than 12 digits", "not a whole number", "not a date"
+
+
+def converted(spark, values, dtype, data_type, optional=False):
+    df = spark.createDataFrame([(value,) for value in values], T.StructType([T.StructField("v", dtype)]))
+    return [(row.value, row.problem) for row in typed_column(df, "v", data_type, optional).collect()]
+
+
+def check(spark, cases, dtype, data_type, optional=False):
+    got = converted(spark, [case[0] for case in cases], dtype, data_type, optional)
+    assert dict(zip([str(case[0]) for case in cases], got)) == {str(case[0]): (case[1], case[2]) for case in cases}
+
+
+def test_code_required(spark):
+    cases = [
+        ("AB 1", "AB 1", None),
+        ("  \tAB\x1f", "AB", None),
+        ("", "", None),
+        ("   ", "", None),
+        ("ÉÜ9", "ÉÜ9", None),
+        ("ABCDEFGHIJKL", "ABCDEFGHIJKL", None),
+        ("ABCDEFGHIJKLM", None, LONG_TEXT),
+        ("ab", None, LETTERS),
+        ("A-B", None, LETTERS),
+        ("ABCDEFGHIJKLMNop", None, LETTERS),
+        (None, None, None),
+    ]
+    check(spark, cases, T.StringType(), "CODE")
+    check(spark, [(12, "12", None), (-3, None, LETTERS)], T.LongType(), "CODE")
+    check(spark, [(1.0, None, LETTERS), (math.nan, None, None)], T.DoubleType(), "CODE")
+
+
+def test_code_optional(spark):
+    check(spark, [(" a-b ", " a-b ", None), (None, None, None)], T.StringType(), "CODE", True)
+    check(spark, [(True, "True", None)], T.BooleanType(), "CODE", True)
+    check(
+        spark,
+        [(12345678.0, "12345678.0", None), (1e-05, "1e-05", None), (1e16, "1e+16", None), (math.nan, None, None)],
+        T.DoubleType(),
+        "CODE",
+        True,
+    )
+
+
+def test_intege_required(spark):
+    cases = [
+        ("12.7", 12, None),
+        ("-12.7", -12, None),
+        ("1e5", 100000, None),
+        ("1_000", 1000, None),
+        (" +5\t", 5, None),
+        (" " + "7", 7, None),
+        ("999999999999", 999999999999, None),
+        ("1234567890123", None, DIGITS),
+        ("x", None, NO_NUMBER),
+        ("", None, NO_NUMBER),
+        ("1d", None, NO_NUMBER),
+        ("0x10", None, NO_NUMBER),
+        ("nan", None, NO_NUMBER),
+        (None, None, None),
+    ]
+    check(spark, cases, T.StringType(), "INTEGE")
+    check(spark, [(-7.9, -7, None), (1e12, None, DIGITS), (math.inf, None, DIGITS)], T.DoubleType(), "INTEGE")
+    check(spark, [(10**12 - 1, 10**12 - 1, None), (10**12, None, DIGITS)], T.LongType(), "INTEGE")
+
+
+def test_intege_optional(spark):
+    cases = [
+        ("12", 12, None),
+        (" 12 ", 12, None),
+        ("12.0", 12, None),
+        ("12.5", None, NOT_WHOLE),
+        ("inf", None, NOT_WHOLE),
+        ("1_000", None, None),
+        ("x", None, None),
+        (None, None, None),
+    ]
+    check(spark, cases, T.StringType(), "INTEGE", True)
+    check(spark, [(2**62 + 1, 2**62 + 1, None)], T.LongType(), "INTEGE", True)
+
+
+def test_decima_required(spark):
+    cases = [
+        ("99999999999", 99999999999.0, None),
+        ("123456789012", None, DIGITS),
+        ("12345678.1234", 12345678.1234, None),
+        ("123456789.1234", None, DIGITS),
+        ("99999999999.5", 99999999999.5, None),
+        ("2.67505", 2.6751, None),
+        ("0.00005", 0.0001, None),
+        ("-0.00005", -0.0001, None),
+        ("0.00015", 0.0001, None),
+        ("0.03125", 0.0312, None),
+        ("-3.50", -3.5, None),
+        ("1e16", None, DIGITS),
+        ("x", None, NO_NUMBER),
+        (None, None, None),
+    ]
+    check(spark, cases, T.StringType(), "DECIMA")
+
+
+def test_decima_rounding_is_on_the_binary_value(spark):
+    random.seed(7)
+    values = [n / 100000 for n in range(5, 400000, 10)]
+    values += [float(f"{random.randrange(5, 10**12, 10) / 1e5:.5f}") for _ in range(20000)]
+    df = spark.createDataFrame(pa.table({"v": values}))
+    got = typed_column(df, "v", "DECIMA").filter("problem is null").select("v", "value").toArrow().to_pydict()
+    wrong = [(v, x) for v, x in zip(got["v"], got["value"]) if x != round(v, 4)]
+    assert wrong == []
+    assert len(got["v"]) > 50000
+
+
+def test_decima_optional(spark):
+    cases = [("12.345678", 12.345678, None), ("x", None, None), ("inf", math.inf, None), (None, None, None)]
+    check(spark, cases, T.StringType(), "DECIMA", True)
+
+
+DATES = [
+    ("1/2/24", "01/02/0024", None),
+    ("31/12/2023", "31/12/2023", None),
+    (" 1/2/2024 ", "01/02/2024", None),
+    ("2023/01/05", None, NO_DATE),
+    ("99/99/2024", None, NO_DATE),
+    ("31/02/2023", None, NO_DATE),
+    ("a/b/c", None, NO_DATE),
+    ("2023-01-05", "05/01/2023", None),
+    ("2023-1-5", "05/01/2023", None),
+    ("2023.01.05", "05/01/2023", None),
+    ("2023-01-05 10:00:00.25+05:30", "05/01/2023", None),
+    ("2023-01-05T10:00Z", "05/01/2023", None),
+    ("2023-01-05 25:00", None, NO_DATE),
+    ("2023-01-05 x", None, NO_DATE),
+    ("2023-02-30", None, NO_DATE),
+    ("01-02-2023", "02/01/2023", None),
+    ("13-02-2023", "13/02/2023", None),
+    ("01.02.2023", "02/01/2023", None),
+    ("02-30-2023", None, NO_DATE),
+    ("20230105", "05/01/2023", None),
+    ("20230105 10:00", "05/01/2023", None),
+    ("2023-01", "01/01/2023", None),
+    ("01/2023", "01/01/2023", None),
+    ("Jan 2023", "01/01/2023", None),
+    ("5 January 2023", "05/01/2023", None),
+    ("January 5, 2023", "05/01/2023", None),
+    ("SUNDAY, january 8th, 2023", "08/01/2023", None),
+    ("2023-Jan-05", "05/01/2023", None),
+    ("44927", "01/01/2023", None),
+    ("44927.5", "01/01/2023", None),
+    (" 44927 ", "01/01/2023", None),
+    ("2023", "15/07/1905", None),
+    ("106751", "08/04/2192", None),
+    ("106752", None, NO_DATE),
+    ("-81182", "22/09/1677", None),
+    ("-81183", None, NO_DATE),
+    ("99999999", None, NO_DATE),
+    ("2300-01-01", None, NO_DATE),
+    ("0001-01-01", None, NO_DATE),
+    ("", None, NO_DATE),
+    ("soon", None, NO_DATE),
+    (None, None, None),
+]
+
+
+@pytest.mark.parametrize("optional", [False, True])
+def test_dates_from_text(spark, optional):
+    check(spark, DATES, T.StringType(), "DATE", optional)
+
+
+def test_two_digit_years_are_near(spark):
+    got = converted(spark, ["05-Jan-23", "01-02-23", "5 Jan 23"], T.StringType(), "DATE")
+    assert [value for value, _ in got] == ["05/01/2023", "02/01/2023", "05/01/2023"]
+
+
+def test_dates_from_other_types(spark):
+    check(
+        spark,
+        [(44927.0, "01/01/2023", None), (44927.99, "01/01/2023", None), (-0.5, "29/12/1899", None), (2e7, None, NO_DATE)],
+        T.DoubleType(),
+        "DATE",
+    )
+    df = spark.sql("SELECT DATE'2023-01-05' AS d, TIMESTAMP'2023-01-05 23:59:59' AS t, TIMESTAMP_NTZ'2023-01-05 23:59:59' AS n")
+    for name in ("d", "t", "n"):
+        assert typed_column(df, name, "DATE").first().value == "05/01/2023"
+
+
+def test_display_text_is_shortest_decimal(spark):
+    values = [1.0, 12345678.0, 1e16, 1.5e-05, 0.0001, 0.001234, -1e100, 1e22, 0.1 + 0.2, 1e15, 123456789.125, -2.5e-10]
+    df = spark.createDataFrame(pa.table({"v": values}))
+    got = df.select(display_text(F.col("v"), T.DoubleType())).toArrow().column(0).to_pylist()
+    assert got == [str(value) for value in values]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list(WHITESPACE) + list("aB1-é")), max_size=6), min_size=30, max_size=60))
+def test_strip_matches_python(spark, texts):
+    df = spark.createDataFrame(pa.table({"v": texts}))
+    got = df.select("v", strip(F.col("v")).alias("s"), is_blank(F.col("v")).alias("b")).collect()
+    assert [(row.s, row.b) for row in got] == [(row.v.strip(), row.v.strip() == "") for row in got]
