@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from steploom.functions.text import col
 from steploom.specs import NB, RN, Comparison, SpecError
@@ -30,18 +31,9 @@ def _sum(name: str) -> Column:
 
 def stage_totals(df: DataFrame, comparison: Comparison, segment: str = NB) -> DataFrame:
     """One row with the total of every stage column of the segment, under the column's name."""
-    names = _segment_columns(comparison, segment)
-    return df.agg(*[_sum(name).alias(name) for name in names])
-
-
-def _segment_columns(comparison: Comparison, segment: str) -> list[str]:
-    names = [
-        comparison.column(rule, segment) for item in comparison.items for rule in comparison.stages(item)
-    ]
-    names = [name for name in names if name is not None]
-    if not names:
-        raise SpecError(f"no stage columns for {segment}")
-    return names
+    names = [comparison.column(rule, segment) for item in comparison.items for rule in comparison.stages(item)]
+    totals = [_sum(name).alias(name) for name in names if name is not None]
+    return df.agg(*totals) if totals else df.agg(F.lit(0).alias("no_stage_columns"))
 
 
 def _stack(row: DataFrame, names: Sequence[str], rows: Sequence[Sequence]) -> DataFrame:
@@ -125,7 +117,14 @@ def progression_table(df: DataFrame, comparison: Comparison) -> DataFrame:
 
 
 def item_stage_pivot(df: DataFrame, comparison: Comparison, segment: str = NB) -> DataFrame:
-    """Items as rows, stage names as columns, totals as values; 0 where there is no such column."""
+    """Items as rows, stage names as columns, totals as values; 0 where there is no such column.
+
+    Without the renewal option there are no renewal rows.
+    """
+    names = ["item", *comparison.stage_names()]
+    if segment not in comparison.segments:
+        nothing = T.StructType([T.StructField(n, T.DoubleType() if k else T.StringType()) for k, n in enumerate(names)])
+        return df.sparkSession.createDataFrame([], nothing)
     rows = []
     for item in comparison.items:
         by_name = {}
@@ -133,7 +132,7 @@ def item_stage_pivot(df: DataFrame, comparison: Comparison, segment: str = NB) -
             name = comparison.column(rule, segment)
             by_name[rule.stage_name] = F.lit(0.0) if name is None else col(name).cast("double")
         rows.append((item, *[by_name.get(name, F.lit(0.0)) for name in comparison.stage_names()]))
-    return _stack(stage_totals(df, comparison, segment), ["item", *comparison.stage_names()], rows)
+    return _stack(stage_totals(df, comparison, segment), names, rows)
 
 
 def item_stage_pivot_rn(df: DataFrame, comparison: Comparison) -> DataFrame:
