@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession
 
+from steploom.settings import apply_recommended
 from suite.queries import QUERIES
 
 HEADLINES = (
@@ -49,7 +50,7 @@ def main() -> None:
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    apply_recommended(spark).sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("sum(l_quantity)").collect()
     seconds = {}
     for name in sys.argv[1:] or HEADLINES:

@@ -7,6 +7,7 @@ The shape of a date text decides on one rewrite to ``yyyy-m-d``, followed by one
 from __future__ import annotations
 
 import datetime
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,21 +38,25 @@ def _shape(pattern: str) -> str:
 _MONTH_DAY, _DAY_MONTH = r"(0?[1-9]|1[0-2])([-.])(\d{1,2})\2", r"(1[3-9]|[23]\d)([-.])(\d{1,2})\2"
 _DAY_NAME = rf"{_WEEKDAY}(\d{{1,2}})(?:st|nd|rd|th)?[- ]*{_NAME}[-, ]*"
 _NAME_DAY = rf"{_WEEKDAY}{_NAME}[- ]*(\d{{1,2}})(?:st|nd|rd|th)?[-, ]+"
-SHAPES = (
+NUMBER_SHAPES = (
     (_shape(rf"({YEAR})([-. ])(\d{{1,2}})\2(\d{{1,2}}){_TIME}"), "$1-$3-$4"),
     (_shape(rf"{_MONTH_DAY}({YEAR}){_TIME}"), "$4-$1-$3"),
     (_shape(rf"{_DAY_MONTH}({YEAR}){_TIME}"), "$4-$3-$1"),
     (_shape(rf"({YEAR})(\d{{2}})(\d{{2}}){_TIME}"), "$1-$2-$3"),
-    (_shape(rf"{_DAY_NAME}({YEAR}){_TIME}"), "$3-$2-$1"),
-    (_shape(rf"{_NAME_DAY}({YEAR}){_TIME}"), "$3-$1-$2"),
-    (_shape(rf"({YEAR})[- ]{_NAME}[- ](\d{{1,2}}){_TIME}"), "$1-$2-$3"),
-    (_shape(rf"{_NAME}[- ]+({YEAR})"), "$2-$1-1"),
     (_shape(rf"({YEAR})-(\d{{1,2}})"), "$1-$2-1"),
     (_shape(rf"(\d{{1,2}})[-/]({YEAR})"), "$2-$1-1"),
 )
-SHORT_YEAR_SHAPES = (
+SHORT_NUMBER_SHAPES = (
     (_shape(rf"{_MONTH_DAY}(\d{{2}}){_TIME}"), "$4-$1-$3"),
     (_shape(rf"{_DAY_MONTH}(\d{{2}}){_TIME}"), "$4-$3-$1"),
+)
+NAME_SHAPES = (
+    (_shape(rf"{_DAY_NAME}({YEAR}){_TIME}"), "$3-$2-$1"),
+    (_shape(rf"{_NAME_DAY}({YEAR}){_TIME}"), "$3-$1-$2"),
+    (_shape(rf"({YEAR})[- ]{_NAME}[- ](\d{{1,2}}){_TIME}"), "$1-$2-$3"),
+    (_shape(rf"{_NAME}[- ]+({YEAR})"), "$2-$1-1"),
+)
+SHORT_NAME_SHAPES = (
     (_shape(rf"{_DAY_NAME}(\d{{2}}){_TIME}"), "$3-$2-$1"),
     (_shape(rf"{_NAME_DAY}(\d{{2}}){_TIME}"), "$3-$1-$2"),
 )
@@ -75,18 +80,21 @@ def slash_day(text: Column) -> Column:
     return F.regexp_replace(padded, r"^0*?(\d{4})-0?(\d{2})-0?(\d{2})$", "$1-$2-$3").try_cast("date")
 
 
+def _rewritten(text: Column, shapes: Sequence, short_shapes: Sequence, otherwise: Column) -> Column:
+    for shape, rewrite in reversed(short_shapes):
+        rewritten = _with_century(F.regexp_replace(text, shape, rewrite))
+        otherwise = F.when(text.rlike(shape), rewritten).otherwise(otherwise)
+    for shape, rewrite in reversed(shapes):
+        otherwise = F.when(text.rlike(shape), F.regexp_replace(text, shape, rewrite)).otherwise(otherwise)
+    return otherwise
+
+
 def general_day(text: Column) -> Column:
     """The date of general date text; null where no shape fits."""
-    numbers = F.lit(None).cast("string")
-    for shapes, finish in ((SHORT_YEAR_SHAPES, _with_century), (SHAPES, lambda year_month_day: year_month_day)):
-        for shape, rewrite in reversed(shapes):
-            rewritten = F.regexp_replace(text, shape, rewrite)
-            if _NAME in shape:
-                rewritten = F.lower(rewritten)
-            numbers = F.when(text.rlike(shape), finish(rewritten)).otherwise(numbers)
+    named = F.lower(_rewritten(text, NAME_SHAPES, SHORT_NAME_SHAPES, F.lit(None).cast("string")))
     for n, name in enumerate(MONTHS):
-        numbers = F.replace(numbers, F.lit(name), F.lit(str(n + 1)))
-    return numbers.try_cast("date")
+        named = F.replace(named, F.lit(name), F.lit(str(n + 1)))
+    return _rewritten(text, NUMBER_SHAPES, SHORT_NUMBER_SHAPES, named).try_cast("date")
 
 
 def serial_day(days: Column) -> Column:

@@ -83,12 +83,14 @@ def _code_result(value: Column, dtype: T.DataType, text: Column, problem: Column
     return Conversion(F.when(problem.isNull(), text), problem)
 
 
-def _whole_result(value: Column, dtype: T.DataType, number: Column) -> Conversion:
-    fits = F.abs(number) < 10.0**MAX_DIGITS
-    problem = F.when(_present(value, dtype) & number.isNull(), "not a number").when(
-        ~fits, f"more than {MAX_DIGITS} digits"
+def _whole_problem(value: Column, dtype: T.DataType, number: Column) -> Column:
+    return F.when(_present(value, dtype) & number.isNull(), "not a number").when(
+        F.abs(number) >= 10.0**MAX_DIGITS, f"more than {MAX_DIGITS} digits"
     )
-    return Conversion(F.when(fits, number.cast("bigint")), problem)
+
+
+def _whole_result(value: Column, dtype: T.DataType, number: Column, problem: Column) -> Conversion:
+    return Conversion(F.when(problem.isNull(), number.cast("bigint")), problem)
 
 
 def _rounded(value: Column, dtype: T.DataType, number: Column) -> Column:
@@ -108,17 +110,24 @@ def _digits(value: Column, dtype: T.DataType, number: Column, rounded: Column) -
     return F.length(F.regexp_replace(F.abs(rounded).cast("string"), r"(\.\d+?)0+$", "$1")) - 1
 
 
-def _decimal_result(
-    value: Column, dtype: T.DataType, number: Column, rounded: Column, digits: Column
-) -> Conversion:
-    problem = F.when(_present(value, dtype) & number.isNull(), "not a number").when(
+def _decimal_problem(value: Column, dtype: T.DataType, number: Column, rounded: Column, digits: Column) -> Column:
+    return F.when(_present(value, dtype) & number.isNull(), "not a number").when(
         number.isNotNull() & (digits.isNull() | (digits > MAX_DIGITS)), f"more than {MAX_DIGITS} digits"
     )
-    return Conversion(F.when(digits <= MAX_DIGITS, rounded.cast("double")), problem)
 
 
-def _date_result(value: Column, dtype: T.DataType, day: Column) -> Conversion:
-    return Conversion(day_text(day), F.when(_present(value, dtype) & day.isNull(), "not a date"))
+def _decimal_result(
+    value: Column, dtype: T.DataType, number: Column, rounded: Column, digits: Column, problem: Column
+) -> Conversion:
+    return Conversion(F.when(problem.isNull(), rounded.cast("double")), problem)
+
+
+def _date_problem(value: Column, dtype: T.DataType, day: Column) -> Column:
+    return F.when(_present(value, dtype) & day.isNull(), "not a date")
+
+
+def _date_result(value: Column, dtype: T.DataType, day: Column, problem: Column) -> Conversion:
+    return Conversion(day_text(day), problem)
 
 
 def _optional_code_result(value: Column, dtype: T.DataType) -> Conversion:
@@ -137,12 +146,12 @@ def _optional_decimal_result(value: Column, dtype: T.DataType, number: Column) -
 
 
 # Required and optional dates share one rule: an unreadable value is a problem.
-_DATE = TypedValue([parse_day], _date_result)
+_DATE = TypedValue([parse_day, _date_problem], _date_result)
 
 REQUIRED = {
     "CODE": TypedValue([_stripped, _code_problem], _code_result),
-    "INTEGE": TypedValue([parse_float], _whole_result),
-    "DECIMA": TypedValue([parse_float, _rounded, _digits], _decimal_result),
+    "INTEGE": TypedValue([parse_float, _whole_problem], _whole_result),
+    "DECIMA": TypedValue([parse_float, _rounded, _digits, _decimal_problem], _decimal_result),
     "DATE": _DATE,
 }
 OPTIONAL = {

@@ -87,6 +87,11 @@ class _Typed(NamedTuple):
     dtype: T.DataType
     conversion: Conversion
 
+    @property
+    def can_fail(self) -> bool:
+        """Optional CODE and DECIMA take any value."""
+        return not (self.rule.optional and self.rule.data_type in ("CODE", "DECIMA"))
+
     @property
     def text(self) -> Column:
         return display_text(nan_to_null(self.value, self.dtype), self.dtype)
@@ -159,22 +164,26 @@ def convert_columns(
     check_required(df, rules)
     headers = df.columns
     df, found = _with_typed(df, rules, value_maps)
-    columns = {}
-    for entry in found:
-        columns[entry.target] = entry.conversion.value
-        if on_error == RAISE:
-            columns[entry.target] = F.when(
-                entry.conversion.problem.isNotNull(), F.raise_error(_message(entry))
-            ).otherwise(entry.conversion.value)
+    columns = {
+        entry.target: _or_stop(entry) if on_error == RAISE else entry.conversion.value for entry in found
+    }
     for target in targets(rules):
         if target.is_list:
             columns[target.name] = _list_column(df, headers, target, list_style)
     return df.select([columns[target.name].alias(target.name) for target in targets(rules) if target.name in columns])
 
 
-def _message(entry: _Typed) -> Column:
+def _or_stop(entry: _Typed) -> Column:
+    """The value, or an error naming column, type and value.
+
+    The check is part of the value: as a filter it would be moved below the step columns, and
+    repeat all of their work.
+    """
+    if not entry.can_fail:
+        return entry.conversion.value
     start = f"column '{entry.rule.source}' as {entry.rule.data_type}: '"
-    return F.concat(F.lit(start), entry.text, F.lit("': "), entry.conversion.problem)
+    message = F.concat(F.lit(start), entry.text, F.lit("': "), entry.conversion.problem)
+    return F.when(entry.conversion.problem.isNotNull(), F.raise_error(message)).otherwise(entry.conversion.value)
 
 
 def convert(
