@@ -1,7 +1,8 @@
 """Dates as ``dd/MM/yyyy`` text.
 
 The shape of a date text decides on one rewrite to ``yyyy-m-d``, followed by one
-``try_cast(... AS date)``. Nothing is parsed by trial and error.
+``try_cast(... AS date)``. Nothing is parsed by trial and error. The usual shapes are told by
+comparing the text with all digits made 0, the others by regular expressions.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from steploom.functions.text import BLANKS, nan_to_null, strip
 
 OUTPUT_FORMAT = "dd/MM/yyyy"
 
-# Day zero of spreadsheet serials, and the serials and years that can be held.
+# Day zero of spreadsheet serials, and the serials, days and years that can be held.
 SERIAL_ORIGIN = "1899-12-30"
 FIRST_SERIAL, LAST_SERIAL = -81182.991, 106751.991
+FIRST_DAY, LAST_DAY = "1677-09-22", "2262-04-11"
 YEAR = r"(?:167[7-9]|16[89]\d|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[0-2])"
 
 # Month names, of which the first three letters count.
@@ -60,7 +62,6 @@ SHORT_NAME_SHAPES = (
     (_shape(rf"{_DAY_NAME}(\d{{2}}){_TIME}"), "$3-$2-$1"),
     (_shape(rf"{_NAME_DAY}(\d{{2}}){_TIME}"), "$3-$1-$2"),
 )
-ISO = rf"^{YEAR}-\d{{2}}-\d{{2}}$"
 SLASHES = _shape(r"(\d{0,2})/(\d{0,2})/(\d{0,4})")
 # A number is a serial, except eight digits, which are a calendar date.
 SERIAL = _shape(r"(?!\d{8}\b(?![.]))[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?")
@@ -94,7 +95,8 @@ def general_day(text: Column) -> Column:
     named = F.lower(_rewritten(text, NAME_SHAPES, SHORT_NAME_SHAPES, F.lit(None).cast("string")))
     for n, name in enumerate(MONTHS):
         named = F.replace(named, F.lit(name), F.lit(str(n + 1)))
-    return _rewritten(text, NUMBER_SHAPES, SHORT_NUMBER_SHAPES, named).try_cast("date")
+    numbered = _rewritten(text, NUMBER_SHAPES, SHORT_NUMBER_SHAPES, F.lit(None).cast("string"))
+    return F.when(text.rlike(f"(?i){'|'.join(MONTHS)}"), named).otherwise(numbered).try_cast("date")
 
 
 def serial_day(days: Column) -> Column:
@@ -105,7 +107,18 @@ def serial_day(days: Column) -> Column:
     )
 
 
-def parse_day(value: Column, dtype: T.DataType) -> Column:
+def digit_shape(value: Column, dtype: T.DataType) -> Column:
+    """The text with every digit as 0; null for other types."""
+    if not isinstance(dtype, T.StringType):
+        return F.lit(None).cast("string")
+    return F.translate(value, "123456789", "000000000")
+
+
+def _parts(year: Column, month: Column, day: Column) -> Column:
+    return F.concat_ws("-", year, month, day).try_cast("date")
+
+
+def parse_day(value: Column, dtype: T.DataType, shape: Column) -> Column:
     """The date meant by any accepted value; null where it cannot be read."""
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return value.cast("date")
@@ -113,8 +126,14 @@ def parse_day(value: Column, dtype: T.DataType) -> Column:
         return serial_day(nan_to_null(value, dtype).cast("double"))
     if not isinstance(dtype, T.StringType):
         return F.lit(None).cast("date")
+    first, second, year = F.substring(value, 1, 2), F.substring(value, 4, 2), F.substring(value, 7, 4)
     return (
-        F.when(value.rlike(ISO), value.try_cast("date"))
+        F.when(shape == "0000-00-00", F.when(value.between(FIRST_DAY, LAST_DAY), value.try_cast("date")))
+        .when(shape == "00/00/0000", _parts(year, second, first))
+        .when(
+            shape == "00-00-0000",
+            F.when(year.between("1677", "2262"), F.when(first <= "12", _parts(year, first, second)).otherwise(_parts(year, second, first))),
+        )
         .when(value.rlike(SLASHES), slash_day(value))
         .when(value.rlike(SERIAL), serial_day(strip(value).try_cast("double")))
         .otherwise(general_day(value))
@@ -127,4 +146,4 @@ def day_text(day: Column) -> Column:
 
 def date_text(value: Column, dtype: T.DataType) -> Column:
     """Any accepted date value as ``dd/MM/yyyy``; null where it cannot be read."""
-    return day_text(parse_day(value, dtype))
+    return day_text(parse_day(value, dtype, digit_shape(value, dtype)))

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steploom.functions.dates import date_text, day_text, parse_day
+from steploom.functions.dates import date_text, day_text, digit_shape, parse_day
 from steploom.functions.text import BLANKS, CODE_PATTERN, display_text, float_text, nan_to_null, strip
 
 MAX_LENGTH = 12
@@ -122,11 +122,11 @@ def _decimal_result(
     return Conversion(F.when(problem.isNull(), rounded.cast("double")), problem)
 
 
-def _date_problem(value: Column, dtype: T.DataType, day: Column) -> Column:
+def _date_problem(value: Column, dtype: T.DataType, shape: Column, day: Column) -> Column:
     return F.when(_present(value, dtype) & day.isNull(), "not a date")
 
 
-def _date_result(value: Column, dtype: T.DataType, day: Column, problem: Column) -> Conversion:
+def _date_result(value: Column, dtype: T.DataType, shape: Column, day: Column, problem: Column) -> Conversion:
     return Conversion(day_text(day), problem)
 
 
@@ -146,7 +146,7 @@ def _optional_decimal_result(value: Column, dtype: T.DataType, number: Column) -
 
 
 # Required and optional dates share one rule: an unreadable value is a problem.
-_DATE = TypedValue([parse_day, _date_problem], _date_result)
+_DATE = TypedValue([digit_shape, parse_day, _date_problem], _date_result)
 
 REQUIRED = {
     "CODE": TypedValue([_stripped, _code_problem], _code_result),

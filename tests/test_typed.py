@@ -173,7 +173,14 @@ DATES = [
     ("-81182", "22/09/1677", None),
     ("-81183", None, NO_DATE),
     ("99999999", None, NO_DATE),
+    ("1677-09-21", None, NO_DATE),
+    ("1677-09-22", "22/09/1677", None),
+    ("2262-04-11", "11/04/2262", None),
+    ("2262-04-12", None, NO_DATE),
     ("2300-01-01", None, NO_DATE),
+    ("00-10-2023", None, NO_DATE),
+    ("12-31-1500", None, NO_DATE),
+    ("29/02/2023", None, NO_DATE),
     ("0001-01-01", None, NO_DATE),
     ("", None, NO_DATE),
     ("soon", None, NO_DATE),
