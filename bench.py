@@ -48,6 +48,8 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # Call sites of every column expression are for debugging; recording them slows plan building.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     apply_recommended(spark).sparkContext.setLogLevel("ERROR")

@@ -27,6 +27,8 @@ FLOAT_PATTERN = (
 )
 # ... and by the optional types (no "_", infinities allowed).
 NUMERIC_PATTERN = r"(?i:[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|[+-]?inf(?:inity)?)"
+# Fixed value: text that DECIMA reads as a missing number.
+NAN_PATTERN = rf"(?i)^{BLANKS}[+-]?nan{BLANKS}$"
 INTEGER_PATTERN = r"^[+-]?\d+(?:_\d+)*$"
 
 _NUMBERS = (T.NumericType, T.BooleanType)
@@ -111,7 +113,10 @@ def _digits(value: Column, dtype: T.DataType, number: Column, rounded: Column) -
 
 
 def _decimal_problem(value: Column, dtype: T.DataType, number: Column, rounded: Column, digits: Column) -> Column:
-    return F.when(_present(value, dtype) & number.isNull(), "not a number").when(
+    unread = _present(value, dtype) & number.isNull()
+    if isinstance(dtype, T.StringType):
+        unread = unread & ~value.rlike(NAN_PATTERN)
+    return F.when(unread, "not a number").when(
         number.isNotNull() & (digits.isNull() | (digits > MAX_DIGITS)), f"more than {MAX_DIGITS} digits"
     )
 
@@ -131,7 +136,8 @@ def _date_result(value: Column, dtype: T.DataType, shape: Column, day: Column, p
 
 
 def _optional_code_result(value: Column, dtype: T.DataType) -> Conversion:
-    return Conversion(display_text(value, dtype), _no_problem())
+    text = display_text(value, dtype)
+    return Conversion(F.when(text != "nan", text), _no_problem())
 
 
 def _optional_whole_result(value: Column, dtype: T.DataType, number: Column) -> Conversion:

@@ -72,7 +72,8 @@ def sink_impact(
         write_table(source, paths["merged_data"], file_type)
         if file_type == PARQUET:
             source = df.sparkSession.read.parquet(paths["merged_data"])
-        write_table(item_stage_pivot(source, comparison), paths["summary_table"], file_type)
+        totals = item_stage_pivot(source, comparison).withColumnRenamed("item", "Item")
+        write_table(totals, paths["summary_table"], file_type)
         write_table(band_table(source, comparison, bands), paths["band_distribution"], file_type)
     finally:
         if file_type != PARQUET:

@@ -97,6 +97,11 @@ class Band:
     name: str
     start: float
 
+    @classmethod
+    def from_row(cls, row: Mapping) -> Band:
+        """Band from a row with headers Name, From."""
+        return cls(str(_field(row, "Name")), float(_field(row, "From")))
+
 
 def check_bands(bands: Sequence[Band]) -> tuple[Band, ...]:
     bands = tuple(bands)

@@ -139,6 +139,7 @@ def test_bands_are_left_closed(spark):
     for bad in ([], [Band("a", 1), Band("a", 2)], [Band("a", 1), Band("b", 1)], [Band("a", math.nan)], [Band("a", math.inf)]):
         with pytest.raises(SpecError):
             check_bands(bad)
+    assert Band.from_row({"Name": "a", "From": "-0.1"}) == EDGES[0]
     assert rows(bd.assign_band(df, "v", [Band("all", -math.inf)]).filter("v < 0"))[0][1] == "all"
 
 

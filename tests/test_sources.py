@@ -99,6 +99,7 @@ def test_sink_impact(spark, tmp_path, file_type):
     paths = _result(spark).write(str(tmp_path / "out"), file_type)
     read = (lambda path: scan_csv(spark, path)) if file_type == "csv" else spark.read.parquet
     assert read(paths["merged_data"]).count() == 2
+    assert read(paths["summary_table"]).columns == ["Item", "Start", "Excess / Change"]
     assert [str(v) for v in rows(read(paths["summary_table"]))[0]] == ["Prop erty", "3.0", "4.0"]
     got = read(paths["band_distribution"])
     assert got.columns == ["Item", "Step", "StepName", "Segment", "Band", "Count", "Percentage"]

@@ -51,7 +51,7 @@ def test_code_required(spark):
 
 
 def test_code_optional(spark):
-    check(spark, [(" a-b ", " a-b ", None), (None, None, None)], T.StringType(), "CODE", True)
+    check(spark, [(" a-b ", " a-b ", None), ("nan", None, None), (None, None, None)], T.StringType(), "CODE", True)
     check(spark, [(True, "True", None)], T.BooleanType(), "CODE", True)
     check(
         spark,
@@ -113,6 +113,8 @@ def test_decima_required(spark):
         ("0.03125", 0.0312, None),
         ("-3.50", -3.5, None),
         ("1e16", None, DIGITS),
+        (" NaN ", None, None),
+        ("inf", None, NO_NUMBER),
         ("x", None, NO_NUMBER),
         (None, None, None),
     ]
