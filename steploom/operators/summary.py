@@ -198,15 +198,21 @@ def breakdown(df: DataFrame, comparison: Comparison, dimensions: Sequence[str])
 def breakdown_rollup(df: DataFrame, comparison: Comparison, dimensions: Sequence[str]) -> DataFrame:
     """The breakdown with subtotals per leading dimensions and a grand total, marked in ``level``.
 
-    The rollup runs on the already grouped sums, so the data itself is not expanded per level.
+    The rollup runs on the already grouped sums, so the data itself is not expanded per level. The
+    grand total is an aggregate of its own on the same groups, and is there also without any rows.
     """
     keys = _dimensions(df, dimensions)
     sums = _sums(df, comparison, keys)
-    measures = [name for name in sums.columns if name.startswith(("_start_", "_end_", "_count"))]
-    rolled = sums.rollup(*[col(name) for name in keys]).agg(
-        *[F.sum(name).alias(name) for name in measures], F.grouping_id().alias("_grouping")
+    everything = 2 ** len(keys) - 1
+    measures = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in sums.columns if name not in keys]
+    levels = sums.rollup(*[col(name) for name in keys]).agg(*measures, F.grouping_id().alias("_grouping"))
+    total = sums.agg(*measures).select(
+        "*",
+        *[F.lit(None).cast(sums.schema[name].dataType).alias(name) for name in keys],
+        F.lit(everything).cast("bigint").alias("_grouping"),
     )
-    level = F.when(F.col("_grouping") == 0, DETAIL).when(F.col("_grouping") == 2 ** len(keys) - 1, GRAND_TOTAL)
+    rolled = levels.filter(F.col("_grouping") < everything).unionByName(total)
+    level = F.when(F.col("_grouping") == 0, DETAIL).when(F.col("_grouping") == everything, GRAND_TOTAL)
     for n in range(1, len(keys)):
         level = level.when(F.col("_grouping") == 2 ** (len(keys) - n) - 1, f"subtotal_{n}")
     rows = _per_item(rolled.withColumn("level", level), comparison, ["level", "_grouping", *keys])

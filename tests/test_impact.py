@@ -281,6 +281,8 @@ def test_breakdown_with_totals(merged):
         ("subtotal_1", None, None, 0.0, 5.0, 1),
         ("grand_total", None, None, 300.0, 312.0, 4),
     ]
+    empty = rows(sm.breakdown_rollup(merged.filter("id = 'Z'"), TWO, ["seg"]))
+    assert empty == [("P", "grand_total", None, 0.0, 0.0, 0, 0.0, 0.0), ("Z", "grand_total", None, 0.0, 0.0, 0, 0.0, 0.0)]
     one = [row[1:3] for row in rows(sm.breakdown_rollup(merged, TWO, ["seg"])) if row[0] == "P"]
     assert one == [("detail", "x"), ("detail", "y"), ("detail", None), ("grand_total", None)]
     three = [row[1] for row in rows(sm.breakdown_rollup(merged, TWO, ["seg", "sub", "n"])) if row[0] == "P"]

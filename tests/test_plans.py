@@ -115,8 +115,8 @@ def test_rollup_expands_groups_not_rows(spark, tmp_path):
     path = str(tmp_path / "rows")
     fx.impact(spark, SF_DIR).rows.write.parquet(path)
     text = plan(sm.breakdown_rollup(spark.read.parquet(path), fx.COMPARISON, ["c_mktsegment", "note"]))
-    expand = text.index("Expand")
-    assert text.count("HashAggregate") == 4 and text[expand:].count("HashAggregate") == 2
+    below = text[text.index("Expand") :]
+    assert below.index("HashAggregate") < below.index("FileScan")
 
 
 def test_hot_id_gives_whole_results(spark):
