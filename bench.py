@@ -48,7 +48,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
-        # Call sites of every column expression are for debugging; recording them slows plan building.
+        # Recording the call site of every column expression is for debugging and takes plan-building time.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 RECOMMENDED = {
-    # Conversions of many columns generate long methods. The JVM does not compile methods above
-    # 8000 bytes, so beyond that Spark does better without fusing the whole stage.
+    # Conversions of many columns generate long methods, and the JVM does not compile methods above
+    # 8000 bytes by default. Without fusing the whole stage Spark splits the code into short ones.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Joins on the ID are sized, and skewed partitions split, at run time.
     "spark.sql.adaptive.enabled": "true",
