@@ -3,6 +3,39 @@
 from __future__ import annotations
 
 ORACLE = {
+    "op1_decontaminate": r"""
+WITH doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM documents
+), item AS (
+  SELECT item_id::VARCHAR AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM benchmark
+), sized AS (
+  SELECT item, w, least(len(w), 13) AS n FROM item WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item, n, array_to_string(w[s:s + n - 1], ' ') AS win
+  FROM (SELECT item, n, w, unnest(generate_series(1, len(w) - n + 1)) AS s FROM sized)
+), spots AS (
+  SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s
+        FROM doc CROSS JOIN (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), hits AS (
+  SELECT doc_id, s, n, item FROM spots JOIN windows USING (n, win)
+), covered AS (
+  SELECT doc_id, count(DISTINCT at_word) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS at_word FROM (SELECT DISTINCT doc_id, s, n FROM hits))
+  GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM hits WHERE item IS NOT NULL) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+""",
     "op7_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -46,5 +46,6 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case; all other characters as they are."""
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    """A-Z in lower case; all other characters as they are. Text of ASCII alone takes the quick way."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
