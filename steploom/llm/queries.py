@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steploom.llm.decontaminate import contamination, is_contaminated
 from steploom.llm.line_dedup import drop_frequent_lines
+from steploom.llm.packing import pack, token_pieces
+from steploom.llm.shared import new_path
 from steploom.llm.simhash import near_duplicates
+from steploom.llm.token_files import read_token_files, write_token_files
+
+#: The tokenizer file of the token queries, where the package of public tokenizers has it.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +47,21 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, max_tokens=2048)
+    return pack(pieces, max_tokens=2048).withColumnRenamed("id", "doc_id")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, TOKENIZER)
+    return read_token_files(spark, folder).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
     "op7_line_dedup": op7_line_dedup,
+    "op8_packing": op8_packing,
+    "op10_token_files": op10_token_files,
 }
