@@ -12,6 +12,8 @@ from steploom.llm.packing import pack, token_pieces
 from steploom.llm.shared import new_path
 from steploom.llm.simhash import near_duplicates
 from steploom.llm.token_files import read_token_files, write_token_files
+from steploom.llm.toxicity import fit_toxicity, learning_rows, toxicity
+
 
 #: The tokenizer file of the token queries, where the package of public tokenizers has it.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,6 +44,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity(docs, model).select(
+        "row.doc_id",
+        (~learning_rows(F.col("row.doc_id"))).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_frequent_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -61,6 +74,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
+    "op5_toxicity": op5_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
     "op10_token_files": op10_token_files,
