@@ -30,10 +30,13 @@ def _grams(tokens: Column, k: int) -> Column:
     return F.when(last > 0, hashes).otherwise(F.array().cast("array<long>"))
 
 
-def _minimum(grams: Column, start: Column, count: int) -> Column:
-    """The smallest of ``count`` (at least 1) hashes from ``start`` (0-based)."""
-    values = [grams[start + i] for i in range(count)]
-    return F.least(*values) if count > 1 else values[0]
+def _minima(grams: Column, count: int) -> Column:
+    """The smallest of each ``count`` hashes, by the place of the first; none if there are fewer hashes."""
+    if count == 1:
+        return grams
+    last = F.size(grams) - count + 1
+    least = F.transform(F.sequence(F.lit(1), last), lambda at: F.array_min(F.slice(grams, at, count)))
+    return F.when(last > 0, least).otherwise(F.array().cast("array<long>"))
 
 
 def _barrier(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -59,32 +62,32 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
     )
 
 
+def _with_minima(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` with words ``w`` and ``minima``, for windows of n words, instead of ``text``."""
+    k = min(GRAM, n)
+    tokens = _barrier(rows, "w", words(F.col("text"))).drop("text")
+    grams = _barrier(tokens, "grams", _grams(F.col("w"), k))
+    return _barrier(grams, "minima", _minima(F.col("grams"), n - k + 1)).drop("grams")
+
+
 def _kept_grams(rows: DataFrame, n: int) -> DataFrame:
     """``rows`` (with ``text``) times the starts ``s`` where the minimum ``fingerprint`` of n words changes.
 
     Where one minimum lasts longer than a gram can (a text that repeats itself), each further start is kept too.
     """
-    k = min(GRAM, n)
-    count = n - k + 1
-    tokens = _barrier(rows, "w", words(F.col("text")))
-    grams = _barrier(tokens.drop("text"), "grams", _grams(F.col("w"), k))
-    starts = grams.filter(F.size("grams") >= count).select(
-        "*", F.explode(F.sequence(F.lit(0), F.size("grams") - count)).alias("s")
-    )
-    s = F.col("s")
-    here = _minimum(F.col("grams"), s, count)
-    before = F.when(s >= 1, _minimum(F.col("grams"), s - 1, count))
-    earlier = F.when(s >= count, _minimum(F.col("grams"), s - count, count))
-    kept = before.isNull() | (before != here) | F.coalesce(earlier == here, F.lit(False))
-    return starts.select("*", here.alias("fingerprint")).filter(kept)
+    starts = _with_minima(rows, n).select("*", F.posexplode("minima").alias("s", "fingerprint"))
+    s, span = F.col("s"), n - min(GRAM, n) + 1
+    before = F.when(s >= 1, F.col("minima")[s - 1])
+    earlier = F.when(s >= span, F.col("minima")[s - span])
+    here = F.col("fingerprint")
+    return starts.filter(before.isNull() | (before != here) | F.coalesce(earlier == here, F.lit(False)))
 
 
 def _extended(kept: DataFrame, n: int) -> DataFrame:
     """The windows of n words around each kept gram that have its fingerprint: ``s`` and ``words``."""
-    count = n - min(GRAM, n) + 1
-    last = F.least(F.col("s") + (count - 1), F.size("grams") - count)
+    last = F.least(F.col("s") + (n - min(GRAM, n)), F.size("minima") - 1)
     near = kept.select("*", F.explode(F.sequence(F.col("s"), last)).alias("start"))
-    return near.filter(_minimum(F.col("grams"), F.col("start"), count) == F.col("fingerprint")).select(
+    return near.filter(F.col("minima")[F.col("start")] == F.col("fingerprint")).select(
         "id", "text_hash", F.col("start").alias("s"), F.array_join(F.slice("w", F.col("start") + 1, n), " ").alias("words")
     )
 
@@ -105,11 +108,8 @@ def _hits(rows: DataFrame, windows: DataFrame, n: int, broadcast: bool) -> DataF
             .agg(F.collect_set("s").alias("starts"))
         )
         same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
-        count = n - min(GRAM, n) + 1
-        tokens = _barrier(rows.join(starts, same), "w", words(F.col("text")))
-        grams = _barrier(tokens.drop("text"), "grams", _grams(F.col("w"), min(GRAM, n)))
-        again = grams.select("*", F.explode("starts").alias("s"))
-        found = _extended(again.select("*", _minimum(F.col("grams"), F.col("s"), count).alias("fingerprint")), n)
+        again = _with_minima(rows.join(starts, same), n).select("*", F.explode("starts").alias("s"))
+        found = _extended(again.select("*", F.col("minima")[F.col("s")].alias("fingerprint")), n)
     return found.join(of_n.select("words", "items"), "words").select("id", "text_hash", "s", F.lit(n).alias("n"), "items")
 
 
