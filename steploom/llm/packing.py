@@ -45,11 +45,11 @@ def token_pieces(
     fields += [StructField("ids", ArrayType(IntegerType()))] if keep_ids else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode, end = encoder(tokenizer), np.uint32(end_id).tobytes()
         for batch in batches:
             of, out = [], []
             for row, whole in enumerate(batch.column("text")):
-                ids = np.append(np.frombuffer(encode(whole.as_py() or ""), dtype="<u4"), np.uint32(end_id)).astype("<u4")
+                ids = np.frombuffer(encode(whole.as_py() or "") + end, dtype="<u4")
                 first = len(ids) % max_tokens or max_tokens
                 bounds = [0, *range(first, len(ids) + 1, max_tokens)]
                 for k, (a, b) in enumerate(itertools.pairwise(bounds)):

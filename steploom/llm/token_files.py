@@ -14,7 +14,6 @@ documents and tokens of each file.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,6 +86,16 @@ def unpack_blocks(content: bytes, id_of: np.ndarray) -> Iterator[tuple[list[int
         yield [None if n else int(k) for k, n in zip(ids, null, strict=True)], counts, id_of[decode_ranks(control, data, tokens)]
 
 
+def _narrow(ids: bytes) -> bytes:
+    """32-bit ids in 16 bits each, if all fit."""
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2").tobytes() if wide.max() < 1 << 16 else ids
+
+
+def _wide(ids: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * count else "<u4")
+
+
 def _file_system(path: str):
     from pyarrow.fs import FileSystem
 
@@ -110,15 +119,14 @@ def write_token_files(
     """
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode, end = encoder(tokenizer), np.uint32(end_id).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [array("I", encode(x.as_py() or "")) for x in part.column("text")]
-                for x in ids:
-                    x.append(end_id)
-                blobs = [np.asarray(x, dtype="<u4").tobytes() for x in ids]
-                columns = [part.column("id"), pa.array(map(zlib.crc32, blobs)), pa.array(map(len, ids)), pa.array(blobs)]
+                blobs = [encode(x.as_py() or "") + end for x in part.column("text")]
+                sums, sizes = [zlib.crc32(b) for b in blobs], [len(b) // 4 for b in blobs]
+                narrow = pa.array([_narrow(b) for b in blobs], pa.binary())
+                columns = [part.column("id"), pa.array(sums, pa.int64()), pa.array(sizes, pa.int64()), narrow]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "crc", "n", "ids"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -127,15 +135,15 @@ def write_token_files(
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for blob in batch["ids"]:
-                seen = np.bincount(np.frombuffer(blob, "<u4"))
+            for n, blob in zip(batch["n"], batch["ids"], strict=True):
+                seen = np.bincount(_wide(blob, n))
                 if len(seen) > len(total):
                     total = np.concatenate([total, np.zeros(len(seen) - len(total), dtype=np.int64)])
                 total[: len(seen)] += seen
         used = np.flatnonzero(total)
         yield pd.DataFrame({"token": used, "n": total[used]})
 
-    counts = tokens.select("ids").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = tokens.select("n", "ids").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     ranked = counts.toPandas().sort_values(["n", "token"], ascending=[False, True])  # at most the vocabulary
     id_of = ranked["token"].to_numpy(dtype="<u4")
     rank_of = np.zeros(int(id_of.max()) + 1 if len(id_of) else 1, dtype="<u4")
@@ -160,9 +168,9 @@ def write_token_files(
             keys, parts, held = [], [], 0
 
         for batch in batches:
-            for null, key, blob in zip(batch["id"].isna(), batch["id"], batch["ids"], strict=True):
+            for null, key, n, blob in zip(batch["id"].isna(), batch["id"], batch["n"], batch["ids"], strict=True):
                 keys.append(None if null else int(key))
-                parts.append(np.frombuffer(blob, "<u4"))
+                parts.append(_wide(blob, n))
                 held, docs, total = held + len(parts[-1]), docs + 1, total + len(parts[-1])
                 if held >= BLOCK_TOKENS:
                     flush()
@@ -176,7 +184,7 @@ def write_token_files(
     n_files = max(1, -(-int(tokens.agg(F.sum("n")).head()[0] or 0) // file_tokens))
     # The id is a whole number of up to 64 bits; as text beside a null it keeps every digit in pandas.
     dealt = tokens.repartitionByRange(n_files, "id", "crc").sortWithinPartitions("id", "crc")
-    dealt.select(F.col("id").cast("string").alias("id"), "ids").mapInPandas(write, "file string, docs long, tokens long").write.parquet(
+    dealt.select(F.col("id").cast("string").alias("id"), "n", "ids").mapInPandas(write, "file string, docs long, tokens long").write.parquet(
         f"{folder}/manifest"
     )
 
