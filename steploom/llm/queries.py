@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steploom.llm.decontaminate import contamination, is_contaminated
+from steploom.llm.language import fit_languages, languages
+from steploom.llm.language import learning_rows as language_rows
 from steploom.llm.line_dedup import drop_frequent_lines
 from steploom.llm.packing import pack, token_pieces
 from steploom.llm.shared import new_path
@@ -55,6 +57,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    samples = fit_languages(docs.select("doc_id", "text", "lang"))
+    return languages(docs.select("doc_id", "text"), samples).select(
+        "row.doc_id", (~language_rows(F.col("row.doc_id"))).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_frequent_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -75,6 +85,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
     "op5_toxicity": op5_toxicity,
+    "op6_language": op6_language,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
     "op10_token_files": op10_token_files,
