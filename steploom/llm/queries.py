@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steploom.llm.decontaminate import contamination, is_contaminated
+from steploom.llm.embeddings import near_duplicate_vectors
 from steploom.llm.language import fit_languages, languages
 from steploom.llm.language import learning_rows as language_rows
 from steploom.llm.line_dedup import drop_frequent_lines
 from steploom.llm.packing import pack, token_pieces
-from steploom.llm.shared import new_path
+from steploom.llm.shared import new_path, ship_code
 from steploom.llm.simhash import near_duplicates
 from steploom.llm.token_files import read_token_files, write_token_files
 from steploom.llm.toxicity import fit_toxicity, learning_rows, toxicity
 
+Query = Callable[[SparkSession, str], DataFrame]
 
 #: The tokenizer file of the token queries, where the package of public tokenizers has it.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,6 +51,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicate_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.9)
+    return found.select(
+        F.col("id").alias("vec_id"),
+        "n_links",
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -81,12 +96,24 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {
+def _with_code(query: Query) -> Query:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_code(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_OPERATORS: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
+    "op4_embeddings": op4_embeddings,
     "op5_toxicity": op5_toxicity,
     "op6_language": op6_language,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
     "op10_token_files": op10_token_files,
 }
+
+QUERIES = {name: _with_code(query) for name, query in _OPERATORS.items()}

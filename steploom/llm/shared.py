@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import shutil
 import string
 import tempfile
 import uuid
@@ -16,6 +19,25 @@ BROADCAST_ROWS = 200_000
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+@functools.cache
+def _archive() -> str:
+    import steploom
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(steploom.__file__)))
+    return shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="steploom-code-"), "steploom"), "zip", root, "steploom")
+
+
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per application: they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        context.addPyFile(_archive())
+        _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see; a local one only where none is named and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
