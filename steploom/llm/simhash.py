@@ -114,7 +114,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     # Level 0 has one group, all fingerprints, and all places are free.
     groups = {"": list(range(BITS))}
-    rows = distinct.select("fingerprint", F.lit("").alias("path"), F.lit(0).cast("long").alias("kept"))
+    rows = distinct.select("fingerprint")
     out = None
     while True:
         finer: dict[str, list[int]] = {}
@@ -124,8 +124,13 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
                 name = f"{path}{v:x}"
                 finer[name] = [p for p in free if p not in set(keep)]
                 keys.append((path, name, _signed([p for p in range(BITS) if p not in set(finer[name])])))
-        table = distinct.sparkSession.createDataFrame(keys, "path string, mask string, bits long")
-        cut = rows.join(F.broadcast(table), "path").select(
+        if len(groups) == 1:
+            choices = F.array(*[F.struct(F.lit(mask).alias("mask"), F.lit(bits).alias("bits")) for _, mask, bits in keys])
+            masked = rows.select("fingerprint", F.inline(choices))
+        else:
+            table = distinct.sparkSession.createDataFrame(keys, "path string, mask string, bits long")
+            masked = rows.join(F.broadcast(table), "path")
+        cut = masked.select(
             "fingerprint", F.col("mask").alias("path"), F.col("fingerprint").bitwiseAND(F.col("bits")).alias("kept")
         )
         sparse, dense = cut, None
