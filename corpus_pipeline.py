@@ -1,27 +1,68 @@
-"""The corpus pipeline: stages that each read what the one before kept."""
+"""The corpus pipeline: each stage works on all documents that the one before kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from steploom.llm.decontaminate import drop_contaminated
 from steploom.llm.line_dedup import dedup_lines
-from steploom.llm.shared import new_path
+from steploom.llm.packing import pack, token_pieces
+from steploom.llm.shared import new_path, ship_code
+from steploom.llm.simhash import keep_one_each
+from steploom.llm.toxicity import drop_toxic
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.7 or more go."""
+    ship_code(spark)
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs)
+    """Lines that stand in ten or more documents go; ``n_chars`` follows the text."""
+    ship_code(spark)
+    out = dedup_lines(docs, min_docs=10)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest id."""
+    ship_code(spark)
+    return keep_one_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go of which a twentieth of the words or more stands in windows of benchmark items."""
+    ship_code(spark)
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents, each with its place in a sequence of at most 2048 tokens."""
+    ship_code(spark)
+    return pack(token_pieces(docs, TOKENIZER, max_tokens=2048), max_tokens=2048).withColumnRenamed("id", "doc_id")
 
 
-STAGES = [("line dedup", line_dedup)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", simhash),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", packing),
+]
 
-#: Stages of this pipeline fit classifiers and pack tokens, which SQL can't express; tests check it by brute force.
+#: The toxicity and packing stages fit a model and run a tokenizer, which SQL can't express; tests check by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = new_path(spark, f"stage-{name.replace(' ', '-')}")
+        path = new_path(spark, "stage-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
