@@ -73,5 +73,49 @@ WITH lines AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE dropped))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op9_warc_revisits": r"""
+WITH page AS (
+  SELECT page_id, url, coalesce(html, '') AS html, TIMESTAMP '2024-01-01' + to_minutes(page_id * 7919 % 100000) AS moment,
+         'day ' || (page_id % 50) AS modified
+  FROM pages
+), capture AS (
+  SELECT page_id, page_id * 2 AS record_id, 0 AS revisit, url, moment, '"' || md5(html) || '"' AS tag,
+         CASE WHEN page_id % 3 <> 0 THEN modified END AS modified, strlen(html)::VARCHAR AS length
+  FROM page WHERE page_id % 9 <> 0
+  UNION ALL
+  SELECT page_id, page_id * 2 + 1, 1, CASE WHEN page_id % 2 = 0 THEN url || '#again'
+                                           ELSE url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=x' END,
+         moment + to_hours(page_id % 5 - 1), CASE WHEN page_id % 4 <> 0 THEN '"' || md5(html) || '"' END,
+         CASE WHEN page_id % 8 = 0 THEN 'another day' WHEN page_id % 4 = 0 THEN modified END, '0'
+  FROM page
+), cut AS (
+  SELECT *, regexp_replace(trim(url), '#.*$', '') AS plain FROM capture
+), parts AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(plain, '^[A-Za-z]+://([^/?]*)', 1)), ':(80|443)?$', ''), '^www\d*\.', '') AS host,
+         regexp_replace(regexp_extract(plain, '^[A-Za-z]+://[^/?]*([^?]*)', 1), '/+$', '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(plain, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(
+           lower(regexp_extract(p, '^[^=]*')), '^(utm_[a-z]+|fbclid|gclid|jsessionid|phpsessid|sid|sessionid)$'))) AS params
+  FROM cut
+), canonical AS (
+  SELECT *, host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS page FROM parts
+), matched AS (
+  SELECT v.page_id, v.record_id, v.moment, v.tag, v.modified, r.record_id AS refers_to, r.tag AS old_tag, r.modified AS old_modified,
+         r.length AS old_length,
+         row_number() OVER (PARTITION BY v.record_id ORDER BY r.moment DESC NULLS LAST, r.record_id DESC) AS n
+  FROM (SELECT * FROM canonical WHERE revisit = 1) v
+  LEFT JOIN (SELECT * FROM canonical WHERE revisit = 0) r ON v.page = r.page AND r.moment < v.moment
+), judged AS (
+  SELECT *, CASE WHEN refers_to IS NULL THEN 'no_response' WHEN tag <> old_tag THEN 'etag_differs' WHEN tag = old_tag THEN 'resolved'
+                 WHEN modified <> old_modified THEN 'modified_later' WHEN modified = old_modified THEN 'resolved'
+                 ELSE 'no_validator' END AS outcome
+  FROM matched WHERE n = 1
+)
+SELECT page_id, record_id, coalesce(refers_to, -1) AS refers_to, outcome,
+       'cache-control=max-age=60; content-length=' || CASE WHEN outcome = 'resolved' THEN old_length || '; content-type=text/html' ELSE '0' END
+       || '; date=' || strftime(moment, '%Y-%m-%d %H:%M:%S')
+       || coalesce('; etag=' || coalesce('W/' || tag, CASE WHEN outcome = 'resolved' THEN old_tag END), '')
+       || coalesce('; last-modified=' || coalesce(modified, CASE WHEN outcome = 'resolved' THEN old_modified END), '') AS headers
+FROM judged
 """,
 }

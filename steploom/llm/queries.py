@@ -19,6 +19,7 @@ from steploom.llm.shared import new_path, ship_code
 from steploom.llm.simhash import near_duplicates
 from steploom.llm.token_files import read_token_files, write_token_files
 from steploom.llm.toxicity import fit_toxicity, learning_rows, toxicity
+from steploom.llm.warc import resolve_revisits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +91,64 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces, max_tokens=2048).withColumnRenamed("id", "doc_id")
 
 
+def page_captures(pages: DataFrame) -> DataFrame:
+    """Two captures of each page: a response (one in nine is not found), and a not-modified revisit around that time.
+
+    Revisits write the address in another way; one in four has no entity tag, and half of these another date.
+    """
+    page, html = F.col("page_id"), F.coalesce("html", F.lit(""))
+    at = F.timestamp_add("MINUTE", page * 7919 % 100000, F.lit("2024-01-01").cast("timestamp"))
+    tag = F.concat(F.lit('"'), F.md5(html), F.lit('"'))
+    modified = F.concat(F.lit("day "), (page % 50).cast("string"))
+    text = lambda time: F.date_format(time, "yyyy-MM-dd HH:mm:ss")
+    given = lambda **fields: F.map_filter(
+        F.create_map(*[x for k, v in fields.items() for x in (F.lit(k.replace("_", "-")), v)]), lambda k, v: v.isNotNull()
+    )
+    response = pages.select(
+        (page * 2).alias("record_id"),
+        F.lit("response").alias("kind"),
+        "url",
+        at.alias("captured"),
+        F.when(page % 9 == 0, 404).otherwise(200).alias("status"),
+        given(
+            ETag=tag,
+            Content_Length=F.octet_length(html).cast("string"),
+            Content_Type=F.lit("text/html"),
+            Date=text(at),
+            Last_Modified=F.when(page % 3 != 0, modified),
+        ).alias("headers"),
+    )
+    again = F.timestamp_add("HOUR", page % 5 - 1, at)
+    joint = F.when(F.contains("url", F.lit("?")), "&").otherwise("?")
+    revisit = pages.select(
+        (page * 2 + 1).alias("record_id"),
+        F.lit("revisit").alias("kind"),
+        F.when(page % 2 == 0, F.concat("url", F.lit("#again"))).otherwise(F.concat("url", joint, F.lit("utm_source=x"))).alias("url"),
+        again.alias("captured"),
+        F.lit(304).alias("status"),
+        given(
+            etag=F.when(page % 4 != 0, F.concat(F.lit("W/"), tag)),
+            content_length=F.lit("0"),
+            cache_control=F.lit("max-age=60"),
+            date=text(again),
+            last_modified=F.when(page % 4 == 0, F.when(page % 8 == 0, F.lit("another day")).otherwise(modified)),
+        ).alias("headers"),
+    )
+    return response.unionAll(revisit)
+
+
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(page_captures(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    fields = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select(
+        ((F.col("record_id") - 1) / 2).cast("long").alias("page_id"),
+        "record_id",
+        F.coalesce("refers_to", F.lit(-1)).alias("refers_to"),
+        "outcome",
+        F.array_join(fields, "; ").alias("headers"),
+    )
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, TOKENIZER)
@@ -113,6 +172,7 @@ _OPERATORS: dict[str, Query] = {
     "op6_language": op6_language,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
+    "op9_warc_revisits": op9_warc_revisits,
     "op10_token_files": op10_token_files,
 }
 
