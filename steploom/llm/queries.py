@@ -13,6 +13,7 @@ from steploom.llm.decontaminate import contamination, is_contaminated
 from steploom.llm.embeddings import near_duplicate_vectors
 from steploom.llm.language import fit_languages, languages
 from steploom.llm.language import learning_rows as language_rows
+from steploom.llm.licences import licences
 from steploom.llm.line_dedup import drop_frequent_lines
 from steploom.llm.packing import pack, token_pieces
 from steploom.llm.shared import new_path, ship_code
@@ -52,6 +53,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.array_join("families", ",").alias("families"), "n_lines", "n_unknown")
+
+
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicate_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.9)
     return found.select(
@@ -167,6 +173,7 @@ def _with_code(query: Query) -> Query:
 _OPERATORS: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
+    "op3_licences": op3_licences,
     "op4_embeddings": op4_embeddings,
     "op5_toxicity": op5_toxicity,
     "op6_language": op6_language,
