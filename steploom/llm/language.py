@@ -110,9 +110,9 @@ class LanguageReader:
             reference = np.concatenate([np.zeros(1, np.uint8), *parts])[:REFERENCE_CHARS]
             reference = reference[reference != _RARE]
             table = suffix_automaton(reference, self.n_symbols)
-            # Where no transition is: the state after a new phrase has begun, marked by its sign.
-            restart = np.where(table[1] > 0, table[1], 1)
-            self.tables.append(np.where(table > 0, table, ~restart[None, :]).astype(np.int32).reshape(-1))
+            # Where no transition is: the state after a new phrase has begun, marked by its sign. From state 0, which
+            # follows a symbol that the sample does not have, every symbol begins a phrase.
+            self.tables.append(np.where(table > 0, table, ~table[1][None, :]).astype(np.int32).reshape(-1))
             self.bits.append(np.log2(max(len(reference), 2)))
 
     def costs(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -134,8 +134,8 @@ class LanguageReader:
         flat = np.concatenate(texts).astype(np.int64)
         active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # blocks longer than each place
         for k, table in enumerate(self.tables):
-            state = np.ones(len(of), dtype=np.int64)
-            phrases = np.ones(len(of), dtype=np.int64)
+            state = np.zeros(len(of), dtype=np.int64)
+            phrases = np.zeros(len(of), dtype=np.int64)
             for j, n in enumerate(active):
                 to = table[state[:n] * self.n_symbols + flat[starts[:n] + j]]
                 new = to >> 31  # -1 where a phrase begins
