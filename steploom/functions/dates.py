@@ -7,7 +7,7 @@ comparing the text with all digits made 0, the others by regular expressions.
 
 from __future__ import annotations
 
-import datetime
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -18,11 +18,12 @@ from steploom.functions.text import BLANKS, nan_to_null, strip
 
 OUTPUT_FORMAT = "dd/MM/yyyy"
 
-# Day zero of spreadsheet serials, and the serials, days and years that can be held.
+# Day zero of spreadsheet serials, and the serials and years that stand for a date of the years 1 to 9999.
 SERIAL_ORIGIN = "1899-12-30"
-FIRST_SERIAL, LAST_SERIAL = -81182.991, 106751.991
-FIRST_DAY, LAST_DAY = "1677-09-22", "2262-04-11"
-YEAR = r"(?:167[7-9]|16[89]\d|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[0-2])"
+FIRST_SERIAL, END_SERIAL = -693593, 2958466
+YEAR = r"(?!0000)\d{4}"
+#: The last year that two digits can mean, unless another is given: 00-75 are 2000-2075, 76-99 are 1976-1999.
+LAST_SHORT_YEAR = 2075
 
 # Month names, of which the first three letters count.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -67,10 +68,9 @@ SLASHES = _shape(r"(\d{0,2})/(\d{0,2})/(\d{0,4})")
 SERIAL = _shape(r"(?!\d{8}\b(?![.]))[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?")
 
 
-def _with_century(year_month_day: Column) -> Column:
-    """A two-digit year becomes the one nearest to this year, within 50 years."""
-    last = datetime.date.today().year + 49
-    century, years = divmod(last, 100)
+def _with_century(year_month_day: Column, last_short_year: int) -> Column:
+    """A two-digit year becomes the latest one with these digits up to ``last_short_year``."""
+    century, years = divmod(last_short_year, 100)
     recent = F.substring(year_month_day, 1, 2) <= f"{years:02d}"
     return F.concat(F.when(recent, str(century)).otherwise(str(century - 1)), year_month_day)
 
@@ -81,44 +81,67 @@ def slash_day(text: Column) -> Column:
     return F.regexp_replace(padded, r"^0*?(\d{4})-0?(\d{2})-0?(\d{2})$", "$1-$2-$3").try_cast("date")
 
 
-def _rewritten(text: Column, shapes: Sequence, short_shapes: Sequence, otherwise: Column) -> Column:
+def _rewritten(
+    text: Column, shapes: Sequence, short_shapes: Sequence, otherwise: Column, last_short_year: int
+) -> Column:
     for shape, rewrite in reversed(short_shapes):
-        rewritten = _with_century(F.regexp_replace(text, shape, rewrite))
+        rewritten = _with_century(F.regexp_replace(text, shape, rewrite), last_short_year)
         otherwise = F.when(text.rlike(shape), rewritten).otherwise(otherwise)
     for shape, rewrite in reversed(shapes):
         otherwise = F.when(text.rlike(shape), F.regexp_replace(text, shape, rewrite)).otherwise(otherwise)
     return otherwise
 
 
-def general_day(text: Column) -> Column:
+def _month(name: Column) -> Column:
+    """The number of a month from its first three letters, by their place in one text; null for other letters."""
+    place = F.instr(F.lit(" ".join(MONTHS)), F.lower(F.substring(name, 1, 3)))
+    return F.when(place % 4 == 1, F.lpad(((place + 3) / 4).cast("int").cast("string"), 2, "0"))
+
+
+NAMED_SHAPES = ("0 aaa 0000", "00 aaa 0000", "0-aaa-0000", "00-aaa-0000")
+
+
+def _usual_named_day(value: Column, shape: Column) -> Column:
+    """Days of the shapes ``d MMM yyyy``, ``dd MMM yyyy`` and the same with ``-``; null for others."""
+    short = shape.isin("0 aaa 0000", "0-aaa-0000")
+    long = shape.isin("00 aaa 0000", "00-aaa-0000")
+    start = F.when(short, 3).when(long, 4)
+    year, name = F.substring(value, start + F.lit(4), F.lit(4)), F.substring(value, start, F.lit(3))
+    day = F.concat(year, F.lit("-"), _month(name), F.lit("-"), F.substring(value, F.lit(1), start - F.lit(2)))
+    return F.when(short | long, day.try_cast("date"))
+
+
+def general_day(text: Column, last_short_year: int = LAST_SHORT_YEAR) -> Column:
     """The date of general date text; null where no shape fits."""
-    named = F.lower(_rewritten(text, NAME_SHAPES, SHORT_NAME_SHAPES, F.lit(None).cast("string")))
+    nothing = F.lit(None).cast("string")
+    named = F.lower(_rewritten(text, NAME_SHAPES, SHORT_NAME_SHAPES, nothing, last_short_year))
     for n, name in enumerate(MONTHS):
         named = F.replace(named, F.lit(name), F.lit(str(n + 1)))
-    numbered = _rewritten(text, NUMBER_SHAPES, SHORT_NUMBER_SHAPES, F.lit(None).cast("string"))
+    numbered = _rewritten(text, NUMBER_SHAPES, SHORT_NUMBER_SHAPES, nothing, last_short_year)
     return F.when(text.rlike(f"(?i){'|'.join(MONTHS)}"), named).otherwise(numbered).try_cast("date")
 
 
 def serial_day(days: Column) -> Column:
     """The date of a spreadsheet day number, fractions allowed; null out of range."""
     return F.when(
-        days.between(FIRST_SERIAL, LAST_SERIAL),
+        (days >= FIRST_SERIAL) & (days < END_SERIAL),
         F.date_add(F.lit(SERIAL_ORIGIN).cast("date"), F.floor(days).cast("int")),
     )
 
 
 def digit_shape(value: Column, dtype: T.DataType) -> Column:
-    """The text with every digit as 0; null for other types."""
+    """The text with every digit as 0 and every ASCII letter as ``a``; null for other types and for long texts."""
     if not isinstance(dtype, T.StringType):
         return F.lit(None).cast("string")
-    return F.translate(value, "123456789", "000000000")
+    letters = string.ascii_letters.replace("a", "")
+    return F.when(F.length(value) <= 12, F.translate(value, "123456789" + letters, "0" * 9 + "a" * len(letters)))
 
 
 def _parts(year: Column, month: Column, day: Column) -> Column:
     return F.concat_ws("-", year, month, day).try_cast("date")
 
 
-def parse_day(value: Column, dtype: T.DataType, shape: Column) -> Column:
+def parse_day(value: Column, dtype: T.DataType, shape: Column, last_short_year: int = LAST_SHORT_YEAR) -> Column:
     """The date meant by any accepted value; null where it cannot be read."""
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return value.cast("date")
@@ -128,15 +151,16 @@ def parse_day(value: Column, dtype: T.DataType, shape: Column) -> Column:
         return F.lit(None).cast("date")
     first, second, year = F.substring(value, 1, 2), F.substring(value, 4, 2), F.substring(value, 7, 4)
     return (
-        F.when(shape == "0000-00-00", F.when(value.between(FIRST_DAY, LAST_DAY), value.try_cast("date")))
+        F.when(shape == "0000-00-00", F.when(value >= "0001", value.try_cast("date")))
         .when(shape == "00/00/0000", _parts(year, second, first))
         .when(
             shape == "00-00-0000",
-            F.when(year.between("1677", "2262"), F.when(first <= "12", _parts(year, first, second)).otherwise(_parts(year, second, first))),
+            F.when(year >= "0001", F.when(first <= "12", _parts(year, first, second)).otherwise(_parts(year, second, first))),
         )
+        .when(shape.isin(*NAMED_SHAPES) & (F.right(value, F.lit(4)) >= "0001"), _usual_named_day(value, shape))
         .when(value.rlike(SLASHES), slash_day(value))
         .when(value.rlike(SERIAL), serial_day(strip(value).try_cast("double")))
-        .otherwise(general_day(value))
+        .otherwise(general_day(value, last_short_year))
     )
 
 
@@ -144,6 +168,6 @@ def day_text(day: Column) -> Column:
     return F.date_format(day, OUTPUT_FORMAT)
 
 
-def date_text(value: Column, dtype: T.DataType) -> Column:
+def date_text(value: Column, dtype: T.DataType, last_short_year: int = LAST_SHORT_YEAR) -> Column:
     """Any accepted date value as ``dd/MM/yyyy``; null where it cannot be read."""
-    return day_text(parse_day(value, dtype, digit_shape(value, dtype)))
+    return day_text(parse_day(value, dtype, digit_shape(value, dtype), last_short_year))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,14 @@ def quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores before it until no taken name is equal to it in any case."""
+    used = {other.lower() for other in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def col(name: str) -> Column:
     return F.col(quote(name))
 

@@ -47,7 +47,7 @@ def _percentage(count: Column, total: Column) -> Column:
 
 def _counts(df: DataFrame, columns: Sequence[str], bands: Sequence[Band]) -> DataFrame:
     """``series, band_order, count`` for all columns in one pass; the keys are small integers."""
-    orders = F.array(*[band_order(col(name), bands) for name in columns])
+    orders = F.array(*[band_order(col(name), bands) for name in columns]).cast("array<int>")
     return (
         df.select(F.posexplode(orders).alias("series", "band_order"))
         .groupBy("series", "band_order")
@@ -55,6 +55,9 @@ def _counts(df: DataFrame, columns: Sequence[str], bands: Sequence[Band]) -> Dat
     )
 
 
+SERIES_KEYS = ("item", "step", "step_name", "segment")
+
+
 def _frame(spark: SparkSession, bands: Sequence[Band], series: Sequence[dict]) -> DataFrame:
     rows = [
         {"series": n, **keys, "band_order": order, "band": label, "configured": order < len(bands)}
@@ -63,7 +66,7 @@ def _frame(spark: SparkSession, bands: Sequence[Band], series: Sequence[dict]) -
     ]
     schema = pa.schema(
         [("series", pa.int32())]
-        + [(name, pa.int32() if name == "step" else pa.string()) for name in series[0]]
+        + [(name, pa.int32() if name == "step" else pa.string()) for name in (series[0] if series else SERIES_KEYS)]
         + [("band_order", pa.int32()), ("band", pa.string()), ("configured", pa.bool_())]
     )
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
@@ -81,7 +84,7 @@ def _filled(df: DataFrame, columns: Sequence[str], bands: Sequence[Band], series
         .withColumn("count", F.coalesce("count", F.lit(0)))
         .withColumn("percentage", _percentage(F.col("count"), total))
         .filter(F.col("configured") | (F.col("count") > 0))
-        .select(*series[0], "band_order", "band", "count", "percentage")
+        .select(*(series[0] if series else SERIES_KEYS), "band_order", "band", "count", "percentage")
     )
 
 
@@ -103,30 +106,40 @@ def _series(step: Step) -> dict:
 def distribution(
     df: DataFrame, comparison: Comparison, bands: Sequence[Band], segments: Sequence[str] = (NB,)
 ) -> DataFrame:
-    """Zero-filled distribution of every item, step and segment, counted in one pass and one shuffle."""
+    """Zero-filled distribution of every item, step and segment, counted in one pass and one shuffle.
+
+    Without any step (items of a single stage) it has no rows.
+    """
     steps = comparison.all_steps(segments)
     return _filled(df, [step.percent_column for step in steps], bands, [_series(step) for step in steps])
 
 
 def distribution_renewal(df: DataFrame, comparison: Comparison, bands: Sequence[Band]) -> DataFrame:
-    """New-business and renewal distribution side by side for the steps that have both."""
-    both = {(step.item, step.number) for step in comparison.all_steps((RN,))}
-    steps = [step for step in comparison.all_steps((NB, RN)) if (step.item, step.number) in both]
-    long = _filled(df, [step.percent_column for step in steps], bands, [_series(step) for step in steps])
+    """New-business and renewal distribution side by side, for every new-business step.
+
+    Renewal count and percentage are null for steps without a renewal version, 0 for bands that are empty there.
+    """
+    steps = comparison.all_steps((NB, RN))
+    renewed = {(step.item, step.number) for step in comparison.all_steps((RN,))}
+    series = [{**_series(step), "renewed": str((step.item, step.number) in renewed)} for step in steps]
+    long = _filled(df, [step.percent_column for step in steps], bands, series)
+    if not series:
+        long = long.withColumn("renewed", F.lit(None).cast("string"))
     paired = (
-        long.groupBy("item", "step", "step_name", "band_order", "band")
+        long.groupBy("item", "step", "step_name", "renewed", "band_order", "band")
         .pivot("segment", [NB, RN])
         .agg(F.first("count").alias("count"), F.first("percentage").alias("percentage"))
     )
+
+    def metric(segment: str, name: str) -> Column:
+        value = F.coalesce(f"{segment}_{name}", F.lit(0))
+        return F.when(F.col("renewed") == "True", value) if segment == RN else value
+
     return paired.select(
         "item",
         "step",
         "step_name",
         "band_order",
         "band",
-        *[
-            F.coalesce(f"{segment}_{metric}", F.lit(0)).alias(f"{segment.lower()}_{metric}")
-            for segment in (NB, RN)
-            for metric in ("count", "percentage")
-        ],
+        *[metric(s, m).alias(f"{s.lower()}_{m}") for s in (NB, RN) for m in ("count", "percentage")],
     )

@@ -31,14 +31,19 @@ def resolve_columns(df: DataFrame, wanted: Iterable[str]) -> DataFrame:
     return df.select([col(found[name]).alias(name) for name in names])
 
 
-def check_required(df: DataFrame, rules: Iterable[ColumnRule]) -> DataFrame:
-    """The input unchanged, or an error naming every missing required source column."""
-    missing = [
+def missing_required(df: DataFrame, rules: Iterable[ColumnRule]) -> list[str]:
+    """Required source columns that the table does not have, in rule order."""
+    return [
         rule.source
         for target in targets(rules)
         for rule in target.rules
         if not rule.optional and find_column(rule.source, df.columns) is None
     ]
+
+
+def check_required(df: DataFrame, rules: Iterable[ColumnRule]) -> DataFrame:
+    """The input unchanged, or an error naming every missing required source column."""
+    missing = missing_required(df, rules)
     if missing:
         raise SpecError(f"required columns not found: {', '.join(missing)}")
     return df

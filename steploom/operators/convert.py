@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steploom.functions.text import col, display_text, nan_to_null, strip
+from steploom.functions.text import col, display_text, free_name, nan_to_null, strip
 from steploom.functions.typed import OPTIONAL, REQUIRED, Conversion
 from steploom.operators.columns import check_required, find_column
 from steploom.operators.lists import explode_lists, flags_to_list, flags_to_names, list_to_string
@@ -32,11 +32,19 @@ def value_map_frame(spark: SparkSession, value_map: Mapping[str, str]) -> DataFr
     )
 
 
-def map_values(df: DataFrame, column: str, value_map: Mapping[str, str], into: str | None = None) -> DataFrame:
+#: Value maps of up to so many bytes are broadcast, whatever the session's threshold.
+BROADCAST_BYTES = 8 << 20
+#: Beyond it the values of a larger map are joined over so many salts, so that a hot value is spread.
+SALTS = 16
+
+
+def map_values(
+    df: DataFrame, column: str, value_map: Mapping[str, str], into: str | None = None, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Replace values whose trimmed text is in the map; others pass through.
 
-    The join is left without a hint: Spark broadcasts the map when its size is below
-    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
+    A map of at most ``broadcast_bytes`` is broadcast, so the table is not shuffled. The rows of a larger map are
+    repeated for each salt, and equal values of the table are dealt over the salts; nulls pass by the join.
     """
     found = find_column(column, df.columns)
     if found is None:
@@ -44,11 +52,18 @@ def map_values(df: DataFrame, column: str, value_map: Mapping[str, str], into: s
     into = into or found
     dtype = df.schema[found].dataType
     text = display_text(col(found), dtype)
-    lookup = value_map_frame(df.sparkSession, value_map).select(
-        F.col("from").alias("_from"), F.col("to").alias("_to")
-    )
-    joined = df.join(lookup, strip(text) == F.col("_from"), "left")
-    return joined.withColumn(into, F.coalesce(F.col("_to"), text)).drop("_from", "_to")
+    old, new, salt, row = (free_name(name, [*df.columns, into]) for name in ("_from", "_to", "_salt", "_text"))
+    lookup = value_map_frame(df.sparkSession, value_map).select(F.col("from").alias(old), F.col("to").alias(new))
+    size = sum(len(str(a).encode()) + len(str(b).encode()) for a, b in value_map.items())
+    if size <= broadcast_bytes:
+        joined = df.join(F.broadcast(lookup), strip(text) == F.col(old), "left")
+        return joined.withColumn(into, F.coalesce(F.col(new), text)).drop(old, new)
+    salted = lookup.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = df.withColumn(row, text)
+    present = keyed.filter(F.col(row).isNotNull()).withColumn(salt, F.pmod(F.xxhash64("*"), F.lit(SALTS)).cast("int"))
+    met = present.join(salted, (strip(F.col(row)) == F.col(old)) & (present[salt] == salted[salt]), "left").drop(salt)
+    mapped = met.withColumn(into, F.coalesce(F.col(new), F.col(row))).drop(old, new, row)
+    return mapped.unionByName(keyed.filter(F.col(row).isNull()).withColumn(into, F.col(row)).drop(row))
 
 
 def _with_value_maps(
@@ -62,7 +77,7 @@ def _with_value_maps(
         found = find_column(rule.source, headers)
         if target.is_list or rule.optional or found is None or not (value_maps or {}).get(rule.source):
             continue
-        mapped[rule.source] = f"_mapped_{n}"
+        mapped[rule.source] = free_name(f"_mapped_{n}", df.columns)
         df = map_values(df, found, value_maps[rule.source], into=mapped[rule.source])
     return df, mapped
 
@@ -114,13 +129,17 @@ def _with_typed(
             kind = (OPTIONAL if rule.optional else REQUIRED)[rule.data_type]
             pending.append((n, target, *_source(df, mapped.get(rule.source, found)), kind))
 
+    prefix = "_step"
+    while any(name.lower().startswith(f"{prefix}_") for name in df.columns):
+        prefix = "_" + prefix
+
     def done(n: int, count: int) -> list[Column]:
-        return [F.col(f"_step_{n}_{k}") for k in range(count)]
+        return [F.col(f"{prefix}_{n}_{k}") for k in range(count)]
 
     for k in range(max((len(kind.steps) for *_, kind in pending), default=0)):
         df = df.withColumns(
             {
-                f"_step_{n}_{k}": kind.steps[k](value, dtype, *done(n, k))
+                f"{prefix}_{n}_{k}": kind.steps[k](value, dtype, *done(n, k))
                 for n, _, value, dtype, kind in pending
                 if k < len(kind.steps)
             }
@@ -195,7 +214,11 @@ def convert(
     list_style: str = VALUES,
     on_error: str = RAISE,
 ) -> DataFrame:
-    """The converted table, with lists exploded into rows, joined by ``;``, or kept as arrays."""
+    """The converted table, with lists exploded into rows, joined by ``;``, or kept as arrays.
+
+    The check of ``on_error="raise"`` is part of each value: it does not run for columns that are not read later. To
+    be strict about all columns, write the table or call :func:`check_conversion`.
+    """
     rules = list(rules)
     typed_df = convert_columns(df, rules, value_maps, list_style=list_style, on_error=on_error)
     list_targets = [target.name for target in targets(rules) if target.is_list]
@@ -213,31 +236,49 @@ def conversion_errors(
 ) -> DataFrame:
     """Every unacceptable value as ``id, column, type, value, reason``; one pass, no shuffle.
 
+    Values of list sources that are not of the list's type, and so are left out of it, are reported too.
+
     ``id`` is the text of the first rule's source column.
     """
     rules = list(rules)
     check_required(df, rules)
     id_column = find_column(targets(rules)[0].rules[0].source, df.columns)
     id_text = F.lit(None).cast("string") if id_column is None else display_text(*_source(df, id_column))
+    headers = df.columns
     df, found = _with_typed(df, rules, value_maps)
-    if not found:
-        raise SpecError("no single-source columns to check")
     entries = [
-        F.struct(
-            F.lit(entry.rule.source).alias("column"),
-            F.lit(entry.rule.data_type).alias("type"),
-            entry.text.alias("value"),
-            entry.conversion.problem.alias("reason"),
-        )
-        for entry in found
-    ]
+        _problem(entry.rule, entry.text, entry.conversion.problem) for entry in found
+    ] + _dropped_from_lists(df, headers, rules)
+    problems = F.array(*entries) if entries else F.array().cast("array<struct<column:string,type:string,value:string,reason:string>>")
     return (
-        df.select(id_text.alias("id"), F.explode(F.array(*entries)).alias("_entry"))
+        df.select(id_text.alias("id"), F.explode(problems).alias("_entry"))
         .select("id", "_entry.*")
         .filter(F.col("reason").isNotNull())
     )
 
 
+def _problem(rule: ColumnRule, text: Column, reason: Column) -> Column:
+    return F.struct(
+        F.lit(rule.source).alias("column"), F.lit(rule.data_type).alias("type"), text.alias("value"), reason.alias("reason")
+    )
+
+
+def _dropped_from_lists(df: DataFrame, headers: list[str], rules: list[ColumnRule]) -> list[Column]:
+    """Values of list sources that are present but not of the type, and so not in the list."""
+    entries = []
+    for target in targets(rules):
+        for rule in target.rules if target.is_list else ():
+            found = find_column(rule.source, headers)
+            if found is None:
+                continue
+            value, dtype = _source(df, found)
+            present = nan_to_null(value, dtype)
+            text = display_text(present, dtype)
+            lost = present.isNotNull() & (strip(text) != "") & (F.size(flags_to_list([(rule.source, value, dtype)], target.data_type)) == 0)
+            entries.append(_problem(rule, text, F.when(lost, "not in the list: not of the type")))
+    return entries
+
+
 def check_conversion(
     df: DataFrame, rules: Iterable[ColumnRule], value_maps: ValueMaps | None = None
 ) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steploom.functions.text import col
+from steploom.functions.text import col, free_name
 from steploom.functions.typed import list_elements, parse_float
 from steploom.specs import SpecError
 
@@ -53,14 +53,15 @@ def explode_lists(df: DataFrame, id_column: str, list_columns: Sequence[str]) ->
     if not list_columns:
         return df
     lists = {name: F.coalesce(col(name), empty_list()) for name in list_columns}
+    position = free_name("_position", df.columns)
     last = F.greatest(F.lit(0), *[F.size(items) - 1 for items in lists.values()])
-    exploded = df.select("*", F.explode(F.sequence(F.lit(0), last)).alias("_position"))
+    exploded = df.select("*", F.explode(F.sequence(F.lit(0), last)).alias(position))
 
     def output(name: str) -> Column:
         if name in lists:
-            return F.coalesce(F.get(lists[name], F.col("_position")), F.lit(""))
+            return F.coalesce(F.get(lists[name], F.col(position)), F.lit(""))
         if name == id_column:
             return col(name)
-        return F.when(F.col("_position") == 0, col(name))
+        return F.when(F.col(position) == 0, col(name))
 
     return exploded.select([output(name).alias(name) for name in df.columns])

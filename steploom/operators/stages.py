@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steploom.functions.text import col, is_blank, nan_to_null, quote
+from steploom.functions.text import col, free_name, is_blank, nan_to_null, quote
 from steploom.specs import Comparison, SpecError
 
 OrderBy = Sequence[str | Column]
@@ -42,7 +42,8 @@ def first_row_per_id(df: DataFrame, id_column: str, order_by: OrderBy) -> DataFr
     """
     _require(df, [id_column], "table")
     window = Window.partitionBy(quote(id_column)).orderBy(*_full_order(df, id_column, order_by))
-    return df.withColumn("_row", F.row_number().over(window)).filter(F.col("_row") == 1).drop("_row")
+    row = free_name("_row", df.columns)
+    return df.withColumn(row, F.row_number().over(window)).filter(F.col(row) == 1).drop(row)
 
 
 def _number(value: Column, dtype: T.DataType) -> Column:
@@ -114,42 +115,65 @@ def blank_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+# What stands for a missing ID beside the column that tells whether it is missing.
+def _no_id(dtype: T.DataType) -> Column:
+    if isinstance(dtype, (T.NumericType, T.StringType)):
+        return F.lit("0" if isinstance(dtype, T.NumericType) else "").cast(dtype)
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit("2000-01-01").cast(dtype)
+    if isinstance(dtype, T.BooleanType):
+        return F.lit(False)
+    if isinstance(dtype, T.BinaryType):
+        return F.lit(b"")
+    raise SpecError(f"an ID of type {dtype.simpleString()} cannot be null; state ids_not_null=True")
+
+
 def merge_stages(
     tables: Mapping[str, DataFrame],
     comparison: Comparison,
     order_by: OrderBy | Mapping[str, OrderBy],
     keep: Sequence[str] | None = None,
+    ids_not_null: bool = False,
 ) -> DataFrame:
     """One row per ID that is in every table, with all stage columns.
 
-    Each table is reduced to its first row per ID and joined once, whatever the number of items
-    and stages it serves. Window and joins share one hash partitioning on the plain ID, so a table
-    is shuffled once, and not at all when it is bucketed by the ID. Null IDs match each other; after
-    the reduction they are one row per table, joined apart so that the main join can use ``==``.
+    Each table is reduced to its first row per ID and joined once, whatever the number of items and stages it serves, with
+    one scan and one shuffle. Null IDs match each other: window and joins go by two plain columns, the ID or a
+    default of its type, and whether it is null. With ``ids_not_null=True`` they go by the ID alone, and a table that is
+    bucketed by the ID is not shuffled at all; rows of null ID are then left out.
     """
     missing = [name for name in comparison.tables if name not in tables]
     if missing:
         raise SpecError(f"no table given for {', '.join(missing)}")
     id_column = comparison.id_column
+    base = tables[comparison.base_table]
+    _require(base, [id_column], f"table {comparison.base_table!r}")
+    dtype = base.schema[id_column].dataType
+    taken = [*(name for df in tables.values() for name in df.columns), *(name for _, _, name in comparison.stage_columns)]
+    key, no_id, row = (free_name(name, taken) for name in ("_key", "_key_null", "_row"))
+    on = [id_column] if ids_not_null else [key, no_id]
 
     def prepared(table: str) -> DataFrame:
         order = _order_for(order_by, table)
-        first = first_row_per_id(_narrowed(tables[table], comparison, table, order, keep), id_column, order)
-        return stage_columns(first, comparison, table, keep)
-
-    def join_null_safe(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.withColumnRenamed(id_column, "_id")
-        # One row by construction: the first row of a single ID.
-        return left.join(F.broadcast(right), col(id_column).eqNullSafe(F.col("_id")), "inner").drop("_id")
-
-    # Both filters are on the window's partition key, so they reach the scans.
-    parts = [prepared(table) for table in comparison.tables]
-    with_id = reduce(
-        lambda left, right: left.join(right, id_column, "inner"),
-        [part.filter(col(id_column).isNotNull()) for part in parts],
-    )
-    without_id = reduce(join_null_safe, [part.filter(col(id_column).isNull()) for part in parts])
-    merged = with_id.unionByName(without_id)
+        narrow = _narrowed(tables[table], comparison, table, order, keep)
+        if ids_not_null:
+            first = first_row_per_id(narrow.filter(col(id_column).isNotNull()), id_column, order)
+            return stage_columns(first, comparison, table, keep)
+        keyed = narrow.select(
+            "*", F.coalesce(col(id_column).cast(dtype), _no_id(dtype)).alias(key), col(id_column).isNull().alias(no_id)
+        )
+        window = Window.partitionBy(key, no_id).orderBy(*_full_order(narrow, id_column, order))
+        first = keyed.withColumn(row, F.row_number().over(window)).filter(F.col(row) == 1).drop(row)
+        if table == comparison.base_table:
+            return stage_columns(first, comparison, table, None if keep is None else [*keep, key, no_id])
+        types = first.schema
+        wanted = [(source, name) for owner, source, name in comparison.stage_columns if owner == table]
+        return first.select(key, no_id, *[_number(col(source), types[source].dataType).alias(name) for source, name in wanted])
+
+    merged = reduce(lambda left, right: left.join(right, on, "inner"), [prepared(table) for table in comparison.tables])
+    if not ids_not_null:
+        merged = merged.drop(*on)
     ordered = [name for _, _, name in comparison.stage_columns]
     others = [name for name in merged.columns if name not in set(ordered)]
     return blank_to_null(merged.select([quote(name) for name in others + ordered]))
+

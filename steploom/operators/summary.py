@@ -6,7 +6,6 @@ doubles depend on row order in the last digits: pass decimal stage columns for e
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -17,13 +16,9 @@ from pyspark.sql import types as T
 from steploom.functions.text import col
 from steploom.specs import NB, RN, Comparison, SpecError
 
-MAX_DIMENSIONS = 3
 FINAL = "Final"
 DETAIL, GRAND_TOTAL = "detail", "grand_total"
 
-log = logging.getLogger(__name__)
-
-
 def _sum(name: str) -> Column:
     """Sum that skips nulls; 0 for an all-null column."""
     return F.coalesce(F.sum(col(name)), F.lit(0))
@@ -141,13 +136,10 @@ def item_stage_pivot_rn(df: DataFrame, comparison: Comparison) -> DataFrame:
 
 
 def _dimensions(df: DataFrame, dimensions: Sequence[str]) -> list[str]:
-    known = [name for name in dimensions[:MAX_DIMENSIONS] if name in df.columns]
-    left_out = [name for name in dimensions if name not in known]
-    if left_out:
-        log.warning("breakdown columns left out (unknown, or beyond %s): %s", MAX_DIMENSIONS, left_out)
-    if not known:
-        raise SpecError("no breakdown column is in the table")
-    return known
+    unknown = [name for name in dimensions if name not in df.columns]
+    if unknown or not dimensions:
+        raise SpecError(f"breakdown columns not found: {', '.join(unknown)}" if unknown else "no breakdown column given")
+    return list(dict.fromkeys(dimensions))
 
 
 def _sums(df: DataFrame, comparison: Comparison, dimensions: Sequence[str]) -> DataFrame:
@@ -180,11 +172,12 @@ def _per_item(sums: DataFrame, comparison: Comparison, keys: Sequence[str]) -> D
     return sums.select(*[col(name) for name in keys], F.inline(F.array(*entries)))
 
 
+# Column names of the result.
 _MEASURES = ("value_total_start", "value_total_end", "policy_count", "value_diff", "value_diff_percent")
 
 
 def breakdown(df: DataFrame, comparison: Comparison, dimensions: Sequence[str]) -> DataFrame:
-    """First and last total, row count and change per item and group of one to three columns.
+    """First and last total, row count and change per item and group of any number of columns.
 
     Null is a group of its own. Sorted by item and dimensions, nulls last.
     """

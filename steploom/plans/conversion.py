@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,10 +23,15 @@ def run_conversion(
     list_style: str = VALUES,
     on_error: str = RAISE,
     file_type: str = CSV,
+    read: Callable[[SparkSession, str], DataFrame] = scan_table,
 ) -> DataFrame:
-    """Convert a stored table in one job; returns the (lazy) converted table."""
+    """Convert a stored table in one job; returns the (lazy) converted table.
+
+    ``read`` opens the input, for instance ``functools.partial(scan_csv, delimiter=";", multi_line=True)``. A value that
+    stops the job leaves an earlier output as it was.
+    """
     converted = convert(
-        scan_table(spark, input_path),
+        read(spark, input_path),
         rules,
         value_maps,
         list_format=list_format,

@@ -38,10 +38,16 @@ def scan_csv(spark: SparkSession, path: str, delimiter: str = ",", multi_line: b
 
 
 def scan_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table by the ending of its path: ``.csv`` as text, anything else as parquet."""
-    if path.lower().endswith((".xlsx", ".xls")):
+    """A table by the ending of its path: ``.csv`` (also compressed) and ``.tsv`` as text, ``.parquet`` or none as parquet."""
+    name = path.rstrip("/").rpartition("/")[2].lower()
+    if name.endswith((".xlsx", ".xls")):
         raise SpecError(f"workbooks are not read; save {path} as CSV or parquet")
-    return scan_csv(spark, path) if path.lower().endswith(".csv") else spark.read.parquet(path)
+    plain = name.removesuffix(".gz").removesuffix(".bz2")
+    if plain.endswith((".csv", ".tsv")):
+        return scan_csv(spark, path, "," if plain.endswith(".csv") else "\t")
+    if "." in name and not name.endswith(".parquet"):
+        raise SpecError(f"no reader for {path}: endings are .csv, .tsv and .parquet; pass a reader of your own")
+    return spark.read.parquet(path)
 
 
 def scan_stages(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,22 +19,44 @@ from steploom.specs import NB, Band, Comparison, SpecError
 CSV, PARQUET = "csv", "parquet"
 
 
+def _replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Write to a folder beside ``path`` and put it in its place when the job has succeeded.
+
+    Until then an earlier output stays readable; it is removed only after the new one stands there.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    draft, old = (target.suffix(f"-{kind}-{uuid.uuid4().hex}") for kind in ("draft", "old"))
+    try:
+        write(draft.toString())
+    except BaseException:
+        files.delete(draft, True)
+        raise
+    replaced = files.exists(target) and files.rename(target, old)
+    if not files.rename(draft, target):
+        if replaced:
+            files.rename(old, target)
+        raise OSError(f"cannot move the written table to {path}")
+    if replaced:
+        files.delete(old, True)
+
+
 def write_table(df: DataFrame, path: str, file_type: str = CSV) -> None:
+    """Write to ``path``, replacing an earlier table there only after success."""
     if file_type == PARQUET:
-        df.write.mode("overwrite").parquet(path)
+        _replace(df.sparkSession, path, lambda draft: df.write.parquet(draft))
     elif file_type == CSV:
         arrays = {f.name: list_to_string(col(f.name)) for f in df.schema if isinstance(f.dataType, T.ArrayType)}
-        (
+        writer = (
             df.withColumns(arrays)
-            .write.mode("overwrite")
-            .option("header", True)
+            .write.option("header", True)
             .option("quote", '"')
             .option("escape", '"')
             .option("emptyValue", "")
             .option("ignoreLeadingWhiteSpace", False)
             .option("ignoreTrailingWhiteSpace", False)
-            .csv(path)
         )
+        _replace(df.sparkSession, path, lambda draft: writer.csv(draft))
     else:
         raise SpecError(f"file type must be {CSV} or {PARQUET}, not {file_type!r}")
 
@@ -63,21 +85,18 @@ def sink_impact(
 ) -> dict[str, str]:
     """Write merged rows, item-by-stage totals and band distribution; returns their paths.
 
-    As parquet, the two small tables are computed from the merged rows just written, reading only
-    the columns they need. As CSV the merged rows would lose their types, so they are persisted.
+    The merged rows are computed once, as parquet; all else reads that. For CSV it stands beside the other
+    tables, as ``merged_rows``: CSV would lose the types of the stage columns.
     """
     paths = {name: f"{folder}/{name}" for name in ("merged_data", "summary_table", "band_distribution")}
-    source = df if file_type == PARQUET else df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    rows = paths["merged_data"] if file_type == PARQUET else f"{folder}/merged_rows"
+    write_table(df, rows, PARQUET)
+    source = df.sparkSession.read.parquet(rows)
+    if file_type != PARQUET:
         write_table(source, paths["merged_data"], file_type)
-        if file_type == PARQUET:
-            source = df.sparkSession.read.parquet(paths["merged_data"])
-        totals = item_stage_pivot(source, comparison).withColumnRenamed("item", "Item")
-        write_table(totals, paths["summary_table"], file_type)
-        write_table(band_table(source, comparison, bands), paths["band_distribution"], file_type)
-    finally:
-        if file_type != PARQUET:
-            source.unpersist()
+    totals = item_stage_pivot(source, comparison).withColumnRenamed("item", "Item")
+    write_table(totals, paths["summary_table"], file_type)
+    write_table(band_table(source, comparison, bands), paths["band_distribution"], file_type)
     return paths
 
 

@@ -188,6 +188,11 @@ class Comparison:
         self._stages = {
             item: [rules_of[stage] for stage in sorted(rules_of)] for item, rules_of in by_item.items()
         }
+        for item, stages in self._stages.items():
+            names = [rule.stage_name for rule in stages]
+            repeated = sorted({name for name in names if names.count(name) > 1})
+            if repeated:  # reports have a column or cell for each name
+                raise SpecError(f"item {item!r} has more than one stage named {', '.join(map(repr, repeated))}")
 
     @property
     def items(self) -> list[str]:

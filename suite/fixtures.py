@@ -66,7 +66,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder for written results: in the shared folder the cluster names, else local (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return os.path.join(shared, f"written-{uuid.uuid4().hex}") if shared else tempfile.mkdtemp(prefix="steploom-")
+    if shared:
+        return os.path.join(shared, f"written-{uuid.uuid4().hex}")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="steploom-")
 
 
 def note(priority: Column) -> Column:

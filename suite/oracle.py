@@ -194,9 +194,12 @@ SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS code,
        CASE WHEN c_nationkey NOT IN (3, 4) THEN c_mktsegment END AS segment,
        c_name || ', "x"' AS name, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS balance FROM customer""",
     "scan_stages": f"""{STAGES}
-SELECT 'stage_1' AS stage_table, count(*) AS row_count, CAST(sum(price_list) AS DOUBLE) AS total FROM stage_1
-UNION ALL SELECT 'stage_2', count(*), CAST(sum(price_discounted) AS DOUBLE) FROM stage_2
-UNION ALL SELECT 'stage_3', count(*), CAST(sum(price_taxed) AS DOUBLE) FROM stage_3""",
+SELECT 'stage_1' AS stage_table, 'price_list' AS source, count(*) AS row_count, CAST(sum(price_list) AS DOUBLE) AS total FROM stage_1
+UNION ALL SELECT 'stage_2' AS stage_table, 'price_discounted' AS source, count(*) AS row_count, CAST(sum(price_discounted) AS DOUBLE) AS total FROM stage_2
+UNION ALL SELECT 'stage_3' AS stage_table, 'price_taxed' AS source, count(*) AS row_count, CAST(sum(price_taxed) AS DOUBLE) AS total FROM stage_3
+UNION ALL SELECT 'stage_1' AS stage_table, 'rate_discount' AS source, count(*) AS row_count, CAST(sum(rate_discount) AS DOUBLE) AS total FROM stage_1
+UNION ALL SELECT 'stage_2' AS stage_table, 'rate_tax' AS source, count(*) AS row_count, CAST(sum(rate_tax) AS DOUBLE) AS total FROM stage_2
+UNION ALL SELECT 'stage_3' AS stage_table, 'rate_both' AS source, count(*) AS row_count, CAST(sum(rate_both) AS DOUBLE) AS total FROM stage_3""",
     "sink_converted": f"""
 SELECT CAST(c_custkey AS VARCHAR) AS "ID", segment AS "SEGMENT", CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS "BALANCE",
        c_name AS "NAME", CAST(c_nationkey AS VARCHAR) AS "NATION" FROM (SELECT {_CONVERTED_CUSTOMER} FROM customer)""",
@@ -209,13 +212,30 @@ totals AS ({'''
   UNION ALL SELECT 'Rate/Discounted', CAST(sum("Rate_2") AS DOUBLE) FROM merged
   UNION ALL SELECT 'Rate/Taxed', CAST(sum("Rate_3") AS DOUBLE) FROM merged'''})
 SELECT 'merged_data' AS output, 'rows' AS part, CAST(count(*) AS DOUBLE) AS value FROM merged
+UNION ALL SELECT 'merged_data', column_name, total FROM (UNPIVOT (
+  SELECT CAST(sum("Net_1") AS DOUBLE) AS "Net_1", CAST(sum("Net_2") AS DOUBLE) AS "Net_2", CAST(sum("Net_3") AS DOUBLE) AS "Net_3",
+         CAST(sum("Rate_1") AS DOUBLE) AS "Rate_1", CAST(sum("Rate_2") AS DOUBLE) AS "Rate_2", CAST(sum("Rate_3") AS DOUBLE) AS "Rate_3"
+  FROM merged) ON COLUMNS(*) INTO NAME column_name VALUE total)
 UNION ALL SELECT 'summary_table', part, value FROM totals
 UNION ALL SELECT 'band_distribution', concat_ws('/', item, step, step_name, segment, band, count), percentage FROM dist""",
     "sink_filtered": f"""{DIFFS}
 SELECT l_orderkey, note, CAST("Net_1" AS DOUBLE) AS "Net_1", CAST("Net_2" AS DOUBLE) AS "Net_2", "percent_diff_Net_step_1"
 FROM diffs WHERE "percent_diff_Net_step_1" BETWEEN -0.055 AND -0.015""",
     "resolve_columns": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
-    "check_required": "SELECT c_mktsegment, count(*) AS customers FROM customer GROUP BY c_mktsegment",
+    "check_required": """
+WITH headers AS (
+  SELECT table_name, lower(column_name) AS header FROM information_schema.columns WHERE table_name IN ('customer', 'supplier', 'part')
+), required(rule_set, source, place) AS (
+  VALUES ('customer_rules', 'C CUSTKEY', 1), ('customer_rules', 'c_mktsegment', 2), ('customer_rules', 'c_acctbal', 3),
+         ('part_rules', 'p_partkey', 1), ('part_rules', 'p_retailprice', 2)
+), sizes AS (
+  SELECT 'customer' AS table_name, count(*) AS row_count FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier
+  UNION ALL SELECT 'part', count(*) FROM part
+)
+SELECT table_name, rule_set, row_count,
+       coalesce(string_agg(source, ',' ORDER BY place) FILTER (WHERE NOT EXISTS (
+         SELECT 1 FROM headers h WHERE h.table_name = sizes.table_name AND replace(h.header, '_', ' ') = replace(lower(source), '_', ' '))), '') AS missing
+FROM sizes CROSS JOIN required GROUP BY table_name, rule_set, row_count""",
     "project_mapped": """
 SELECT c_custkey AS "ID", c_mktsegment AS "SEGMENT", c_acctbal AS "BALANCE", c_name AS "NAME", c_nationkey AS "NATION" FROM customer""",
     "stage_columns": f"""{STAGES}
@@ -248,8 +268,8 @@ SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN x = trunc(x) THEN CAST(x A
        CASE WHEN x <> trunc(x) THEN 'not a whole number' END AS problem FROM parsed""",
     "decima_optional": f"{_NUMBERS} SELECT l_orderkey, l_linenumber, l_partkey, x AS value FROM parsed",
     "date_optional": f"""
-SELECT {_ID}, CASE WHEN l_orderkey % 6 < 4 THEN {_SHIP} END AS value,
-       CASE WHEN l_orderkey % 6 = 4 THEN 'not a date' END AS problem FROM lineitem""",
+SELECT {_ID}, CASE WHEN l_orderkey % 6 < 4 THEN {_SHIP} WHEN l_orderkey % 12 = 4 THEN '31/12/9999' END AS value,
+       CASE WHEN l_orderkey % 12 = 10 THEN 'not a date' END AS problem FROM lineitem""",
     "map_values": f"""{_CODES},
 value_map AS (SELECT * FROM (VALUES ('AUTOMOBILE', 'AUTO'), ('MACHINERY', 'MACHINE'), ('furniture', 'CHAIRS')) AS m(old, new))
 SELECT c_custkey, coalesce(new, code) AS code FROM codes LEFT JOIN value_map ON trim(code, {_WS}) = old""",
@@ -264,7 +284,8 @@ FROM part WHERE NOT regexp_full_match(trim(p_type), '[A-Z0-9 ]*') OR length(trim
 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'p_name', 'INTEGE', p_name, 'not a number'
 FROM part WHERE TRY_CAST(p_name AS DOUBLE) IS NULL
 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'price', 'INTEGE', CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR), 'not a whole number'
-FROM part WHERE p_retailprice <> trunc(p_retailprice)""",
+FROM part WHERE p_retailprice <> trunc(p_retailprice)
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'flag_text', 'INTEGE', p_brand, 'not in the list: not of the type' FROM part WHERE p_brand IS NOT NULL""",
     "flags_to_list": f"""{_PARTS}
 SELECT "PART", CAST(len(price_values) AS INTEGER) AS n, CAST(price_values[1] AS VARCHAR) AS first_item,
        array_to_string(price_values, '|') AS items FROM arrays""",
@@ -311,11 +332,12 @@ SELECT l_orderkey, {_band('"percent_diff_Net_step_1"')} AS net_band, {_band('"pe
     "band_zero_fill": _distribution((("Rate", ""),)) + f" SELECT band_order, band, count, percentage FROM dist WHERE {_RATE_1}",
     "distribution_all": _distribution((("Net", ""), ("Rate", "")))
     + " SELECT item, step, step_name, segment, band_order, band, count, percentage FROM dist",
-    "distribution_renewal": _distribution((("Net", ""), ("Net", "_rn")))
+    "distribution_renewal": _distribution((("Net", ""), ("Net", "_rn"), ("Rate", "")))
     + """
 SELECT item, step, step_name, band_order, band,
        coalesce(max(count) FILTER (segment = 'NB'), 0) AS nb_count, coalesce(max(percentage) FILTER (segment = 'NB'), 0) AS nb_percentage,
-       coalesce(max(count) FILTER (segment = 'RN'), 0) AS rn_count, coalesce(max(percentage) FILTER (segment = 'RN'), 0) AS rn_percentage
+       CAST(CASE WHEN item = 'Net' THEN coalesce(max(count) FILTER (segment = 'RN'), 0) END AS DOUBLE) AS rn_count,
+       CASE WHEN item = 'Net' THEN coalesce(max(percentage) FILTER (segment = 'RN'), 0) END AS rn_percentage
 FROM dist GROUP BY item, step, step_name, band_order, band""",
     "stage_totals": f"""{MERGED}
 SELECT CAST(coalesce(sum("Net_1"), 0) AS DOUBLE) AS "Net_1", CAST(coalesce(sum("Net_2"), 0) AS DOUBLE) AS "Net_2",
@@ -330,12 +352,12 @@ SELECT item, max(value_total) FILTER (stage_idx = 0) AS "List", max(value_total)
 SELECT 'Net' AS item, CAST(sum("Net_1_rn") AS DOUBLE) AS "List", CAST(sum("Net_2_rn") AS DOUBLE) AS "Discounted",
        CAST(sum("Net_3_rn") AS DOUBLE) AS "Taxed" FROM merged
 UNION ALL SELECT 'Rate', 0, 0, 0""",
-    "breakdown": _grouped("c_mktsegment, note", "c_mktsegment, note"),
+    "breakdown": _grouped("c_mktsegment, note, l_returnflag, n_name", "c_mktsegment, note, l_returnflag, n_name"),
     "breakdown_rollup": _grouped(
-        "c_mktsegment, note, n_name",
-        "ROLLUP (c_mktsegment, note, n_name)",
-        "CASE grouping_id(c_mktsegment, note, n_name) WHEN 0 THEN 'detail' WHEN 1 THEN 'subtotal_2' "
-        "WHEN 3 THEN 'subtotal_1' ELSE 'grand_total' END AS level,",
+        "c_mktsegment, note, l_returnflag, n_name",
+        "ROLLUP (c_mktsegment, note, l_returnflag, n_name)",
+        "CASE grouping_id(c_mktsegment, note, l_returnflag, n_name) WHEN 0 THEN 'detail' WHEN 1 THEN 'subtotal_3' "
+        "WHEN 3 THEN 'subtotal_2' WHEN 7 THEN 'subtotal_1' ELSE 'grand_total' END AS level,",
     ),
     "waterfall": f"""{_TOTALS}
 SELECT item, stage_idx AS point_order, stage_name AS point,

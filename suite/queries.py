@@ -61,11 +61,11 @@ def scan_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [
         tables[table].agg(
             F.lit(table.rsplit("/", 1)[1]).alias("stage_table"),
+            F.lit(source).alias("source"),
             F.count(F.lit(1)).alias("row_count"),
             F.sum(source).cast("double").alias("total"),
         )
-        for table, source, name in comparison.stage_columns
-        if name.startswith("Net_")
+        for table, source, _ in comparison.stage_columns
     ]
     return reduce(DataFrame.unionByName, counts)
 
@@ -85,8 +85,10 @@ def sink_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     names = fx.COMPARISON.stage_names()
     pairs = F.array(*[F.struct(F.lit(name).alias("part"), F.col(name).alias("value")) for name in names])
+    sums = [F.struct(F.lit(name).alias("part"), F.sum(name).cast("double").alias("value")) for _, _, name in fx.COMPARISON.stage_columns]
+    rows = F.struct(F.lit("rows").alias("part"), F.count(F.lit(1)).cast("double").alias("value"))
     return (
-        merged.agg(F.lit("merged_data").alias("output"), F.lit("rows").alias("part"), F.count(F.lit(1)).cast("double").alias("value"))
+        merged.agg(F.array(rows, *sums).alias("parts")).select(F.lit("merged_data").alias("output"), F.inline("parts"))
         .unionByName(
             totals.select("Item", F.inline(pairs)).select(
                 F.lit("summary_table").alias("output"), F.concat_ws("/", "Item", "part").alias("part"), "value"
@@ -118,8 +120,21 @@ def resolve_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def check_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = columns.check_required(fx.table(spark, sf_dir, "customer"), fx.CUSTOMER_RULES)
-    return checked.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("customers"))
+    """Missing required sources of two rule sets on three tables, beside the tables' row counts."""
+    found = []
+    for name in ("customer", "supplier", "part"):
+        rows = fx.table(spark, sf_dir, name)
+        for rule_set, rules in (("customer_rules", fx.CUSTOMER_RULES), ("part_rules", fx.PART_RULES)):
+            missing = columns.missing_required(rows, rules)
+            found.append(
+                rows.agg(
+                    F.lit(name).alias("table_name"),
+                    F.lit(rule_set).alias("rule_set"),
+                    F.lit(",".join(missing)).alias("missing"),
+                    F.count(F.lit(1)).alias("row_count"),
+                )
+            )
+    return reduce(DataFrame.unionByName, found)
 
 
 def project_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +253,7 @@ def date_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 1, F.col("slash_text"))
         .when(kind == 2, F.col("serial_text"))
         .when(kind == 3, F.replace("iso_text", F.lit("-"), F.lit("")))
-        .when(kind == 4, F.concat(F.lit("on "), F.col("iso_text")))
+        .when(kind == 4, F.when(F.col("l_orderkey") % 12 == 4, "9999-12-31").otherwise(F.concat(F.lit("on "), F.col("iso_text"))))
         .alias("date"),
     )
     return _converted(mixed, ["l_orderkey", "l_linenumber"], "date", "DATE", optional=True)
@@ -255,11 +270,14 @@ _ERROR_RULES = [
     ColumnRule("p_type", "TYPE", "CODE"),
     ColumnRule("p_name", "NAME", "INTEGE"),
     ColumnRule("price", "PRICE", "INTEGE", optional=True),
+    ColumnRule("p_size", "FLAGS", "INTEGE", is_list=True, optional=True),
+    ColumnRule("flag_text", "FLAGS", "INTEGE", is_list=True, optional=True),
 ]
 
 
 def conversion_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = fx.table(spark, sf_dir, "part").withColumn("price", _money("p_retailprice").cast("string"))
+    parts = parts.withColumn("flag_text", F.col("p_brand"))
     return convert.conversion_errors(parts, _ERROR_RULES)
 
 
@@ -395,7 +413,8 @@ def distribution_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distribution_renewal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bands.distribution_renewal(fx.impact(spark, sf_dir, renewal=True).rows, fx.RENEWAL, fx.BANDS)
+    paired = bands.distribution_renewal(fx.impact(spark, sf_dir, renewal=True).rows, fx.RENEWAL, fx.BANDS)
+    return paired.withColumn("rn_count", F.col("rn_count").cast("double"))
 
 
 # Summaries
@@ -418,12 +437,14 @@ def item_stage_pivot_rn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.breakdown(_merged(spark, sf_dir, fx.COMPARISON), fx.COMPARISON, ["c_mktsegment", "note"])
+    return summary.breakdown(
+        _merged(spark, sf_dir, fx.COMPARISON), fx.COMPARISON, ["c_mktsegment", "note", "l_returnflag", "n_name"]
+    )
 
 
 def breakdown_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.breakdown_rollup(
-        _merged(spark, sf_dir, fx.COMPARISON), fx.COMPARISON, ["c_mktsegment", "note", "n_name"]
+        _merged(spark, sf_dir, fx.COMPARISON), fx.COMPARISON, ["c_mktsegment", "note", "l_returnflag", "n_name"]
     )
 
 

@@ -88,14 +88,16 @@ def test_map_values_on_numbers_uses_their_text(spark):
     assert rows(cv.map_values(df, "v", {"1.0": "one"})) == [("one",), ("2.5",), (None,)]
 
 
-def test_large_value_map_is_not_hinted(spark):
+def test_large_value_map_spreads_hot_values_and_keeps_nulls(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
     try:
-        df = spark.range(3).select(F.col("id").cast("string").alias("v"))
-        big = cv.map_values(df, "v", {str(n): f"m{n}" for n in range(5000)})
+        df = spark.range(300).select(F.when(F.col("id") < 200, "7").when(F.col("id") < 203, F.col("id").cast("string")).alias("v"), F.lit("x").alias("_to"))
+        big = cv.map_values(df, "v", {str(n): f"m{n}" for n in range(5000)}, broadcast_bytes=1_000)
         plan = big._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" not in plan
-        assert sorted(rows(big)) == [("m0",), ("m1",), ("m2",)]
+        assert big.columns == ["v", "_to"]
+        got = [r["v"] for r in big.collect()]
+        assert got.count("m7") == 200 and got.count(None) == 97 and {"m200", "m201", "m202"} <= set(got)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 

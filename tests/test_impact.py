@@ -159,7 +159,9 @@ def test_a_band_may_be_called_missing(spark):
 def test_distribution_of_renewal_beside_new_business(tables):
     result = analyse(tables, Comparison(RULES, renewal=True), EDGES, ["seq"], keep=[])
     paired = bd.distribution_renewal(result.rows, result.comparison, EDGES).orderBy("band_order")
-    assert [row[1:] for row in rows(paired)] == [
+    assert {row[7:] for row in rows(paired.filter("step <> 1"))} == {(None, None)}
+    assert {row[1] for row in rows(paired)} == {0, 1, 2}
+    assert [row[1:] for row in rows(paired.filter("step = 1"))] == [
         (1, "Middle", 0, "a", 0, 0.0, 0, 0.0),
         (1, "Middle", 1, "b", 0, 0.0, 0, 0.0),
         (1, "Middle", 2, "c", 2, 66.67, 2, 66.67),
@@ -257,7 +259,7 @@ def test_renewal_pivot_without_renewal_columns(tables):
 
 
 def test_breakdown(merged):
-    got = rows(sm.breakdown(merged, TWO, ["seg", "nope"]))
+    got = rows(sm.breakdown(merged, TWO, ["seg"]))
     assert got[:3] == [
         ("P", "x", 300.0, 300.0, 2, 0.0, 0.0),
         ("P", "y", 0.0, 7.0, 1, 7.0, 0.0),
@@ -265,8 +267,37 @@ def test_breakdown(merged):
     ]
     assert got[3] == ("Z", "x", 0.0, 0.0, 2, 0.0, 0.0)
     with pytest.raises(SpecError):
-        sm.breakdown(merged, TWO, ["nope"])
-    assert sm.breakdown(merged, TWO, ["seg", "sub", "n", "flag"]).columns[:4] == ["item", "seg", "sub", "n"]
+        sm.breakdown(merged, TWO, ["seg", "nope"])
+    four = sm.breakdown(merged, TWO, ["seg", "sub", "n", "flag"])
+    assert four.columns[:5] == ["item", "seg", "sub", "n", "flag"] and four.filter("item = 'P'").count() == 4
+
+
+def test_repeated_stage_names_are_refused():
+    with pytest.raises(SpecError, match="Q1"):
+        Comparison([stage("P", 1, "Q1", "t", "a"), stage("P", 2, "Q1", "t", "b"), stage("P", 3, "End", "t", "c")])
+
+
+def test_distribution_without_steps_is_empty(merged):
+    one = Comparison([stage("P", 1, "Only", "t", "P_1")])
+    assert bd.distribution(merged, one, EDGES).collect() == []
+    assert bd.distribution_renewal(merged, one, EDGES).columns[:3] == ["item", "step", "step_name"]
+    assert bd.distribution_renewal(merged, one, EDGES).collect() == []
+
+
+def test_first_row_keeps_a_column_of_the_helper_name(merged):
+    table = merged.withColumn("_row", F.lit("mine"))
+    assert {r["_row"] for r in sg.first_row_per_id(table, "seg", ["n"]).collect()} == {"mine"}
+
+
+def test_merge_matches_null_ids_and_keeps_clashing_names(spark):
+    schema = "id long, seq int, v double, _key string, _id string"
+    one = spark.createDataFrame([(1, 1, 1.0, "k", "a"), (1, 2, 9.0, "k", "a"), (None, 1, 3.0, "n", "b"), (0, 1, 5.0, "z", "c")], schema)
+    two = spark.createDataFrame([(1, 1, 2.0, "", ""), (None, 2, 8.0, "", ""), (None, 1, 4.0, "", "")], schema)
+    rules = [stage("P", 1, "A", "one", "v"), stage("P", 2, "B", "two", "v")]
+    rules = [type(r)("id", r.item, r.stage, r.stage_name, r.table, r.column) for r in rules]
+    got = sg.merge_stages({"one": one, "two": two}, Comparison(rules), ["seq"])
+    assert sorted(map(tuple, got.select("id", "_key", "_id", "P_1", "P_2").collect()), key=str) == [(1, "k", "a", 1.0, 2.0), (None, "n", "b", 3.0, 4.0)]
+    assert sg.merge_stages({"one": one, "two": two}, Comparison(rules), ["seq"], ids_not_null=True).count() == 1
 
 
 def test_breakdown_with_totals(merged):

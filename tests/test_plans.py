@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from steploom import Comparison, StageRule
 from steploom.operators import bands as bd
+from steploom.operators import convert as cv
 from steploom.operators import filters as fl
 from steploom.operators import stages as sg
 from steploom.operators import summary as sm
@@ -57,12 +58,8 @@ def test_merge_shuffles_each_table_once(spark, lineitem):
         rules = [StageRule("l_orderkey", "P", n, str(n), f"t{n}", "l_extendedprice") for n in (1, 2, 3)]
         tables = {f"t{n}": lineitem.filter(F.col("l_suppkey") != n) for n in (1, 2, 3)}
         text = plan(sg.merge_stages(tables, Comparison(rules), fx.LINE_ORDER, keep=[]))
-        main = text[: text.index("BroadcastHashJoin")]
-        assert main.count("SortMergeJoin") == 2
-        # One exchange per table in the main branch and one in the branch of null IDs.
-        assert exchanges(text) == 6
-        assert exchanges(text[: text.rindex("SortMergeJoin")]) <= 1
-        assert text.count("IsNull(l_orderkey)") == 3
+        assert text.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in text
+        assert exchanges(text) == 3 and text.count("FileScan") == 3
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -76,7 +73,7 @@ def test_merge_of_bucketed_tables_does_not_shuffle(spark, lineitem):
                 4, "l_orderkey"
             ).saveAsTable(name)
         rules = [StageRule("l_orderkey", "P", n, str(n), name, "l_extendedprice") for n, name in enumerate(names, 1)]
-        merged = sg.merge_stages({name: spark.table(name) for name in names}, Comparison(rules), ["l_linenumber"], keep=[])
+        merged = sg.merge_stages({name: spark.table(name) for name in names}, Comparison(rules), ["l_linenumber"], keep=[], ids_not_null=True)
         assert exchanges(plan(merged)) == 0
         assert merged.count() == lineitem.select("l_orderkey").distinct().count()
     finally:
@@ -131,3 +128,12 @@ def test_hot_id_gives_whole_results(spark):
     hot = {row.k: (row.P_1, row.P_2) for row in merged.filter("k = -1 or k is null").collect()}
     assert hot == {-1: (0.0, 6.0), None: (2.0, 8.0)}
     assert merged.count() == 20000 - 2 + 2
+
+
+def test_small_value_map_never_shuffles(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.read.parquet(f"{SF_DIR}/customer.parquet")
+        assert exchanges(plan(cv.map_values(df, "c_mktsegment", {"AUTOMOBILE": "AUTO"}))) == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -1,10 +1,12 @@
 """Readers, writers and the end-to-end runs."""
 
+import functools
 import os
 
 import pytest
 
 from steploom import Band, ColumnRule, Comparison, SpecError, StageRule, analyse, run_conversion
+from steploom.sources import readers
 from steploom.sources.readers import NA_TOKENS, scan_csv, scan_stages, scan_table
 from steploom.sources.writers import filtered_name, sink_converted, write_table
 
@@ -114,3 +116,28 @@ def test_sink_filtered(spark, tmp_path):
     assert filtered_name(result.comparison, "Prop erty", 0, "NB", "x") == "filtered_data_Prop_erty_Overall_NB_x"
     with pytest.raises(SpecError):
         result.export("Prop erty", 1, -2, 1.0, str(tmp_path), "x")
+
+
+def test_failing_conversion_leaves_the_earlier_output(spark, tmp_path):
+    rules = [ColumnRule("a", "A", "CODE"), ColumnRule("b", "B", "INTEGE")]
+    good, bad, out = (str(tmp_path / name) for name in ("good.parquet", "bad.parquet", "out"))
+    spark.createDataFrame([("X1", "5")], "a string, b string").write.parquet(good)
+    spark.createDataFrame([("not a code!", "5")], "a string, b string").write.parquet(bad)
+    run_conversion(spark, good, rules, out)
+    with pytest.raises(Exception, match="not a code!"):
+        run_conversion(spark, bad, rules, out)
+    assert [tuple(r) for r in readers.scan_csv(spark, out).collect()] == [("X1", "5")]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["bad.parquet", "good.parquet", "out"]
+    run_conversion(spark, good, rules, out)
+    assert readers.scan_csv(spark, out).count() == 1
+
+
+def test_conversion_with_a_reader_of_its_own(spark, tmp_path):
+    source = tmp_path / "in.txt"
+    source.write_text('a;b\n"X\n1";5\n')
+    rules = [ColumnRule("a", "A", "CODE"), ColumnRule("b", "B", "INTEGE")]
+    read = functools.partial(readers.scan_csv, delimiter=";", multi_line=True)
+    got = run_conversion(spark, str(source), rules, str(tmp_path / "out"), read=read)
+    assert [tuple(r) for r in got.collect()] == [("X\n1", 5)]
+    with pytest.raises(SpecError, match="no reader"):
+        readers.scan_table(spark, str(source))

@@ -171,19 +171,29 @@ DATES = [
     (" 44927 ", "01/01/2023", None),
     ("2023", "15/07/1905", None),
     ("106751", "08/04/2192", None),
-    ("106752", None, NO_DATE),
+    ("106752", "09/04/2192", None),
+    ("2958465", "31/12/9999", None),
+    ("2958466", None, NO_DATE),
+    ("-693593", "01/01/0001", None),
+    ("-693594", None, NO_DATE),
     ("-81182", "22/09/1677", None),
-    ("-81183", None, NO_DATE),
+    ("-81183", "21/09/1677", None),
     ("99999999", None, NO_DATE),
-    ("1677-09-21", None, NO_DATE),
+    ("1677-09-21", "21/09/1677", None),
+    ("0001-01-01", "01/01/0001", None),
+    ("0000-01-01", None, NO_DATE),
+    ("9999-12-31", "31/12/9999", None),
+    ("31 Dec 9999", "31/12/9999", None),
+    ("3 feb 1200", "03/02/1200", None),
+    ("30 Feb 2020", None, NO_DATE),
+    ("03-Xyz-2020", None, NO_DATE),
     ("1677-09-22", "22/09/1677", None),
     ("2262-04-11", "11/04/2262", None),
-    ("2262-04-12", None, NO_DATE),
-    ("2300-01-01", None, NO_DATE),
+    ("2262-04-12", "12/04/2262", None),
+    ("2300-01-01", "01/01/2300", None),
     ("00-10-2023", None, NO_DATE),
-    ("12-31-1500", None, NO_DATE),
+    ("12-31-1500", "31/12/1500", None),
     ("29/02/2023", None, NO_DATE),
-    ("0001-01-01", None, NO_DATE),
     ("", None, NO_DATE),
     ("soon", None, NO_DATE),
     (None, None, None),
