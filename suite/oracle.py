@@ -308,6 +308,18 @@ SELECT l_orderkey, l_returnflag, o_orderpriority, c_mktsegment, n_name, note,
        CAST("Net_1" AS DOUBLE) AS "Net_1", CAST("Net_2" AS DOUBLE) AS "Net_2", CAST("Net_3" AS DOUBLE) AS "Net_3",
        CAST("Rate_1" AS DOUBLE) AS "Rate_1", CAST("Rate_2" AS DOUBLE) AS "Rate_2", CAST("Rate_3" AS DOUBLE) AS "Rate_3"
 FROM merged""",
+    "merge_stages_raw": " , ".join(
+        ["WITH lines AS (SELECT * REPLACE (CASE WHEN l_orderkey % 50 <> 0 THEN l_orderkey END AS l_orderkey) FROM lineitem)"]
+        + [
+            f"s{n} AS (SELECT l_orderkey, l_linenumber, {_PRICE} AS price, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS rn "
+            f"FROM lines WHERE {kept})"
+            for n, kept in ((1, "true"), (2, "l_returnflag <> 'R'"), (3, "l_linestatus <> 'O'"))
+        ]
+    )
+    + """
+SELECT coalesce(s1.l_orderkey, -1) AS l_orderkey, s1.l_linenumber, CAST(s1.price AS DOUBLE) AS "Net_1", CAST(s2.price AS DOUBLE) AS "Net_2", CAST(s3.price AS DOUBLE) AS "Net_3"
+FROM s1 JOIN s2 ON s1.l_orderkey IS NOT DISTINCT FROM s2.l_orderkey JOIN s3 ON s1.l_orderkey IS NOT DISTINCT FROM s3.l_orderkey
+WHERE s1.rn = 1 AND s2.rn = 1 AND s3.rn = 1""",
     "merge_renewal": f"""{MERGED}
 SELECT l_orderkey, CAST("Net_1_rn" AS DOUBLE) AS "Net_1_rn", CAST("Net_2_rn" AS DOUBLE) AS "Net_2_rn",
        CAST("Net_3_rn" AS DOUBLE) AS "Net_3_rn" FROM merged""",

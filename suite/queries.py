@@ -338,6 +338,21 @@ def merge_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(_merged(spark, sf_dir, fx.COMPARISON))
 
 
+def merge_stages_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages straight from all lines: several rows per order, and one order in fifty without its ID."""
+    lines = fx.table(spark, sf_dir, "lineitem").select(
+        F.when(F.col(fx.ID) % 50 != 0, F.col(fx.ID)).alias(fx.ID), *[name for name in fx.LINE_ORDER if name != fx.ID], _money("l_extendedprice").alias("price")
+    )
+    rules = [StageRule(fx.ID, "Net", n, str(n), f"lines_{n}", "price") for n in (1, 2, 3)]
+    tables = {
+        "lines_1": lines,
+        "lines_2": lines.filter(F.col("l_returnflag") != "R"),
+        "lines_3": lines.filter(F.col("l_linestatus") != "O"),
+    }
+    merged = stages.merge_stages(tables, Comparison(rules), fx.LINE_ORDER, keep=["l_linenumber"])
+    return _plain(merged.withColumn(fx.ID, F.coalesce(fx.ID, F.lit(-1).cast("long"))))
+
+
 def merge_renewal(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = _merged(spark, sf_dir, fx.RENEWAL)
     return _plain(merged.select(fx.ID, *[name for name in merged.columns if name.endswith("_rn")]))
@@ -464,7 +479,7 @@ QUERIES: dict[str, Query] = {
         code_required, intege_required, decima_required, date_slash, date_text, date_serial,
         code_optional, intege_optional, decima_optional, date_optional, map_values, conversion_errors,
         flags_to_list, flags_to_names, list_to_string, explode_list, explode_lists_aligned, list_absent,
-        first_row_per_id, merge_stages, merge_renewal,
+        first_row_per_id, merge_stages, merge_stages_raw, merge_renewal,
         diff_overall, pct_overall, diff_steps, diff_renewal,
         filter_segments, filter_rate_change, segment_values,
         assign_band, band_distribution, band_zero_fill, distribution_all, distribution_renewal,
