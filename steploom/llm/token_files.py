@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from steploom.llm.shared import written
+from steploom.llm.shared import small, written
 from steploom.llm.tokens import encoder
 
 MAGIC = b"LOOMTOK1"
@@ -222,4 +222,4 @@ def read_token_files(spark: SparkSession, folder: str, keep_ids: bool = False) -
     schema = "file string, id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
     found = spark.read.format("binaryFile").load(f"{folder}/files").select("path", "content").mapInPandas(read, schema)
     rest = ["n_tokens", "ids_crc32", *(["ids"] if keep_ids else [])]
-    return found.join(F.broadcast(base), "file").select("id", (F.col("base") + F.col("start")).alias("start"), *rest)
+    return found.join(small(base, manifest.count()), "file").select("id", (F.col("base") + F.col("start")).alias("start"), *rest)
