@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 import regex
 
-#: Pieces that a worker remembers, about 80 MB; the memo is emptied when it is full. Longer pieces are not remembered.
-MEMO = 400_000
+#: Pieces that a worker remembers, about 200 MB; the memo is emptied when it is full. Longer pieces are not remembered.
+MEMO = 1_000_000
 MEMO_CHARS = 60
 
 #: Fixed: how byte-level BPE cuts text into pieces before it merges bytes within each.
