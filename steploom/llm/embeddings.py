@@ -1,7 +1,8 @@
 """Near-duplicate vectors by cross-polytope hashing after fast Hadamard rotations, with multiprobe and verified pairs.
 
 A hash rotates a unit vector (three rounds of random signs and a fast Hadamard transform) and takes the nearest of the
-2 d signed axes. A bucket is k such hashes in a row; each of several tables has its own. A vector stands in its own bucket
+2 d signed axes. A bucket is k such hashes in a row; each of several tables has its own. There are as many tables as it
+takes to find a pair at the threshold with the asked chance, whatever k is. A vector stands in its own bucket
 and in the likeliest neighbour (one hash replaced by its second choice) of every table. Members of a bucket of which
 one is at home there are compared in double precision, in blocks of bounded size; a pair that meets more than once counts
 where it meets first. So a block returns a few numbers for each of its members, never its pairs.
@@ -9,6 +10,7 @@ where it meets first. So a block returns a few numbers for each of its members,
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -21,7 +23,12 @@ from pyspark.sql import functions as F
 from steploom.llm.components import components
 from steploom.llm.shared import written
 
-TABLES = 12
+#: Mean chance that a pair just at the threshold meets in one of the tables; the chances of pairs differ, so it is above 0.99.
+RECALL = 0.995
+#: Up to this length the rounds of a rotation are one matrix product, which is quicker.
+MATRIX = 512
+#: Pairs and tables on which the chance of meeting in one table is measured.
+TRIAL_PAIRS, TRIAL_TABLES = 2_000, 8
 #: Members of a block; two blocks are compared at a time.
 BLOCK = 256
 SEED = 20
@@ -38,11 +45,11 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(n)
 
 
-def cross_polytope(units: np.ndarray, k: int, tables: int = TABLES) -> tuple[np.ndarray, np.ndarray]:
+def cross_polytope(units: np.ndarray, k: int, tables: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Own bucket and likeliest neighbour of each vector (rows) in each table (columns)."""
     n, dim = units.shape
     size = 1 << max(1, (dim - 1).bit_length())
-    random = np.random.default_rng(SEED)
+    random = np.random.default_rng(seed)
     padded = np.zeros((n, size))
     padded[:, :dim] = units
     own, near = np.zeros((n, tables), dtype=np.int64), np.zeros((n, tables), dtype=np.int64)
@@ -50,16 +57,19 @@ def cross_polytope(units: np.ndarray, k: int, tables: int = TABLES) -> tuple[np.
     for t in range(tables):
         first, second, gap = [], [], []
         for _ in range(k):
-            turned = padded
+            turned = np.eye(size) if size <= MATRIX else padded
             for _ in range(3):
                 turned = hadamard(turned * random.choice([-1.0, 1.0], size))
-            top = np.argpartition(-np.abs(turned), 1, axis=1)[:, :2]
-            a, b = np.abs(turned[rows, top[:, 0]]), np.abs(turned[rows, top[:, 1]])
-            best = np.where(a >= b, top[:, 0], top[:, 1])
-            other = top.sum(axis=1) - best
+            if size <= MATRIX:
+                turned = padded @ turned
+            long = np.abs(turned)
+            best = long.argmax(axis=1)
+            a = long[rows, best]
+            long[rows, best] = -1
+            other = long.argmax(axis=1)
             first.append(2 * best + (turned[rows, best] < 0))
             second.append(2 * other + (turned[rows, other] < 0))
-            gap.append(np.abs(a - b))
+            gap.append(a - long[rows, other])
         change = np.argmin(gap, axis=0)
         for j in range(k):
             own[:, t] = own[:, t] * (2 * size) + first[j]
@@ -71,22 +81,38 @@ def _member(dim: int, tables: int) -> np.dtype:
     return np.dtype([("id", "<i8"), ("n", "<i8"), ("unit", "<f8", dim), ("own", "<i8", tables), ("near", "<i8", tables)])
 
 
-def _first_meeting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For pairs of members: the number of the first bucket that they share with one of them at home."""
-    tables = x["own"].shape[1]
-    big = np.iinfo(np.int64).max
-    best = np.full(len(x), big)
-    for t in range(tables):
-        for a, b in ((x["own"], y["own"]), (x["own"], y["near"]), (x["near"], y["own"])):
-            met = (a[:, t] == b[:, t]) & (best == big)
-            best[met] = t
-    return best
+def _met(own: np.ndarray, near: np.ndarray, i: np.ndarray, j: np.ndarray, t: int) -> np.ndarray:
+    """For pairs of rows: whether they share a bucket of table t with one of them at home."""
+    return (own[i, t] == own[j, t]) | (own[i, t] == near[j, t]) | (near[i, t] == own[j, t])
+
 
+@functools.cache
+def tables_needed(dim: int, k: int, cosine: float, recall: float = RECALL) -> int:
+    """Tables after which a pair of this cosine has met with at least this chance.
 
-def _meeting_bucket(x: np.ndarray, y: np.ndarray, t: int) -> np.ndarray:
+    The chance of one table is measured on random pairs of exactly this cosine; two standard errors are taken off.
+    """
+    if dim < 2 or cosine >= 1:
+        return 1  # such pairs are parallel and share every bucket
+    random = np.random.default_rng(SEED)
+    x, other = random.normal(size=(TRIAL_PAIRS, dim)), random.normal(size=(TRIAL_PAIRS, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    y = cosine * x + math.sqrt(1 - cosine**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    own, near = cross_polytope(np.concatenate([x, y]), k, TRIAL_TABLES, SEED + 1)
+    i = np.arange(TRIAL_PAIRS)
+    met = np.stack([_met(own, near, i, i + TRIAL_PAIRS, t) for t in range(TRIAL_TABLES)])
+    share = met.mean()
+    share -= 2 * math.sqrt(share * (1 - share) / met.size)
+    if share <= 0:
+        raise ValueError(f"pairs of cosine {cosine} hardly ever share a bucket of {k} hashes")
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - share))) if share < 1 else 1
+
+
+def _meeting_bucket(own: np.ndarray, near: np.ndarray, i: np.ndarray, j: np.ndarray, t: int) -> np.ndarray:
     """For pairs that meet in table t: the bucket where they count (they may share two)."""
-    own_x, own_y, near_x = x["own"][:, t], y["own"][:, t], x["near"][:, t]
-    return np.where((own_x == own_y) | (own_y != near_x), own_x, np.where(own_x == y["near"][:, t], np.minimum(own_x, own_y), own_y))
+    own_x, own_y, near_x, near_y = own[i, t], own[j, t], near[i, t], near[j, t]
+    return np.where((own_x == own_y) | (own_y != near_x), own_x, np.where(own_x == near_y, np.minimum(own_x, own_y), own_y))
 
 
 def _compare(dim: int, tables: int, cosine: float):
@@ -102,9 +128,11 @@ def _compare(dim: int, tables: int, cosine: float):
                 # Each pair once: across two blocks, or within the one block of this comparison.
                 once = (i < j) & (m["id"][i] != m["id"][j]) & ((block[i] != block[j]) | (lo == hi))
                 i, j = i[once], j[once]
-                x, y = m[i], m[j]
-                home = _first_meeting(x, y) == t
-                home &= _meeting_bucket(x, y, t) == bucket
+                own, near = m["own"], m["near"]
+                for earlier in range(t):
+                    new = ~_met(own, near, i, j, earlier)
+                    i, j = i[new], j[new]
+                home = _met(own, near, i, j, t) & (_meeting_bucket(own, near, i, j, t) == bucket)
                 i, j = i[home], j[home]
                 if not len(i):
                     continue
@@ -129,7 +157,13 @@ def _compare(dim: int, tables: int, cosine: float):
 
 
 def near_duplicate_vectors(
-    vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.9, tables: int = TABLES
+    vectors: DataFrame,
+    vec_id: str = "vec_id",
+    embedding: str = "embedding",
+    cosine: float = 0.9,
+    tables: int | None = None,
+    k: int | None = None,
+    recall: float = RECALL,
 ) -> DataFrame:
     """Per row of ``vectors``: ``id``, ``n_links`` (other vectors with at least this cosine), ``component``, the smallest id reachable.
 
@@ -137,7 +171,8 @@ def near_duplicate_vectors(
     with nothing. Equal vectors are one member with a weight, so copies are counted but never compared. Repeated rows are one vector;
     different vectors of one id are one node with the links of all. Ids are integers. An empty table gives no rows.
 
-    k grows with the logarithm of the table, so that unrelated vectors seldom share a bucket.
+    Unless given, k grows with the logarithm of the table, so that unrelated vectors seldom share a bucket, and the tables
+    are as many as k, the length and ``cosine`` need for ``recall``.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e"))
     finite = ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -149,8 +184,11 @@ def near_duplicate_vectors(
     )
     total = classes.count()
     size = 1 << max(1, (dim - 1).bit_length())
-    k = max(1, math.ceil(math.log(max(total, 2)) / math.log(2 * size))) + 1
-    k = min(k, int(62 / math.log2(2 * size)))
+    if k is None:
+        k = max(1, math.ceil(math.log(max(total, 2)) / math.log(2 * size))) + 1
+        k = min(k, int(62 / math.log2(2 * size)))
+    if tables is None:
+        tables = tables_needed(dim, k, cosine, recall)
     kind = _member(dim, tables)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

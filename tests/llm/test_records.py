@@ -67,6 +67,27 @@ def test_vectors(spark, monkeypatch):
     assert embeddings.near_duplicate_vectors(table.limit(0)).count() == 0
 
 
+def pairs_at(rng, dim, n, low, high):
+    """Pairs of vectors whose cosines lie between these."""
+    x, other = rng.normal(size=(n, dim)), rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    c = rng.uniform(low, high, size=(n, 1))
+    return np.concatenate([x, c * x + np.sqrt(1 - c * c) * other])
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_links_just_above_the_threshold(spark, k):
+    unit = pairs_at(np.random.default_rng(k), 64, 500, 0.9001, 0.92)
+    near = unit @ unit.T >= 0.9
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "vec_id long, embedding array<double>")
+    got = {r["id"]: r["n_links"] for r in embeddings.near_duplicate_vectors(table, k=k).collect()}
+    want = near.sum(axis=1) - 1
+    assert want.sum() >= 1000 and all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.99 * want.sum()
+
+
 def test_hadamard():
     x = np.random.default_rng(1).normal(size=(5, 16))
     matrix = embeddings.hadamard(np.eye(16))
