@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from steploom.llm.shared import written
-from steploom.llm.tokens import encoder
+from steploom.llm.tokens import whole_encoder
 
 #: Tokens that one task packs, about.
 GROUP_TOKENS = 1 << 23
@@ -45,7 +45,7 @@ def token_pieces(
     fields += [StructField("ids", ArrayType(IntegerType()))] if keep_ids else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), np.uint32(end_id).tobytes()
+        encode, end = whole_encoder(tokenizer), np.uint32(end_id).tobytes()
         for batch in batches:
             of, out = [], []
             for row, whole in enumerate(batch.column("text")):

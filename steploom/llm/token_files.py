@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from steploom.llm.shared import small, written
-from steploom.llm.tokens import encoder
+from steploom.llm.tokens import whole_encoder
 
 MAGIC = b"LOOMTOK1"
 #: Tokens of a file and of a block, about: what a task holds at a time.
@@ -119,7 +119,7 @@ def write_token_files(
     """
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), np.uint32(end_id).tobytes()
+        encode, end = whole_encoder(tokenizer), np.uint32(end_id).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

@@ -52,8 +52,8 @@ class _Memo(dict):
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[str], bytes]:
-    """A function from a text to its ids, as little-endian 32-bit numbers, without special tokens, for a byte-level
-    tokenizer file without normaliser.
+    """A function from an ordinary text to its ids, as little-endian 32-bit numbers, without special tokens, for a
+    byte-level tokenizer file without normaliser.
 
     The same as ``Tokenizer.encode(text, add_special_tokens=False).ids`` with special tokens read as ordinary text; most
     of that call's time goes into places in the text, which nobody asks for here.
@@ -69,3 +69,29 @@ def encoder(path: str) -> Callable[[str], bytes]:
         return b"".join(map(memo.__getitem__, (any_text if beyond(text) else latin)(text)))
 
     return encode
+
+
+@functools.lru_cache(maxsize=2)
+def whole_encoder(path: str) -> Callable[[str], bytes]:
+    """The same as ``Tokenizer.encode(text, add_special_tokens=False).ids``, added tokens of the file included.
+
+    Texts without an added token take the quick way of ``encoder``; the others go to the library itself.
+    """
+    ordinary = encoder(path)
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    added = library.get_added_tokens_decoder().values()
+    if not added:
+        return ordinary
+    # A token that the library normalises first may be written in another way than here.
+    if any(token.normalized for token in added) and library.normalizer is not None:
+        raise ValueError("the tokenizer file has a normaliser")
+    holds_added = re.compile("|".join(re.escape(token.content) for token in added)).search
+
+    def encode(text: str) -> bytes:
+        if holds_added(text):
+            return array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
+        return ordinary(text)
+
+    return encode

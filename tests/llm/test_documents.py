@@ -248,6 +248,24 @@ def test_pieces_equal_the_library():
     assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == [w.tolist()[:-1] for w in whole_ids(texts)]
 
 
+def test_added_tokens_as_the_library_reads_them(spark):
+    library = Tokenizer.from_file(TOKENIZER)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext| > we'll", "plain", "", "<|endoftext|>" + "word " * 400]
+    want = [np.array([*library.encode(t, add_special_tokens=False).ids, 0], dtype="<u4") for t in texts]
+    assert want[0].tolist() == [64, 220, 50256, 275, 0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = packing.token_pieces(docs, TOKENIZER).collect()
+    assert {r["id"]: (r["length"], r["ids_crc32"]) for r in pieces} == {i: (len(w), zlib.crc32(w.tobytes())) for i, w in enumerate(want)}
+    folder = new_path(spark, "token-files-added")
+    token_files.write_token_files(docs, folder, TOKENIZER)
+    out = {r["id"]: r for r in token_files.read_token_files(spark, folder, keep_ids=True).collect()}
+    start = 0
+    for i, ids in enumerate(want):
+        assert (out[i]["start"], out[i]["n_tokens"], out[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        assert out[i]["ids"] == ids.tolist()
+        start += len(ids)
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     usual = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(300)]
