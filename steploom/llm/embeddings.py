@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def cross_polytope(units: np.ndarray, k: int, tables: int, seed: int = SEED) ->
 
 
 def _member(dim: int, tables: int) -> np.dtype:
-    return np.dtype([("id", "<i8"), ("n", "<i8"), ("unit", "<f8", dim), ("own", "<i8", tables), ("near", "<i8", tables)])
+    return np.dtype([("key", "<i8"), ("of", "<i8"), ("n", "<i8"), ("unit", "<f8", (dim,)), ("own", "<i8", (tables,)), ("near", "<i8", (tables,))])
 
 
 def _met(own: np.ndarray, near: np.ndarray, i: np.ndarray, j: np.ndarray, t: int) -> np.ndarray:
@@ -115,18 +116,17 @@ def _meeting_bucket(own: np.ndarray, near: np.ndarray, i: np.ndarray, j: np.ndar
     return np.where((own_x == own_y) | (own_y != near_x), own_x, np.where(own_x == near_y, np.minimum(own_x, own_y), own_y))
 
 
-def _compare(dim: int, tables: int, cosine: float):
-    kind = _member(dim, tables)
+def _compare(kinds: dict[int, np.dtype], cosine: float):
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, links, roots = [], [], []
-            for t, bucket, lo, hi, blobs, places in zip(*(batch[c] for c in batch.columns), strict=True):
-                m = np.frombuffer(b"".join(blobs), dtype=kind)
+            for dim, t, bucket, lo, hi, blobs, places in zip(*(batch[c] for c in batch.columns), strict=True):
+                m = np.frombuffer(b"".join(blobs), dtype=kinds[dim])
                 block = np.asarray(places)
                 i, j = np.nonzero(m["unit"] @ m["unit"].T >= cosine)
                 # Each pair once: across two blocks, or within the one block of this comparison.
-                once = (i < j) & (m["id"][i] != m["id"][j]) & ((block[i] != block[j]) | (lo == hi))
+                once = (i < j) & (m["of"][i] != m["of"][j]) & ((block[i] != block[j]) | (lo == hi))
                 i, j = i[once], j[once]
                 own, near = m["own"], m["near"]
                 for earlier in range(t):
@@ -147,11 +147,11 @@ def _compare(dim: int, tables: int, cosine: float):
                     if (root == before).all():
                         break
                 some = np.flatnonzero(count)
-                ids.append(m["id"][some])
+                ids.append(m["key"][some])
                 links.append(count[some].astype(np.int64))
-                roots.append(m["id"][root[some]])
+                roots.append(m["key"][root[some]])
             none = np.zeros(0, dtype=np.int64)
-            yield pd.DataFrame({c: np.concatenate([none, *v]) for c, v in (("id", ids), ("links", links), ("root", roots))})
+            yield pd.DataFrame({c: np.concatenate([none, *v]) for c, v in (("key", ids), ("links", links), ("root", roots))})
 
     return compare
 
@@ -167,77 +167,81 @@ def near_duplicate_vectors(
 ) -> DataFrame:
     """Per row of ``vectors``: ``id``, ``n_links`` (other vectors with at least this cosine), ``component``, the smallest id reachable.
 
-    Vectors that are null, empty, zero, not all finite, or of another length than the longest, and rows of null id, link
-    with nothing. Equal vectors are one member with a weight, so copies are counted but never compared. Repeated rows are one vector;
+    Vectors that are null, empty, zero or not all finite, and rows of null id, link with nothing; vectors of different lengths
+    don't link with each other. Equal vectors are one member with a weight, so copies are counted but never compared. Repeated rows are one vector;
     different vectors of one id are one node with the links of all. Ids are integers. An empty table gives no rows.
 
-    Unless given, k grows with the logarithm of the table, so that unrelated vectors seldom share a bucket, and the tables
+    Unless given, k grows with the logarithm of the number of vectors of a length, so that unrelated vectors seldom share a bucket, and the tables
     are as many as k, the length and ``cosine`` need for ``recall``.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e"))
     finite = ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.col("id").isNotNull() & F.coalesce(finite & F.exists("e", lambda x: x != 0), F.lit(False))
-    dim = rows.filter(good).agg(F.max(F.size("e"))).head()[0] or 1
-    good &= F.size("e") == dim
-    classes = written(
-        rows.filter(good).distinct().groupBy("e").agg(F.min("id").alias("of"), F.count(F.lit(1)).alias("n")), "vector-classes"
-    )
-    total = classes.count()
-    size = 1 << max(1, (dim - 1).bit_length())
-    if k is None:
-        k = max(1, math.ceil(math.log(max(total, 2)) / math.log(2 * size))) + 1
-        k = min(k, int(62 / math.log2(2 * size)))
-    if tables is None:
-        tables = tables_needed(dim, k, cosine, recall)
-    kind = _member(dim, tables)
+    classes = rows.filter(good).distinct().groupBy("e").agg(F.min("id").alias("of"), F.count(F.lit(1)).alias("n"))
+    # One id may be the smallest of several classes, so each has a key of its own.
+    classes = written(classes.select("e", "of", "n", F.monotonically_increasing_id().alias("key")), "vector-classes")
+    plans = {}  # hashes per bucket and tables of each length of which there are two vectors or more
+    for dim, total in classes.groupBy(F.size("e")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").collect():
+        bits = math.log2(2 << max(1, (dim - 1).bit_length()))
+        hashes = min(math.ceil(math.log2(total) / bits) + 1, int(62 / bits)) if k is None else k
+        plans[dim] = hashes, tables_needed(dim, hashes, cosine, recall) if tables is None else tables
+    kinds = {dim: _member(dim, n_tables) for dim, (_, n_tables) in plans.items()}
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.slice(at, 2_000)
-                member = np.zeros(part.num_rows, dtype=kind)
-                raw = np.stack([np.asarray(e, dtype=float) for e in part.column("e").to_pylist()])
-                raw /= np.abs(raw).max(axis=1, keepdims=True)
-                member["unit"] = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-                member["id"], member["n"] = part.column("of").to_numpy(), part.column("n").to_numpy()
-                own, near = cross_polytope(member["unit"], k, tables)
-                member["own"], member["near"] = own, near
-                arrays = [pa.array(member["id"]), pa.array([m.tobytes() for m in member], pa.binary())]
-                arrays += [pa.array(list(x), pa.list_(pa.int64())) for x in (own, near)]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "member", "own", "near"])
-
-    members = written(classes.mapInArrow(hashed, "id long, member binary, own array<long>, near array<long>"), "vector-hashes")
-    stands = members.select("id", F.posexplode("own").alias("t", "bucket"), F.lit(1).alias("home")).unionAll(
-        members.select("id", F.posexplode("near").alias("t", "bucket"), F.lit(0).alias("home"))
+            lengths = pc.list_value_length(batch.column("e")).to_numpy()
+            for dim in np.unique(lengths).tolist():
+                if dim not in plans:
+                    continue
+                whole = batch.take(pa.array(np.flatnonzero(lengths == dim)))
+                for at in range(0, whole.num_rows, 2_000):
+                    part = whole.slice(at, 2_000)
+                    member = np.zeros(part.num_rows, dtype=kinds[dim])
+                    raw = np.array(part.column("e").to_pylist(), dtype=float)
+                    raw /= np.abs(raw).max(axis=1, keepdims=True)
+                    member["unit"] = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+                    for name in ("key", "of", "n"):
+                        member[name] = part.column(name).to_numpy()
+                    own, near = cross_polytope(member["unit"], *plans[dim])
+                    member["own"], member["near"] = own, near
+                    arrays = [pa.array(member["key"]), pa.array([dim] * len(member), pa.int32())]
+                    arrays += [pa.array([m.tobytes() for m in member], pa.binary())]
+                    arrays += [pa.array(list(x), pa.list_(pa.int64())) for x in (own, near)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["key", "dim", "member", "own", "near"])
+
+    members = written(classes.mapInArrow(hashed, "key long, dim int, member binary, own array<long>, near array<long>"), "vector-hashes")
+    stands = members.select("key", "dim", F.posexplode("own").alias("t", "bucket"), F.lit(1).alias("home")).unionAll(
+        members.select("key", "dim", F.posexplode("near").alias("t", "bucket"), F.lit(0).alias("home"))
     )
-    buckets = stands.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("home"))
-    buckets = written(buckets.filter("n > 1 AND home = 1").select("t", "bucket", "n"), "vector-buckets")
+    buckets = stands.groupBy("dim", "t", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("home"))
+    buckets = written(buckets.filter("n > 1 AND home = 1").select("dim", "t", "bucket", "n"), "vector-buckets")
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = (
-        stands.join(buckets, ["t", "bucket"])
-        .select("id", "t", "bucket", F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block"), n_blocks.alias("blocks"))
-        .join(members.select("id", "member"), "id")
-        .select("t", "bucket", "block", "member", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("t", "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "member", "block")
+        stands.join(buckets, ["dim", "t", "bucket"])
+        .select("key", "dim", "t", "bucket", F.pmod(F.xxhash64("key"), n_blocks).cast("int").alias("block"), n_blocks.alias("blocks"))
+        .join(members.select("key", "member"), "key")
+        .select("dim", "t", "bucket", "block", "member", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("dim", "t", "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "member", "block")
     )
     gathered = (
-        dealt.groupBy("t", "bucket", "lo", "hi")
+        dealt.groupBy("dim", "t", "bucket", "lo", "hi")
         .agg(F.collect_list(F.struct("member", "block")).alias("all"))
         .filter(F.size("all") > 1)
-        .select("t", "bucket", "lo", "hi", F.col("all.member").alias("members"), F.col("all.block").alias("places"))
-    )
-    found = written(gathered.mapInPandas(_compare(dim, tables, cosine), "id long, links long, root long"), "vector-links")
-    linked = found.groupBy("id").agg(F.sum("links").alias("links"))
-    roots = components(found.select("id", "root"))
-    rooted = classes.select("of", "n").join(linked, F.col("of") == linked["id"], "left").drop("id").join(
-        roots, F.col("of") == F.col("node"), "left"
+        .select("dim", "t", "bucket", "lo", "hi", F.col("all.member").alias("members"), F.col("all.block").alias("places"))
     )
-    rooted = written(rooted.select("of", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "of").alias("root")), "rooted")
+    found = written(gathered.mapInPandas(_compare(kinds, cosine), "key long, links long, root long"), "vector-links")
+    linked = found.groupBy("key").agg(F.sum("links").alias("links"))
+    nodes = written(rows.filter(good).distinct().join(classes.select("e", "key"), "e").select("id", "key"), "vector-nodes")
+    several = nodes.groupBy("id").agg(F.min("key").alias("root"), F.max("key").alias("last")).filter("root != last")
+    of_one_id = nodes.join(several, "id").select("key", "root")
+    roots = components(found.select("key", "root").unionAll(of_one_id)).withColumnRenamed("root", "top")
+    rooted = classes.select("key", "of", "n").join(linked, "key", "left").join(roots, F.col("key") == F.col("node"), "left")
+    rooted = rooted.select("key", "of", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("top", "key").alias("root"))
+    rooted = written(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("of").alias("component"))
-    result = rooted.join(least, "root").select("of", (F.col("n") - 1 + F.col("links")).alias("n_links"), "component")
+    result = rooted.join(least, "root").select("key", (F.col("n") - 1 + F.col("links")).alias("n_links"), "component")
     result = written(result, "vector-components")
-    nodes = rows.filter(good).distinct().join(classes.select("e", "of"), "e").select("id", "of")
-    nodes = nodes.join(result, "of").groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min("component").alias("component"))
+    nodes = nodes.join(result, "key").groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min("component").alias("component"))
     return (
         rows.select("id")
         .join(nodes, "id", "left")

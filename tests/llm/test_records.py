@@ -88,6 +88,25 @@ def test_links_just_above_the_threshold(spark, k):
     assert sum(got.values()) >= 0.99 * want.sum()
 
 
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(12)
+    long, short = rng.normal(size=(3, 20)), rng.normal(size=(2, 9))
+    rows = [(10 * k + c, (v + rng.normal(size=20) * 0.05).tolist()) for k, v in enumerate(long) for c in range(4)]
+    rows += [(100 + 10 * k + c, (v + rng.normal(size=9) * 0.02).tolist()) for k, v in enumerate(short) for c in range(3)]
+    rows += [(103, rows[12][1]), (200, rng.normal(size=21).tolist()), (300, [2.0]), (301, [3.0]), (302, [-1.0])]
+    both = [(0, rows[12][1])]  # an id of two lengths joins two groups
+    got = {}
+    for name, table in (("apart", rows), ("joined", rows + both)):
+        found = embeddings.near_duplicate_vectors(spark.createDataFrame(table, "vec_id long, embedding array<double>")).collect()
+        got[name] = {r["id"]: (r["n_links"], r["component"]) for r in found}
+    want = {10 * k + c: (3, 10 * k) for k in range(3) for c in range(4)}
+    want |= {i: (3, 100) for i in range(100, 104)} | {110 + c: (2, 110) for c in range(3)}
+    want |= {200: (0, 200), 300: (1, 300), 301: (1, 300), 302: (0, 302)}
+    assert got["apart"] == want
+    want |= {0: (7, 0)} | {i: (4, 0) for i in range(100, 104)}
+    assert got["joined"] == want
+
+
 def test_hadamard():
     x = np.random.default_rng(1).normal(size=(5, 16))
     matrix = embeddings.hadamard(np.eye(16))
