@@ -18,17 +18,36 @@ def _hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.hash(key).alias("b"))
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """Hashes ``a``, ``b`` of the line keys of at least ``min_chars`` code points that stand in at least ``min_docs`` rows.
+def frequent_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, doc_id: str | None = None) -> DataFrame:
+    """Hashes ``a``, ``b`` of the line keys of at least ``min_chars`` code points that stand in at least ``min_docs`` documents.
 
-    A row counts once per key, however often the line repeats in it; repeated rows count once each.
-    Counts are summed before the shuffle, so a line that all documents share moves as one row per task.
+    A document counts once per key, however often the line repeats in it. Rows of one id are one document, so are rows of
+    null id and one text; without ``doc_id`` each row is one. Counts are summed before the shuffle, so a line that all
+    documents share moves as one row per task; only lines of documents of several rows are first made distinct.
     """
     keys = F.filter(F.transform(F.split(F.col(text), "\n"), line_key), lambda key: F.char_length(key) >= min_chars)
+    hashes = F.explode(F.array_distinct(F.transform(keys, _hash))).alias("h")
+
+    def lines_of(rows: DataFrame, *of: str) -> DataFrame:
+        return rows.select(*of, hashes).select(*of, "h.a", "h.b")
+
+    if doc_id is None:
+        lines = lines_of(docs)
+    else:
+        of_null = F.when(F.col(doc_id).isNull(), F.xxhash64(text))
+        rows = docs.select(F.col(doc_id).alias("of"), of_null.alias("of_null"), text)
+        several = rows.groupBy("of", "of_null").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        several = written(several.select(F.col("of").alias("again"), F.col("of_null").alias("again_null")), "repeated-documents")
+        n_several = several.count()
+        if not n_several:
+            lines = lines_of(rows)
+        else:
+            same = F.col("of").eqNullSafe(F.col("again")) & F.col("of_null").eqNullSafe(F.col("again_null"))
+            once = lines_of(rows.join(small(several, n_several), same, "left_anti"))
+            repeated = lines_of(rows.join(small(several, n_several), same, "left_semi"), "of", "of_null")
+            lines = once.unionAll(repeated.distinct().select("a", "b"))
     return (
-        docs.select(F.explode(F.array_distinct(F.transform(keys, _hash))).alias("h"))
-        .select("h.a", "h.b")
-        .groupBy("a", "b")
+        lines.groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_docs)
         .select("a", "b")
@@ -54,7 +73,7 @@ def drop_frequent_lines(
         whole.alias("text"),
         F.xxhash64(whole).alias("text_hash"),
     )
-    frequent = written(frequent_lines(rows, "text", min_docs, min_chars), "frequent-lines")
+    frequent = written(frequent_lines(rows, "text", min_docs, min_chars, "id"), "frequent-lines")
     key = line_key(F.col("line"))
     lines = (
         rows.select("id", "text_hash", F.posexplode(F.split("text", "\n")).alias("at", "line"))

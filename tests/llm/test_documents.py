@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from steploom.llm import decontaminate, language, licences, line_dedup, packing, simhash, token_files, toxicity
+from steploom.llm.oracle import ORACLE
 from steploom.llm.shared import new_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,6 +69,24 @@ def test_line_dedup(docs, rows):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_one_document_for_line_dedup(spark):
+    rows = [(1, "only here\nand this")] * 10 + [(k, f"shared\nown {k}") for k in range(100, 109)]
+    rows += [(109, "Shared \nx")] * 3 + [(k, "nine\n") for k in range(200, 209)] + [(208, "nine\nagain")] + [(None, "no id")] * 12
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = line_dedup.drop_frequent_lines(docs, min_docs=10).select("row.doc_id", "row.text", "n_dropped", "kept").collect()
+    assert len(out) == len(rows)
+    for r in out:
+        shared = r["doc_id"] is not None and 100 <= r["doc_id"] < 110
+        assert r["n_dropped"] == int(shared) and r["kept"] == (r["text"].split("\n")[1] if shared else r["text"])
+    # The registered SQL counts different ids, too.
+    sql = duckdb.connect()
+    with_ids = [r for r in rows if r[0] is not None]
+    sql.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    sql.executemany("INSERT INTO documents VALUES (?, ?)", [r for r in dict.fromkeys(with_ids) if r[0] != 208] + [rows[0]] * 9)
+    want = {i: bool(n) for i, _, n, _ in sql.execute(ORACLE["op7_line_dedup"]).fetchall()}
+    assert want == {r["doc_id"]: bool(r["n_dropped"]) for r in out if r["doc_id"] not in (None, 208)}
+
+
 def hit_words(text, items, size=13):
     cut = lambda t: [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or "")) if x]
     words, hit, found = cut(text), set(), set()
