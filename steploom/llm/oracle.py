@@ -117,5 +117,43 @@ SELECT page_id, record_id, coalesce(refers_to, -1) AS refers_to, outcome,
        || coalesce('; etag=' || coalesce('W/' || tag, CASE WHEN outcome = 'resolved' THEN old_tag END), '')
        || coalesce('; last-modified=' || coalesce(modified, CASE WHEN outcome = 'resolved' THEN old_modified END), '') AS headers
 FROM judged
+""",
+    # Bytes come from the hexadecimal text; the checksum's table is made by its rule, eight steps a byte.
+    "op13_sharding": r"""
+WITH RECURSIVE steps AS (
+  SELECT i AS byte, 0 AS k, i::BIGINT AS c FROM range(256) t(i)
+  UNION ALL
+  SELECT byte, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM steps WHERE k < 8
+), crc_table AS (
+  SELECT list(c ORDER BY byte) AS t FROM steps WHERE k = 8
+), docs AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n, hex(encode(coalesce(text, ''))) AS h,
+         row_number() OVER (ORDER BY doc_id) - 1 AS row_number
+  FROM documents
+), sums AS (
+  SELECT doc_id, n, row_number,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)),
+             lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295::BIGINT) AS crc
+  FROM docs, crc_table
+), domain AS (
+  SELECT n_rows, a, CAST(ceil(n_rows / a) AS BIGINT) AS b
+  FROM (SELECT n_rows, CAST(ceil(sqrt(n_rows)) AS BIGINT) AS a FROM (SELECT count(*) AS n_rows FROM documents))
+), rounds AS (
+  SELECT list((i * 1103515245 + 12345) % 2147483647 ORDER BY i) AS keys FROM range(6) t(i)
+), walk AS (
+  SELECT doc_id, row_number // b AS l, row_number % b AS r, 0 AS i
+  FROM docs, domain
+  UNION ALL
+  SELECT doc_id,
+         CASE WHEN i % 2 = 0 THEN (l + ((r + keys[i % 6 + 1]) % 2147483647) * ((r + keys[i % 6 + 1]) % 2147483647) % 2147483647 * 1588635695 % 2147483629) % a ELSE l END,
+         CASE WHEN i % 2 = 1 THEN (r + ((l + keys[i % 6 + 1]) % 2147483647) * ((l + keys[i % 6 + 1]) % 2147483647) % 2147483647 * 1588635695 % 2147483629) % b ELSE r END,
+         i % 6 + 1
+  FROM walk, domain, rounds WHERE i < 6 OR l * b + r >= n_rows
+), places AS (
+  SELECT doc_id, l * b + r AS place FROM walk, domain WHERE i = 6 AND l * b + r < n_rows
+)
+SELECT doc_id, n + 16 AS size, crc AS text_crc32, 'rows' AS law, (place % 40)::INTEGER AS shard, place // 40 AS slot,
+       NULL::INTEGER AS grown_shard
+FROM sums JOIN places USING (doc_id)
 """,
 }

@@ -6,9 +6,10 @@ import functools
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from steploom.llm.alignment import aligned_texts, pair_of, with_link_counts
 from steploom.llm.decontaminate import contamination, is_contaminated
 from steploom.llm.embeddings import near_duplicate_vectors
 from steploom.llm.language import fit_languages, languages
@@ -16,6 +17,8 @@ from steploom.llm.language import learning_rows as language_rows
 from steploom.llm.licences import licences
 from steploom.llm.line_dedup import drop_frequent_lines
 from steploom.llm.packing import pack, token_pieces
+from steploom.llm.periodic import find_runs
+from steploom.llm.sharding import shard_rows
 from steploom.llm.shared import new_path, ship_code
 from steploom.llm.simhash import near_duplicates
 from steploom.llm.token_files import read_token_files, write_token_files
@@ -26,6 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: The tokenizer file of the token queries, where the package of public tokenizers has it.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,6 +165,72 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder).withColumnRenamed("id", "doc_id")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = aligned_texts(docs, TOKENIZER, PIECE_MODEL)
+    digest = F.when(F.col("groups").isNull(), "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    aligned = aligned.withColumn("groups_sha256", digest).drop("groups")
+    return with_link_counts(aligned, pair_of(TOKENIZER, PIECE_MODEL).size_a).withColumnRenamed("id", "doc_id")
+
+
+#: The words of the contracts: what stands between ASCII white space.
+_BETWEEN_WORDS = r"[\x20\x09-\x0D]+"
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs``, where in one document of ten, by the checksum of its id, the words from one on repeat a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.split(F.regexp_replace("text", rf"^{_BETWEEN_WORDS}|{_BETWEEN_WORDS}\z", ""), _BETWEEN_WORDS)
+    whole = lambda x, y: F.call_function("div", x, y).cast("int")
+
+    def repeated(held: Column) -> Column:
+        words, n = held["words"], F.size(held["words"])
+        g = whole(held["h"], F.lit(10))
+        a = (g % n).cast("int")
+        p = 1 + whole(n - a, (3 + g % 8).cast("int"))
+        places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+        return F.array_join(F.transform(places, lambda i: words[i]), " ")
+
+    # The element of the array is computed once for all uses of it.
+    planted = F.transform(F.array(F.struct(words.alias("words"), h.alias("h"))), repeated)[0]
+    blank = F.col("text").rlike(rf"^(?:{_BETWEEN_WORDS})?\z")
+    return docs.select("doc_id", F.when((h % 10 == 0) & ~blank, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # The greatest exact length / period by cross products; runs come by start, then period, so the first of equals stays.
+    better = lambda best, run: F.when(
+        best["period"].isNull() | (run["length"] * best["period"] > best["length"] * run["period"]), run
+    ).otherwise(best)
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    of = found.select("id", "runs", "collapsed", F.aggregate("runs", none, better).alias("best"), F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("lines"))
+    return of.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.call_function("div", F.col("best.length") * 1000, F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.col("lines")).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shard_rows(docs, shards=40, keep=()).select(
+        F.col("id").alias("doc_id"),
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def _with_code(query: Query) -> Query:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,6 +251,9 @@ _OPERATORS: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_token_files": op10_token_files,
+    "op11_alignment": op11_alignment,
+    "op12_periodic": op12_periodic,
+    "op13_sharding": op13_sharding,
 }
 
 QUERIES = {name: _with_code(query) for name, query in _OPERATORS.items()}

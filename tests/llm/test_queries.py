@@ -17,6 +17,6 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_main_path_of_native_operators_has_no_python(spark):
-    for name in ("op1_decontaminate", "op3_licences", "op7_line_dedup"):
+    for name in ("op1_decontaminate", "op3_licences", "op7_line_dedup", "op13_sharding"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert not any(word in plan for word in ("Python", "Pandas", "Arrow")), name
