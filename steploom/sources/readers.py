@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steploom.functions.text import col
+from steploom.sources.versions import current
 from steploom.specs import Comparison, SpecError
 
 # Texts that stand for a missing value.
@@ -18,7 +19,7 @@ NA_TOKENS = (
 
 
 def scan_csv(spark: SparkSession, path: str, delimiter: str = ",", multi_line: bool = False) -> DataFrame:
-    """A headered delimited table, every column as text, missing-value tokens as null.
+    """A headered delimited table, every column as text, missing-value tokens as null. Of a published table the current version.
 
     A record that does not fit the header fails the job rather than being cut or padded. Text with
     line breaks inside quotes needs ``multi_line=True``, which reads each file in one task.
@@ -32,13 +33,16 @@ def scan_csv(spark: SparkSession, path: str, delimiter: str = ",", multi_line: b
         .option("columnPruning", False)
         .option("mode", "FAILFAST")
         .option("multiLine", multi_line)
-        .csv(path)
+        .csv(current(spark, path))
     )
     return raw.select([F.when(~col(name).isin(*NA_TOKENS), col(name)).alias(name) for name in raw.columns])
 
 
 def scan_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table by the ending of its path: ``.csv`` (also compressed) and ``.tsv`` as text, ``.parquet`` or none as parquet."""
+    """A table by the ending of its path: ``.csv`` (also compressed) and ``.tsv`` as text, ``.parquet`` or none as parquet.
+
+    Of a published table the current version.
+    """
     name = path.rstrip("/").rpartition("/")[2].lower()
     if name.endswith((".xlsx", ".xls")):
         raise SpecError(f"workbooks are not read; save {path} as CSV or parquet")
@@ -47,7 +51,15 @@ def scan_table(spark: SparkSession, path: str) -> DataFrame:
         return scan_csv(spark, path, "," if plain.endswith(".csv") else "\t")
     if "." in name and not name.endswith(".parquet"):
         raise SpecError(f"no reader for {path}: endings are .csv, .tsv and .parquet; pass a reader of your own")
-    return spark.read.parquet(path)
+    return spark.read.parquet(current(spark, path))
+
+
+def scan_published(spark: SparkSession, folder: str, table: str, file_type: str = "parquet") -> DataFrame:
+    """A table of the current version of a set that was published together, such as the three of ``sink_impact``."""
+    path = current(spark, folder, table)
+    if path == folder:
+        raise SpecError(f"nothing is published in {folder}")
+    return scan_csv(spark, path) if file_type == "csv" else spark.read.parquet(path)
 
 
 def scan_stages(

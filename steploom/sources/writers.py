@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,56 +13,50 @@ from steploom.operators.bands import distribution
 from steploom.operators.filters import check_thresholds, filter_rate_change
 from steploom.operators.lists import list_to_string
 from steploom.operators.summary import item_stage_pivot
-from steploom.specs import NB, Band, Comparison, SpecError
+from steploom.sources.versions import KEEP, TABLE, publish, version_path
+from steploom.specs import NB, Band, Comparison, SpecError, check_bands
 
 CSV, PARQUET = "csv", "parquet"
+#: The tables of a version that ``sink_impact`` writes.
+IMPACT_TABLES = ("merged_data", "summary_table", "band_distribution")
 
 
-def _replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
-    """Write to a folder beside ``path`` and put it in its place when the job has succeeded.
-
-    Until then an earlier output stays readable; it is removed only after the new one stands there.
-    """
-    target = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    draft, old = (target.suffix(f"-{kind}-{uuid.uuid4().hex}") for kind in ("draft", "old"))
-    try:
-        write(draft.toString())
-    except BaseException:
-        files.delete(draft, True)
-        raise
-    replaced = files.exists(target) and files.rename(target, old)
-    if not files.rename(draft, target):
-        if replaced:
-            files.rename(old, target)
-        raise OSError(f"cannot move the written table to {path}")
-    if replaced:
-        files.delete(old, True)
-
-
-def write_table(df: DataFrame, path: str, file_type: str = CSV) -> None:
-    """Write to ``path``, replacing an earlier table there only after success."""
+def _write(df: DataFrame, path: str, file_type: str) -> None:
     if file_type == PARQUET:
-        _replace(df.sparkSession, path, lambda draft: df.write.parquet(draft))
-    elif file_type == CSV:
-        arrays = {f.name: list_to_string(col(f.name)) for f in df.schema if isinstance(f.dataType, T.ArrayType)}
-        writer = (
-            df.withColumns(arrays)
-            .write.option("header", True)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("emptyValue", "")
-            .option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False)
-        )
-        _replace(df.sparkSession, path, lambda draft: writer.csv(draft))
-    else:
+        df.write.parquet(path)
+        return
+    arrays = {f.name: list_to_string(col(f.name)) for f in df.schema if isinstance(f.dataType, T.ArrayType)}
+    writer = (
+        df.withColumns(arrays)
+        .write.option("header", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+    )
+    writer.csv(path)
+
+
+def _check_type(file_type: str) -> None:
+    if file_type not in (CSV, PARQUET):
         raise SpecError(f"file type must be {CSV} or {PARQUET}, not {file_type!r}")
 
 
-def sink_converted(df: DataFrame, path: str, file_type: str = CSV) -> None:
-    """Write with upper-case headers."""
-    write_table(df.toDF(*[name.upper() for name in df.columns]), path, file_type)
+def write_table(df: DataFrame, path: str, file_type: str = CSV, keep: int = KEEP) -> str:
+    """Publish ``df`` as the current version of the table ``path``; returns where that version is.
+
+    An earlier version stays current until the new one is whole, and readable until ``keep`` later ones are there. The readers
+    of this package take ``path`` itself; others take what ``versions.current`` says, or the path returned.
+    """
+    _check_type(file_type)
+    version = publish(df.sparkSession, path, lambda place: _write(df, place(TABLE), file_type), keep)
+    return version_path(path, version)
+
+
+def sink_converted(df: DataFrame, path: str, file_type: str = CSV) -> str:
+    """Write with upper-case headers, as ``write_table``."""
+    return write_table(df.toDF(*[name.upper() for name in df.columns]), path, file_type)
 
 
 def band_table(df: DataFrame, comparison: Comparison, bands: Sequence[Band], segments: Sequence[str] = (NB,)) -> DataFrame:
@@ -85,19 +78,25 @@ def sink_impact(
 ) -> dict[str, str]:
     """Write merged rows, item-by-stage totals and band distribution; returns their paths.
 
-    The merged rows are computed once, as parquet; all else reads that. For CSV it stands beside the other
-    tables, as ``merged_rows``: CSV would lose the types of the stage columns.
+    The three tables are one version of ``folder``: if any of them fails, all of an earlier version stay current. Merged rows
+    are computed once, as parquet; all else reads that. For CSV they stand beside the other tables, as ``merged_rows``: CSV
+    would lose the types of the stage columns.
     """
-    paths = {name: f"{folder}/{name}" for name in ("merged_data", "summary_table", "band_distribution")}
-    rows = paths["merged_data"] if file_type == PARQUET else f"{folder}/merged_rows"
-    write_table(df, rows, PARQUET)
-    source = df.sparkSession.read.parquet(rows)
-    if file_type != PARQUET:
-        write_table(source, paths["merged_data"], file_type)
-    totals = item_stage_pivot(source, comparison).withColumnRenamed("item", "Item")
-    write_table(totals, paths["summary_table"], file_type)
-    write_table(band_table(source, comparison, bands), paths["band_distribution"], file_type)
-    return paths
+    _check_type(file_type)
+    bands, spark = check_bands(bands), df.sparkSession
+
+    def write(place: Callable[[str], str]) -> None:
+        rows = place("merged_data" if file_type == PARQUET else "merged_rows")
+        _write(df, rows, PARQUET)
+        source = spark.read.parquet(rows)
+        if file_type != PARQUET:
+            _write(source, place("merged_data"), file_type)
+        totals = item_stage_pivot(source, comparison).withColumnRenamed("item", "Item")
+        _write(totals, place("summary_table"), file_type)
+        _write(band_table(source, comparison, bands), place("band_distribution"), file_type)
+
+    version = publish(spark, folder, write)
+    return {name: version_path(folder, version, name) for name in IMPACT_TABLES}
 
 
 def filtered_name(comparison: Comparison, item: str, step: int, segment: str, timestamp: str) -> str:
@@ -120,7 +119,7 @@ def sink_filtered(
     segment: str = NB,
     file_type: str = CSV,
 ) -> str:
-    """Write the rows of a rate-change range to a folder named after the request; returns its path."""
+    """Publish the rows of a rate-change range as a table named after the request; returns the table's path."""
     check_thresholds(low, high)
     path = f"{folder}/{filtered_name(comparison, item, step, segment, timestamp)}"
     write_table(filter_rate_change(df, comparison, item, step, low, high, segment), path, file_type)

@@ -79,10 +79,9 @@ def sink_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sink_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = fx.impact(spark, sf_dir)
-    paths = result.write(fx.scratch(spark), writers.PARQUET)
-    merged, totals, shares = (
-        spark.read.parquet(paths[name]) for name in ("merged_data", "summary_table", "band_distribution")
-    )
+    folder = fx.scratch(spark)
+    result.write(folder, writers.PARQUET)
+    merged, totals, shares = (readers.scan_published(spark, folder, name) for name in writers.IMPACT_TABLES)
     names = fx.COMPARISON.stage_names()
     pairs = F.array(*[F.struct(F.lit(name).alias("part"), F.col(name).alias("value")) for name in names])
     sums = [F.struct(F.lit(name).alias("part"), F.sum(name).cast("double").alias("value")) for _, _, name in fx.COMPARISON.stage_columns]
@@ -108,7 +107,7 @@ def sink_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fx.impact(spark, sf_dir).export(
         "Net", 1, -0.055, -0.015, fx.scratch(spark), "20240101_000000", file_type=writers.PARQUET
     )
-    return _plain(spark.read.parquet(path).select(fx.ID, "note", "Net_1", "Net_2", "percent_diff_Net_step_1"))
+    return _plain(readers.scan_table(spark, path).select(fx.ID, "note", "Net_1", "Net_2", "percent_diff_Net_step_1"))
 
 
 # Projections, renames, schema checks

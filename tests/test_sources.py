@@ -2,11 +2,13 @@
 
 import functools
 import os
+import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from steploom import Band, ColumnRule, Comparison, SpecError, StageRule, analyse, run_conversion
-from steploom.sources import readers
+from steploom.sources import readers, versions, writers
 from steploom.sources.readers import NA_TOKENS, scan_csv, scan_stages, scan_table
 from steploom.sources.writers import filtered_name, sink_converted, write_table
 
@@ -71,7 +73,7 @@ def test_sink_converted_upper_case_and_overwrite(spark, tmp_path):
     assert got.columns == ["ID", "NAME", "ITEMS"]
     assert rows(got) == [("1", ' a"b', "x;y"), ("2", None, None)]
     sink_converted(df, path + "_p", "parquet")
-    assert spark.read.parquet(path + "_p").columns == ["ID", "NAME", "ITEMS"]
+    assert scan_table(spark, path + "_p").columns == ["ID", "NAME", "ITEMS"]
     with pytest.raises(SpecError):
         write_table(df, path, "excel")
 
@@ -141,3 +143,84 @@ def test_conversion_with_a_reader_of_its_own(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == [("X\n1", 5)]
     with pytest.raises(SpecError, match="no reader"):
         readers.scan_table(spark, str(source))
+
+
+@pytest.mark.parametrize("file_type", ["csv", "parquet"])
+def test_failing_report_leaves_all_earlier_tables(spark, tmp_path, file_type, monkeypatch):
+    folder = str(tmp_path / "report")
+    result = _result(spark)
+    result.write(folder, file_type)
+    read = lambda: [rows(readers.scan_published(spark, folder, name, file_type)) for name in writers.IMPACT_TABLES]
+    before = read()
+    changed = result.on(result.rows.filter("id = 'A'"))
+
+    def fail(*_):
+        raise OSError("no band table")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(writers, "band_table", fail)
+        with pytest.raises(OSError, match="no band table"):
+            changed.write(folder, file_type)
+    with pytest.raises(SpecError):  # found before anything is written
+        writers.sink_impact(changed.rows, changed.comparison, (), folder, file_type)
+    # The last of the tables fails in its job, when the others are written.
+    broken = changed.rows.withColumn("percent_diff_Prop erty_overall", F.raise_error(F.lit("bad rate")).cast("double"))
+    with pytest.raises(Exception, match="bad rate"):
+        changed.on(broken).write(folder, file_type)
+    assert read() == before
+    assert len(os.listdir(f"{folder}/_versions")) == len(os.listdir(f"{folder}/_current")) - 1 == 1  # beside the checksum file
+    changed.write(folder, file_type)
+    assert [len(part) for part in read()] == [1, 1, len(before[2])]
+
+
+def test_reader_finds_one_whole_version_through_rewrites(spark, tmp_path):
+    path = str(tmp_path / "table")
+    write_table(spark.range(0, 40, 1, 4).selectExpr("0 AS version", "id"), path, "parquet")
+    stop, seen, failed = threading.Event(), set(), []
+
+    def poll():
+        while not stop.is_set():
+            try:
+                found = {(r["version"], r["n"]) for r in scan_table(spark, path).groupBy("version").agg(F.count("id").alias("n")).collect()}
+                seen.update(found)
+                if len(found) != 1 or {n for _, n in found} != {40}:
+                    failed.append(found)
+            except Exception as error:  # noqa: BLE001
+                failed.append(error)
+
+    reader = threading.Thread(target=poll)
+    reader.start()
+    for n in range(1, 7):
+        write_table(spark.range(0, 40, 1, 4).selectExpr(f"{n} AS version", "id"), path, "parquet", keep=4)
+    stop.set()
+    reader.join()
+    assert not failed and len(seen) > 1
+    assert scan_table(spark, path).head()["version"] == 6
+
+
+def test_versions_that_no_longer_count_are_removed(spark, tmp_path):
+    path = str(tmp_path / "table")
+    spark.range(3).write.parquet(path)  # a plain table
+    assert versions.versions(spark, path) == [] and versions.current(spark, path) == path
+    places = [write_table(spark.range(n), path, "parquet") for n in (4, 5, 6)]
+    assert [os.path.exists(p) for p in places] == [False, True, True]
+    assert versions.current(spark, path) == places[2] and scan_table(spark, path).count() == 6
+    assert sorted(p for p in os.listdir(path) if not p.startswith(".")) == ["_current", "_versions"]
+    with pytest.raises(ValueError):
+        write_table(spark.range(1), path, keep=0)
+    with pytest.raises(SpecError, match="nothing is published"):
+        readers.scan_published(spark, str(tmp_path), "t")
+
+
+def test_versions_published_at_the_same_time_are_both_whole(spark, tmp_path):
+    path = str(tmp_path / "table")
+    inner = []
+
+    def write(place):
+        inner.append(write_table(spark.range(2), path, "parquet"))
+        spark.range(7).write.parquet(place(versions.TABLE))
+
+    outer = versions.publish(spark, path, write)
+    assert len(versions.versions(spark, path)) == 2
+    last = max(outer, inner[0].split("/")[-2])
+    assert scan_table(spark, path).count() == (7 if last == outer else 2)
