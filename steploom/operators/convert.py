@@ -20,11 +20,19 @@ ROWS, STRING, ARRAY = "list_in_multiple_rows", "list_in_single_string", "array"
 VALUES, NAMES = "values", "names"
 RAISE, NULL = "raise", "null"
 
-ValueMaps = Mapping[str, Mapping[str, str]]
+ValueMap = Mapping[str, str] | DataFrame
+ValueMaps = Mapping[str, ValueMap]
 
 
-def value_map_frame(spark: SparkSession, value_map: Mapping[str, str]) -> DataFrame:
-    """``from, to`` rows, trimmed; of equal ``from`` texts the last one stays."""
+def value_map_frame(spark: SparkSession, value_map: ValueMap) -> DataFrame:
+    """``from, to`` rows, trimmed, one for each ``from``.
+
+    Of equal ``from`` texts of a dict the last stays; of a table, which has no order, that with the greatest ``to``. Rows of
+    a table with a null in either column are left out.
+    """
+    if isinstance(value_map, DataFrame):
+        trimmed = value_map.select(*[strip(col(name).cast("string")).alias(name) for name in ("from", "to")])
+        return trimmed.filter(F.col("from").isNotNull() & F.col("to").isNotNull()).groupBy("from").agg(F.max("to").alias("to"))
     pairs = {str(old).strip(): str(new).strip() for old, new in value_map.items()}
     # An Arrow table becomes a local relation, so the planner knows its exact size.
     return spark.createDataFrame(
@@ -32,19 +40,39 @@ def value_map_frame(spark: SparkSession, value_map: Mapping[str, str]) -> DataFr
     )
 
 
+def _map_bytes(value_map: ValueMap) -> int:
+    """Bytes of a value map; of a table by an aggregate over it."""
+    if isinstance(value_map, DataFrame):
+        each = F.coalesce(F.octet_length(col("from").cast("string")), F.lit(0)) + F.coalesce(F.octet_length(col("to").cast("string")), F.lit(0))
+        return value_map.agg(F.coalesce(F.sum(each.cast("long") + 16), F.lit(0))).head()[0]
+    return sum(len(str(a).encode()) + len(str(b).encode()) for a, b in value_map.items())
+
+
 #: Value maps of up to so many bytes are broadcast, whatever the session's threshold.
 BROADCAST_BYTES = 8 << 20
-#: Beyond it the values of a larger map are joined over so many salts, so that a hot value is spread.
-SALTS = 16
+#: A value is hot if about one row of so many has it. There are no more hot values than that.
+HOT_SHARE = 100
+#: Values that the frequency sketch tracks; it is wrong by less than 4 rows of so many.
+TRACKED = 4_096
+
+
+def hot_values(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """The values of ``text`` that about one row of HOT_SHARE or more has, from a frequency sketch in one aggregate: at most
+    HOT_SHARE rows and a few, as the sketch counts too many rather than too few."""
+    counts = df.agg(F.call_function("approx_top_k", text, F.lit(2 * HOT_SHARE), F.lit(TRACKED)).alias("top"), F.count(text).alias("rows"))
+    top = counts.select("rows", F.inline("top"))
+    return top.filter(F.col("item").isNotNull() & (F.col("count") * HOT_SHARE >= F.col("rows"))).select(F.col("item").alias(name))
 
 
 def map_values(
-    df: DataFrame, column: str, value_map: Mapping[str, str], into: str | None = None, broadcast_bytes: int = BROADCAST_BYTES
+    df: DataFrame, column: str, value_map: ValueMap, into: str | None = None, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Replace values whose trimmed text is in the map; others pass through.
+    """Replace values whose trimmed text is in the map; others pass through. The map is a dict, or a table ``from, to``.
 
-    A map of at most ``broadcast_bytes`` is broadcast, so the table is not shuffled. The rows of a larger map are
-    repeated for each salt, and equal values of the table are dealt over the salts; nulls pass by the join.
+    A map of at most ``broadcast_bytes`` is broadcast, so the table is not shuffled. Otherwise the map and the table meet
+    by shuffle, but for the table's hot values, found by a frequency sketch: their rows, however many, and the nulls stay
+    where they are, and only the map's rows for hot values, a bounded number, are broadcast. So no value, however
+    frequent, gathers its rows in one task, whatever other columns (maps too) the table has.
     """
     found = find_column(column, df.columns)
     if found is None:
@@ -52,18 +80,19 @@ def map_values(
     into = into or found
     dtype = df.schema[found].dataType
     text = display_text(col(found), dtype)
-    old, new, salt, row = (free_name(name, [*df.columns, into]) for name in ("_from", "_to", "_salt", "_text"))
+    old, new, row, hot = (free_name(name, [*df.columns, into]) for name in ("_from", "_to", "_text", "_hot"))
     lookup = value_map_frame(df.sparkSession, value_map).select(F.col("from").alias(old), F.col("to").alias(new))
-    size = sum(len(str(a).encode()) + len(str(b).encode()) for a, b in value_map.items())
-    if size <= broadcast_bytes:
+    if _map_bytes(value_map) <= broadcast_bytes:
         joined = df.join(F.broadcast(lookup), strip(text) == F.col(old), "left")
         return joined.withColumn(into, F.coalesce(F.col(new), text)).drop(old, new)
-    salted = lookup.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     keyed = df.withColumn(row, text)
-    present = keyed.filter(F.col(row).isNotNull()).withColumn(salt, F.pmod(F.xxhash64("*"), F.lit(SALTS)).cast("int"))
-    met = present.join(salted, (strip(F.col(row)) == F.col(old)) & (present[salt] == salted[salt]), "left").drop(salt)
-    mapped = met.withColumn(into, F.coalesce(F.col(new), F.col(row))).drop(old, new, row)
-    return mapped.unionByName(keyed.filter(F.col(row).isNull()).withColumn(into, F.col(row)).drop(row))
+    key = strip(F.col(row))
+    few = hot_values(keyed.select(row), key, hot)
+    known = F.broadcast(few).join(lookup, F.col(hot) == F.col(old), "left").select(hot, new)
+    in_place = keyed.join(F.broadcast(known), key == F.col(hot), "left").filter(F.col(hot).isNotNull() | F.col(row).isNull())
+    others = keyed.filter(F.col(row).isNotNull()).join(F.broadcast(few), key == F.col(hot), "left_anti").join(lookup, key == F.col(old), "left")
+    mapped = [part.withColumn(into, F.coalesce(F.col(new), F.col(row))).drop(old, new, row, hot) for part in (in_place, others)]
+    return mapped[0].unionByName(mapped[1])
 
 
 def _with_value_maps(

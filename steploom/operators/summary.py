@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steploom.functions.text import col
+from steploom.functions.text import col, free_name
 from steploom.specs import NB, RN, Comparison, SpecError
 
 FINAL = "Final"
@@ -142,31 +142,45 @@ def _dimensions(df: DataFrame, dimensions: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(dimensions))
 
 
-def _sums(df: DataFrame, comparison: Comparison, dimensions: Sequence[str]) -> DataFrame:
+class _Names:
+    """The names of the breakdown's own columns: a dimension keeps its name, and an own column of that name gets underscores before it."""
+
+    def __init__(self, keys: Sequence[str]) -> None:
+        self._taken = list(keys)
+        self._given: dict[str, str] = {}
+
+    def __call__(self, name: str) -> str:
+        if name not in self._given:
+            self._given[name] = free_name(name, self._taken)
+            self._taken.append(self._given[name])
+        return self._given[name]
+
+
+def _sums(df: DataFrame, comparison: Comparison, dimensions: Sequence[str], own: _Names) -> DataFrame:
     """Start and end totals of all items and the row count per group, in one aggregate."""
     totals = []
     for n, item in enumerate(comparison.items):
         rules = comparison.stages(item)
-        totals.append(_sum(comparison.column(rules[0])).alias(f"_start_{n}"))
-        totals.append(_sum(comparison.column(rules[-1])).alias(f"_end_{n}"))
-    return df.groupBy(*[col(name) for name in dimensions]).agg(*totals, F.count(F.lit(1)).alias("_count"))
+        totals.append(_sum(comparison.column(rules[0])).alias(own(f"_start_{n}")))
+        totals.append(_sum(comparison.column(rules[-1])).alias(own(f"_end_{n}")))
+    return df.groupBy(*[col(name) for name in dimensions]).agg(*totals, F.count(F.lit(1)).alias(own("_count")))
 
 
-def _per_item(sums: DataFrame, comparison: Comparison, keys: Sequence[str]) -> DataFrame:
+def _per_item(sums: DataFrame, comparison: Comparison, keys: Sequence[str], own: _Names) -> DataFrame:
     entries = []
     for n, item in enumerate(comparison.items):
-        start, end = F.col(f"_start_{n}"), F.col(f"_end_{n}")
+        start, end = col(own(f"_start_{n}")), col(own(f"_end_{n}"))
         difference = end - start
         share = F.try_divide(difference.cast("double"), start.cast("double")) * 100
         entries.append(
             F.struct(
-                F.lit(n).alias("item_order"),
-                F.lit(item).alias("item"),
-                start.cast("double").alias("value_total_start"),
-                end.cast("double").alias("value_total_end"),
-                F.col("_count").alias("policy_count"),
-                difference.cast("double").alias("value_diff"),
-                F.coalesce(share, F.lit(0.0)).alias("value_diff_percent"),
+                F.lit(n).alias(own("item_order")),
+                F.lit(item).alias(own("item")),
+                start.cast("double").alias(own("value_total_start")),
+                end.cast("double").alias(own("value_total_end")),
+                col(own("_count")).alias(own("policy_count")),
+                difference.cast("double").alias(own("value_diff")),
+                F.coalesce(share, F.lit(0.0)).alias(own("value_diff_percent")),
             )
         )
     return sums.select(*[col(name) for name in keys], F.inline(F.array(*entries)))
@@ -176,41 +190,48 @@ def _per_item(sums: DataFrame, comparison: Comparison, keys: Sequence[str]) -> D
 _MEASURES = ("value_total_start", "value_total_end", "policy_count", "value_diff", "value_diff_percent")
 
 
+def _result(rows: DataFrame, own: _Names, keys: Sequence[str], marks: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    names = [*[own(mark) for mark in marks], *keys, *[own(measure) for measure in _MEASURES]]
+    return rows.orderBy(col(own("item_order")), *order).select(*[col(name) for name in names])
+
+
 def breakdown(df: DataFrame, comparison: Comparison, dimensions: Sequence[str]) -> DataFrame:
     """First and last total, row count and change per item and group of any number of columns.
 
-    Null is a group of its own. Sorted by item and dimensions, nulls last.
+    Null is a group of its own. Sorted by item and dimensions, nulls last. A dimension keeps its name; an own column of the
+    result that has the same name, in any case, gets an underscore before it (``_item`` beside a dimension ``item``).
     """
     keys = _dimensions(df, dimensions)
-    rows = _per_item(_sums(df, comparison, keys), comparison, keys)
-    return rows.orderBy("item_order", *[col(name).asc_nulls_last() for name in keys]).select(
-        "item", *[col(name) for name in keys], *_MEASURES
-    )
+    own = _Names(keys)
+    rows = _per_item(_sums(df, comparison, keys, own), comparison, keys, own)
+    return _result(rows, own, keys, ["item"], [col(name).asc_nulls_last() for name in keys])
 
 
 def breakdown_rollup(df: DataFrame, comparison: Comparison, dimensions: Sequence[str]) -> DataFrame:
-    """The breakdown with subtotals per leading dimensions and a grand total, marked in ``level``.
+    """The breakdown with subtotals per leading dimensions and a grand total, marked in ``level``. Names as there.
 
     The rollup runs on the already grouped sums, so the data itself is not expanded per level. The
     grand total is an aggregate of its own on the same groups, and is there also without any rows.
     """
     keys = _dimensions(df, dimensions)
-    sums = _sums(df, comparison, keys)
+    own = _Names(keys)
+    sums = _sums(df, comparison, keys, own)
+    grouping = own("_grouping")
     everything = 2 ** len(keys) - 1
-    measures = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in sums.columns if name not in keys]
-    levels = sums.rollup(*[col(name) for name in keys]).agg(*measures, F.grouping_id().alias("_grouping"))
+    measures = [F.coalesce(F.sum(col(name)), F.lit(0)).alias(name) for name in sums.columns if name not in keys]
+    levels = sums.rollup(*[col(name) for name in keys]).agg(*measures, F.grouping_id().alias(grouping))
     total = sums.agg(*measures).select(
         "*",
         *[F.lit(None).cast(sums.schema[name].dataType).alias(name) for name in keys],
-        F.lit(everything).cast("bigint").alias("_grouping"),
+        F.lit(everything).cast("bigint").alias(grouping),
     )
-    rolled = levels.filter(F.col("_grouping") < everything).unionByName(total)
-    level = F.when(F.col("_grouping") == 0, DETAIL).when(F.col("_grouping") == everything, GRAND_TOTAL)
+    rolled = levels.filter(col(grouping) < everything).unionByName(total)
+    level = F.when(col(grouping) == 0, DETAIL).when(col(grouping) == everything, GRAND_TOTAL)
     for n in range(1, len(keys)):
-        level = level.when(F.col("_grouping") == 2 ** (len(keys) - n) - 1, f"subtotal_{n}")
-    rows = _per_item(rolled.withColumn("level", level), comparison, ["level", "_grouping", *keys])
+        level = level.when(col(grouping) == 2 ** (len(keys) - n) - 1, f"subtotal_{n}")
+    rows = _per_item(rolled.withColumn(own("level"), level), comparison, [own("level"), grouping, *keys], own)
     order = []
     for n, name in enumerate(keys):
         # A subtotal follows the rows it sums up.
-        order += [F.col("_grouping").bitwiseAND(2 ** (len(keys) - n - 1)), col(name).asc_nulls_last()]
-    return rows.orderBy("item_order", *order).select("item", "level", *[col(name) for name in keys], *_MEASURES)
+        order += [col(grouping).bitwiseAND(2 ** (len(keys) - n - 1)), col(name).asc_nulls_last()]
+    return _result(rows, own, keys, ["item", "level"], order)

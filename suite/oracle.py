@@ -365,6 +365,8 @@ SELECT 'Net' AS item, CAST(sum("Net_1_rn") AS DOUBLE) AS "List", CAST(sum("Net_2
        CAST(sum("Net_3_rn") AS DOUBLE) AS "Taxed" FROM merged
 UNION ALL SELECT 'Rate', 0, 0, 0""",
     "breakdown": _grouped("c_mktsegment, note, l_returnflag, n_name", "c_mktsegment, note, l_returnflag, n_name"),
+    "breakdown_named": 'SELECT item AS _item, c_mktsegment AS item, n_name AS policy_count, policy_count AS _policy_count, '
+    "value_total_start, value_total_end, value_diff, value_diff_percent FROM (" + _grouped("c_mktsegment, n_name", "c_mktsegment, n_name") + ")",
     "breakdown_rollup": _grouped(
         "c_mktsegment, note, l_returnflag, n_name",
         "ROLLUP (c_mktsegment, note, l_returnflag, n_name)",

@@ -462,6 +462,12 @@ def breakdown_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def breakdown_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimensions that are called as columns of the result: these get an underscore before them."""
+    merged = _merged(spark, sf_dir, fx.COMPARISON).withColumnsRenamed({"c_mktsegment": "item", "n_name": "policy_count"})
+    return summary.breakdown(merged, fx.COMPARISON, ["item", "policy_count"])
+
+
 def waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.waterfall(_merged(spark, sf_dir, fx.COMPARISON), fx.COMPARISON)
 
@@ -483,6 +489,6 @@ QUERIES: dict[str, Query] = {
         filter_segments, filter_rate_change, segment_values,
         assign_band, band_distribution, band_zero_fill, distribution_all, distribution_renewal,
         stage_totals, comparison_summary, item_stage_pivot, item_stage_pivot_rn,
-        breakdown, breakdown_rollup, waterfall, progression_table,
+        breakdown, breakdown_named, breakdown_rollup, waterfall, progression_table,
     )
 }

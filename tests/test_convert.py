@@ -88,20 +88,45 @@ def test_map_values_on_numbers_uses_their_text(spark):
     assert rows(cv.map_values(df, "v", {"1.0": "one"})) == [("one",), ("2.5",), (None,)]
 
 
-def test_large_value_map_spreads_hot_values_and_keeps_nulls(spark):
+def test_large_value_map_keeps_hot_values_and_nulls_in_place(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
     try:
-        df = spark.range(300).select(F.when(F.col("id") < 200, "7").when(F.col("id") < 203, F.col("id").cast("string")).alias("v"), F.lit("x").alias("_to"))
-        big = cv.map_values(df, "v", {str(n): f"m{n}" for n in range(5000)}, broadcast_bytes=1_000)
-        plan = big._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" not in plan
-        assert big.columns == ["v", "_to"]
-        got = [r["v"] for r in big.collect()]
-        assert got.count("m7") == 200 and got.count(None) == 97 and {"m200", "m201", "m202"} <= set(got)
+        hot = F.when(F.col("id") < 400, " 7").when(F.col("id") < 500, "same").when(F.col("id") < 700, F.col("id").cast("string"))
+        df = spark.range(1_000).select(hot.alias("v"), F.lit("x").alias("_to"), F.create_map(F.lit("k"), "id").alias("tags"))
+        pairs = {str(n): f"m{n}" for n in range(5_000)}
+        table = spark.createDataFrame([*pairs.items(), ("8", None), (None, "n"), ("7", "a")], "from string, to string")
+        want = sorted(("m7" if n < 400 else "same" if n < 500 else f"m{n}" if n < 700 else "None", n) for n in range(1_000))
+        for value_map in (pairs, table):
+            big = cv.map_values(df, "v", value_map, broadcast_bytes=1_000)
+            assert big.columns == ["v", "_to", "tags"]
+            assert sorted((str(r["v"]), r["tags"]["k"]) for r in big.collect()) == want
+            # Rows of hot values and nulls meet only broadcast rows; the others are shuffled without them.
+            plan = big._jdf.queryExecution().optimizedPlan().toString()
+            assert "LeftAnti" in plan and "approx_top_k" in plan
+            assert [r["_hot"] for r in cv.hot_values(df, F.trim("v"), "_hot").collect()] == ["7", "same"]
+            small = cv.map_values(df, "v", value_map, into="w", broadcast_bytes=1 << 20)
+            assert sorted((str(r["w"]), r["tags"]["k"]) for r in small.collect()) == want and small.columns[-1] == "w"
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_hot_values_do_not_reach_the_shuffle(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("v"))
+        big = cv.map_values(df, "v", {str(n): "x" for n in range(3_000)}, broadcast_bytes=10)
+        assert big.filter("v = 'x'").count() == 1_500 and big.filter("v = 'hot'").count() == 10_000
+        assert cv.hot_values(df, F.col("v"), "h").collect() == [("hot",)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_value_map_of_a_conversion_may_be_a_table(spark, policies):
+    table = spark.createDataFrame([("POL1", "ONE"), ("none", "x")], "from string, to string")
+    assert ("ONE",) in rows(cv.convert(policies, [rule("POLICY NUMBER", "ID")], {"POLICY NUMBER": table}))
+    assert rows(cv.map_values(policies.limit(0), "POLICY NUMBER", table, broadcast_bytes=0)) == []
+
+
 def test_bad_value_stops_or_becomes_null(policies):
     rules = [rule("policy_number", "ID"), rule("memo", "MEMO", "INTEGE")]
     with pytest.raises(Exception, match="column 'memo' as INTEGE: 'x': not a number"):

@@ -300,6 +300,20 @@ def test_merge_matches_null_ids_and_keeps_clashing_names(spark):
     assert sg.merge_stages({"one": one, "two": two}, Comparison(rules), ["seq"], ids_not_null=True).count() == 1
 
 
+def test_breakdown_by_columns_named_like_its_own(merged):
+    named = merged.withColumnsRenamed({"seg": "item", "sub": "Level"}).withColumn("_count", F.lit("c"))
+    plain = rows(sm.breakdown(merged, TWO, ["seg", "sub"]))
+    got = sm.breakdown(named, TWO, ["item", "Level"])
+    assert got.columns == ["_item", "item", "Level", *sm._MEASURES] and rows(got) == plain
+    got = sm.breakdown_rollup(named, TWO, ["item", "Level"])
+    assert got.columns == ["_item", "_level", "item", "Level", *sm._MEASURES]
+    assert rows(got) == rows(sm.breakdown_rollup(merged, TWO, ["seg", "sub"]))
+    own = ["_count", "item_order", "policy_count", "value_diff", "_grouping", "_start_0"]
+    many = merged.select("*", *[F.lit("x").alias(name) for name in own])
+    assert sm.breakdown(many, TWO, own).count() == sm.breakdown(merged.withColumn("k", F.lit("x")), TWO, ["k"]).count()
+    assert sm.breakdown_rollup(many, TWO, own).columns[2:8] == own
+
+
 def test_breakdown_with_totals(merged):
     got = [row[1:7] for row in rows(sm.breakdown_rollup(merged, TWO, ["seg", "sub"])) if row[0] == "P"]
     assert got == [
