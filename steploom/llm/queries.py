@@ -59,7 +59,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select(F.col("id").alias("doc_id"), F.array_join("families", ",").alias("families"), "n_lines", "n_unknown")
+    return found.select(F.col("id").alias("doc_id"), F.array_join("families", ",").alias("families"), "n_paragraphs", "n_unknown")
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -352,17 +352,3 @@ def test_cross_parsing_counts_phrases():
         text = "".join(rng.choices("abcd", k=rng.randint(1, 250)))
         symbols = language._symbols(language._code_points(text), reader.symbol_of)
         assert reader.costs([symbols])[0, 0] == pytest.approx(longest_phrases(text, reference) * reader.bits[0])
-
-
-def test_licences(spark, docs):
-    ours = [
-        (2001, "intro\nLicensed under the Apache License, Version 2.0.\nmore text here"),
-        (2002, "Released under the MIT License.\nreleased under the mit license\nAll rights reserved."),
-        (2003, "Licensed under the terms that we like, version 7."),
-    ]
-    table = docs.select("doc_id", "text", "id", "row").unionByName(spark.createDataFrame(ours, "doc_id long, text string"), True)
-    out = {r["id"]: (list(r["families"]), r["n_lines"]) for r in licences.licences(table).collect()}
-    assert out[2001] == (["apache-2.0"], 1) and out[2002] == (["mit", "proprietary"], 3)
-    assert out[2003][0] == [] and all(v == ([], 0) for k, v in out.items() if k is None or k < 2000)
-    assert licences.licences(table).count() == table.count()
-
