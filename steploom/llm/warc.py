@@ -1,4 +1,4 @@
-"""WARC records: not-modified revisits get the headers and the payload of the response they refer to.
+"""WARC records: not-modified revisits get the record and the headers of the response they refer to; its payload stays there.
 
 As-of join: each revisit of profile server-not-modified takes the latest earlier full response of its canonical URL.
 The timelines of all URLs are cut into blocks; the last response of each block is carried over the blocks after it. So the
@@ -16,6 +16,9 @@ from steploom.llm.shared import written
 #: Records of one block, about; a block is one task's stretch of sorted records.
 BLOCK_RECORDS = 200_000
 
+#: Revisits of one response meet its headers over so many salts at most.
+SALTS = 64
+
 #: Fixed: header fields that a 304 response must not change in a stored response (they describe the message or its body).
 NOT_MERGED = (
     "connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive",
@@ -76,7 +79,8 @@ def resolve_revisits(records: DataFrame, block_records: int = BLOCK_RECORDS) ->
     and ``headers`` (merged if resolved, else the revisit's own, names in lower case). A response of the same time is not
     earlier. Outcomes: ``resolved``; ``no_response``; ``etag_differs`` (both have one, weak comparison);
     ``modified_later`` (no entity tag on both sides and the response's Last-Modified text differs); ``no_validator`` (neither kind on
-    both sides). A revisit without URL or time has no response. Repeated rows give repeated results; null headers are empty.
+    both sides). A revisit without URL or time has no response. Record ids may repeat on other pages or times: a record is known by id,
+    page and time. Repeated rows give repeated results; null headers are empty.
     """
     names = F.coalesce(lower_names(F.col("headers")), F.create_map().cast("map<string,string>"))
     facts = records.select(
@@ -97,28 +101,49 @@ def resolve_revisits(records: DataFrame, block_records: int = BLOCK_RECORDS) ->
     sorted_rows = slim.repartitionByRange(blocks, *order).select("*", F.spark_partition_id().alias("block"))
     sorted_rows = written(sorted_rows, "capture-blocks")
     in_block = Window.partitionBy("page", "block").orderBy("captured", "full", "record_id").rowsBetween(Window.unboundedPreceding, 0)
-    here = F.last(F.when(F.col("full"), F.col("record_id")), ignorenulls=True).over(in_block)
-    ends = sorted_rows.filter("full").groupBy("page", "block").agg(F.max_by("record_id", F.struct("captured", "record_id")).alias("end"))
+    response = F.struct("captured", "record_id")
+    here = F.last(F.when(F.col("full"), response), ignorenulls=True).over(in_block)
+    ends = sorted_rows.filter("full").groupBy("page", "block").agg(F.max(response).alias("end"))
     all_blocks = sorted_rows.select("page", "block").distinct().join(ends, ["page", "block"], "left")
     before = Window.partitionBy("page").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
     carried = all_blocks.select("page", "block", F.last("end", ignorenulls=True).over(before).alias("carried"))
-    answers = (
-        sorted_rows.withColumn("here", here)
-        .filter(~F.col("full"))
-        .join(written(carried, "carried"), ["page", "block"])
-        .select(F.col("record_id").alias("of"), F.col("page").alias("of_page"), F.col("captured").alias("at"), F.coalesce("here", "carried").alias("refers_to"))
-        .distinct()
+    found = sorted_rows.withColumn("here", here).filter(~F.col("full")).join(written(carried, "carried"), ["page", "block"])
+    answer = F.coalesce("here", "carried")
+    answers = found.select(
+        F.col("record_id").alias("of"),
+        F.col("page").alias("of_page"),
+        F.col("captured").alias("at"),
+        answer["record_id"].alias("refers_to"),
+        answer["captured"].alias("referred"),
+        answer.isNotNull().alias("answered"),
     )
     answers = written(answers, "answers")
-    same = (F.col("record_id") == F.col("of")) & (F.col("page") == F.col("of_page")) & (F.col("captured") == F.col("at"))
-    asked = facts.filter("revisit").join(answers, same, "left").select("record_id", "url", "captured", "headers", "refers_to")
-    stored = facts.filter("full").select(F.col("record_id").alias("stored_id"), F.col("headers").alias("stored"), F.col("page").alias("stored_page"))
-    stored = stored.dropDuplicates(["stored_id"])
-    both = asked.join(stored, F.col("refers_to") == F.col("stored_id"), "left")
+    revisits = facts.filter("revisit")
+    placed = F.col("page").isNotNull() & F.col("captured").isNotNull()
+    same = F.col("record_id").eqNullSafe(F.col("of")) & (F.col("page") == F.col("of_page")) & (F.col("captured") == F.col("at"))
+    asked = revisits.filter(placed).join(answers, same).select(
+        "record_id", "url", "page", "captured", "headers", "refers_to", "referred", "answered",
+        F.pmod(F.xxhash64("record_id", "captured"), F.lit(SALTS)).cast("int").alias("salt"),
+    )
+    # A response may stand there twice with other headers; those that come last as text are taken.
+    stored = facts.filter("full").groupBy("record_id", "page", "captured").agg(F.max_by("headers", F.to_json("headers")).alias("stored"))
+    stored = stored.toDF("stored_id", "stored_page", "stored_at", "stored")
+    # A response goes to each salt that asks for it, so a hot one meets its revisits in many tasks.
+    needs = asked.filter("answered").select(F.col("refers_to").alias("n_id"), F.col("page").alias("n_page"), F.col("referred").alias("n_at"), F.col("salt").alias("n_salt")).distinct()
+    is_stored = F.col("n_id").eqNullSafe(F.col("stored_id")) & (F.col("n_page") == F.col("stored_page")) & (F.col("n_at") == F.col("stored_at"))
+    sent = needs.join(stored, is_stored).select("n_id", "n_page", "n_at", "n_salt", "stored")
+    is_asked = F.col("refers_to").eqNullSafe(F.col("n_id")) & (F.col("page") == F.col("n_page")) & (F.col("referred") == F.col("n_at")) & (F.col("salt") == F.col("n_salt"))
+    columns = ["record_id", "url", "captured", "headers", "refers_to", "answered", "stored"]
+    with_stored = asked.filter("answered").join(sent, is_asked).select(*columns)
+    # Revisits without an answer, of which there may be many, pass by the joins.
+    nothing = [F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("answered"), F.lit(None).cast("map<string,string>").alias("stored")]
+    without = asked.filter(~F.col("answered")).select("record_id", "url", "captured", "headers", *nothing)
+    unplaced = revisits.filter(~placed).select("record_id", "url", "captured", "headers", *nothing)
+    both = with_stored.unionByName(without).unionByName(unplaced)
     tag, old_tag = _opaque(F.col("headers")["etag"]), _opaque(F.col("stored")["etag"])
     day, old_day = F.trim(F.col("headers")["last-modified"]), F.trim(F.col("stored")["last-modified"])
     outcome = (
-        F.when(F.col("refers_to").isNull(), "no_response")
+        F.when(~F.col("answered"), "no_response")
         .when(tag != old_tag, "etag_differs")
         .when(tag == old_tag, "resolved")
         .when(day != old_day, "modified_later")

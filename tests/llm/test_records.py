@@ -173,6 +173,25 @@ def test_revisits(spark, block_records):
     assert warc.resolve_revisits(table.limit(0)).count() == 0
 
 
+def test_record_ids_may_repeat(spark):
+    day = datetime.datetime(2024, 1, 1)
+    at = lambda minutes: day + datetime.timedelta(minutes=minutes)
+    full = lambda i, url, minute, tag: (i, "response", url, at(minute), 200, {"etag": tag})
+    asks = lambda i, url, minute, tag: (i, "revisit", url, at(minute), 304, {"etag": tag})
+    rows = [
+        full(1, "http://a.org/", 0, "x"), full(1, "http://b.org/", 0, "y"), full(1, "http://b.org/", 5, "z"), full(None, "http://c.org/", 0, "n"),
+        asks(2, "http://a.org/", 9, "x"), asks(2, "http://b.org/", 9, "z"), asks(2, "http://b.org/", 3, "y"), asks(None, "http://c.org/", 9, "n"),
+    ]
+    # One response asked for very often, and as many revisits without an answer.
+    rows += [full(7, "http://hot.org/", 0, "h"), *[asks(100 + i, "http://hot.org/" if i % 2 else None, 10, "h") for i in range(400)]]
+    table = spark.createDataFrame(rows, "record_id long, kind string, url string, captured timestamp, status int, headers map<string,string>")
+    got = [(r["record_id"], r["url"], r["refers_to"], r["outcome"]) for r in warc.resolve_revisits(table).collect()]
+    assert sorted(g for g in got if (g[0] or 0) == 2) == [(2, "http://a.org/", 1, "resolved")] + [(2, "http://b.org/", 1, "resolved")] * 2
+    assert [g[2:] for g in got if g[0] is None] == [(None, "resolved")]
+    hot = [g for g in got if (g[0] or 0) >= 100]
+    assert len(hot) == 400 and {g[1:] for g in hot} == {("http://hot.org/", 7, "resolved"), (None, None, "no_response")}
+
+
 def test_pipeline_stages(spark):
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "line dedup", "SimHash near-dedup", "benchmark decontamination", "best-fit packing"]
@@ -200,4 +219,4 @@ def test_pipeline_stages(spark):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(name.split("_")[0][2:]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
