@@ -1,7 +1,7 @@
 """Pack tokenised documents into sequences: vector best fit under token, document and attention capacities.
 
-Pieces are dealt to groups of some 2^23 tokens by a hash, each group is packed by one task, and no group depends on
-the size of the input. A group leaves a few sequences unfilled, out of some 4,000.
+Pieces are dealt to groups of some 2^23 tokens by a hash of their row's place in a written table, so copies of one row are dealt
+like others; each group is packed by one task, and no group depends on the size of the input. A group leaves a few sequences unfilled, out of some 4,000.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from steploom.llm.shared import written
 from steploom.llm.tokens import whole_encoder
 
-#: Tokens that one task packs, about.
+#: Tokens and pieces that one task packs, about, whichever it reaches first.
 GROUP_TOKENS = 1 << 23
+GROUP_PIECES = 200_000
 #: Pieces that a task gathers before it hands them to Spark.
 BATCH_PIECES = 2_000
 
@@ -113,31 +114,32 @@ def pack(
     weights: tuple[float, float, float] = (1.0, 1.0, 1.0),
     measure: str = "norm",
     group_tokens: int = GROUP_TOKENS,
+    group_pieces: int = GROUP_PIECES,
 ) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset`` (place in the sequence, gapless from 0).
 
     A sequence holds at most ``max_tokens`` tokens, ``max_docs`` pieces and ``max_attention`` as sum of squared lengths
-    (defaults: as many as tokens allow). Every piece is placed whole, repeated rows too; no pieces give no rows.
+    (defaults: as many as tokens allow). Bins are chosen by all three, whether a limit was given or not. Every piece is placed
+    whole, repeated rows too; no pieces give no rows.
     Raises ValueError for limits that a piece of ``max_tokens`` can't meet.
     """
     attention = max_tokens * max_tokens if max_attention is None else max_attention
     capacities = np.array([max_tokens, max_docs or max_tokens, attention], dtype=float)
     if capacities.min() < 1 or attention < max_tokens * max_tokens and pieces.filter(F.col("length") * F.col("length") > attention).head(1):
         raise ValueError("a piece is beyond the limits of a sequence")
-    used = np.array([1.0, 1.0 if max_docs else 0.0, 1.0 if max_attention else 0.0]) * np.array(weights)
-    pieces = written(pieces, "pieces")
-    total = pieces.agg(F.sum("length")).head()[0] or 0
-    n_groups = max(1, round(total / group_tokens))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(n_groups)))
+    held = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    total, count = held.agg(F.sum("length"), F.count(F.lit(1))).head()
+    n_groups = max(1, round((total or 0) / group_tokens), -(-count // group_pieces))
+    dealt = held.withColumn("group", F.pmod(F.xxhash64("_row"), F.lit(n_groups)))
     schema = StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def fill(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "ids_crc32", "piece"], ascending=[False, True, True]).drop(columns="group")
+        rows = rows.sort_values(["length", "ids_crc32", "piece", "_row"], ascending=[False, True, True, True]).drop(columns=["group", "_row"])
         length = rows["length"].to_numpy(dtype=float)
         full = length >= max_tokens
         demands = np.stack([length, np.ones(len(length)), length * length], axis=1)
         bins = np.arange(len(rows))
-        packed, _ = best_fit(demands[~full], capacities, used, measure)
+        packed, _ = best_fit(demands[~full], capacities, np.array(weights), measure)
         bins[~full] = full.sum() + packed
         rows["sequence_id"] = (int(key[0]) << 32) + bins
         rows["offset"] = rows.groupby("sequence_id", sort=False)["length"].cumsum() - rows["length"]

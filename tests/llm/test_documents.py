@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from steploom.llm import decontaminate, language, licences, line_dedup, packing, simhash, token_files, toxicity
+from steploom.llm import decontaminate, language, line_dedup, packing, simhash, token_files, toxicity
 from steploom.llm.oracle import ORACLE
 from steploom.llm.shared import new_path
 
@@ -220,6 +220,24 @@ def test_packing(docs, rows):
     assert packing.pack(packing.token_pieces(docs.limit(0), TOKENIZER)).count() == 0
 
 
+def test_vector_choice_differs_from_that_by_tokens_alone():
+    length = np.array([50.0, 50.0, 100.0, 20.0])
+    demands = np.stack([length, np.ones(4), length**2], axis=1)
+    capacities = np.array([128.0, 128.0, 128.0**2])
+    by_tokens, _ = packing.best_fit(demands, capacities, np.array([1.0, 0.0, 0.0]))
+    by_all, _ = packing.best_fit(demands, capacities, np.array([1.0, 1.0, 1.0]))
+    # Both bins have 28 tokens left; that of one long piece has less attention left.
+    assert by_tokens.tolist() == [0, 0, 1, 0] and by_all.tolist() == [0, 0, 1, 1]
+
+
+def test_packing_groups_are_bounded_in_pieces_and_deal_copies_out(spark):
+    rows = spark.range(3_000).select(F.lit(5).alias("id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("length"), F.lit(9).cast("long").alias("ids_crc32"))
+    out = packing.pack(rows, max_tokens=64, group_pieces=500)
+    sizes = [r["n"] for r in out.groupBy(F.expr("sequence_id >> 32")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 6 and sum(sizes) == 3_000 and max(sizes) < 700
+    assert out.columns == ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
 @pytest.mark.parametrize("measure", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(measure):
     rng = np.random.default_rng(4)
