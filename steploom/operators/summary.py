@@ -1,11 +1,12 @@
 """Stage totals and the reports derived from them, and breakdowns by segment.
 
-Totals come from one global aggregate; the reports are arithmetic on its single row. Sums of
-doubles depend on row order in the last digits: pass decimal stage columns for exact totals.
+Totals come from one global aggregate; the reports are arithmetic on its single row. Sums of decimals are exact anyway;
+those of doubles are exact and rounded once (``functions.exact``), so they are the same whatever the partitions.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from steploom.functions.exact import exact_parts, exact_totals, totals_of_parts
 from steploom.functions.text import col, free_name
 from steploom.specs import NB, RN, Comparison, SpecError
 
@@ -24,11 +26,30 @@ def _sum(name: str) -> Column:
     return F.coalesce(F.sum(col(name)), F.lit(0))
 
 
+def _is_binary(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+
+
 def stage_totals(df: DataFrame, comparison: Comparison, segment: str = NB) -> DataFrame:
     """One row with the total of every stage column of the segment, under the column's name."""
-    names = [comparison.column(rule, segment) for item in comparison.items for rule in comparison.stages(item)]
-    totals = [_sum(name).alias(name) for name in names if name is not None]
-    return df.agg(*totals) if totals else df.agg(F.lit(0).alias("no_stage_columns"))
+    found = [comparison.column(rule, segment) for item in comparison.items for rule in comparison.stages(item)]
+    names = list(dict.fromkeys(name for name in found if name is not None))
+    if not names:
+        return df.agg(F.lit(0).alias("no_stage_columns"))
+    doubles = [name for name in names if _is_binary(df, name)]
+    others = [name for name in names if name not in doubles]
+    plain = df.agg(*[_sum(name).alias(name) for name in others]) if others else None
+    if not doubles:
+        return plain
+    exact = exact_totals(df, {name: col(name) for name in doubles})
+    if plain is None:
+        return exact
+    # Two tables of one row each become one row.
+    rows = plain.select(F.struct("*").alias("plain"), F.lit(None).cast(exact.schema).alias("exact")).unionAll(
+        exact.select(F.lit(None).cast(plain.schema), F.struct("*"))
+    )
+    both = rows.agg(F.max("plain").alias("plain"), F.max("exact").alias("exact"))
+    return both.select(*[F.col("exact" if name in doubles else "plain")[name].alias(name) for name in names])
 
 
 def _stack(row: DataFrame, names: Sequence[str], rows: Sequence[Sequence]) -> DataFrame:
@@ -156,16 +177,32 @@ class _Names:
         return self._given[name]
 
 
-def _sums(df: DataFrame, comparison: Comparison, dimensions: Sequence[str], own: _Names) -> DataFrame:
-    """Start and end totals of all items and the row count per group, in one aggregate."""
-    totals = []
+def _ends(comparison: Comparison, own: _Names) -> dict[str, str]:
+    """The columns of the first and last stage of each item, by the names of their sums."""
+    ends = {}
     for n, item in enumerate(comparison.items):
         rules = comparison.stages(item)
-        totals.append(_sum(comparison.column(rules[0])).alias(own(f"_start_{n}")))
-        totals.append(_sum(comparison.column(rules[-1])).alias(own(f"_end_{n}")))
+        ends[own(f"_start_{n}")], ends[own(f"_end_{n}")] = comparison.column(rules[0]), comparison.column(rules[-1])
+    return ends
+
+
+def _sums(df: DataFrame, comparison: Comparison, dimensions: Sequence[str], own: _Names) -> DataFrame:
+    """Start and end totals of all items that aren't doubles and the row count per group, in one aggregate."""
+    totals = [_sum(name).alias(total) for total, name in _ends(comparison, own).items() if not _is_binary(df, name)]
     return df.groupBy(*[col(name) for name in dimensions]).agg(*totals, F.count(F.lit(1)).alias(own("_count")))
 
 
+def _with_exact(sums: DataFrame, exact: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """``sums`` with the exact ``names`` of the same ``keys``; 0 for groups without a value."""
+    there = exact.toDF(*[f"of_{n}" for n in range(len(keys))], *[f"total_{n}" for n in range(len(names))])
+    mine = sums.toDF(*[f"c{n}" for n in range(len(sums.columns))])
+    of = {key: mine[f"c{sums.columns.index(key)}"] for key in keys}
+    same = [of[key].eqNullSafe(there[f"of_{n}"]) for n, key in enumerate(keys)]
+    joined = mine.join(there, same, "left")
+    kept = [mine[f"c{n}"].alias(name) for n, name in enumerate(sums.columns)]
+    return joined.select(*kept, *[F.coalesce(there[f"total_{n}"], F.lit(0.0)).alias(name) for n, name in enumerate(names)])
+
+
 def _per_item(sums: DataFrame, comparison: Comparison, keys: Sequence[str], own: _Names) -> DataFrame:
     entries = []
     for n, item in enumerate(comparison.items):
@@ -203,7 +240,11 @@ def breakdown(df: DataFrame, comparison: Comparison, dimensions: Sequence[str])
     """
     keys = _dimensions(df, dimensions)
     own = _Names(keys)
-    rows = _per_item(_sums(df, comparison, keys, own), comparison, keys, own)
+    sums = _sums(df, comparison, keys, own)
+    doubles = {total: col(name) for total, name in _ends(comparison, own).items() if _is_binary(df, name)}
+    if doubles:
+        sums = _with_exact(sums, exact_totals(df, doubles, keys), keys, list(doubles))
+    rows = _per_item(sums, comparison, keys, own)
     return _result(rows, own, keys, ["item"], [col(name).asc_nulls_last() for name in keys])
 
 
@@ -226,6 +267,15 @@ def breakdown_rollup(df: DataFrame, comparison: Comparison, dimensions: Sequence
         F.lit(everything).cast("bigint").alias(grouping),
     )
     rolled = levels.filter(col(grouping) < everything).unionByName(total)
+    doubles = {total: col(name) for total, name in _ends(comparison, own).items() if _is_binary(df, name)}
+    if doubles:
+        # The parts of each group are summed up per level, and rounded only then.
+        parts, by_level = exact_parts(df, list(doubles.values()), keys), []
+        for n in range(len(keys) + 1):
+            level = totals_of_parts(parts, list(doubles), keys[:n])
+            missing = [F.lit(None).cast(sums.schema[name].dataType).alias(name) for name in keys[n:]]
+            by_level.append(level.select(F.lit(2 ** (len(keys) - n) - 1).cast("bigint").alias(grouping), *map(col, keys[:n]), *missing, *map(col, doubles)))
+        rolled = _with_exact(rolled, functools.reduce(DataFrame.unionByName, by_level), [grouping, *keys], list(doubles))
     level = F.when(col(grouping) == 0, DETAIL).when(col(grouping) == everything, GRAND_TOTAL)
     for n in range(1, len(keys)):
         level = level.when(col(grouping) == 2 ** (len(keys) - n) - 1, f"subtotal_{n}")
