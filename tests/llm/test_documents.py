@@ -362,11 +362,25 @@ def longest_phrases(text, reference):
     return count
 
 
-def test_cross_parsing_counts_phrases():
+@pytest.mark.parametrize(("letters", "sizes"), [("abc", (1, 250)), ("ab", (200, 5_000)), ("".join(map(chr, range(0x4E00, 0x4E00 + 3_000))), (50, 1_200))])
+def test_cross_parsing_counts_phrases(letters, sizes):
+    """Texts beyond one block, stretches of the reference longer than one, and more letters than the dense table has."""
     rng = random.Random(9)
-    reference = "".join(rng.choices("abc", k=200))
+    reference = "".join(rng.choices(letters, k=4_000 if len(letters) > 9 else 700))
     reader = language.LanguageReader((("aa", (reference,)),))
-    for _ in range(30):
-        text = "".join(rng.choices("abcd", k=rng.randint(1, 250)))
-        symbols = language._symbols(language._code_points(text), reader.symbol_of)
-        assert reader.costs([symbols])[0, 0] == pytest.approx(longest_phrases(text, reference) * reader.bits[0])
+    texts = []
+    for _ in range(12):
+        text = "".join(rng.choices(letters + "é", k=rng.randint(*sizes)))
+        at = rng.randrange(len(reference))
+        texts.append(text[: len(text) // 2] + reference[at : at + 300] * 3 + text[len(text) // 2 :])
+    symbols = [language._symbols(language._code_points(t), reader.symbol_of) for t in [*texts, ""]]
+    want = [longest_phrases(t, reference) * reader.bits[0] for t in texts] + [0.0]
+    assert reader.costs(symbols)[:, 0] == pytest.approx(want)
+
+
+def test_reference_is_shared_by_all_sampled_rows():
+    parts = [np.arange(5), np.arange(100), np.arange(100)]
+    assert [len(p) for p in language._shared_evenly(parts, 65)] == [5, 30, 30]
+    texts = tuple("".join(chr(0x4E00 + 40 * n + k) for k in range(40)) for n in range(1_000))
+    reader = language.LanguageReader((("zz", texts),))
+    assert (reader.tables[0].start[2:] > 0).sum() >= 29_000
