@@ -28,6 +28,7 @@ from steploom.llm.shared import written
 SAMPLE_ROWS = 150
 SAMPLE_CHARS = 2_000
 REFERENCE_CHARS = 30_000
+SALTS = 32
 #: The most frequent symbols have a column each in the table of transitions; those of others are found by bisection.
 DENSE = 256
 #: Symbols of a block. It bounds steps, not phrases.
@@ -236,8 +237,12 @@ def fit_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     known = rows.filter(F.col("lang").isNotNull() & learning_rows(F.col("id")) & F.col("text").rlike(r"\p{L}"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = known.select("id", "lang").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_ROWS)
+    ids, rank = known.select("id", "lang").distinct(), F.xxhash64("id")
+    # The first by hash of each salt, then of all: no task sees more than SALTS times SAMPLE_ROWS rows of the second.
+    chosen = ids.withColumn("salt", F.pmod(rank, F.lit(SALTS)))
+    for by in (["lang", "salt"], ["lang"]):
+        first = Window.partitionBy(*by).orderBy(rank, "id")
+        chosen = chosen.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_ROWS)
     chosen = F.broadcast(written(chosen.select("id", "lang"), "language-sample"))  # SAMPLE_ROWS a language
     # A stretch from a hashed place of the whole text, and one of them for each id however often its row stands there.
     last = F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0)) + 1
