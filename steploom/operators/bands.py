@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from steploom.functions.text import col
-from steploom.specs import MISSING, NB, OUT_OF_RANGE, RN, Band, Comparison, Step, check_bands
+from steploom.functions.text import col, free_name, quote
+from steploom.operators.filters import filter_segments
+from steploom.specs import MISSING, NB, OUT_OF_RANGE, RN, Band, Comparison, SpecError, Step, check_bands
 
 
 def _labels(bands: Sequence[Band]) -> list[str]:
@@ -75,12 +77,16 @@ def _frame(spark: SparkSession, bands: Sequence[Band], series: Sequence[dict]) -
 def _filled(df: DataFrame, columns: Sequence[str], bands: Sequence[Band], series: Sequence[dict]) -> DataFrame:
     """Counts and percentages with every configured band present, other labels only if used."""
     bands = check_bands(bands)
-    # At most len(columns) * (len(bands) + 2) rows, whatever the size of the data.
-    counts = F.broadcast(_counts(df, columns, bands))
+    return _shares(_counts(df, columns, bands), bands, series)
+
+
+def _shares(counts: DataFrame, bands: Sequence[Band], series: Sequence[dict]) -> DataFrame:
+    """``series, band_order, count`` zero-filled, with percentages of each series."""
     total = F.sum("count").over(Window.partitionBy("series"))
     return (
-        _frame(df.sparkSession, bands, series)
-        .join(counts, ["series", "band_order"], "left")
+        _frame(counts.sparkSession, bands, series)
+        # At most one row per series and label, whatever the size of the data.
+        .join(F.broadcast(counts), ["series", "band_order"], "left")
         .withColumn("count", F.coalesce("count", F.lit(0)))
         .withColumn("percentage", _percentage(F.col("count"), total))
         .filter(F.col("configured") | (F.col("count") > 0))
@@ -143,3 +149,63 @@ def distribution_renewal(df: DataFrame, comparison: Comparison, bands: Sequence[
         "band",
         *[metric(s, m).alias(f"{s.lower()}_{m}") for s in (NB, RN) for m in ("count", "percentage")],
     )
+
+
+@dataclass(frozen=True)
+class BandCounts:
+    """Band counts for each combination of some columns' values: every distribution under filters on these columns.
+
+    ``counts`` has the columns and, under free names, series, band position and number of rows. It may be written and read back,
+    and then answers each later filter without the merged rows. It has at most (combinations x series x labels) rows, so
+    choose columns of few values.
+    """
+
+    counts: DataFrame
+    comparison: Comparison
+    bands: tuple[Band, ...]
+    columns: tuple[str, ...]
+    segments: tuple[str, ...] = (NB,)
+
+    def on(self, counts: DataFrame) -> BandCounts:
+        """The same with the table as it was read back."""
+        return BandCounts(counts, self.comparison, self.bands, self.columns, self.segments)
+
+    def distribution(self, filters: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+        """As :func:`distribution` of the rows that match; filters on columns that were not counted are refused."""
+        chosen = {name: values for name, values in (filters or {}).items() if values}
+        unknown = sorted(set(chosen) - set(self.columns))
+        if unknown:
+            raise SpecError(f"not counted by {', '.join(unknown)}; count the merged rows again with these columns")
+        series, order, n = (col(name) for name in _count_names(self.columns))
+        counts = (
+            filter_segments(self.counts, chosen)
+            .groupBy(series.alias("series"), order.alias("band_order"))
+            .agg(F.sum(n).alias("count"))
+        )
+        return _shares(counts, self.bands, [_series(step) for step in self.comparison.all_steps(self.segments)])
+
+
+def _count_names(columns: Sequence[str]) -> list[str]:
+    return [free_name(name, columns) for name in ("series", "band_order", "count")]
+
+
+def count_bands(
+    df: DataFrame, comparison: Comparison, bands: Sequence[Band], columns: Sequence[str], segments: Sequence[str] = (NB,)
+) -> BandCounts:
+    """Count the bands of all items, steps and segments for each combination of ``columns``, in one pass and one shuffle.
+
+    Rows are counted before the shuffle, so a combination that holds most rows costs no more than others. Nulls are a value of
+    their own.
+    """
+    bands, columns = check_bands(bands), tuple(dict.fromkeys(columns))
+    missing = [name for name in columns if name not in df.columns]
+    if missing:
+        raise SpecError(f"column not found: {', '.join(missing)}")
+    series, order, n = _count_names(columns)
+    orders = [band_order(col(step.percent_column), bands) for step in comparison.all_steps(segments)]
+    counts = (
+        df.select(*[quote(name) for name in columns], F.posexplode(F.array(*orders).cast("array<int>")).alias(series, order))
+        .groupBy(*[quote(name) for name in columns], quote(series), quote(order))
+        .agg(F.count(F.lit(1)).alias(n))
+    )
+    return BandCounts(counts, comparison, tuple(bands), columns, tuple(segments))

@@ -286,6 +286,36 @@ def conversion_errors(
     )
 
 
+#: Lanes of the sample of :func:`conversion_error_summary`: the first two hexadecimal digits of a value's hash.
+LANES = 256
+
+
+def conversion_error_summary(
+    df: DataFrame, rules: Iterable[ColumnRule], value_maps: ValueMaps | None = None, examples: int = 5
+) -> DataFrame:
+    """The problems by ``column, type, reason``: ``n_values`` exactly, and ``examples``, some different values with an id each.
+
+    A column that is bad throughout gives one row here, where :func:`conversion_errors` gives as many as the table has. The
+    sample is mergeable: of the values of a lane (by hash) that with the smallest hash is kept, with its smallest id, and the
+    examples are the kept ones of smallest hash. It is the same on any partitioning, copies of a value take one place, and at
+    most ``LANES`` rows a task and problem are shuffled. Two values share a lane by a chance of 1 in 256; then only one can
+    be an example. A null value counts as empty text. An empty table gives no rows.
+    """
+    if not 1 <= examples <= LANES:
+        raise SpecError(f"examples must be 1 to {LANES}")
+    value = F.coalesce("value", F.lit(""))
+    digest = F.md5(value.cast("binary"))
+    lanes = (
+        conversion_errors(df, rules, value_maps)
+        .select("column", "type", "reason", digest.alias("digest"), value.alias("value"), "id")
+        .groupBy("column", "type", "reason", F.substring("digest", 1, 2).alias("lane"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("digest", "value", "id")).alias("kept"))
+    )
+    kept = F.slice(F.sort_array(F.collect_list("kept")), 1, examples)
+    pairs = F.transform(kept, lambda one: F.struct(one["value"].alias("value"), one["id"].alias("id")))
+    return lanes.groupBy("column", "type", "reason").agg(F.sum("n").alias("n_values"), pairs.alias("examples"))
+
+
 def _problem(rule: ColumnRule, text: Column, reason: Column) -> Column:
     return F.struct(
         F.lit(rule.source).alias("column"), F.lit(rule.data_type).alias("type"), text.alias("value"), reason.alias("reason")

@@ -128,6 +128,49 @@ def _no_id(dtype: T.DataType) -> Column:
     raise SpecError(f"an ID of type {dtype.simpleString()} cannot be null; state ids_not_null=True")
 
 
+#: The columns that a clustered stage is bucketed by: the ID or a default of its type, and whether it is null.
+CLUSTER_KEY, CLUSTER_NULL = "_stage_key", "_stage_key_null"
+
+
+def first_rows_keyed(df: DataFrame, id_column: str, order_by: OrderBy) -> DataFrame:
+    """The first row per ID with the two columns of a clustered stage; the key's metadata name the ID column."""
+    _require(df, [id_column], "table")
+    taken = {CLUSTER_KEY, CLUSTER_NULL} & {name.lower() for name in df.columns}
+    if taken:
+        raise SpecError(f"the table already has a column {', '.join(sorted(taken))}")
+    dtype = df.schema[id_column].dataType
+    keyed = df.select(
+        "*",
+        F.coalesce(col(id_column), _no_id(dtype)).alias(CLUSTER_KEY, metadata={"id_column": id_column}),
+        col(id_column).isNull().alias(CLUSTER_NULL),
+    )
+    row = free_name("_row", keyed.columns)
+    window = Window.partitionBy(CLUSTER_KEY, CLUSTER_NULL).orderBy(*_full_order(df, id_column, order_by))
+    return keyed.withColumn(row, F.row_number().over(window)).filter(F.col(row) == 1).drop(row)
+
+
+def is_clustered(df: DataFrame, id_column: str) -> bool:
+    """Whether the table was written by ``sink_stage`` for this ID column."""
+    fields = {field.name: field for field in df.schema}
+    return CLUSTER_NULL in fields and CLUSTER_KEY in fields and fields[CLUSTER_KEY].metadata.get("id_column") == id_column
+
+
+def _merge_clustered(tables: Mapping[str, DataFrame], comparison: Comparison, keep: Sequence[str] | None) -> DataFrame:
+    """The join of stages that hold one row per ID and are bucketed by the key: no window, and no shuffle of equal bucket counts."""
+    on = [CLUSTER_KEY, CLUSTER_NULL]
+
+    def prepared(table: str) -> DataFrame:
+        df = tables[table]
+        if table == comparison.base_table:
+            return stage_columns(df, comparison, table, None if keep is None else [*keep, *on])
+        types = df.schema
+        wanted = [(source, name) for owner, source, name in comparison.stage_columns if owner == table]
+        _require(df, [source for source, _ in wanted], f"table {table!r}")
+        return df.select(*on, *[_number(col(source), types[source].dataType).alias(name) for source, name in wanted])
+
+    return reduce(lambda left, right: left.join(right, on, "inner"), [prepared(table) for table in comparison.tables]).drop(*on)
+
+
 def merge_stages(
     tables: Mapping[str, DataFrame],
     comparison: Comparison,
@@ -141,6 +184,9 @@ def merge_stages(
     one scan and one shuffle. Null IDs match each other: window and joins go by two plain columns, the ID or a
     default of its type, and whether it is null. With ``ids_not_null=True`` they go by the ID alone, and a table that is
     bucketed by the ID is not shuffled at all; rows of null ID are then left out.
+
+    If all tables are stages written by ``sink_stage`` for the same ID, null IDs included, nothing is shuffled or sorted out again:
+    they hold the first rows by the order that they were written with, and ``order_by`` is not used.
     """
     missing = [name for name in comparison.tables if name not in tables]
     if missing:
@@ -149,6 +195,14 @@ def merge_stages(
     base = tables[comparison.base_table]
     _require(base, [id_column], f"table {comparison.base_table!r}")
     dtype = base.schema[id_column].dataType
+    ordered = [name for _, _, name in comparison.stage_columns]
+    if all(is_clustered(tables[name], id_column) and tables[name].schema[CLUSTER_KEY].dataType == dtype for name in comparison.tables):
+        merged = _merge_clustered(tables, comparison, keep)
+        if ids_not_null:
+            merged = merged.filter(col(id_column).isNotNull())
+        others = [name for name in merged.columns if name not in set(ordered)]
+        return blank_to_null(merged.select([quote(name) for name in others + ordered]))
+    tables = {name: df.drop(CLUSTER_KEY, CLUSTER_NULL) if is_clustered(df, id_column) else df for name, df in tables.items()}
     taken = [*(name for df in tables.values() for name in df.columns), *(name for _, _, name in comparison.stage_columns)]
     key, no_id, row = (free_name(name, taken) for name in ("_key", "_key_null", "_row"))
     on = [id_column] if ids_not_null else [key, no_id]
@@ -173,7 +227,6 @@ def merge_stages(
     merged = reduce(lambda left, right: left.join(right, on, "inner"), [prepared(table) for table in comparison.tables])
     if not ids_not_null:
         merged = merged.drop(*on)
-    ordered = [name for _, _, name in comparison.stage_columns]
     others = [name for name in merged.columns if name not in set(ordered)]
     return blank_to_null(merged.select([quote(name) for name in others + ordered]))
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from steploom.operators.bands import distribution
+from steploom.operators.bands import BandCounts, count_bands, distribution
 from steploom.operators.diffs import add_differences
 from steploom.operators.filters import filter_segments
 from steploom.operators.stages import OrderBy, merge_stages
@@ -45,6 +45,10 @@ class Impact:
     def distribution(self) -> DataFrame:
         return distribution(self.rows, self.comparison, self.bands, self.comparison.segments)
 
+    def band_counts(self, columns: Sequence[str]) -> BandCounts:
+        """Counts from which the distribution under any filter on ``columns`` follows without the merged rows."""
+        return count_bands(self.rows, self.comparison, self.bands, columns, self.comparison.segments)
+
     def summary(self) -> DataFrame:
         return comparison_summary(self.rows, self.comparison)
 

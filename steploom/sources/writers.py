@@ -12,6 +12,7 @@ from steploom.functions.text import col
 from steploom.operators.bands import distribution
 from steploom.operators.filters import check_thresholds, filter_rate_change
 from steploom.operators.lists import list_to_string
+from steploom.operators.stages import CLUSTER_KEY, CLUSTER_NULL, OrderBy, first_rows_keyed
 from steploom.operators.summary import item_stage_pivot
 from steploom.sources.versions import KEEP, TABLE, publish, version_path
 from steploom.specs import NB, Band, Comparison, SpecError, check_bands
@@ -59,6 +60,21 @@ def sink_converted(df: DataFrame, path: str, file_type: str = CSV) -> str:
     return write_table(df.toDF(*[name.upper() for name in df.columns]), path, file_type)
 
 
+def sink_stage(df: DataFrame, name: str, id_column: str, order_by: OrderBy, buckets: int, path: str | None = None) -> str:
+    """Write the first row per ID as the catalog table ``name``, in ``buckets`` buckets by the ID and whether it is null.
+
+    ``merge_stages`` joins such tables, null IDs too, without a shuffle if their bucket counts are equal; ``scan_stages`` finds
+    them by name. Only first rows are stored, so an ID that holds a third of all rows fills no bucket. A table of that name
+    must not exist. With ``path`` the files stand there, else in the warehouse.
+    """
+    if buckets < 1:
+        raise SpecError("buckets must be at least 1")
+    rows = first_rows_keyed(df, id_column, order_by).repartition(buckets, CLUSTER_KEY, CLUSTER_NULL)
+    writer = rows.write.format("parquet").bucketBy(buckets, CLUSTER_KEY, CLUSTER_NULL).sortBy(CLUSTER_KEY, CLUSTER_NULL)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return name
+
+
 def band_table(df: DataFrame, comparison: Comparison, bands: Sequence[Band], segments: Sequence[str] = (NB,)) -> DataFrame:
     """The distribution under its report headers."""
     rows = distribution(df, comparison, bands, segments)

@@ -70,6 +70,11 @@ diffs AS (
   FROM merged)"""
 
 
+_CHOSEN = DIFFS.replace(
+    "FROM merged)", "FROM merged WHERE c_mktsegment IN ('BUILDING', 'FURNITURE') AND (note IS NULL OR note = ' 2-HIGH'))"
+)
+
+
 def _band(value: str) -> str:
     whens = "".join(f" WHEN {value} >= {band.start} THEN '{band.name}'" for band in reversed(BANDS))
     return f"CASE WHEN {value} IS NULL THEN 'Missing' WHEN {value} = 'inf'::DOUBLE THEN 'Out of Range'{whens} ELSE 'Out of Range' END"
@@ -79,7 +84,7 @@ _BAND_LIST = ", ".join(f"({n}, '{name}')" for n, name in enumerate([b.name for b
 _STEP_NAMES = {"0": "Overall", "1": "Discounted", "2": "Taxed"}
 
 
-def _distribution(series: tuple[tuple[str, str], ...]) -> str:
+def _distribution(series: tuple[tuple[str, str], ...], diffs: str = DIFFS) -> str:
     """Counts and shares by item, step, segment and band, zero-filled, as table ``dist``."""
     long = "\n  UNION ALL ".join(
         f"SELECT '{item}' AS item, {step} AS step, '{_STEP_NAMES[step]}' AS step_name, '{'RN' if rn else 'NB'}' AS segment, "
@@ -88,7 +93,7 @@ def _distribution(series: tuple[tuple[str, str], ...]) -> str:
         for item, rn in series
         for step, _, _ in _STEPS
     )
-    return f"""{DIFFS},
+    return f"""{diffs},
 long AS (
   {long}),
 counts AS (SELECT item, step, segment, band, count(*) AS count FROM long GROUP BY ALL),
@@ -193,6 +198,10 @@ ORACLE: dict[str, str] = {
 SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS code,
        CASE WHEN c_nationkey NOT IN (3, 4) THEN c_mktsegment END AS segment,
        c_name || ', "x"' AS name, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS balance FROM customer""",
+    "scan_csv_split": """
+SELECT CAST(o_orderkey AS VARCHAR) AS code,
+       CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority || E'\\n"' || o_orderstatus || E'",\\n\\n' WHEN 1 THEN o_orderstatus END AS comment,
+       CAST(o_custkey AS VARCHAR) AS customer FROM orders""",
     "scan_stages": f"""{STAGES}
 SELECT 'stage_1' AS stage_table, 'price_list' AS source, count(*) AS row_count, CAST(sum(price_list) AS DOUBLE) AS total FROM stage_1
 UNION ALL SELECT 'stage_2' AS stage_table, 'price_discounted' AS source, count(*) AS row_count, CAST(sum(price_discounted) AS DOUBLE) AS total FROM stage_2
@@ -344,6 +353,8 @@ SELECT l_orderkey, {_band('"percent_diff_Net_step_1"')} AS net_band, {_band('"pe
     "band_zero_fill": _distribution((("Rate", ""),)) + f" SELECT band_order, band, count, percentage FROM dist WHERE {_RATE_1}",
     "distribution_all": _distribution((("Net", ""), ("Rate", "")))
     + " SELECT item, step, step_name, segment, band_order, band, count, percentage FROM dist",
+    "distribution_counted": _distribution((("Net", ""), ("Rate", "")), _CHOSEN)
+    + " SELECT item, step, step_name, segment, band_order, band, count, percentage FROM dist",
     "distribution_renewal": _distribution((("Net", ""), ("Net", "_rn"), ("Rate", "")))
     + """
 SELECT item, step, step_name, band_order, band,
@@ -388,3 +399,16 @@ SELECT item, metric_order, metric, max(value) FILTER (stage_idx = 0) AS "List",
        max(value) FILTER (stage_idx = 1) AS "Discounted", max(value) FILTER (stage_idx = 2) AS "Taxed"
 FROM metrics GROUP BY item, metric_order, metric""",
 }
+ORACLE["merge_stages_clustered"] = ORACLE["merge_stages_raw"]
+ORACLE["conversion_error_summary"] = f"""
+WITH errors AS ({ORACLE["conversion_errors"]}),
+lanes AS (
+  SELECT "column", type, reason, min(md5(value)) AS digest, count(*) AS n FROM errors
+  GROUP BY "column", type, reason, substr(md5(value), 1, 2)),
+ids AS (SELECT "column", type, reason, md5(value) AS digest, value, min(id) AS id FROM errors GROUP BY ALL),
+kept AS (
+  SELECT *, row_number() OVER (PARTITION BY "column", type, reason ORDER BY digest) AS place
+  FROM lanes JOIN ids USING ("column", type, reason, digest))
+SELECT "column", type, reason, CAST(sum(n) AS BIGINT) AS n_values,
+       string_agg(value || '@' || id, '|' ORDER BY place) FILTER (place <= 3) AS examples
+FROM kept GROUP BY "column", type, reason"""

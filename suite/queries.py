@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -48,6 +49,19 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.scan_csv(spark, path)
 
 
+def scan_csv_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line breaks and quotes, read back by several tasks for each file."""
+    path = fx.scratch(spark)
+    comment = F.concat("o_orderpriority", F.lit('\n"'), "o_orderstatus", F.lit('",\n\n'))
+    orders = fx.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("code"),
+        F.when(F.col("o_orderkey") % 3 == 0, comment).when(F.col("o_orderkey") % 3 == 1, F.col("o_orderstatus")).alias("comment"),
+        F.col("o_custkey").cast("string").alias("customer"),
+    )
+    writers.write_table(orders, path)
+    return readers.scan_csv(spark, path, multi_line=readers.SPLIT)
+
+
 def scan_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fx.scratch(spark)
     for name, df in fx.stage_tables(spark, sf_dir).items():
@@ -280,6 +294,13 @@ def conversion_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.conversion_errors(parts, _ERROR_RULES)
 
 
+def conversion_error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = fx.table(spark, sf_dir, "part").withColumn("price", _money("p_retailprice").cast("string"))
+    found = convert.conversion_error_summary(parts.withColumn("flag_text", F.col("p_brand")), _ERROR_RULES, examples=3)
+    pairs = F.array_join(F.transform("examples", lambda one: F.concat(one["value"], F.lit("@"), one["id"])), "|")
+    return found.withColumn("examples", pairs)
+
+
 # Lists
 
 
@@ -337,18 +358,32 @@ def merge_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(_merged(spark, sf_dir, fx.COMPARISON))
 
 
-def merge_stages_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stages straight from all lines: several rows per order, and one order in fifty without its ID."""
+def _raw_stages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     lines = fx.table(spark, sf_dir, "lineitem").select(
         F.when(F.col(fx.ID) % 50 != 0, F.col(fx.ID)).alias(fx.ID), *[name for name in fx.LINE_ORDER if name != fx.ID], _money("l_extendedprice").alias("price")
     )
-    rules = [StageRule(fx.ID, "Net", n, str(n), f"lines_{n}", "price") for n in (1, 2, 3)]
-    tables = {
+    return {
         "lines_1": lines,
         "lines_2": lines.filter(F.col("l_returnflag") != "R"),
         "lines_3": lines.filter(F.col("l_linestatus") != "O"),
     }
-    merged = stages.merge_stages(tables, Comparison(rules), fx.LINE_ORDER, keep=["l_linenumber"])
+
+
+def merge_stages_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages straight from all lines: several rows per order, and one order in fifty without its ID."""
+    rules = [StageRule(fx.ID, "Net", n, str(n), f"lines_{n}", "price") for n in (1, 2, 3)]
+    merged = stages.merge_stages(_raw_stages(spark, sf_dir), Comparison(rules), fx.LINE_ORDER, keep=["l_linenumber"])
+    return _plain(merged.withColumn(fx.ID, F.coalesce(fx.ID, F.lit(-1).cast("long"))))
+
+
+def merge_stages_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of ``merge_stages_raw``, null IDs included, stored clustered first and found by their names."""
+    tables, mark = _raw_stages(spark, sf_dir), uuid.uuid4().hex
+    names = {
+        table: writers.sink_stage(df, f"{table}_{mark}", fx.ID, fx.LINE_ORDER, 8, fx.scratch(spark)) for table, df in tables.items()
+    }
+    comparison = Comparison([StageRule(fx.ID, "Net", n, str(n), names[f"lines_{n}"], "price") for n in (1, 2, 3)])
+    merged = stages.merge_stages(readers.scan_stages(spark, comparison), comparison, fx.LINE_ORDER, keep=["l_linenumber"])
     return _plain(merged.withColumn(fx.ID, F.coalesce(fx.ID, F.lit(-1).cast("long"))))
 
 
@@ -426,6 +461,15 @@ def distribution_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands.distribution(fx.impact(spark, sf_dir).rows, fx.COMPARISON, fx.BANDS)
 
 
+def distribution_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distribution of chosen rows from stored band counts, without the merged rows."""
+    counted = fx.impact(spark, sf_dir).band_counts(["c_mktsegment", "note", "l_returnflag"])
+    path = fx.scratch(spark)
+    writers.write_table(counted.counts, path, writers.PARQUET)
+    stored = counted.on(readers.scan_table(spark, path))
+    return stored.distribution({"c_mktsegment": ["BUILDING", "FURNITURE"], "note": ["NA", " 2-HIGH"]})
+
+
 def distribution_renewal(spark: SparkSession, sf_dir: str) -> DataFrame:
     paired = bands.distribution_renewal(fx.impact(spark, sf_dir, renewal=True).rows, fx.RENEWAL, fx.BANDS)
     return paired.withColumn("rn_count", F.col("rn_count").cast("double"))
@@ -479,15 +523,15 @@ def progression_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
-        scan_csv, scan_stages, sink_converted, sink_impact, sink_filtered,
+        scan_csv, scan_csv_split, scan_stages, sink_converted, sink_impact, sink_filtered,
         resolve_columns, check_required, project_mapped, stage_columns, blank_to_null,
         code_required, intege_required, decima_required, date_slash, date_text, date_serial,
-        code_optional, intege_optional, decima_optional, date_optional, map_values, conversion_errors,
+        code_optional, intege_optional, decima_optional, date_optional, map_values, conversion_errors, conversion_error_summary,
         flags_to_list, flags_to_names, list_to_string, explode_list, explode_lists_aligned, list_absent,
-        first_row_per_id, merge_stages, merge_stages_raw, merge_renewal,
+        first_row_per_id, merge_stages, merge_stages_raw, merge_stages_clustered, merge_renewal,
         diff_overall, pct_overall, diff_steps, diff_renewal,
         filter_segments, filter_rate_change, segment_values,
-        assign_band, band_distribution, band_zero_fill, distribution_all, distribution_renewal,
+        assign_band, band_distribution, band_zero_fill, distribution_all, distribution_counted, distribution_renewal,
         stage_totals, comparison_summary, item_stage_pivot, item_stage_pivot_rn,
         breakdown, breakdown_named, breakdown_rollup, waterfall, progression_table,
     )

@@ -147,6 +147,28 @@ def test_conversion_errors_reports_every_bad_cell(policies):
     ]
 
 
+def test_error_summary_counts_exactly_and_samples_alike_on_any_partitioning(spark):
+    df = spark.range(4_000).select(
+        F.col("id").cast("string").alias("k"), F.concat(F.lit("x"), (F.col("id") % 700).cast("string")).alias("v")
+    )
+    df = df.unionAll(spark.createDataFrame([("n", None), ("hot", "x1")], df.schema))
+    rules = [rule("k", "K"), rule("v", "V", "INTEGE")]
+    full = {}
+    for _, column, kind, _, reason in rows(cv.conversion_errors(df, rules)):
+        full[column, kind, reason] = full.get((column, kind, reason), 0) + 1
+    seen = []
+    for parts in (1, 3, 17):
+        got = rows(cv.conversion_error_summary(df.repartition(parts), rules, examples=4))
+        assert {row[:3]: row[3] for row in got} == full
+        seen.append(sorted(got))
+        (values,) = (row[4] for row in got if row[2] == "not a number")
+        assert len({one["value"] for one in values}) == 4
+    assert seen[0] == seen[1] == seen[2]
+    assert rows(cv.conversion_error_summary(df.limit(0), rules)) == []
+    with pytest.raises(SpecError):
+        cv.conversion_error_summary(df, rules, examples=0)
+
+
 FLAGS = [
     rule("policy_number", "ID"),
     rule("amount", "AMOUNT", "DECIMA"),

@@ -1,6 +1,7 @@
 """Stages, differences, filters, bands and summaries on small tables with literal expectations."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from steploom.operators import filters as fl
 from steploom.operators import stages as sg
 from steploom.operators import summary as sm
 from steploom.operators.diffs import add_differences
+from steploom.sources.readers import scan_stages
+from steploom.sources.writers import sink_stage
 from steploom.specs import check_bands
 
 EDGES = (Band("a", -0.1), Band("b", 0.0), Band("c", 0.1))
@@ -338,3 +341,51 @@ def test_breakdown_with_totals(merged):
 def test_reports_on_filtered_rows(tables):
     result = analyse(tables, Comparison(RULES), EDGES, ["seq"])
     assert rows(result.where({"seg": ["x"]}).summary())[0][:4] == ("P", 0, "Start", 1.0)
+
+
+def test_band_counts_answer_filters_as_filter_then_count(spark):
+    rng = random.Random(5)
+    data = [
+        (rng.choice([None, "x", "y", "count"]), rng.choice([None, 1, 2]), rng.choice([0.5, math.nan]), rng.choice(["p", None]), v, v * rng.choice([0.5, 1, 2]))
+        for v in map(float, range(300))
+    ]
+    df = spark.createDataFrame(data, "series string, count int, share double, other string, P_1 double, P_2 double")
+    comparison = Comparison([stage("P", 1, "Start", "t", "a"), stage("P", 2, "End", "t", "b")])
+    diffs = add_differences(df, comparison)
+    counted = bd.count_bands(diffs, comparison, EDGES, ["series", "count", "share"])
+    assert counted.counts.columns == ["series", "count", "share", "_series", "band_order", "_count"]
+    for filters in ({}, {"series": ["x", "NA"]}, {"count": ["1"], "share": ["NA"]}, {"series": ["none"]}, {"series": [], "other": []}):
+        want = bd.distribution(fl.filter_segments(diffs, filters), comparison, EDGES)
+        assert sorted(rows(counted.distribution(filters))) == sorted(rows(want))
+    with pytest.raises(SpecError, match="other"):
+        counted.distribution({"other": ["p"]})
+    with pytest.raises(SpecError, match="gone"):
+        bd.count_bands(diffs, comparison, EDGES, ["gone"])
+
+
+def test_clustered_stages_merge_without_a_shuffle(spark, tables, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    names = {}
+    try:
+        for name, df in tables.items():
+            names[name] = sink_stage(df, f"clustered_{name}", "id", ["seq"], 4, str(tmp_path / name))
+        rules = [StageRule("id", "P", n, str(n), names[f"t{n}"], "v") for n in (1, 2, 3)]
+        comparison = Comparison(rules)
+        stored = scan_stages(spark, comparison)
+        got = sg.merge_stages(stored, comparison, ["seq"])
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        plain = Comparison([StageRule("id", "P", n, str(n), f"t{n}", "v") for n in (1, 2, 3)])
+        want = sg.merge_stages(tables, plain, ["seq"])
+        assert got.columns == want.columns
+        assert sorted(rows(got), key=str) == sorted(rows(want), key=str) and any(row[0] is None for row in rows(got))
+        kept = sg.merge_stages(stored, comparison, ["seq"], keep=["seg"])
+        assert kept.columns == ["id", "seg", "P_1", "P_2", "P_3"]
+        mixed = sg.merge_stages({**stored, names["t3"]: tables["t3"]}, comparison, ["seq"])
+        assert sorted(rows(mixed), key=str) == sorted(rows(want), key=str) and mixed.columns == want.columns
+        assert all(row[0] is not None for row in rows(sg.merge_stages(stored, comparison, ["seq"], ids_not_null=True)))
+        with pytest.raises(SpecError):
+            sink_stage(stored[names["t1"]], "again", "id", ["seq"], 4)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in names.values():
+            spark.sql(f"DROP TABLE IF EXISTS {name}")

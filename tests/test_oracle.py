@@ -16,7 +16,7 @@ def connection():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
-    assert len(QUERIES) == 53
+    assert len(QUERIES) == 57
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

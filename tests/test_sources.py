@@ -2,6 +2,7 @@
 
 import functools
 import os
+import random
 import threading
 
 import pytest
@@ -224,3 +225,55 @@ def test_versions_published_at_the_same_time_are_both_whole(spark, tmp_path):
     assert len(versions.versions(spark, path)) == 2
     last = max(outer, inner[0].split("/")[-2])
     assert scan_table(spark, path).count() == (7 if last == outer else 2)
+
+
+def _small_ranges(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+
+
+def _usual_ranges(spark):
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("seed,size", [(1, 7), (2, 40), (3, 1000), (4, 100_000)])
+def test_scan_csv_split_equals_one_task(spark, tmp_path, seed, size):
+    rng = random.Random(seed)
+    pieces = ["a", '""', "\n", ",", "\n\n", " ", "\u00e9", "\u6f22\u5b57", '""""', "null"]
+
+    def value():
+        if rng.random() < 0.4:
+            return rng.choice(["", "x", "NA", " y ", "\u6f22"])
+        return '"' + "".join(rng.choice(pieces) for _ in range(rng.choice([0, 1, 3, 60]))) + '"'
+
+    end = "\r\n" if seed == 2 else "\n"
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for n in range(3):
+        lines = ["k,v,w"] + [f"{n}-{k},{value()},{value()}" for k in range(rng.choice([0, 5, 40]) if n else 60)]
+        write_bytes = (end.join(lines) + (end if n != 1 else "")).encode()
+        (folder / f"{n}.csv").write_bytes(write_bytes)
+    want = rows(scan_csv(spark, str(folder), multi_line=True))
+    _small_ranges(spark, size)
+    try:
+        got = scan_csv(spark, str(folder), multi_line=readers.SPLIT)
+        assert rows(got) == want and len(want) >= 60
+        if size < 100:
+            assert spark.read.text(str(folder)).rdd.getNumPartitions() > 20
+    finally:
+        _usual_ranges(spark)
+
+
+def test_scan_csv_split_refuses_what_does_not_fit(spark, tmp_path):
+    path = write(tmp_path / "m.csv", 'a,b\n"x\ny",2,3\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        scan_csv(spark, path, multi_line=readers.SPLIT).collect()
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    write(folder / "1.csv", "a,b\n1,2\n")
+    write(folder / "2.csv", "b,a\n2,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        scan_csv(spark, str(folder), multi_line=readers.SPLIT).collect()
+    only = write(tmp_path / "h.csv", "a,b\n")
+    assert rows(scan_csv(spark, only, multi_line=readers.SPLIT)) == []
