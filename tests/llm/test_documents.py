@@ -87,6 +87,24 @@ def test_repeated_rows_are_one_document_for_line_dedup(spark):
     assert want == {r["doc_id"]: bool(r["n_dropped"]) for r in out if r["doc_id"] not in (None, 208)}
 
 
+def test_all_window_sizes_are_one_scan_and_item_sets_are_exact(spark, tmp_path):
+    rng = random.Random(8)
+    made = [" ".join(rng.choices("abcdefgh", k=rng.choice([0, 5, 30, 300]))) for _ in range(60)]
+    items = [(k, " ".join(rng.choices("abcdefgh", k=n))) for k, n in enumerate(list(range(1, 16)) * 3)]
+    common = " ".join(f"w{k}" for k in range(20))  # a passage of all items
+    items += [(100 + k, f"{common} own{k}") for k in range(40)] + [(None, f"{common} no id"), (100, f"{common} own0")]
+    made += [f"x y {common} z", f"{common} own7", "w3 w4 " * 30]
+    spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    stored = spark.read.parquet(f"{tmp_path}/d")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for limits in ({}, {"broadcast_bytes": 0}):
+        out = decontaminate.contamination(stored, benchmark, **limits)
+        got = {r["id"]: (r["n_words"], r["n_hit"], list(r["items"])) for r in out.collect()}
+        assert got == {k: hit_words(t, items) for k, t in enumerate(made)}
+        scans = out._jdf.queryExecution().sparkPlan().toString().count(f"{tmp_path}/d")
+        assert scans == (3 if limits else 2)
+
+
 def hit_words(text, items, size=13):
     cut = lambda t: [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or "")) if x]
     words, hit, found = cut(text), set(), set()
