@@ -174,7 +174,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     """Fit on at most SAMPLE_ROWS labelled rows of each kind, the first SAMPLE_CHARS characters of each.
 
     Rows are chosen by a hash of their id, so a sample is spread over all of them and the same every time.
-    Null labels are no labels; of several labels of one id the largest counts.
+    Null labels are no labels; of several labels of one id the largest counts. Repeated rows of an id are one row, the one of the
+    smallest text; an empty table, or one without labels, gives the prior alone.
     """
     ids = docs.select(F.col(doc_id).alias("id")).filter(learning_rows(F.col("id"))).distinct()
     known = (
@@ -189,8 +190,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     by_hash = [F.xxhash64("id"), F.col("id")]
     chosen = known.filter("y > 0").orderBy(*by_hash).limit(SAMPLE_ROWS).unionAll(known.filter("y <= 0").orderBy(*by_hash).limit(SAMPLE_ROWS))
     chosen = F.broadcast(written(chosen, "sample"))  # at most 2 * SAMPLE_ROWS rows
-    rows = docs.select(F.col(doc_id).alias("id"), F.substring(text, 1, SAMPLE_CHARS).alias("text")).join(chosen, "id").toPandas()
-    rows = rows.sort_values(["id", "text"], na_position="first").drop_duplicates("id").reset_index(drop=True)
+    rows = docs.select(F.col(doc_id).alias("id"), F.substring(text, 1, SAMPLE_CHARS).alias("text")).join(chosen, "id")
+    # One row for each id before anything is collected, however often it stands there; null is the smallest text.
+    text_of = F.min(F.struct("text", "y"))
+    rows = rows.groupBy("id").agg(text_of.alias("one")).select("id", "one.text", "one.y").toPandas()
+    rows = rows.sort_values("id").reset_index(drop=True)
     y = (rows["y"].to_numpy() > 0).astype(float)
     half = np.array([zlib.crc32(f"half {i}".encode()) % 2 for i in rows["id"]], dtype=bool)
     if min((y[half] > 0).sum(), (y[half] == 0).sum(), (y[~half] > 0).sum(), (y[~half] == 0).sum()) == 0:
