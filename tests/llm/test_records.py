@@ -1,6 +1,7 @@
 """Vectors, components, WARC records and the pipeline against plain loops."""
 
 import datetime
+import itertools
 import random
 
 import numpy as np
@@ -107,6 +108,54 @@ def test_vectors_of_several_lengths(spark):
     assert got["joined"] == want
 
 
+@pytest.mark.parametrize(("dim", "k", "probes"), [(9, 2, 2), (20, 3, 4), (64, 4, 8), (12, 3, 6)])
+def test_probes_are_the_likeliest_buckets(dim, k, probes):
+    unit = np.random.default_rng(dim).normal(size=(30, dim))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    stands = embeddings.cross_polytope(unit, k, 2, probes)
+    signs, size = np.random.default_rng(embeddings.SEED), 1 << (dim - 1).bit_length()
+    padded = np.pad(unit, ((0, 0), (0, size - dim)))
+    for t in range(2):
+        turns = []
+        for _ in range(k):
+            turned = padded
+            for _ in range(3):
+                turned = embeddings.hadamard(turned * signs.choice([-1.0, 1.0], size))
+            turns.append(turned)
+        for v in range(len(unit)):
+            axes = [sorted(((abs(x), 2 * a + (x < 0)) for a, x in enumerate(turned[v])), reverse=True)[: embeddings.CHOICES] for turned in turns]
+            buckets = []
+            for choice in itertools.product(*axes):
+                number = 0
+                for _, axis in choice:
+                    number = number * 2 * size + int(axis)
+                buckets.append((sum((best[0][0] - length) ** 2 for best, (length, _) in zip(axes, choice, strict=True)), number))
+            assert stands[v, t].tolist() == [number for _, number in sorted(buckets)[:probes]]
+
+
+def test_tables_stay_few_as_hashes_grow():
+    few = [(k, embeddings.probes_of(k), embeddings.tables_needed(64, k, 0.9)) for k in (3, 4, 5)]
+    assert [(k, p) for k, p, _ in few] == [(3, 4), (4, 8), (5, 16)] and all(tables <= 26 for *_, tables in few)
+    assert [embeddings.hashes_needed(64, n) for n in (2, 60_000, 4_000_000, 250_000_000)] == [1, 3, 4, 5]
+
+
+def test_pairs_count_where_they_meet_first():
+    rng = np.random.default_rng(5)
+    marks = rng.integers(0, 40, size=(60, 4, 3)).astype(np.uint32)  # tables are likely to share buckets
+    marks += (np.arange(3) * 40).astype(np.uint32) * (rng.random((60, 4, 1)) < 0.2)
+    i, j, group = embeddings._pairs_within(np.array([60]))
+    assert len(i) == 60 * 59 // 2 and (i < j).all() and not group.any()
+    counted = np.zeros(len(i), dtype=int)
+    for t in range(4):
+        for bucket in np.unique(marks[:, t]):
+            stands = (marks[:, t] == bucket).any(axis=1)
+            pairs = np.flatnonzero(stands[i] & stands[j])
+            same = np.full(len(pairs), t), np.full(len(pairs), bucket, dtype=np.uint32)
+            counted[pairs] += embeddings._count_here(marks, i[pairs], j[pairs], *same)
+    meets = [any(marks[a, t, 0] in marks[b, t] or marks[b, t, 0] in marks[a, t] for t in range(4)) for a, b in zip(i, j, strict=True)]
+    assert counted.tolist() == [int(m) for m in meets] and 0 < sum(meets) < len(meets)
+
+
 def test_hadamard():
     x = np.random.default_rng(1).normal(size=(5, 16))
     matrix = embeddings.hadamard(np.eye(16))
