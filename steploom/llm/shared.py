@@ -38,6 +38,10 @@ def ship_code(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
+#: By application: its folder where none is named. The setting itself can't be changed in a running session.
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see; a local one only where none is named and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,13 +49,24 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = tempfile.mkdtemp(prefix="steploom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="steploom-")
+    return _own_folders[application]
+
+
+def _run_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/steploom-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove all tables that operators wrote to the shared folder in this application. Results not stored elsewhere are lost with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
