@@ -1,14 +1,16 @@
-"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, compared window by window.
-
-Both dictionaries begin with the same ordinary words, so that ordinary text costs the same under either; then one holds
-words that toxic text has more often than ordinary text, the other as many bytes of ordinary text. A window is a word in a
-frame: a mark that both dictionaries end with, so that each window pays for its first match alike, and a tail, as
-zstandard looks for no match in the last bytes. The bytes that the toxic dictionary saves on a document's windows are
-turned into a probability by a logistic function, fitted on labelled rows, each compressed with
-dictionaries of the other half of the rows.
-
-The compressor's own dictionary trainer picks what is frequent, which both kinds of text share; so the words are picked
-by how much more often toxic text has them, counted by distinct neighbours, which copies of a text don't raise.
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text, compared window by window.
+
+Windows are single words and pairs of words. For each of the two lengths there is a toxic and an ordinary dictionary. Both begin with
+the same ordinary text, so that what is usual costs the same under either; the rest of one is trained on windows of toxic text, that of the
+other on as many windows of ordinary text. The compressor's trainer picks what is frequent in its samples, which both kinds of text
+share; so the samples of the toxic one are the windows that toxic text has more often than ordinary text, counted by distinct
+neighbours, which copies of a text don't raise. Pairs are learned where no word of theirs tells the label alone; their ordinary samples are
+pairs of the same words in other company, and only pairs of such words are compared, as no dictionary knows the others.
+
+A window stands in a frame: a mark that all dictionaries end with, so that each pays for its first match alike, and a tail, as
+zstandard looks for no match in the last bytes. The bytes that the toxic dictionary saves on a document's windows, and the share of
+windows that reach the threshold of their length, are turned into a probability by a logistic function. Thresholds and function are fitted
+on labelled rows, each compressed with dictionaries of the other half of the rows.
 """
 
 from __future__ import annotations
@@ -28,16 +30,21 @@ from pyspark.sql import functions as F
 
 from steploom.llm.shared import written
 
-#: The sample that is fitted on: so many rows of each label at most, so many characters of each.
+#: The sample that is fitted on: so many rows of each label at most; of longer texts so many blocks, chosen by hash from all over the text.
 SAMPLE_ROWS = 3_000
-SAMPLE_CHARS = 20_000
+SAMPLE_BLOCKS = 10
+BLOCK_CHARS = 2_000
 
 LEVEL = 12
 COMMON_BYTES = 8_000
-SPECIAL_BYTES = 4_000
+#: The trained part of a dictionary is twice as long as its different samples, within these bounds.
+LEAST_BYTES, SPECIAL_BYTES = 1_000, 4_000
+#: The lengths of windows, in words, and the thresholds that are tried for each, in bytes saved.
+LENGTHS = (1, 2)
+THRESHOLDS = range(1, 13)
 #: A word counts as toxic from so many distinct surroundings on.
 LEAST_SEEN = 4
-#: Words whose savings a worker remembers.
+#: Windows of each length whose savings a worker remembers.
 MEMO = 400_000
 
 _MARK = bytes(range(0x80, 0x98))
@@ -49,22 +56,35 @@ def _words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def _bytes(window: str) -> bytes:
+    return f" {window} ".encode("utf-8", "replace")
+
+
 @dataclass(frozen=True)
-class ToxicityModel:
-    """Dictionaries and weights; without both labels to learn from, every score is ``prior``."""
+class Dictionaries:
+    """Of one window length: the toxic and the ordinary dictionary, and the words that windows of several words are made of."""
 
     toxic: bytes = b""
     ordinary: bytes = b""
+    words: frozenset[str] = frozenset()
+
+
+@dataclass(frozen=True)
+class ToxicityModel:
+    """Dictionaries and thresholds by window length, and weights; without both labels to learn from, every score is ``prior``."""
+
+    dictionaries: tuple[Dictionaries, ...] = ()
+    thresholds: tuple[int, ...] = ()
     weights: tuple[float, ...] = ()
     prior: float = 0.0
 
     def scorer(self) -> Callable[[str | None], float]:
-        saved = _saver(self.toxic, self.ordinary) if self.weights else None
+        savers = [_saver(d.toxic, d.ordinary) for d in self.dictionaries]
 
         def score(text: str | None) -> float:
-            if saved is None:
+            if not self.weights:
                 return self.prior
-            z = float(np.dot(self.weights, _features(text, saved)))
+            z = float(np.dot(self.weights, _features(_savings(text, self.dictionaries, savers), self.thresholds)))
             return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
         return score
@@ -79,76 +99,137 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=data, compression_params=settings)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=2 * len(LENGTHS))
 def _saver(toxic: bytes, ordinary: bytes) -> Callable[[str], int]:
-    """The bytes that the toxic dictionary saves on a word, against the ordinary one."""
+    """The bytes that the toxic dictionary saves on a window, against the ordinary one."""
     by_toxic, by_ordinary = _compressor(toxic).compress, _compressor(ordinary).compress
     memo: dict[str, int] = {}
 
-    def saved(word: str) -> int:
-        known = memo.get(word)
+    def saved(window: str) -> int:
+        known = memo.get(window)
         if known is None:
-            window = _MARK + b" " + word.encode("utf-8", "replace") + b" " + _TAIL
-            known = len(by_ordinary(window)) - len(by_toxic(window))
+            framed = _MARK + _bytes(window) + _TAIL
+            known = len(by_ordinary(framed)) - len(by_toxic(framed))
             if len(memo) >= MEMO:
                 memo.clear()
-            if len(word) < 64:
-                memo[word] = known
+            if len(window) < 64:
+                memo[window] = known
         return known
 
     return saved
 
 
-def _features(text: str | None, saved: Callable[[str], int]) -> np.ndarray:
-    """1; of the words the share with 2 and with 3 saved bytes and the mean of squared savings, on a root scale; the most."""
-    counts = Counter(_words(text))
-    if not counts:
-        return np.array([1.0, 0, 0, 0, 0])
-    by = np.maximum([saved(w) for w in counts], 0)
-    n = np.fromiter(counts.values(), dtype=float)
-    total = n.sum()
-    shares = np.sqrt([n[by >= 2].sum() / total, n[by >= 3].sum() / total, (n * by * by).sum() / total])
-    return np.array([1.0, *shares, by.max() / 8])
+def _windows(words: list[str], length: int, of: frozenset[str]) -> Counter:
+    """The windows of so many words, single ones or all of words in ``of``, each with its number."""
+    if length == 1:
+        return Counter(words)
+    known = [w if w in of else None for w in words]
+    return Counter(" ".join(run) for run in zip(*(known[i:] for i in range(length)), strict=False) if None not in run)
+
+
+def _savings(text: str | None, dictionaries: tuple[Dictionaries, ...], savers: list[Callable[[str], int]]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """By window length: the bytes saved on each different window, how often it stands in the text, and the number of words."""
+    words = _words(text)
+    out = []
+    for length, of, saved in zip(LENGTHS, dictionaries, savers, strict=True):
+        counts = _windows(words, length, of.words)
+        by = np.fromiter((saved(w) for w in counts), dtype=float, count=len(counts))
+        out.append((np.maximum(by, 0), np.fromiter(counts.values(), dtype=float, count=len(counts)), len(words)))
+    return out
+
+
+def _share(by: np.ndarray, n: np.ndarray, words: int, threshold: int) -> float:
+    return float(np.sqrt(n[by >= threshold].sum() / max(words, 1)))
+
+
+def _features(savings: list[tuple[np.ndarray, np.ndarray, int]], thresholds: tuple[int, ...]) -> np.ndarray:
+    """1; by window length the share at the threshold or over and the mean of squared savings, on a root scale, and the most saved."""
+    out = [1.0]
+    for (by, n, words), threshold in zip(savings, thresholds, strict=True):
+        out += [_share(by, n, words, threshold), np.sqrt((n * by * by).sum() / max(words, 1)), by.max(initial=0) / 8]
+    return np.array(out)
 
 
-def _surroundings(texts: list[str]) -> tuple[Counter, int]:
-    """For each word, how many different pairs of neighbours it has."""
+def _thresholds(savings: list[list[tuple[np.ndarray, np.ndarray, int]]], y: np.ndarray) -> tuple[int, ...]:
+    """By window length, the threshold whose share of windows lies furthest apart in toxic and ordinary rows, in standard errors."""
+    best = []
+    for at in range(len(LENGTHS)):
+        apart = []
+        for t in THRESHOLDS:
+            share = np.array([_share(*row[at], t) for row in savings])
+            error = np.sqrt(share[y > 0].var() / (y > 0).sum() + share[y == 0].var() / (y == 0).sum())
+            apart.append((share[y > 0].mean() - share[y == 0].mean()) / (error + 1e-6))
+        best.append(THRESHOLDS[int(np.argmax(apart))])
+    return tuple(best)
+
+
+def _surroundings(texts: list[list[str]], length: int) -> tuple[Counter, int]:
+    """For each window, how many different pairs of neighbours it has."""
     seen = set()
-    for text in texts:
-        words = ["", *_words(text), ""]
-        seen.update(zip(words, words[1:], words[2:], strict=False))
-    return Counter(word for _, word, _ in seen), len(seen)
+    for words in texts:
+        framed = ["", *words, ""]
+        seen.update(zip(*(framed[i:] for i in range(length + 2)), strict=False))
+    return Counter(" ".join(run[1:-1]) for run in seen), len(seen)
+
+
+def _over(toxic: list[list[str]], ordinary: list[list[str]], length: int) -> set[str]:
+    """The windows that toxic text has more often, by log-odds less two standard errors."""
+    (seen, n_seen), (usual, n_usual) = _surroundings(toxic, length), _surroundings(ordinary, length)
+    over = set()
+    for window, n in seen.items():
+        if n >= LEAST_SEEN:
+            m = usual[window]
+            odds = np.log((n + 0.5) / (n_seen + 1)) - np.log((m + 0.5) / (n_usual + 1))
+            if odds - 2 * np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5)) > 0.7:
+                over.add(window)
+    return over
 
 
-def _joined(words: list[str], size: int) -> bytes:
-    """The first words that fit into ``size`` bytes, the most important last, where matches cost least."""
+def _trained(windows: list[str], size: int, length: int) -> bytes:
+    """``size`` bytes at most of a dictionary trained on the windows, eight to a sample; of too few to train on, the windows themselves.
+
+    The trainer's segments of 16 bytes for each word hold whole windows.
+    """
+    samples = [b"".join(map(_bytes, windows[i : i + 8])) for i in range(0, len(windows), 8)]
+    try:
+        return zstandard.train_dictionary(size, samples, k=16 * length, d=6).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        counts = Counter(windows)
+        return b"".join(_bytes(w) for w in sorted(counts, key=lambda w: (counts[w], w)))[-size:]
+
+
+def _dictionaries(texts: list[str], labels: np.ndarray) -> tuple[Dictionaries, ...]:
+    toxic = [_words(t) for t, y in zip(texts, labels, strict=True) if y]
+    ordinary = [_words(t) for t, y in zip(texts, labels, strict=True) if not y]
+    usual, _ = _surroundings(ordinary, 1)
+    out, told = [], set()
+    for length in LENGTHS:
+        over = {w for w in _over(toxic, ordinary, length) if told.isdisjoint(w.split(" "))}
+        told |= over
+        of = frozenset(word for w in over for word in w.split(" "))
+        special = [w for words in toxic for w in _windows(words, length, of).elements() if w in over]
+        rest = [w for words in ordinary for w in _windows(words, length, of).elements() if w not in over]
+        rest = rest[:: max(1, len(rest) // max(len(special), 1))][: len(special)]
+        size = min(max(2 * sum(map(len, map(_bytes, over))), LEAST_BYTES), SPECIAL_BYTES)
+        parts = _trained(special, size, length), _trained(rest, size, length)
+        wide = max(map(len, parts))
+        base = _common([w for w in usual if w not in told and w not in of], usual)
+        toxic_part, ordinary_part = (part.rjust(wide, b" ") for part in parts)
+        out.append(Dictionaries(base + toxic_part + _MARK, base + ordinary_part + _MARK, of))
+    return tuple(out)
+
+
+def _common(words: list[str], counts: Counter) -> bytes:
+    """The most frequent words, the first at the end, where matches cost least."""
     out, total = [], 0
-    for word in words:
+    for word in sorted(words, key=lambda w: (-counts[w], w)):
         total += len(word.encode("utf-8", "replace")) + 1
-        if total > size:
+        if total > COMMON_BYTES:
             break
         out.append(word)
     return " ".join(["", *reversed(out)]).encode("utf-8", "replace")
 
 
-def _dictionaries(texts: list[str], labels: np.ndarray) -> tuple[bytes, bytes]:
-    seen, n_seen = _surroundings([t for t, y in zip(texts, labels, strict=True) if y])
-    usual, n_usual = _surroundings([t for t, y in zip(texts, labels, strict=True) if not y])
-    over = {}
-    for word, n in seen.items():
-        if n >= LEAST_SEEN:
-            m = usual[word]
-            odds = np.log((n + 0.5) / (n_seen + 1)) - np.log((m + 0.5) / (n_usual + 1))
-            sure = odds - 2 * np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
-            if sure > 0.7:
-                over[word] = n * sure
-    special = _joined(sorted(over, key=lambda w: (-over[w], w)), SPECIAL_BYTES)
-    frequent = sorted((w for w in usual if w not in over), key=lambda w: (-usual[w], w))
-    common = _joined(frequent, COMMON_BYTES)
-    rest = _joined(frequent[len(common.split()) * 2 :], max(len(special) - 1, 0)).rjust(len(special), b" ")
-    return common + special + _MARK, common + rest + _MARK
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.01) -> np.ndarray:
     """Weighted logistic regression by Newton's method, with a small ridge on all but the constant."""
     beta = np.zeros(x.shape[1])
@@ -165,13 +246,34 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return beta
 
 
+def _rising(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The logistic fit in which no saving lowers the score: features that would get a negative weight are left out."""
+    used = np.ones(x.shape[1], dtype=bool)
+    while True:
+        beta = _logistic(x * used, y, weight)
+        lowers = beta < 0
+        lowers[0] = False
+        if not lowers.any():
+            return beta
+        used &= ~lowers
+
+
 def learning_rows(doc_id: Column) -> Column:
     """Rows whose label may be learned: two in three, by the checksum of the id's text. Null ids are not."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
 
+def _blocks(doc_id: Column, text: Column) -> Column:
+    """Short texts whole; of longer ones SAMPLE_BLOCKS blocks at most, chosen by hash from the whole text, in its order."""
+    n = F.char_length(text)
+    blocks = F.ceil(n / BLOCK_CHARS)
+    chosen = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_BLOCKS - 1)), lambda k: F.pmod(F.xxhash64(doc_id, k), blocks).cast("int"))
+    parts = F.transform(F.array_sort(F.array_distinct(chosen)), lambda k: F.substring(text, k * BLOCK_CHARS + 1, F.lit(BLOCK_CHARS)))
+    return F.when(n > SAMPLE_BLOCKS * BLOCK_CHARS, F.concat_ws(" ", parts)).otherwise(text)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
-    """Fit on at most SAMPLE_ROWS labelled rows of each kind, the first SAMPLE_CHARS characters of each.
+    """Fit on at most SAMPLE_ROWS labelled rows of each kind; of texts longer than SAMPLE_BLOCKS blocks of BLOCK_CHARS, on so many blocks.
 
     Rows are chosen by a hash of their id, so a sample is spread over all of them and the same every time.
     Null labels are no labels; of several labels of one id the largest counts. Repeated rows of an id are one row, the one of the
@@ -190,7 +292,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     by_hash = [F.xxhash64("id"), F.col("id")]
     chosen = known.filter("y > 0").orderBy(*by_hash).limit(SAMPLE_ROWS).unionAll(known.filter("y <= 0").orderBy(*by_hash).limit(SAMPLE_ROWS))
     chosen = F.broadcast(written(chosen, "sample"))  # at most 2 * SAMPLE_ROWS rows
-    rows = docs.select(F.col(doc_id).alias("id"), F.substring(text, 1, SAMPLE_CHARS).alias("text")).join(chosen, "id")
+    rows = docs.select(F.col(doc_id).alias("id"), _blocks(F.col(doc_id), F.col(text)).alias("text")).join(chosen, "id")
     # One row for each id before anything is collected, however often it stands there; null is the smallest text.
     text_of = F.min(F.struct("text", "y"))
     rows = rows.groupBy("id").agg(text_of.alias("one")).select("id", "one.text", "one.y").toPandas()
@@ -200,19 +302,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     if min((y[half] > 0).sum(), (y[half] == 0).sum(), (y[~half] > 0).sum(), (y[~half] == 0).sum()) == 0:
         return ToxicityModel(prior=float(share or 0.0))
     texts = list(rows["text"])
-    x = np.zeros((len(rows), 5))
+    savings: list = [None] * len(rows)
     for learn in (half, ~half):
-        saved = _saver(*_dictionaries([t for t, h in zip(texts, learn, strict=True) if h], y[learn]))
+        fitted = _dictionaries([t for t, h in zip(texts, learn, strict=True) if h], y[learn])
+        savers = [_saver(d.toxic, d.ordinary) for d in fitted]
         for i in np.flatnonzero(~learn):
-            x[i] = _features(texts[i], saved)
+            savings[i] = _savings(texts[i], fitted, savers)
+    thresholds = _thresholds(savings, y)
+    x = np.stack([_features(row, thresholds) for row in savings])
     weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return ToxicityModel(*_dictionaries(texts, y), tuple(float(b) for b in _logistic(x, y, weight)), float(share))
+    weights = tuple(float(b) for b in _rising(x, y, weight))
+    return ToxicityModel(_dictionaries(texts, y), thresholds, weights, float(share))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """Columns ``row`` (all columns of ``docs``) and ``score`` (0 to 1; higher: toxic likelier), one row per row of ``docs``.
 
-    Whole texts are scored, by their words alone. Null, empty and blank texts have no window and score as such.
+    Whole texts are scored, by their words and pairs of words alone. Null, empty and blank texts have no window and score as such.
+    Repeated rows score alike; an empty table gives no rows.
     """
 
     @F.pandas_udf("double")

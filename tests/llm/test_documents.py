@@ -1,5 +1,6 @@
 """Document operators against plain loops, on small tables with every awkward case."""
 
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -210,7 +212,6 @@ def test_covering_masks_and_dense_buckets(spark, monkeypatch):
 
 def whole_ids(texts):
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     return [np.array([*e.ids, 0], dtype="<u4") for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -322,6 +323,62 @@ def test_added_tokens_as_the_library_reads_them(spark):
         start += len(ids)
 
 
+def plain_score(text, model):
+    """The score window by window, without memo or counting, by new compressors."""
+    words = regex.findall(r"\w+|[^\w\s]+", (text or "").lower())
+    features = [1.0]
+    for length, (of, threshold) in enumerate(zip(model.dictionaries, model.thresholds, strict=True), 1):
+        saved, known = [], {}
+        for i in range(len(words) - length + 1):
+            window = words[i : i + length]
+            if length > 1 and not set(window) <= of.words:
+                continue
+            key = " ".join(window)
+            if key not in known:
+                framed = bytes(range(0x80, 0x98)) + f" {key} ".encode() + bytes(range(1, 13))
+                size = [len(toxicity._compressor(d).compress(framed)) for d in (of.ordinary, of.toxic)]
+                known[key] = max(size[0] - size[1], 0)
+            saved.append(known[key])
+        n = max(len(words), 1)
+        features += [(sum(s >= threshold for s in saved) / n) ** 0.5, (sum(s * s for s in saved) / n) ** 0.5, max(saved, default=0) / 8]
+    z = sum(w * x for w, x in zip(model.weights, features, strict=True))
+    return 1 / (1 + math.exp(-min(max(z, -30), 30)))
+
+
+def test_toxicity_by_order_and_company(spark):
+    """Toxic and ordinary texts hold the same words equally often; only which word follows which tells them apart."""
+    rng = random.Random(5)
+    usual = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(200)]
+    pairs = [("zulmer", "wektop"), ("jinrosk", "quaddel"), ("yorvik", "xantip")]
+    rows, labels = [], []
+    for i in range(900):
+        words = rng.choices(usual, k=rng.randint(15, 50))
+        for a, b in rng.choices(pairs, k=3):
+            at = rng.randrange(len(words))
+            words[at:at] = [a, b] if i % 3 == 0 else [b, a]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = docs.filter(~toxicity.learning_rows(F.col("doc_id")))
+    out = toxicity.toxicity(held, model).select("row.doc_id", "score").collect()
+    wrong = [r for r in out if (r["score"] >= 0.5) != (r["doc_id"] % 3 == 0)]
+    assert len(out) > 200 and len(wrong) <= len(out) // 20
+
+
+def test_toxicity_learns_from_blocks_of_the_whole_text(spark):
+    size = toxicity.SAMPLE_BLOCKS * toxicity.BLOCK_CHARS
+    short, long = "ab " * (size // 3), "".join(f"{i:07d} " for i in range(200_000))
+    table = spark.createDataFrame([(1, short), (2, long), (3, None), (4, ""), (None, long)], "id long, text string")
+    got = [r[0] for r in table.select(toxicity._blocks(F.col("id"), F.col("text"))).collect()]
+    assert got[0] == short and got[2] is None and got[3] == ""
+    for text in (got[1], got[4]):
+        blocks = [text[at : at + toxicity.BLOCK_CHARS] for at in range(0, len(text), toxicity.BLOCK_CHARS + 1)]
+        starts = [long.index(b) for b in blocks]
+        assert starts == sorted(set(starts)) and 2 <= len(starts) <= toxicity.SAMPLE_BLOCKS and starts[-1] > len(long) // 2
+    assert got[1] != got[4]
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     usual = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(300)]
@@ -345,6 +402,8 @@ def test_toxicity(spark):
     assert empty[1000] == empty[1001] < 0.5 and empty[None] >= 0.7
     kept = toxicity.drop_toxic(docs, truth)
     assert kept.columns == docs.columns and 430 <= kept.count() <= 470
+    for r in out:
+        assert r["score"] == pytest.approx(plain_score(r["text"], model), rel=1e-9)
     nothing = toxicity.fit_toxicity(docs, truth.filter("toxic = 0"))
     assert {r["score"] for r in toxicity.toxicity(docs, nothing).collect()} == {0.0}
     assert toxicity.toxicity(docs.limit(0), model).count() == 0
