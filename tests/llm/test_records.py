@@ -4,6 +4,7 @@ import datetime
 import itertools
 import pathlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -266,6 +267,27 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.run(spark, SF)
     assert packed.select("doc_id").distinct().count() == got.count()
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+    for r in packed.select("length", "ids_crc32", "ids").collect():
+        ids = np.array(r["ids"], dtype="<u4")
+        assert (len(ids), zlib.crc32(ids.tobytes())) == (r["length"], r["ids_crc32"])
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    schema = "doc_id long, text string, lang string, n_chars long, id long, row string, text_hash int, score string, kept string, line int"
+    rest = ("en", 5, 1, "r", 2, "s", "k", 3)
+    rows = [(1, "a quiet evening by the river"), (1, "a quiet evening by the river"), (2, None), (3, ""), (None, None), (None, "one more text of its own")]
+    docs = spark.createDataFrame([(*r, *rest) for r in rows] + [(4, "nulls " * 30, *[None] * 8)], schema)
+    got = docs
+    counts = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        got = shared.written(stage(spark, got, SF), "stage")
+        assert got.columns == docs.columns
+        counts.append(got.count())
+    assert counts == [7, 7, 4, 4]
+    assert {(r["doc_id"], r["text"]) for r in got.collect()} == {(1, rows[0][1]), (2, got.filter("doc_id = 2").head()["text"]), (None, rows[5][1]), (4, "nulls " * 30)}
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert pack(spark, docs, SF).count() == 7 and pack(spark, docs.limit(0), SF).count() == 0
 
 
 def test_every_operator_has_one_query():
