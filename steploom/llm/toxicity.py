@@ -128,13 +128,14 @@ def _windows(words: list[str], length: int, of: frozenset[str]) -> Counter:
 
 
 def _savings(text: str | None, dictionaries: tuple[Dictionaries, ...], savers: list[Callable[[str], int]]) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """By window length: the bytes saved on each different window, how often it stands in the text, and the number of words."""
+    """By window length: the bytes saved on each different window where any are, how often it stands in the text, and the number of words."""
     words = _words(text)
     out = []
     for length, of, saved in zip(LENGTHS, dictionaries, savers, strict=True):
         counts = _windows(words, length, of.words)
         by = np.fromiter((saved(w) for w in counts), dtype=float, count=len(counts))
-        out.append((np.maximum(by, 0), np.fromiter(counts.values(), dtype=float, count=len(counts)), len(words)))
+        n = np.fromiter(counts.values(), dtype=float, count=len(counts))
+        out.append((by[by > 0], n[by > 0], len(words)))
     return out
 
 
@@ -163,66 +164,106 @@ def _thresholds(savings: list[list[tuple[np.ndarray, np.ndarray, int]]], y: np.n
     return tuple(best)
 
 
-def _surroundings(texts: list[list[str]], length: int) -> tuple[Counter, int]:
-    """For each window, how many different pairs of neighbours it has."""
-    seen = set()
-    for words in texts:
-        framed = ["", *words, ""]
-        seen.update(zip(*(framed[i:] for i in range(length + 2)), strict=False))
-    return Counter(" ".join(run[1:-1]) for run in seen), len(seen)
+def _coded(texts: list[str], index: dict[str, int]) -> np.ndarray:
+    """The words of the texts by their numbers in ``index``, to which new words are added; 0 stands between texts and at both ends."""
+    zero = np.zeros(1, dtype=np.int64)
+    parts = [zero]
+    for text in texts:
+        parts += [np.fromiter((index.setdefault(w, len(index)) for w in _words(text)), dtype=np.int64), zero]
+    return np.concatenate(parts)
 
 
-def _over(toxic: list[list[str]], ordinary: list[list[str]], length: int) -> set[str]:
+def _codes(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of one or two words in order, each as one number, and the places where they begin."""
+    inner = [words[i : len(words) - length + i + 1] for i in range(length)]
+    places = np.flatnonzero(np.logical_and.reduce([part > 0 for part in inner]))
+    code = inner[0][places]
+    for part in inner[1:]:
+        code = code << 32 | part[places]
+    return code, places
+
+
+def _surroundings(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different windows, and how many different pairs of neighbours each has."""
+    code, places = _codes(words, length)
+    around = words[places - 1] << 32 | words[places + length]
+    order = np.lexsort((around, code))
+    code, around = code[order], around[order]
+    first = np.ones(len(code), dtype=bool)
+    first[1:] = (code[1:] != code[:-1]) | (around[1:] != around[:-1])
+    return np.unique(code[first], return_counts=True)
+
+
+def _over(toxic: np.ndarray, ordinary: np.ndarray, length: int) -> np.ndarray:
     """The windows that toxic text has more often, by log-odds less two standard errors."""
-    (seen, n_seen), (usual, n_usual) = _surroundings(toxic, length), _surroundings(ordinary, length)
-    over = set()
-    for window, n in seen.items():
-        if n >= LEAST_SEEN:
-            m = usual[window]
-            odds = np.log((n + 0.5) / (n_seen + 1)) - np.log((m + 0.5) / (n_usual + 1))
-            if odds - 2 * np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5)) > 0.7:
-                over.add(window)
-    return over
-
-
-def _trained(windows: list[str], size: int, length: int) -> bytes:
+    (seen, n), (usual, n_of) = _surroundings(toxic, length), _surroundings(ordinary, length)
+    n_seen, n_usual = n.sum(), n_of.sum()
+    seen, n = seen[n >= LEAST_SEEN], n[n >= LEAST_SEEN]
+    at = np.minimum(np.searchsorted(usual, seen), max(len(usual) - 1, 0))
+    m = np.where(usual[at] == seen, n_of[at], 0) if len(usual) else np.zeros(len(seen))
+    odds = np.log((n + 0.5) / (n_seen + 1)) - np.log((m + 0.5) / (n_usual + 1))
+    return seen[odds - 2 * np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5)) > 0.7]
+
+
+def _trained(windows: list[str], size: int) -> bytes:
     """``size`` bytes at most of a dictionary trained on the windows, eight to a sample; of too few to train on, the windows themselves.
 
-    The trainer's segments of 16 bytes for each word hold whole windows.
+    The trainer's segments of 32 bytes hold whole windows; half as long ones cut many of them.
     """
     samples = [b"".join(map(_bytes, windows[i : i + 8])) for i in range(0, len(windows), 8)]
     try:
-        return zstandard.train_dictionary(size, samples, k=16 * length, d=6).as_bytes()[-size:]
+        return zstandard.train_dictionary(size, samples, k=32, d=6).as_bytes()[-size:]
     except zstandard.ZstdError:
         counts = Counter(windows)
         return b"".join(_bytes(w) for w in sorted(counts, key=lambda w: (counts[w], w)))[-size:]
 
 
 def _dictionaries(texts: list[str], labels: np.ndarray) -> tuple[Dictionaries, ...]:
-    toxic = [_words(t) for t, y in zip(texts, labels, strict=True) if y]
-    ordinary = [_words(t) for t, y in zip(texts, labels, strict=True) if not y]
-    usual, _ = _surroundings(ordinary, 1)
-    out, told = [], set()
+    index = {"": 0}
+    toxic = _coded([t for t, y in zip(texts, labels, strict=True) if y], index)
+    ordinary = _coded([t for t, y in zip(texts, labels, strict=True) if not y], index)
+    names = list(index)
+    del index
+    usual, counts = _surroundings(ordinary, 1)
+    out, told = [], np.zeros(0, dtype=np.int64)
     for length in LENGTHS:
-        over = {w for w in _over(toxic, ordinary, length) if told.isdisjoint(w.split(" "))}
-        told |= over
-        of = frozenset(word for w in over for word in w.split(" "))
-        special = [w for words in toxic for w in _windows(words, length, of).elements() if w in over]
-        rest = [w for words in ordinary for w in _windows(words, length, of).elements() if w not in over]
+        over = _over(toxic, ordinary, length)
+        over = over[~np.logical_or.reduce([np.isin(part, told) for part in _parts(over, length)])]
+        of = np.unique(np.concatenate(_parts(over, length)))
+        told = np.union1d(told, of) if length == 1 else told
+        special, _ = _codes(toxic, length)
+        special = special[np.isin(special, over)]
+        rest, _ = _codes(ordinary, length)
+        company = np.logical_and.reduce([np.isin(part, of) for part in _parts(rest, length)]) if length > 1 else True
+        rest = rest[~np.isin(rest, over) & company]
         rest = rest[:: max(1, len(rest) // max(len(special), 1))][: len(special)]
-        size = min(max(2 * sum(map(len, map(_bytes, over))), LEAST_BYTES), SPECIAL_BYTES)
-        parts = _trained(special, size, length), _trained(rest, size, length)
-        wide = max(map(len, parts))
-        base = _common([w for w in usual if w not in told and w not in of], usual)
-        toxic_part, ordinary_part = (part.rjust(wide, b" ") for part in parts)
-        out.append(Dictionaries(base + toxic_part + _MARK, base + ordinary_part + _MARK, of))
+        size = min(max(2 * sum(len(_bytes(w)) for w in _named(over, length, names)), LEAST_BYTES), SPECIAL_BYTES)
+        trained = _trained(_named(special, length, names), size), _trained(_named(rest, length, names), size)
+        shared = ~np.isin(usual, np.union1d(told, of))
+        base = _common(usual[shared], counts[shared], names)
+        wide = max(map(len, trained))
+        toxic_part, ordinary_part = (part.rjust(wide, b" ") for part in trained)
+        words = frozenset(names[i] for i in of) if length > 1 else frozenset()
+        out.append(Dictionaries(base + toxic_part + _MARK, base + ordinary_part + _MARK, words))
     return tuple(out)
 
 
-def _common(words: list[str], counts: Counter) -> bytes:
+def _parts(codes: np.ndarray, length: int) -> list[np.ndarray]:
+    """The numbers of the first, second, ... words of windows."""
+    return [codes >> 32 * (length - 1 - i) & 0xFFFFFFFF for i in range(length)]
+
+
+def _named(codes: np.ndarray, length: int, names: list[str]) -> list[str]:
+    return [" ".join(names[i] for i in run) for run in zip(*_parts(codes, length), strict=True)]
+
+
+def _common(words: np.ndarray, counts: np.ndarray, names: list[str]) -> bytes:
     """The most frequent words, the first at the end, where matches cost least."""
+    if len(words) > COMMON_BYTES:  # a word takes a byte at least
+        often = counts >= np.partition(counts, -COMMON_BYTES)[-COMMON_BYTES]
+        words, counts = words[often], counts[often]
     out, total = [], 0
-    for word in sorted(words, key=lambda w: (-counts[w], w)):
+    for _, word in sorted((-n, names[i]) for i, n in zip(words, counts, strict=True)):
         total += len(word.encode("utf-8", "replace")) + 1
         if total > COMMON_BYTES:
             break
@@ -308,6 +349,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
         savers = [_saver(d.toxic, d.ordinary) for d in fitted]
         for i in np.flatnonzero(~learn):
             savings[i] = _savings(texts[i], fitted, savers)
+        _saver.cache_clear()  # what these remember is of no further use
     thresholds = _thresholds(savings, y)
     x = np.stack([_features(row, thresholds) for row in savings])
     weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
