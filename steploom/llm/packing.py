@@ -130,11 +130,14 @@ def pack(
     held = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     total, count = held.agg(F.sum("length"), F.count(F.lit(1))).head()
     n_groups = max(1, round((total or 0) / group_tokens), -(-count // group_pieces))
-    dealt = held.withColumn("group", F.pmod(F.xxhash64("_row"), F.lit(n_groups)))
-    schema = StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    # Token ids stay out of the groups: they are joined to the places afterwards, so a task holds lengths and not texts.
+    slim = ["piece", "length", "ids_crc32", "_row"] if "ids" in pieces.columns else held.columns
+    dealt = held.select(*slim, F.pmod(F.xxhash64("_row"), F.lit(n_groups)).alias("group"))
+    fields = [held.schema[c] for c in slim]
+    schema = StructType([*fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def fill(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "ids_crc32", "piece", "_row"], ascending=[False, True, True, True]).drop(columns=["group", "_row"])
+        rows = rows.sort_values(["length", "ids_crc32", "piece", "_row"], ascending=[False, True, True, True]).drop(columns="group")
         length = rows["length"].to_numpy(dtype=float)
         full = length >= max_tokens
         demands = np.stack([length, np.ones(len(length)), length * length], axis=1)
@@ -145,4 +148,7 @@ def pack(
         rows["offset"] = rows.groupby("sequence_id", sort=False)["length"].cumsum() - rows["length"]
         return rows
 
-    return dealt.groupBy("group").applyInPandas(fill, schema)
+    places = dealt.groupBy("group").applyInPandas(fill, schema)
+    if "ids" in pieces.columns:
+        places = held.join(places.select("_row", "sequence_id", "offset"), "_row")
+    return places.select(*pieces.columns, "sequence_id", "offset")
