@@ -4,9 +4,9 @@ Paragraphs are what stands between blank lines, with line breaks and comment mar
 are read in windows of WINDOW words, each half over the next, so a notice of up to half a window is whole in one of them however long
 the paragraph is.
 
-The classifier is trained here: on the notices below, on parts of them, and on windows of a bounded sample of the corpus' own
+The classifier is trained here: on the notices below, on parts of them, and on the windows of all of the corpus' own
 paragraphs, those that share words with notices included. Its features are the words and pairs of the notices that
-ordinary windows seldom have; its penalty leaves few weights. All that is scored is DataFrame operations: the grams of
+ordinary windows seldom have; its penalty leaves few weights. Windows with the same features are one row with a weight in the fit. All that is scored is DataFrame operations: the grams of
 the texts meet the few known grams in a broadcast join, and only what is met goes on. A family must be likelier than
 a threshold that ordinary windows hardly ever reach, and one of its notices must confirm it: most of its grams must be there, and
 most of those that tell it from each similar notice of another family (such as the version). Else the paragraph is ``unknown``.
@@ -74,10 +74,11 @@ NOTICES = {
 NONE, UNKNOWN = "none", "unknown"
 #: Words of a window; windows begin at every half of it.
 WINDOW = 80
-#: Paragraphs of the corpus that are fitted and calibrated on: so many different ones at most, chosen by a hash, each whole.
-SAMPLE_PARAGRAPHS = 1_500
-#: Grams that a larger share of the sample's windows have tell nothing and are no features.
+#: Grams that a larger share of the corpus' windows have tell nothing and are no features.
 COMMON = 0.02
+#: In the fit a notice, or a part of one, weighs so much, and all ordinary windows together at most so many times as much as all notices.
+NOTICE_WEIGHT = 4.0
+ORDINARY_WEIGHT = 10.0
 #: The share of ordinary windows that may reach the threshold, the least threshold, and the least overlap with a notice.
 FALSE_SHARE = 0.001
 LEAST = 0.5
@@ -140,6 +141,39 @@ def _met(grams: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
     return met.select(*keys, windows, *others).groupBy(*keys, "window").agg(F.collect_set(F.struct(*others)).alias("met"))
 
 
+def _window_sets(paragraphs: DataFrame, known: list[int]) -> DataFrame:
+    """``h``, ``n`` (words) and ``sets``: for each window the different known hashes in it. The grams and windows of :func:`_met`, by row."""
+    half = WINDOW // 2
+    split = paragraphs.select("h", F.explode(F.array(words(F.col("p")))).alias("w"))
+    next_words = F.slice("w", 2, F.greatest(F.size("w"), F.lit(1)))
+    hashes = F.struct(F.transform("w", lambda w: F.xxhash64(w)).alias("ones"), F.zip_with("w", next_words, lambda w, x: F.xxhash64(w, x)).alias("twos"))
+    hashed = split.select("h", F.size("w").alias("n"), F.explode(F.array(hashes)).alias("g"))
+    # Few of them are in a paragraph, so its windows are held against few.
+    some = F.array_intersect(F.concat("g.ones", "g.twos"), F.array(*map(F.lit, known)).cast("array<long>"))
+    hashed = hashed.select("h", "n", "g", F.explode(F.array(some)).alias("some"))
+    within = lambda k: F.concat(*[F.slice(hashed[f"g.{c}"], k * half + 1, F.lit(WINDOW)) for c in ("ones", "twos")])
+    places = F.sequence(F.lit(0), F.greatest(F.floor((F.col("n") - 1) / half).cast("int"), F.lit(0)))
+    return hashed.select("h", "n", F.transform(places, lambda k: F.array_intersect(within(k), F.col("some"))).alias("sets"))
+
+
+def _nth_largest(table: DataFrame, value: str, n: int) -> float | None:
+    """The exact ``n``-th largest ``value``, each row counted ``n`` times by its column; null if there are fewer. 1,001 sums at most come to the driver."""
+    low, high = table.agg(F.min(value), F.max(value)).head()
+    while low is not None:
+        place = F.floor((F.col(value) - low) / ((high - low) or 1.0) * 1000)
+        within = table.filter(F.col(value).between(low, high)).groupBy(place.alias("place"))
+        parts = within.agg(F.sum("n").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).collect()
+        low = None
+        for part in sorted(parts, key=lambda r: -r["low"]):
+            if n <= part["n"]:
+                low, high = part["low"], part["high"]
+                break
+            n -= part["n"]
+        if low == high:
+            return low
+    return None
+
+
 def _telling_notices(common: set[str], grams_of: dict[tuple[str, int], list[str]]) -> list[Notice]:
     telling = {key: [g for g in grams if g not in common] for key, grams in grams_of.items()}
     out = []
@@ -157,10 +191,10 @@ def _telling_notices(common: set[str], grams_of: dict[tuple[str, int], list[str]
 
 
 def fit_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Fitted:
-    """Fit on the notices and on at most SAMPLE_PARAGRAPHS different paragraphs of the corpus.
+    """Fit on the notices and on the different paragraphs of the corpus, all of them.
 
-    Sample windows that hold a whole notice are no ordinary ones; all others are, however much they share with notices. Half of
-    them, by a hash, is fitted on, the other half sets the threshold.
+    Windows that hold a whole notice are no ordinary ones; all others are, however much they share with notices. Half of
+    them, by a hash, is fitted on, the other half sets the threshold. Each of a half counts the same.
     """
     spark = docs.sparkSession
     families = [NONE, *sorted(NOTICES)]
@@ -179,33 +213,38 @@ def fit_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     spaced = spark.createDataFrame([(g,) for g in every], "gram string")
     word, next_word = F.split("gram", " ")[0], F.get(F.split("gram", " "), F.lit(1))
     known = written(spaced.select(F.xxhash64(word, next_word).alias("hash"), "gram"), "notice-grams")
+    name = {r["hash"]: r["gram"] for r in known.collect()}  # the notices' grams
 
     paragraphs = _paragraphs(docs, doc_id, text).filter(F.col("p").rlike(r"[^\s]")).select(F.xxhash64("p").alias("h"), "p")
-    chosen = paragraphs.select("h").distinct().orderBy("h").limit(SAMPLE_PARAGRAPHS)
-    sample = written(paragraphs.join(F.broadcast(chosen), "h").groupBy("h").agg(F.first("p").alias("p")), "licence-sample")
-    counted = sample.select(F.explode(F.array(F.size(words(F.col("p"))))).alias("n"))
+    sets = written(_window_sets(paragraphs, sorted(name)).distinct(), "licence-windows")
     half = F.greatest(F.ceil(F.col("n") / (WINDOW // 2)) - 1, F.lit(1))
-    n_windows = counted.agg(F.coalesce(F.sum(half), F.lit(0))).head()[0]
-    windows = written(_met(_grams(sample, "h"), ["h"], known).select("h", "window", F.col("met.gram").alias("grams")), "licence-windows")
-    often = windows.select(F.explode("grams").alias("gram")).groupBy("gram").count()
-    common = {r["gram"] for r in often.filter(F.col("count") > COMMON * max(n_windows, 1)).collect()}  # of the notices' grams
+    n_windows = sets.agg(F.coalesce(F.sum(half), F.lit(0))).head()[0]
+    windows = sets.select("h", F.posexplode("sets").alias("window", "hashes")).filter(F.size("hashes") > 0)
+    often = windows.select(F.explode("hashes").alias("hash")).groupBy("hash").count()
+    common = {name[r["hash"]] for r in often.filter(F.col("count") > COMMON * max(n_windows, 1)).collect()}  # of the notices' grams
     notices = _telling_notices(common, grams_of)
 
     features = [g for g in every if g not in common]
-    telling = F.array_intersect("grams", F.array(*map(F.lit, features))) if features else F.array().cast("array<string>")
-    whole = F.greatest(F.lit(0.0), *[F.size(F.array_intersect("grams", F.array(*map(F.lit, n.grams)))) / len(n.grams) for n in notices])
-    ordinary = windows.filter(whole < OVERLAP).select("h", "window", telling.alias("grams"))
-    # Windows that met no gram at all are alike: one row of them stands for all in the fit.
-    ordinary = written(ordinary.unionAll(spark.createDataFrame([(0, -1, [])], "h long, window int, grams array<string>")), "ordinary-windows")
+    telling = F.array_except("hashes", F.array(*[F.lit(h) for h, g in name.items() if g in common]).cast("array<long>"))
     fitted_half = F.pmod(F.xxhash64("h", "window"), F.lit(2)) == 0
+    kinds = windows.select(F.sort_array(telling).alias("hashes"), fitted_half.alias("fitted")).groupBy("hashes", "fitted").agg(F.count(F.lit(1)).alias("n"))
+    names = F.create_map(*[F.lit(x) for pair in name.items() for x in pair])
+    kinds = kinds.select(F.transform("hashes", lambda h: names[h]).alias("grams"), "fitted", "n")
+    whole = F.greatest(F.lit(0.0), *[F.size(F.array_intersect("grams", F.array(*map(F.lit, n.grams)))) / len(n.grams) for n in notices])
+    ordinary = written(kinds.filter(whole < OVERLAP), "ordinary-windows")
     positive = spark.createDataFrame(
-        [(float(families.index(r["family"])), [g for g in r["grams"] if g not in common]) for r in gram_sets for _ in range(4)],
-        "label double, grams array<string>",
+        [(float(families.index(r["family"])), [g for g in r["grams"] if g not in common], NOTICE_WEIGHT) for r in gram_sets],
+        "label double, grams array<string>, weight double",
+    )
+    n_ordinary = ordinary.filter("fitted").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    each = min(1.0, ORDINARY_WEIGHT * NOTICE_WEIGHT * len(gram_sets) / max(n_ordinary, 1))
+    # Windows that met no gram at all are alike: one row of them stands for all in the fit.
+    negative = ordinary.filter("fitted").select("grams", (F.col("n") * each).alias("weight")).unionAll(
+        spark.createDataFrame([([], 1.0)], "grams array<string>, weight double")
     )
-    train = positive.unionAll(ordinary.filter(fitted_half | (F.col("window") < 0)).select(F.lit(0.0).alias("label"), "grams"))
-    train = written(train.repartition(1), "licence-training")  # the windows of SAMPLE_PARAGRAPHS paragraphs and the notices
+    train = written(positive.unionAll(negative.select(F.lit(0.0).alias("label"), "grams", "weight")), "licence-training")
     vector = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=max(len(features), 1), binary=True).fit(train)
-    model = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=1.0, maxIter=60).fit(vector.transform(train))
+    model = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=1.0, maxIter=60, weightCol="weight").fit(vector.transform(train))
     matrix = model.coefficientMatrix.toArray()
     weight = {g: matrix[:, i].tolist() for i, g in enumerate(vector.vocabulary)}
     zero = [0.0] * len(families)
@@ -213,12 +252,10 @@ def fit_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     weights = written(held.join(known, "gram").select("hash", "gram", "weights"), "licence-weights")
     intercepts = dict(zip(families, model.interceptVector.toArray().tolist(), strict=True))
     fitted = Fitted(weights, intercepts, LEAST, notices)
-    rest = ordinary.filter(~fitted_half & (F.col("window") >= 0)).select("h", "window", F.explode("grams").alias("gram"))
-    again = rest.join(F.broadcast(weights), "gram").groupBy("h", "window").agg(F.collect_set(F.struct("gram", "weights")).alias("met"))
-    reached = _likely(again, ["h", "window"], fitted).groupBy("h", "window").agg(F.max("likely").alias("likely"))
-    allowed = int(FALSE_SHARE * n_windows / 2)
-    top = [r["likely"] for r in reached.orderBy(F.desc("likely")).limit(allowed + 1).collect()]  # a thousandth of the sample's windows
-    threshold = max(LEAST, top[allowed] if len(top) > allowed else LEAST)
+    rest = ordinary.filter("not fitted").select("grams", "n", F.explode("grams").alias("gram"))
+    again = rest.join(F.broadcast(weights), "gram").groupBy("grams", "n").agg(F.collect_set(F.struct("gram", "weights")).alias("met"))
+    reached = written(_likely(again, ["grams", "n"], fitted).groupBy("grams", "n").agg(F.max("likely").alias("likely")), "licence-likely")
+    threshold = max(LEAST, _nth_largest(reached, "likely", int(FALSE_SHARE * n_windows / 2) + 1) or LEAST)
     return fitted._replace(threshold=threshold)
 
 

@@ -121,3 +121,38 @@ def test_time_is_linear_in_the_words_of_a_paragraph(spark, fitted):
 
     seconds(2_000)
     assert seconds(20_000) < 3 * seconds(2_000) + 2
+
+
+def test_window_sets_equal_the_windows_that_are_scored(spark, corpus):
+    texts = [t for t, _ in CASES if t] + [r["text"] for r in corpus.orderBy("doc_id").limit(40).collect() if r["text"]] + ["--- ...", "the " * 81]
+    paragraphs = spark.createDataFrame(list(enumerate(texts)), "h long, p string")
+    grams = sorted({g for notices in lic.NOTICES.values() for n in notices for g in n.lower().replace(".", "").split()} | {"general public", "the the"})
+    first, second = F.split("gram", " ")[0], F.get(F.split("gram", " "), F.lit(1))
+    known = spark.createDataFrame([(g,) for g in grams], "gram string").select(F.xxhash64(first, second).alias("hash"), "gram").localCheckpoint()
+    name = {r["hash"]: r["gram"] for r in known.collect()}
+    sets = lic._window_sets(paragraphs, sorted(name)).collect()
+    got = {(r["h"], k): {name[x] for x in found} for r in sets for k, found in enumerate(r["sets"]) if found}
+    assert got == {(r["h"], r["window"]): {x["gram"] for x in r["met"]} for r in lic._met(lic._grams(paragraphs, "h"), ["h"], known).collect()}
+    counts = dict(paragraphs.select("h", F.size(lic.words(F.col("p")))).collect())
+    assert {r["h"]: r["n"] for r in sets} == counts
+
+
+def test_every_paragraph_counts_in_the_fit(spark):
+    """Those that a sample by the smallest hashes would leave out too."""
+    made = spark.range(4_000).select(F.concat(F.lit("plain words of the day "), "id").alias("text"), F.lit(0).alias("kind"))
+    last = made.select(F.xxhash64("text").alias("h")).orderBy("h").offset(1_600).first()["h"]
+    made = made.unionAll(spark.range(4_000).select(F.concat(F.lit("the redistribution of bread number "), "id"), F.lit(1)))
+    docs = made.filter((F.col("kind") == 0) | (F.xxhash64("text") > last)).withColumn("doc_id", F.monotonically_increasing_id())
+    words = lambda fitted: {r["gram"] for r in fitted.weights.collect()}
+    assert "redistribution" in words(lic.fit_licences(docs.filter("kind = 0")))
+    assert "redistribution" not in words(lic.fit_licences(docs))
+
+
+@pytest.mark.parametrize("values", [[0.5, 0.7, 0.7, 0.9, 0.7 + 1e-16, 0.9 - 1e-13], [0.8] * 5, [0.5 + i / 4_321 for i in range(2_000)], []])
+def test_nth_largest_is_exact(spark, values):
+    rows = [(v, 1 + i % 3) for i, v in enumerate(values)]
+    table = spark.createDataFrame(rows, "likely double, n long")
+    ordered = sorted((v for v, n in rows for _ in range(n)), reverse=True)
+    for n in (1, 2, 3, 5, 8, len(ordered), len(ordered) + 1):
+        if n:
+            assert lic._nth_largest(table, "likely", n) == (ordered[n - 1] if n <= len(ordered) else None)
