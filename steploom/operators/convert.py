@@ -300,20 +300,32 @@ def conversion_error_summary(
     examples are the kept ones of smallest hash. It is the same on any partitioning, copies of a value take one place, and at
     most ``LANES`` rows a task and problem are shuffled. Two values share a lane by a chance of 1 in 256; then only one can
     be an example. A null value counts as empty text. An empty table gives no rows.
+
+    The table is read twice, so that tasks hold sums and not rows: first numbers alone are aggregated, counts and the smallest
+    starts of the hashes; then the texts of the few chosen ones. Spark sorts those only beyond 128 examples in all.
     """
     if not 1 <= examples <= LANES:
         raise SpecError(f"examples must be 1 to {LANES}")
     value = F.coalesce("value", F.lit(""))
     digest = F.md5(value.cast("binary"))
-    lanes = (
-        conversion_errors(df, rules, value_maps)
-        .select("column", "type", "reason", digest.alias("digest"), value.alias("value"), "id")
-        .groupBy("column", "type", "reason", F.substring("digest", 1, 2).alias("lane"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("digest", "value", "id")).alias("kept"))
+    by = ["column", "type", "reason"]
+    # 15 hexadecimal digits are a long in the order of the text; never null, or the join would hash each value once more to see.
+    start = F.coalesce(F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"), F.lit(0))
+    errors = conversion_errors(df, rules, value_maps).select(*by, digest.alias("digest"), value.alias("value"), "id").withColumn("start", start)
+    lanes = errors.groupBy(*by, F.substring("digest", 1, 2).alias("lane")).agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"))
+    starts = F.slice(F.sort_array(F.collect_list("start")), 1, examples)
+    totals = lanes.groupBy(*by).agg(F.sum("n").alias("n_values"), starts.alias("starts"))
+    chosen = totals.select(*by, "n_values", F.explode("starts").alias("start"))
+    # With collect_set Spark aggregates in a hash map; for a minimum of texts alone it would sort all copies of the chosen values.
+    same = F.collect_set(F.struct("digest", "value")).alias("same")
+    kept = (
+        errors.join(F.broadcast(chosen), [*by, "start"])
+        .groupBy(*by, "n_values", "start")
+        .agg(same, F.min(F.struct("digest", "value", "id")).alias("kept"))
+        .select(*by, "n_values", F.struct("start", F.array_min("same")["value"].alias("value"), F.col("kept.id").alias("id")).alias("one"))
     )
-    kept = F.slice(F.sort_array(F.collect_list("kept")), 1, examples)
-    pairs = F.transform(kept, lambda one: F.struct(one["value"].alias("value"), one["id"].alias("id")))
-    return lanes.groupBy("column", "type", "reason").agg(F.sum("n").alias("n_values"), pairs.alias("examples"))
+    pairs = F.transform(F.sort_array(F.collect_list("one")), lambda one: F.struct(one["value"].alias("value"), one["id"].alias("id")))
+    return kept.groupBy(*by, "n_values").agg(pairs.alias("examples"))
 
 
 def _problem(rule: ColumnRule, text: Column, reason: Column) -> Column:

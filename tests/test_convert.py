@@ -1,5 +1,7 @@
 """Header matching, conversion by rules, value maps, problem reports and lists."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +171,24 @@ def test_error_summary_counts_exactly_and_samples_alike_on_any_partitioning(spar
         cv.conversion_error_summary(df, rules, examples=0)
 
 
+def test_error_summary_sorts_no_rows_and_equals_a_loop(spark):
+    found = [(None if i % 50 == 7 else f"k{i:04}", None if i % 90 == 0 else f"x{i % 40}" if i % 3 else f"y{i}") for i in range(1_500)]
+    df = spark.createDataFrame(found + found[:30], "k string, v string")
+    rules = [rule("k", "K"), rule("v", "V", "INTEGE")]
+    summary = cv.conversion_error_summary(df, rules, examples=6)
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Sort [" not in plan
+    lanes, count = {}, {}
+    for key, column, kind, value, reason in rows(cv.conversion_errors(df, rules)):
+        group = (column, kind, reason)
+        count[group] = count.get(group, 0) + 1
+        one = (hashlib.md5((value or "").encode()).hexdigest(), value or "", key or "")
+        best = lanes.setdefault(group, {})
+        best[one[0][:2]] = min(one, best.get(one[0][:2], one))
+    got = {tuple(r[:3]): (r[3], [(x["value"], x["id"] or "") for x in r[4]]) for r in rows(summary)}
+    assert got == {group: (n, [x[1:] for x in sorted(lanes[group].values())[:6]]) for group, n in count.items()}
+
+
 FLAGS = [
     rule("policy_number", "ID"),
     rule("amount", "AMOUNT", "DECIMA"),
