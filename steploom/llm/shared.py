@@ -8,6 +8,9 @@ import shutil
 import string
 import tempfile
 import uuid
+import weakref
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,41 @@ BROADCAST_ROWS = 200_000
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+class Memo(dict):
+    """What ``find`` returns for texts, remembered for the last ones: ``size`` at least and twice as many at most, none longer than ``chars``.
+
+    When it is full, texts that were asked for since it last was stay, and the others go: frequent ones are found once.
+    """
+
+    def __init__(self, find: Callable[[str], Any], size: int, chars: int, use: str) -> None:
+        super().__init__()
+        self.find, self.size, self.chars, self.use = find, size, chars, use
+        self.older: dict[str, Any] = {}
+        _memos[id(self)] = self
+
+    def __missing__(self, text: str) -> Any:
+        found = self.older.get(text)
+        if found is None:
+            found = self.find(text)
+        if len(text) <= self.chars:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[text] = found
+        return found
+
+
+_memos: weakref.WeakValueDictionary[int, Memo] = weakref.WeakValueDictionary()
+
+
+def turn_to(use: str) -> None:
+    """Empty this worker's memos of other uses: a worker goes from the tasks of one operator to those of the next, and would keep all."""
+    for memo in list(_memos.values()):
+        if memo.use != use:
+            memo.clear()
+            memo.older = {}
+
+
 @functools.cache
 def _archive() -> str:
     import steploom

@@ -10,8 +10,10 @@ from collections.abc import Callable
 
 import regex
 
-#: Pieces that a worker remembers, about 200 MB; the memo is emptied when it is full. Longer pieces are not remembered.
-MEMO = 1_000_000
+from steploom.llm.shared import Memo, turn_to
+
+#: Pieces that a worker remembers: so many of the last ones at least, twice as many (some 100 MB) at most. Longer pieces are not remembered.
+MEMO = 1 << 18
 MEMO_CHARS = 60
 
 #: Fixed: how byte-level BPE cuts text into pieces before it merges bytes within each.
@@ -33,21 +35,13 @@ LATIN_PIECES = (
 BEYOND_LATIN = r"[\x1c-\x1f\u0250-\U0010ffff]"
 
 
-class _Memo(dict):
-    """The ids of pieces, found by the model when first asked for."""
-
-    def __init__(self, model) -> None:
-        super().__init__()
-        self.model, self.letters = model, byte_letters()
+@functools.lru_cache(maxsize=2)
+def _library(path: str):
+    """The tokenizer file as read by the tokenizers library, some 25 MB: once in a worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-    def __missing__(self, piece: str) -> bytes:
-        shown = piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-        ids = array("I", [token.id for token in self.model.tokenize(shown)]).tobytes()
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.clear()
-            self[piece] = ids
-        return ids
+    return Tokenizer.from_file(path)
 
 
 @functools.lru_cache(maxsize=2)
@@ -58,10 +52,13 @@ def encoder(path: str) -> Callable[[str], bytes]:
     The same as ``Tokenizer.encode(text, add_special_tokens=False).ids`` with special tokens read as ordinary text; most
     of that call's time goes into places in the text, which nobody asks for here.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    model, letters = _library(path).model, byte_letters()
 
-    memo = _Memo(Tokenizer.from_file(path).model)
+    def find(piece: str) -> bytes:
+        shown = piece.encode("utf-8", "replace").decode("latin-1").translate(letters)
+        return array("I", [token.id for token in model.tokenize(shown)]).tobytes()
+
+    memo = Memo(find, MEMO, MEMO_CHARS, "tokens")
     latin, any_text = re.compile(LATIN_PIECES).findall, regex.compile(PIECES).findall
     beyond = re.compile(BEYOND_LATIN).search
 
@@ -71,16 +68,19 @@ def encoder(path: str) -> Callable[[str], bytes]:
     return encode
 
 
-@functools.lru_cache(maxsize=2)
 def whole_encoder(path: str) -> Callable[[str], bytes]:
     """The same as ``Tokenizer.encode(text, add_special_tokens=False).ids``, added tokens of the file included.
 
     Texts without an added token take the quick way of ``encoder``; the others go to the library itself.
     """
-    ordinary = encoder(path)
-    from tokenizers import Tokenizer
+    turn_to("tokens")
+    return _whole_encoder(path)
 
-    library = Tokenizer.from_file(path)
+
+@functools.lru_cache(maxsize=2)
+def _whole_encoder(path: str) -> Callable[[str], bytes]:
+    ordinary = encoder(path)
+    library = _library(path)
     added = library.get_added_tokens_decoder().values()
     if not added:
         return ordinary

@@ -22,13 +22,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from steploom.llm.shared import written
+from steploom.llm.shared import Memo, turn_to, written
 
 #: The sample that is fitted on: so many rows of each label at most; of longer texts so many blocks, chosen by hash from all over the text.
 SAMPLE_ROWS = 3_000
@@ -44,8 +44,9 @@ LENGTHS = (1, 2)
 THRESHOLDS = range(1, 13)
 #: A word counts as toxic from so many distinct surroundings on.
 LEAST_SEEN = 4
-#: Windows of each length whose savings a worker remembers.
-MEMO = 400_000
+#: Windows of each length whose savings a worker remembers: so many of the last ones at least, twice as many at most.
+MEMO = 1 << 17
+MEMO_CHARS = 63
 
 _MARK = bytes(range(0x80, 0x98))
 _TAIL = bytes(range(1, 13))
@@ -79,6 +80,7 @@ class ToxicityModel:
     prior: float = 0.0
 
     def scorer(self) -> Callable[[str | None], float]:
+        turn_to("toxicity")
         savers = [_saver(d.toxic, d.ordinary) for d in self.dictionaries]
 
         def score(text: str | None) -> float:
@@ -99,24 +101,16 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=data, compression_params=settings)
 
 
-@functools.lru_cache(maxsize=2 * len(LENGTHS))
+@functools.lru_cache(maxsize=len(LENGTHS))  # one model's
 def _saver(toxic: bytes, ordinary: bytes) -> Callable[[str], int]:
     """The bytes that the toxic dictionary saves on a window, against the ordinary one."""
     by_toxic, by_ordinary = _compressor(toxic).compress, _compressor(ordinary).compress
-    memo: dict[str, int] = {}
 
-    def saved(window: str) -> int:
-        known = memo.get(window)
-        if known is None:
-            framed = _MARK + _bytes(window) + _TAIL
-            known = len(by_ordinary(framed)) - len(by_toxic(framed))
-            if len(memo) >= MEMO:
-                memo.clear()
-            if len(window) < 64:
-                memo[window] = known
-        return known
+    def find(window: str) -> int:
+        framed = _MARK + _bytes(window) + _TAIL
+        return len(by_ordinary(framed)) - len(by_toxic(framed))
 
-    return saved
+    return Memo(find, MEMO, MEMO_CHARS, "toxicity").__getitem__
 
 
 def _windows(words: list[str], length: int, of: frozenset[str]) -> Counter:
@@ -364,11 +358,11 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataF
     Repeated rows score alike; an empty table gives no rows.
     """
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = model.scorer()
-        for batch in batches:
-            yield pd.Series([of(t) for t in batch], dtype="float64")
+        for batch in batches:  # one text of it at a time becomes a string of Python
+            yield pa.array([of(t.as_py()) for t in batch], pa.float64())
 
     return docs.select(F.struct("*").alias("row"), score(F.col(text)).alias("score"))
 

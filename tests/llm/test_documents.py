@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from steploom.llm import decontaminate, language, line_dedup, packing, simhash, token_files, toxicity
+from steploom.llm import decontaminate, language, line_dedup, packing, shared, simhash, token_files, tokens, toxicity
 from steploom.llm.oracle import ORACLE
 from steploom.llm.shared import new_path
 
@@ -305,6 +305,31 @@ def test_pieces_equal_the_library():
     assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == [w.tolist()[:-1] for w in whole_ids(texts)]
 
 
+def test_memos_are_bounded_and_keep_what_is_frequent():
+    asked = []
+    memo = shared.Memo(lambda text: asked.append(text) or len(text), 50, 8, "test")
+    for i in range(1000):
+        assert memo[f"rare {i}"[:8]] == len(f"rare {i}"[:8]) and memo["often"] == 5 and memo["a long text"] == 11
+        assert len(memo) <= 50 and len(memo.older) <= 50
+    assert asked.count("often") == 1 and asked.count("a long text") == 1000
+
+
+def test_a_worker_keeps_the_memos_of_one_operator():
+    """Tasks of all stages run in the same workers."""
+    def held():
+        return {memo.use: len(memo) + len(memo.older) for memo in list(shared._memos.values()) if len(memo) + len(memo.older)}
+
+    model = toxicity.ToxicityModel((toxicity.Dictionaries(b"bad bad", b"good good"),) * 2, (1, 1), (0.0,) * 7, 0.5)
+    for _ in range(2):
+        model.scorer()("some words to be remembered")
+        assert set(held()) == {"toxicity"}
+        tokens.whole_encoder(TOKENIZER)("some words to be remembered")
+        assert set(held()) == {"tokens"}
+    for i in range(8):  # dictionaries of earlier models are no longer held
+        toxicity.ToxicityModel((toxicity.Dictionaries(b"bad %d" % i, b"good"),) * 2, (1, 1), (0.0,) * 7, 0.5).scorer()
+    assert toxicity._saver.cache_info().currsize <= len(toxicity.LENGTHS)
+
+
 def test_added_tokens_as_the_library_reads_them(spark):
     library = Tokenizer.from_file(TOKENIZER)
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext| > we'll", "plain", "", "<|endoftext|>" + "word " * 400]
