@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from steploom.llm.shared import small, written
-from steploom.llm.tokens import PIECES, byte_letters, encoder
+from steploom.llm.tokens import PIECES, byte_letters, plain_encoder
 
 #: Stretches of text that a worker remembers; the memo is emptied when it is full. Longer ones are not remembered.
 MEMO = 700_000
@@ -60,7 +60,7 @@ def ordinary_encoder(path: str, byte_of: dict[str, int]) -> Callable[[str], list
         model = json.load(f)["model"]
     made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
     if made != sorted(made) or not all(c in byte_of for token in model["vocab"] for c in token):
-        encode = encoder(path)
+        encode = plain_encoder(path)
         return lambda text: np.frombuffer(encode(text), "<u4").tolist()
     import tiktoken
 

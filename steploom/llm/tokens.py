@@ -45,7 +45,7 @@ def _library(path: str):
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[str], bytes]:
+def plain_encoder(path: str) -> Callable[[str], bytes]:
     """A function from an ordinary text to its ids, as little-endian 32-bit numbers, without special tokens, for a
     byte-level tokenizer file without normaliser.
 
@@ -68,18 +68,18 @@ def encoder(path: str) -> Callable[[str], bytes]:
     return encode
 
 
-def whole_encoder(path: str) -> Callable[[str], bytes]:
+def encoder(path: str) -> Callable[[str], bytes]:
     """The same as ``Tokenizer.encode(text, add_special_tokens=False).ids``, added tokens of the file included.
 
-    Texts without an added token take the quick way of ``encoder``; the others go to the library itself.
+    Texts without an added token take the quick way of ``plain_encoder``; the others go to the library itself.
     """
     turn_to("tokens")
-    return _whole_encoder(path)
+    return _encoder(path)
 
 
 @functools.lru_cache(maxsize=2)
-def _whole_encoder(path: str) -> Callable[[str], bytes]:
-    ordinary = encoder(path)
+def _encoder(path: str) -> Callable[[str], bytes]:
+    ordinary = plain_encoder(path)
     library = _library(path)
     added = library.get_added_tokens_decoder().values()
     if not added:

@@ -323,7 +323,7 @@ def test_a_worker_keeps_the_memos_of_one_operator():
     for _ in range(2):
         model.scorer()("some words to be remembered")
         assert set(held()) == {"toxicity"}
-        tokens.whole_encoder(TOKENIZER)("some words to be remembered")
+        tokens.encoder(TOKENIZER)("some words to be remembered")
         assert set(held()) == {"tokens"}
     for i in range(8):  # dictionaries of earlier models are no longer held
         toxicity.ToxicityModel((toxicity.Dictionaries(b"bad %d" % i, b"good"),) * 2, (1, 1), (0.0,) * 7, 0.5).scorer()
