@@ -96,6 +96,20 @@ def _wide(ids: bytes, count: int) -> np.ndarray:
     return np.frombuffer(ids, "<u2" if len(ids) == 2 * count else "<u4")
 
 
+def _together(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+    """The ids of all rows, those of several rows in one array, which ends with the row that brings it to ``BLOCK_TOKENS``."""
+    parts, held = [], 0
+    for batch in batches:
+        for n, blob in zip(batch["n"], batch["ids"], strict=True):
+            parts.append(_wide(blob, n))
+            held += n
+            if held >= BLOCK_TOKENS:
+                yield np.concatenate(parts)
+                parts, held = [], 0
+    if parts:
+        yield np.concatenate(parts)
+
+
 def _file_system(path: str):
     from pyarrow.fs import FileSystem
 
@@ -134,12 +148,11 @@ def write_token_files(
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            for n, blob in zip(batch["n"], batch["ids"], strict=True):
-                seen = np.bincount(_wide(blob, n))
-                if len(seen) > len(total):
-                    total = np.concatenate([total, np.zeros(len(seen) - len(total), dtype=np.int64)])
-                total[: len(seen)] += seen
+        for ids in _together(batches):
+            seen = np.bincount(ids)
+            if len(seen) > len(total):
+                total = np.concatenate([total, np.zeros(len(seen) - len(total), dtype=np.int64)])
+            total[: len(seen)] += seen
         used = np.flatnonzero(total)
         yield pd.DataFrame({"token": used, "n": total[used]})
 

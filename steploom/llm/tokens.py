@@ -27,12 +27,27 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-#: The same for texts of the first 592 characters (Latin) without the controls that only Python takes for white space;
-#: the standard module is much quicker, but knows no classes of characters.
-LATIN_PIECES = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹¼½¾]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-)
-BEYOND_LATIN = r"[\x1c-\x1f\u0250-\U0010ffff]"
+#: Characters that the standard module's classes below don't list.
+BEYOND_CLASSES = r"[\U00010000-\U0010ffff]"
+
+
+@functools.cache
+def quick_pieces() -> re.Pattern:
+    """``PIECES`` for texts of characters up to U+FFFF, for the standard module, which is much quicker on listed characters.
+
+    Only a contraction and other signs, and the two ways of white space, can match at one place; these keep their order. The
+    frequent alternatives come first, and each begins with listed characters, so that it is passed over at all others.
+    """
+    characters = "".join(map(chr, range(0x10000)))
+
+    def listed(kind: str) -> str:
+        return "".join(f"\\u{ord(run[0]):04x}-\\u{ord(run[-1]):04x}" for run in regex.findall(rf"{kind}+", characters))
+
+    letter, number, space, other = map(listed, (r"\p{L}", r"\p{N}", r"\s", r"[^\s\p{L}\p{N}]"))
+    return re.compile(
+        rf" [{letter}]+|[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d|[{other}]+|[{number}]+| [{other}]+| [{number}]+"
+        rf"|[{space}]+(?![^{space}])|[{space}]+"
+    )
 
 
 @functools.lru_cache(maxsize=2)
@@ -59,11 +74,12 @@ def plain_encoder(path: str) -> Callable[[str], bytes]:
         return array("I", [token.id for token in model.tokenize(shown)]).tobytes()
 
     memo = Memo(find, MEMO, MEMO_CHARS, "tokens")
-    latin, any_text = re.compile(LATIN_PIECES).findall, regex.compile(PIECES).findall
-    beyond = re.compile(BEYOND_LATIN).search
+    quick, any_text = quick_pieces().findall, regex.compile(PIECES).findall
+    beyond = re.compile(BEYOND_CLASSES).search
 
     def encode(text: str) -> bytes:
-        return b"".join(map(memo.__getitem__, (any_text if beyond(text) else latin)(text)))
+        split = quick if text.isascii() or not beyond(text) else any_text
+        return b"".join(map(memo.__getitem__, split(text)))
 
     return encode
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import regex
@@ -305,6 +306,26 @@ def test_pieces_equal_the_library():
     assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == [w.tolist()[:-1] for w in whole_ids(texts)]
 
 
+def test_quick_pieces_cut_as_the_pattern_of_all_classes():
+    """The standard module cuts texts of any characters up to U+FFFF, not of Latin ones only."""
+    rng = random.Random(9)
+    letters = list("ab Z's9\n\t\r.,-éß中²\xa0́\x1c\x85　_’Ж٤Ⅷ")
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(3000)]
+    texts += [f"{chr(c)}a {chr(c)} 1{chr(c)}{chr(c)} {chr(c)}'s'{chr(c)}\n {chr(c)}  {chr(c)}9" for c in range(0x10000)]
+    quick, whole = tokens.quick_pieces().findall, regex.compile(tokens.PIECES).findall
+    assert [t for t in texts if quick(t) != whole(t)] == []
+
+
+def test_ids_of_many_rows_are_counted_together(monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_TOKENS", 10)
+    ids = [np.arange(k % 4 + 1, dtype="<u2" if k % 2 else "<u4") for k in range(40)] + [np.arange(50, dtype="<u2")]
+    rows = pd.DataFrame({"n": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]})
+    out = list(token_files._together(iter([rows[:15], rows[:0], rows[15:]])))
+    assert np.concatenate(out).tolist() == np.concatenate(ids).tolist()
+    assert [len(x) for x in out[:-1]] == [10] * 10 and len(out[-1]) == 50
+    assert list(token_files._together(iter([rows[:0]]))) == []
+
+
 def test_memos_are_bounded_and_keep_what_is_frequent():
     asked = []
     memo = shared.Memo(lambda text: asked.append(text) or len(text), 50, 8, "test")
