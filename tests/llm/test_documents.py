@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -316,6 +317,19 @@ def test_quick_pieces_cut_as_the_pattern_of_all_classes():
     assert [t for t in texts if quick(t) != whole(t)] == []
 
 
+def test_only_texts_beyond_ffff_take_the_slow_pattern(monkeypatch):
+    class Slow:
+        def findall(self, text):
+            raise AssertionError(text)
+
+    monkeypatch.setattr(tokens, "regex", SimpleNamespace(findall=regex.findall, compile=lambda pattern: Slow()))
+    texts = ["“quoted” – it’s 5 €", "Жук и 中文 ٤Ⅷ", "\x1c a\x85 b\u3000", "plain", ""]
+    encode = tokens.plain_encoder.__wrapped__(TOKENIZER)
+    assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == [w.tolist()[:-1] for w in whole_ids(texts)]
+    with pytest.raises(AssertionError):
+        encode("a \U0001f600")
+
+
 def test_ids_of_many_rows_are_counted_together(monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_TOKENS", 10)
     ids = [np.arange(k % 4 + 1, dtype="<u2" if k % 2 else "<u4") for k in range(40)] + [np.arange(50, dtype="<u2")]
