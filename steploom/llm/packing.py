@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from steploom.llm.shared import written
-from steploom.llm.tokens import encoder
+from steploom.llm.tokens import batch_encoder
 
 #: Tokens and pieces that one task packs, about, whichever it reaches first.
 GROUP_TOKENS = 1 << 23
@@ -46,11 +46,11 @@ def token_pieces(
     fields += [StructField("ids", ArrayType(IntegerType()))] if keep_ids else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), np.uint32(end_id).tobytes()
+        encode, end = batch_encoder(tokenizer), np.uint32(end_id).tobytes()
         for batch in batches:
             of, out = [], []
-            for row, whole in enumerate(batch.column("text")):
-                ids = np.frombuffer(encode(whole.as_py() or "") + end, dtype="<u4")
+            for row, found in enumerate(itertools.chain.from_iterable(encode(batch.column("text")))):
+                ids = np.frombuffer(found + end, dtype="<u4")
                 first = len(ids) % max_tokens or max_tokens
                 bounds = [0, *range(first, len(ids) + 1, max_tokens)]
                 for k, (a, b) in enumerate(itertools.pairwise(bounds)):

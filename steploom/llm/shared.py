@@ -38,11 +38,25 @@ class Memo(dict):
         found = self.older.get(text)
         if found is None:
             found = self.find(text)
+        self._keep(text, found)
+        return found
+
+    def _keep(self, text: Any, found: Any) -> None:
         if len(text) <= self.chars:
             if len(self) >= self.size:
                 self.older = dict(self)
                 self.clear()
             self[text] = found
+
+    def many(self, texts: list, find_all: Callable[[list], list]) -> list:
+        """What is found for each of ``texts``, all different; ``find_all`` finds the unknown ones together (never None)."""
+        found = list(map(self.get, texts))
+        absent = [i for i, value in enumerate(found) if value is None]
+        older = list(map(self.older.get, [texts[i] for i in absent]))
+        unknown = iter(find_all([texts[i] for i, value in zip(absent, older, strict=True) if value is None]))
+        for i, value in zip(absent, older, strict=True):
+            found[i] = next(unknown) if value is None else value
+            self._keep(texts[i], found[i])
         return found
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from steploom.llm.shared import small, written
-from steploom.llm.tokens import encoder
+from steploom.llm.tokens import batch_encoder
 
 MAGIC = b"LOOMTOK1"
 #: Tokens of a file and of a block, about: what a task holds at a time.
@@ -38,11 +38,21 @@ LENGTHS = np.array([[(control >> 2 * k & 3) + 1 for k in range(4)] for control i
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of ranks below 2^32."""
     ranks = np.ascontiguousarray(ranks, dtype="<u4")
-    more = (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
+    widest = int(ranks.max(initial=0))
     padded = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    padded[: len(ranks)] = more
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= more[:, None]]
+    more = padded[: len(ranks)]
+    for k in range(1, 4):
+        if widest >> 8 * k:
+            more += ranks >= 1 << 8 * k
+    control = padded[0::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
+    ends = np.cumsum(more, dtype=np.int64) + np.arange(1, len(ranks) + 1)
+    starts = ends - more - 1
+    data = np.empty(int(ends[-1]) if len(ranks) else 0, dtype=np.uint8)
+    data[starts] = ranks.astype(np.uint8)
+    for k in range(1, 4):
+        if widest >> 8 * k:
+            longer = np.flatnonzero(more >= k)
+            data[starts[longer] + k] = (ranks[longer] >> np.uint32(8 * k)).astype(np.uint8)
     return control.tobytes(), data.tobytes()
 
 
@@ -133,11 +143,13 @@ def write_token_files(
     """
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), np.uint32(end_id).tobytes()
+        encode, end = batch_encoder(tokenizer), np.uint32(end_id).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                blobs = [encode(x.as_py() or "") + end for x in part.column("text")]
+            at = 0
+            for found in encode(batch.column("text")):
+                part = batch.slice(at, len(found))
+                at += len(found)
+                blobs = [ids + end for ids in found]
                 sums, sizes = [zlib.crc32(b) for b in blobs], [len(b) // 4 for b in blobs]
                 narrow = pa.array([_narrow(b) for b in blobs], pa.binary())
                 columns = [part.column("id"), pa.array(sums, pa.int64()), pa.array(sizes, pa.int64()), narrow]

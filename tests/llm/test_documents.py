@@ -1,5 +1,6 @@
 """Document operators against plain loops, on small tables with every awkward case."""
 
+import itertools
 import math
 import random
 import re
@@ -11,6 +12,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -330,6 +332,67 @@ def test_only_texts_beyond_ffff_take_the_slow_pattern(monkeypatch):
         encode("a \U0001f600")
 
 
+ODD_LETTERS = [*"ab Z'stdmrevl0 9\n\t\r.,-éß中²\U0001f600\xa0\u0301\x1c\x85\u3000_Жٸ٤Ⅷ", "'re", "'ll", "'ve", "''", "  ", "\U0001d400", "\U0001d7d7"]
+
+
+def test_pieces_of_many_texts_are_cut_as_the_pattern_does():
+    rng = random.Random(10)
+    texts = ["".join(rng.choices(ODD_LETTERS, k=rng.randint(0, 40))) for _ in range(3000)]
+    texts += [f"{chr(c)}a {chr(c)} 1{chr(c)}{chr(c)} {chr(c)}'s'{chr(c)}\n {chr(c)}  {chr(c)}9" for c in [*range(0xD800), *range(0xE000, 0x20000)]]
+    texts += ["'", "s", "'", "'l", "l", "a  ", " b", "x\u3000", "\u3000", ""]
+    raw = [t.encode() for t in texts]
+    starts = np.cumsum([0, *map(len, raw)])[:-1]
+    data = b"".join(raw)
+    bounds = tokens.piece_bounds(np.frombuffer(data, np.uint8), starts)
+    whole = regex.compile(tokens.PIECES).findall
+    assert [data[a:b].decode() for a, b in itertools.pairwise(bounds)] == [p for t in texts for p in whole(t)]
+
+
+@pytest.mark.parametrize("part_bytes", [1, 1000, 1 << 22])
+def test_ids_of_many_texts_equal_the_library(monkeypatch, part_bytes):
+    monkeypatch.setattr(tokens, "PART_BYTES", part_bytes)
+    rng = random.Random(11)
+    texts = ["".join(rng.choices(ODD_LETTERS, k=rng.randint(0, 40))) for _ in range(500)]
+    texts += [None, "", "x" * 3000, "a <|endoftext|> b", None, "<|endoftext|>", "'", "s"]
+    library = Tokenizer.from_file(TOKENIZER)
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["before", *texts, "after"], kind).slice(1, len(texts))
+        parts = list(tokens.batch_encoder(TOKENIZER)(column))
+        assert [ids for part in parts for ids in part] == want
+        assert len(parts) == 1 or part_bytes < 1 << 22
+    assert list(tokens.batch_encoder(TOKENIZER)(pa.array([], pa.string()))) == []
+    assert list(tokens.batch_encoder(TOKENIZER)(pa.array([None, ""], pa.string())))[-1][-1] == b""
+
+
+def test_token_files_and_packing_look_up_a_piece_once_for_many_texts(spark, monkeypatch):
+    """Not once for each place where it stands, nor by the slow pattern for texts beyond U+FFFF."""
+    asked = []
+    many = shared.Memo.many
+    monkeypatch.setattr(shared.Memo, "many", lambda memo, texts, find_all: asked.extend(texts) or many(memo, texts, find_all))
+    monkeypatch.setattr(tokens, "plain_encoder", None)
+    column = pa.array(["some words and some words \U0001f600 \U0001f600"] * 50)
+    ids = [b for part in tokens.batch_encoder(TOKENIZER)(column) for b in part]
+    assert len(set(ids)) == 1 and np.frombuffer(ids[0], "<u4").tolist() == whole_ids([column[0].as_py()])[0].tolist()[:-1]
+    assert sorted(asked) == sorted({b"some", b" words", b" and", b" some", " \U0001f600".encode()})
+    assert token_files.batch_encoder is packing.batch_encoder is tokens.batch_encoder
+
+
+def test_memos_find_many_together():
+    asked = []
+    memo = shared.Memo(len, 50, 8, "test")
+
+    def find_all(texts):
+        asked.extend(texts)
+        return [len(t) for t in texts]
+
+    for i in range(300):
+        texts = [f"r{i} {k}" for k in range(7)] + ["often", "a long text"]
+        assert memo.many(texts, find_all) == [len(t) for t in texts]
+        assert len(memo) <= 50 and len(memo.older) <= 50
+    assert asked.count("often") == 1 and asked.count("a long text") == 300 and len(set(asked)) == 2102
+
+
 def test_ids_of_many_rows_are_counted_together(monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_TOKENS", 10)
     ids = [np.arange(k % 4 + 1, dtype="<u2" if k % 2 else "<u4") for k in range(40)] + [np.arange(50, dtype="<u2")]
